@@ -1,0 +1,66 @@
+import hashlib
+import math
+import random
+import re
+
+from quirefold.llm import secrets as S
+
+ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+ACCESS, HEX, RUN = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+"), re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+
+
+def entropy(s):
+    best = -1.0
+    for i in range(len(s) - S.WINDOW + 1):
+        w = s[i : i + S.WINDOW]
+        best = max(best, -sum(w.count(c) / S.WINDOW * math.log2(w.count(c) / S.WINDOW) for c in set(w)))
+    return best
+
+
+def brute(text):
+    text = text or ""
+    base = [("assign", m) for m in ASSIGN.finditer(text) if len(m[1]) >= 6] + [("access", m) for m in ACCESS.finditer(text) if len(m[0]) >= 20] + [("hex", m) for m in HEX.finditer(text) if len(m[0]) >= 24]
+    base = sorted((m.start(), S.KINDS.index(k), m.end(), k) for k, m in base)
+    extra = []
+    for m in RUN.finditer(text):
+        s = m[0]
+        if any(re.search(p, s) for p in S.ALLOWED) or any(b[0] < m.end() and b[2] > m.start() for b in base):
+            continue
+        if entropy(s) >= S.BITS["hexadecimal" if re.fullmatch("[0-9A-Fa-f]+", s) else "base64"]:
+            extra.append((m.start(), 3, m.end(), "entropy"))
+    show = lambda spans: ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+    counts = [sum(b[3] == k for b in base) for k in S.KINDS[:3]]
+    return (*counts, hashlib.sha256(show(base).encode()).hexdigest(), show(sorted(base + extra)))
+
+
+EDGES = [
+    None, "", "no secrets here", "password = hunter22 and token:abc", "secret:token:abcdefgh", "TOKEN=token=secretvalue", 'Api_Key"  :  "AbC.d-e/f+g="', "AKIA" + "A1" * 8, "AKIA" + "A" * 15,
+    "é🙂 passwd=ünot secret='0123456789abcdef0123456789abcdef'", "f" * 24 + "g" + "0" * 23, "key Zk3Lq9Xv7Tn2Rb8Wd5Yp1Hs6 end", "0123456789ABCDEF89AB01234567", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaa1B",
+    "token=abcdefg " * 700, "path/to/some/long/directory/name", "550e8400-e29b-41d4-a716-446655440000", "token" + " " * 5000 + "x",
+]
+
+
+def test_scan_against_brute_force(spark, sf):
+    sf = sf.replace("0.001", "0.01")
+    got = {r[0]: tuple(r)[1:] for r in S.op2_secrets(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs) and all(got[r.doc_id] == brute(r.text) for r in docs)
+    assert sum(r[0] + r[1] + r[2] for r in got.values()) > 0
+
+
+def test_edges(spark):
+    rnd = random.Random(5)
+    texts = EDGES + ["".join(rnd.choice("tokensecret:= '\"AKIA01abcdefZ9/+") for _ in range(200)) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, base int")
+    rows = S.scan(df).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        shown = ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.spans)
+        assert shown == brute(texts[r.doc_id])[4]
+    assert S.scan(df.limit(0)).collect() == []
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([(0, "a password = hunter22 b é token:abcdef!", "x", 39), (1, None, None, None), (2, "plain", "x", 5)], "doc_id bigint, text string, spans string, n_chars bigint")
+    got = {r.doc_id: (r.text, r.n_chars) for r in S.redact(df).collect()}
+    assert got == {0: ("a [SECRET] b é [SECRET]!", 24), 1: (None, None), 2: ("plain", 5)}
