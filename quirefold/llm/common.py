@@ -27,6 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def prepare(spark: SparkSession) -> None:
+    """Rows that hold texts are large: unless the session says otherwise, 1,000 of them make an Arrow batch, not 10,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir. Where that is unset: a local one, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)

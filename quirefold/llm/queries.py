@@ -7,9 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op1_byte_bpe
+from .language_id import op10_language_id
+from .language_model import op6_language_model
+from .mixing import op9_mixing
+from .near_dup import op4_minhash
+from .secrets import op2_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_secrets": op2_secrets,
+    "op4_minhash": op4_minhash,
+    "op6_language_model": op6_language_model,
+    "op9_mixing": op9_mixing,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}
