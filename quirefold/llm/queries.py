@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op1_byte_bpe
+from .fingerprints import op7_fingerprints
 from .language_id import op10_language_id
 from .language_model import op6_language_model
 from .mixing import op9_mixing
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op4_minhash": op4_minhash,
     "op6_language_model": op6_language_model,
+    "op7_fingerprints": op7_fingerprints,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
 }
