@@ -13,6 +13,7 @@ from .language_model import op6_language_model
 from .mixing import op9_mixing
 from .near_dup import op4_minhash
 from .secrets import op2_secrets
+from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash": op4_minhash,
     "op6_language_model": op6_language_model,
     "op7_fingerprints": op7_fingerprints,
+    "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
 }
