@@ -216,7 +216,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...
                     d = t.doc[k]
                     spans[d].append({"start": int(points[t.start[k]] - begin[d]), "end": int(points[t.stop[k]] - begin[d])})
             span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(-np.expm1(none), pa.float64()), pa.array(spans, span_type)], [*batch.schema.names[1:], "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(0.0 - np.expm1(none), pa.float64()), pa.array(spans, span_type)], [*batch.schema.names[1:], "score", "spans"])
 
     kept = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__text"), *keep)
     return kept.mapInArrow(run, kept.drop("__text").schema.add("score", "double").add("spans", ArrayType(StructType().add("start", "integer").add("end", "integer"))))

@@ -40,15 +40,15 @@ def test_held_out(spark, sf):
 
 def test_edges(spark):
     rows = [(i, f"é plain words {i} here, you. nothing else and more {i}", 0) for i in range(40)] + [(100 + i, f"é plain words {i}, you badword! and more {i}", 1) for i in range(20)]
-    docs = spark.createDataFrame([(i, t, 1.0) for i, t, _ in rows] + [(None, None, 1.0), (7, "", 1.0), (8, "Badword", 1.0), (8, "Badword", 1.0), (9, "word " * 50_000 + "badword", 1.0)], "doc_id bigint, text string, score double")
+    docs = spark.createDataFrame([(i, t, 1.0) for i, t, _ in rows] + [(None, None, 1.0), (207, "", 1.0), (208, "Badword", 1.0), (208, "Badword", 1.0), (209, "word " * 50_000 + "badword", 1.0)], "doc_id bigint, text string, score double")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1)], "doc_id bigint, toxic int")
     out = T.score(docs, T.train(docs, labels)).collect()
     assert len(out) == docs.count()
     by = {}
     for r in out:
         by.setdefault(r.doc_id, []).append(r)
-    assert by[None][0].score == 0 and all(r.score < 0.3 for i in range(40) if i not in (7, 8, 9) for r in by[i]) and all(by[100 + i][0].score > 0.7 for i in range(20))
-    assert sum(r.score > 0.7 for r in by[8]) == 2 and any(r.score > 0.7 for r in by[9]) and [(s.start, s.end) for s in by[105][0].spans] == [(21, 28)]
+    assert by[None][0].score == 0 and all(r.score < 0.3 for i in range(40) for r in by[i]) and all(by[100 + i][0].score > 0.7 for i in range(20))
+    assert sum(r.score > 0.7 for r in by[208]) == 2 and any(r.score > 0.7 for r in by[209]) and [(s.start, s.end) for s in by[105][0].spans] == [(21, 28)]
     none = T.train(docs, labels.limit(0))
     assert {r.score for r in T.score(docs, none).collect()} == {0.0}
     assert T.score(docs.limit(0), none).collect() == []
