@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat
 from .byte_bpe import op1_byte_bpe
 from .fingerprints import op7_fingerprints
 from .language_id import op10_language_id
@@ -18,6 +19,7 @@ from .toxicity import op8_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secrets": op2_secrets,
+    "op3_chat": chat.op3_chat,
     "op4_minhash": op4_minhash,
     "op6_language_model": op6_language_model,
     "op7_fingerprints": op7_fingerprints,
@@ -26,4 +28,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_chat": chat.ORACLE,
+}

@@ -126,7 +126,7 @@ def marginals(unary: np.ndarray, chain: np.ndarray, jump: np.ndarray) -> tuple[n
 def explain(features: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Features that explain the toxic documents. features: of each document, distinct."""
     size = 1 << TABLE_BITS
-    n = np.array([len(f) for f in features])
+    n = np.array([len(f) for f in features], np.int64)
     flat, owner = np.concatenate([np.zeros(0, np.int64), *features]), np.repeat(np.arange(len(features)), n)
     bad = toxic[owner]
     clean = np.bincount(flat[~bad], minlength=size)
