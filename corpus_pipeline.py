@@ -4,12 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import common
+from quirefold.llm import byte_bpe, common, language_id, mixing, near_dup, secrets
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
+
+def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those whose language is not recognised."""
+    common.prepare(spark)
+    return language_id.known_language(docs)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near duplicates."""
+    common.prepare(spark)
+    return near_dup.distinct_documents(docs)
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks every secret; all documents stay."""
+    return secrets.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as its source's target asks."""
+    return mixing.mixed_documents(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and digests of the ids and of what they decode to."""
+    common.prepare(spark)
+    coded = byte_bpe.decode(byte_bpe.encode(docs, RANKS), RANKS)
+    return byte_bpe.digests(coded, "ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", recognised),
+    ("minhash", distinct),
+    ("secrets", redacted),
+    ("mixing", mixed),
+    ("byte_bpe", encoded),
+]
+
+#: Language models, sketches and merges of byte pairs have no SQL form; tests/llm/test_pipeline.py has the brute force.
 ORACLE_SQL = None
 
 

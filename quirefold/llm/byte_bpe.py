@@ -163,9 +163,10 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, ids binary, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
     return decoded.select(
         "doc_id",
+        *more,
         F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

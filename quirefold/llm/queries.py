@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat
 from .byte_bpe import op1_byte_bpe
+from .embeddings import op5_embeddings
 from .fingerprints import op7_fingerprints
 from .language_id import op10_language_id
 from .language_model import op6_language_model
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_chat": chat.op3_chat,
     "op4_minhash": op4_minhash,
+    "op5_embeddings": op5_embeddings,
     "op6_language_model": op6_language_model,
     "op7_fingerprints": op7_fingerprints,
     "op8_toxicity": op8_toxicity,
