@@ -6,5 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import ledger, pages, redaction
+
+FAMILIES = (ledger, redaction, pages)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _family in FAMILIES:
+    QUERIES |= _family.QUERIES
+    ORACLES |= _family.ORACLES
