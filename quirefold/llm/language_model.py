@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Tokens that a task counts, or looks up, at a time.
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_000_000
 BITS = 40
 _U = np.uint64
 _START, _END = _U(0x5EED000000000001), _U(0x5EED000000000003)
@@ -74,25 +74,37 @@ _PACKED = "kind string, bucket bigint, arrays array<binary>"
 _ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("arrays", pa.list_(pa.binary()))])
 
 
-def _count(n_buckets: int):
+def _pair_rows(before: np.ndarray, now: np.ndarray, n_buckets: int) -> list[dict]:
+    key, at, n = np.unique(_pair_key(before, now), return_index=True, return_counts=True)
+    bucket, before, now = _bucket_of(key, n_buckets), before[at], now[at]
+    rows, cuts = [], np.flatnonzero(np.diff(bucket)) + 1
+    for b, v, w, c in zip(bucket[np.concatenate(([0], cuts))], np.split(before, cuts), np.split(now, cuts), np.split(n, cuts), strict=True):
+        o = np.argsort(v)
+        rows.append({"kind": "pair", "bucket": int(b), "arrays": [C.pack(v[o], True), C.pack(w[o]), C.pack(c[o])]})
+    return rows
+
+
+def _word_rows(word: np.ndarray, n_buckets: int) -> list[dict]:
+    h, n = np.unique(word, return_counts=True)
+    return _rows("word", _bucket_of(h, n_buckets), (h, True), (n, False))
+
+
+def _count(n_buckets: int, pairs: bool):
+    """Counts of pairs, or of words, of some millions of tokens at a time."""
+
     def counted(parts):
-        word = np.concatenate([p[0] for p in parts])
-        before, now = _narrow(np.concatenate([p[1] for p in parts])), _narrow(word)
-        key, at, n = np.unique(_pair_key(before, now), return_index=True, return_counts=True)
-        bucket, before, now = _bucket_of(key, n_buckets), before[at], now[at]
-        rows, cuts = [], np.flatnonzero(np.diff(bucket)) + 1
-        for b, v, w, c in zip(bucket[np.concatenate(([0], cuts))], np.split(before, cuts), np.split(now, cuts), np.split(n, cuts), strict=True):
-            o = np.argsort(v)
-            rows.append({"kind": "pair", "bucket": int(b), "arrays": [C.pack(v[o], True), C.pack(w[o]), C.pack(c[o])]})
-        h, n = np.unique(word, return_counts=True)
-        rows += _rows("word", _bucket_of(h, n_buckets), (h, True), (n, False))
+        if pairs:
+            rows = _pair_rows(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), n_buckets)
+        else:
+            rows = _word_rows(np.concatenate([p[0] for p in parts]), n_buckets)
         return pa.RecordBatch.from_pylist(rows, _ARROW)
 
     def run(batches):
         parts, n = [], 0
         for batch in C.slices(batches, "text"):
-            parts.append(tokens(batch.column(0))[:2])
-            n += len(parts[-1][0])
+            word, before, _ = tokens(batch.column(0))
+            parts.append((_narrow(before), _narrow(word)) if pairs else (word,))
+            n += len(word)
             if n >= BLOCK_TOKENS:
                 yield counted(parts)
                 parts, n = [], 0
@@ -187,15 +199,14 @@ def train(docs: DataFrame, text: str = "text") -> dict:
     """Where the arrays are, and the model's few numbers."""
     folder = _path(C.shared_folder(docs.sparkSession, "language-model"))
     n = C.buckets_for(C.text_bytes(docs, text))
-    counts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(_count(n), _PACKED)
-    counts = C.written(counts, "counts")
-    added = C.written(counts.where("kind = 'pair'").groupBy("bucket").applyInArrow(_add_pairs(folder, n), _PACKED), "added")
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    added = C.written(texts.mapInArrow(_count(n, True), _PACKED).groupBy("bucket").applyInArrow(_add_pairs(folder, n), _PACKED), "added")
     stats = np.zeros(5, np.uint64)
     for r in added.where("kind = 'stats'").select("arrays").toLocalIterator():
         stats += C.unpack(bytes(r["arrays"][0]))
     discounts = discounts_of(*map(float, stats[:4]))
     added.where("kind = 'context'").groupBy("bucket").applyInArrow(_add_contexts(folder, discounts), "bucket bigint").count()
-    words = counts.where("kind = 'word'").groupBy("bucket").cogroup(added.where("kind = 'follows'").groupBy("bucket"))
+    words = texts.mapInArrow(_count(n, False), _PACKED).groupBy("bucket").cogroup(added.where("kind = 'follows'").groupBy("bucket"))
     names = ["tokens", "distinct", "n1", "n2", "n3", "n4", "more", "kinds"]
     r = words.applyInArrow(_add_words(folder), ", ".join(f"{x} bigint" for x in names)).agg(*(F.sum(x).alias(x) for x in names)).first()
     total = {x: r[x] or 0 for x in names}
@@ -259,7 +270,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...
 
     def run(batches):
         mapped = Mapped(model)
-        for batch in C.slices(batches, "__text", 8 << 20):
+        for batch in C.slices(batches, "__text", 4 << 20):
             word, before, doc = (np.concatenate(x) for x in zip(*_offset(batch), strict=True))
             count, p = mapped.probabilities(word, before)
             base = np.log10((count + 0.1) / (model["tokens"] + 0.1 * (model["distinct"] + 1)))
