@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import ledger, pages, redaction
+from .plans import business, ledger, pages, redaction
 
-FAMILIES = (ledger, redaction, pages)
+FAMILIES = (ledger, redaction, pages, business)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

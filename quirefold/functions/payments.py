@@ -51,14 +51,14 @@ def error_message(code: Column) -> Column:
 
 def base64url(s: Column) -> Column:
     """Base-64 with the alphabet for addresses, without padding."""
-    return F.rtrim(F.translate(F.base64(F.encode(s, "utf-8")), "+/", "-_"), F.lit("="))
+    return F.rtrim(F.translate(F.base64(F.encode(s, "utf-8")), "+/\r\n", "-_"), F.lit("="))
 
 
 def from_base64url(s: Column) -> Column:
     """The text of base64url or base-64, padded or not; null if it is neither."""
-    t = F.rtrim(F.translate(F.trim(s), "-_", "+/"), F.lit("="))
-    padded = F.rpad(t, F.ceil(F.length(t) / 4).cast("int") * 4, "=")
-    return F.call_function("try_validate_utf8", F.decode(F.call_function("try_to_binary", F.when(t.rlike("^[A-Za-z0-9+/]*$"), padded), F.lit("base64")), F.lit("utf-8")))
+    t = F.rtrim(F.translate(F.regexp_replace(s, "\\s", ""), "-_", "+/"), F.lit("="))
+    padded = F.call_function("rpad", t, F.ceil(F.length(t) / 4).cast("int") * 4, F.lit("="))
+    return F.call_function("try_validate_utf8", F.call_function("try_to_binary", F.when(t.rlike("^[A-Za-z0-9+/]*$"), padded), F.lit("base64")).cast("string"))
 
 
 _PROOF = "struct<protocol:struct<payment_proof:string,trade_no:string>,method:struct<client_session:string>>"

@@ -27,7 +27,7 @@ def correlate(tasks: DataFrame, requests: DataFrame, seconds: int, key: str | No
 
     An as-of join by union and one window: by key if there is one, else by slots of `seconds` that requests look up in
     their own and the one before, so the work is that of the neighbours and not of all pairs."""
-    slot = lambda c: F.floor(c.cast("double") / seconds).cast("bigint")
+    slot = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / (seconds * 1_000_000)).cast("bigint")
     t = tasks.select(F.struct(*tasks.columns).alias("task"), F.col("task_id").alias("__t"), F.col("last_seen").alias("__seen"), *([F.col(key).alias("__key")] if key else []), slot(F.col("last_seen")).alias("__slot"))
     r = requests.select("request_id", F.col("time").alias("request_time"), *([F.col(key).alias("__rkey")] if key else []), F.explode(F.array(slot(F.col("time")), slot(F.col("time")) - 1)).alias("__rslot"))
     near = (F.col("__slot") == F.col("__rslot")) & (F.col("request_time") >= F.col("__seen")) & (F.col("request_time") <= F.col("__seen") + F.expr(f"INTERVAL {seconds} SECONDS"))
