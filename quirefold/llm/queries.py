@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat
+from . import chat, embeddings, secrets
 from .byte_bpe import op1_byte_bpe
 from .embeddings import op5_embeddings
 from .fingerprints import op7_fingerprints
@@ -31,5 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_secrets": secrets.ORACLE,
     "op3_chat": chat.ORACLE,
+    "op5_embeddings": embeddings.ORACLE,
 }

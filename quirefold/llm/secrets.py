@@ -126,7 +126,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     new = F.filter(F.col("__runs"), lambda m: ~allowed(m["hit"]) & ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
     found = found.withColumn("__runs", F.when(F.size("__runs") > 0, new).otherwise(F.col("__runs")))
     least = lambda s: F.when(s.rlike("^[0-9A-Fa-f]+$"), F.lit(BITS["hexadecimal"])).otherwise(F.lit(BITS["base64"]))
-    high = F.when(F.size("__runs") > 0, F.filter(F.col("__runs"), lambda m: window_entropy(m["hit"]) >= least(m["hit"]))).otherwise(F.col("__runs"))
+    high = F.when(F.size("__runs") > 0, F.filter(F.col("__runs"), lambda m: window_entropy(m["hit"]) >= least(m["hit"]) - 1e-9)).otherwise(F.col("__runs"))
     return found.withColumn("spans", F.array_sort(F.concat(F.col("base"), _spans(high, "entropy")))).select(*keep, "base", "spans")
 
 
@@ -165,3 +165,26 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = scan(C.table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter(F.col("base"), lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
     return scanned.select("doc_id", *(count(k) for k in KINDS[:3]), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _found(kind: str, pattern: str, group: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{kind}' AS kind, {KINDS.index(kind)} AS rank, regexp_extract_all(t, '{p}') AS h, regexp_extract_all(t, '{p}', {group}) AS v,
+  list_transform(string_split_regex(t, '{p}'), lambda x: length(x)) AS g FROM d WHERE regexp_matches(t, '{p}')"""
+
+
+_ALLOW = " OR ".join([f"regexp_matches(hit, '{p}')" for p in ALLOWED[:-1]] + ["len(list_filter(range(1, length(hit)), lambda i: substr(hit, i, 8) = repeat(substr(hit, i, 1), 8))) > 0"])
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_found(k, p, g) for k, p, g in (("assign", ASSIGN, 1), ("access", ACCESS, 0), ("hex", HEX, 0), ("entropy", RUN, 0)))}),
+s AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM m),
+p AS (SELECT doc_id, kind, rank, h[i] AS hit, v[i] AS val, CAST(coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) + list_sum(g[1:i]) AS BIGINT) AS a FROM s),
+b AS (SELECT *, a + length(hit) AS z FROM p WHERE kind <> 'entropy' AND (kind <> 'assign' OR length(val) >= {LEAST_VALUE})),
+r AS (SELECT *, a + length(hit) AS z, regexp_matches(hit, '^[0-9A-Fa-f]+$') AS hexed FROM p WHERE kind = 'entropy' AND NOT ({_ALLOW})),
+e AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = r.doc_id AND b.a < r.z AND b.z > r.a)
+  AND list_max(list_transform(range(1, length(hit) - {WINDOW - 2}), lambda i: list_aggregate(string_split(substr(hit, i, {WINDOW}), ''), 'entropy'))) >= CASE WHEN hexed THEN {BITS["hexadecimal"]} ELSE {BITS["base64"]} END - 1e-9),
+u AS (SELECT doc_id, kind, rank, a, z FROM b UNION ALL SELECT doc_id, kind, rank, a, z FROM e),
+j AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) AS spans FROM u GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j ON d.doc_id IS NOT DISTINCT FROM j.doc_id
+"""

@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from . import common as C
 
-SAMPLE = 3_000
+SAMPLE = 2_000
 SUPPORT = 3
 PRECISION = 0.99
 CHAIN = 64
@@ -33,7 +33,6 @@ TABLE_BITS = 20
 PREFIXES = (4, 5, 6)
 FLOOR = 0.2
 EPOCHS = 12
-AROUND = 8
 _SCALE = 1 << 20
 
 _SEP = np.ones(256, bool)
@@ -127,7 +126,7 @@ def explain(features: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Features that explain the toxic documents. features: of each document, distinct."""
     size = 1 << TABLE_BITS
     n = np.array([len(f) for f in features], np.int64)
-    flat, owner = np.concatenate([np.zeros(0, np.int64), *features]), np.repeat(np.arange(len(features)), n)
+    flat, owner = np.concatenate([np.zeros(0, np.int32), *features]), np.repeat(np.arange(len(features), dtype=np.int32), n)
     bad = toxic[owner]
     clean = np.bincount(flat[~bad], minlength=size)
     flat, owner = flat[bad], owner[bad]
@@ -150,21 +149,31 @@ def explain(features: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return np.array(chosen, np.int64)
 
 
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, text, chain) of all tokens, made by smaller parts: hashing takes room of many times the bytes."""
+    parts, chains = [(np.zeros((0, 1 + len(PREFIXES)), np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32))], 0
+    for at in range(0, len(texts), 200):
+        t = Tokens(pa.array(texts[at : at + 200], pa.large_string()))
+        parts.append((t.features.astype(np.int32), (t.doc + at).astype(np.int32), (t.chain + chains).astype(np.int32)))
+        chains += int(t.chain[-1]) + 1 if len(t.chain) else 0
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
 def fit(texts: list[str], toxic: np.ndarray) -> dict:
     """Weights by hashed feature, and the scores of label pairs."""
-    t = Tokens(pa.array(texts, pa.large_string()))
-    bounds = np.searchsorted(t.doc, np.arange(len(texts) + 1))
-    marks = explain([np.unique(t.features[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], toxic)
+    features, owner, chain = _tokens(texts)
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    marks = explain([np.unique(features[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], toxic)
     is_mark = np.zeros(1 << TABLE_BITS, bool)
     is_mark[marks] = True
-    label = is_mark[t.features].any(axis=1) & toxic[t.doc]
+    label = is_mark[features].any(axis=1) & toxic[owner]
     # chains with a toxic token whole; of the others each tenth
-    hot = np.zeros(int(t.chain.max()) + 1 if len(t.chain) else 0, bool)
-    hot[t.chain[label]] = True
+    hot = np.zeros(int(chain.max()) + 1 if len(chain) else 0, bool)
+    hot[chain[label]] = True
     some = hot | (C.mix(np.arange(len(hot), dtype=np.uint64)) % np.uint64(10) == 0)
-    use = some[t.chain] if len(hot) else np.zeros(0, bool)
-    f, y = t.features[use], label[use].astype(np.float64)
-    chain = np.unique(t.chain[use], return_inverse=True)[1]
+    use = some[chain] if len(hot) else np.zeros(0, bool)
+    f, y = features[use].astype(np.int64), label[use].astype(np.float64)
+    chain = np.unique(chain[use], return_inverse=True)[1]
     w, jump = np.zeros(1 << TABLE_BITS), np.zeros((2, 2))
     if not len(y):
         return {"weights": w, "jump": jump, "bias": -60.0}
