@@ -81,9 +81,9 @@ def unique_names(df: DataFrame, group: str, name: str, order: str) -> DataFrame:
     names = df.select(F.col(group).alias("__g"), base.alias("__b"), e.alias("__e"), serial.alias("__k"), k.alias("__text")).where("__b <> '' AND __k >= 2 AND __text = CAST(__k AS STRING)")
     taken = names.groupBy("__g", F.concat("__b", "__e").alias("__name")).agg(F.collect_set("__k").alias("__taken"))
     rows = rows.join(taken, F.col(group).eqNullSafe(F.col("__g")) & (F.col(name) == F.col("__name")), "left").drop("__g", "__name")
-    free = F.when(F.col("__taken").isNull(), F.col("__nth")).otherwise(
-        F.get(F.array_except(F.sequence(F.lit(2), F.col("__nth") + F.size(F.coalesce("__taken", F.array().cast("array<int>")))), F.coalesce("__taken", F.array().cast("array<int>"))), F.col("__nth") - 2)
-    )
+    # without taken serials the n-th takes n; each taken one at or below moves it on
+    taken_ = F.sort_array(F.coalesce("__taken", F.array().cast("array<int>")))
+    free = F.aggregate(taken_, F.col("__nth"), lambda k, t: F.when(t <= k, k + 1).otherwise(k))
     new = F.when(F.col("__nth") == 1, n).otherwise(F.concat(s, F.lit("__"), free.cast("string"), F.substring(n, F.length(s) + 1, F.length(n))))
     return rows.withColumn("unique_name", new).drop("__e", "__nth", "__taken")
 

@@ -137,8 +137,8 @@ def archive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archive_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("name")).distinct()
     odd = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
-    last = table(spark, sf_dir, "events").select(F.max(F.col("ts").cast("date")).alias("last"))
-    return LG.prune(days.unionByName(odd).crossJoin(F.broadcast(last)), "name", F.col("last"), 10).select("name", "pruned")  # one row
+    last = table(spark, sf_dir, "events").select(F.max(F.col("ts").cast("date")).alias("last")).first()["last"]
+    return LG.prune(days.unionByName(odd), "name", F.lit(last), 10).select("name", "pruned")
 
 
 def upload_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,6 +282,13 @@ WITH t AS (SELECT * FROM events WHERE event_type = 'error'), r AS (SELECT * FROM
 m AS (SELECT r.event_id AS rid, r.ts AS rts, t.event_id AS tid FROM r ASOF JOIN t ON r.user_id = t.user_id AND r.ts >= t.ts WHERE r.ts - t.ts <= INTERVAL 12 HOURS),
 b AS (SELECT tid, arg_max(rid, rts) AS rid, max(rts) AS rts FROM m GROUP BY tid)
 SELECT t.event_id AS task_id, rid AS request_id, epoch_us(rts) AS request_time FROM t LEFT JOIN b ON t.event_id = tid""",
+    "archive_quota": f"""
+WITH RECURSIVE {_FILES}, o AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY task_id, name, size) AS n FROM f),
+r AS (SELECT day, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS task_id, '' AS name, CAST(0 AS BIGINT) AS size, CAST(NULL AS STRING) AS reason, CAST(0 AS BIGINT) AS in_task, CAST(0 AS BIGINT) AS in_day FROM o WHERE n = 1
+  UNION ALL SELECT day, n, task_id, name, size, reason, u + CASE WHEN reason IS NULL THEN size ELSE 0 END, in_day + CASE WHEN reason IS NULL THEN size ELSE 0 END FROM (
+    SELECT *, CASE WHEN u + size > {LG.MOST_TASK_BYTES} THEN 'task_quota' WHEN in_day + size > {LG.MOST_DAY_BYTES} THEN 'day_quota' END AS reason FROM (
+      SELECT o.day, o.n, o.task_id, o.name, o.size, CASE WHEN o.task_id = r.task_id THEN r.in_task ELSE 0 END AS u, r.in_day FROM r JOIN o ON o.day = r.day AND o.n = r.n + 1)))
+SELECT day, task_id, name, size, reason FROM r WHERE n > 0""",
     "archive_summary": f"""
 WITH {_FILES}, t AS (SELECT day, task_id, sum(CASE WHEN size <= 41943040 THEN size ELSE 0 END) AS b, count(*) FILTER (size <= 41943040) AS k FROM f GROUP BY 1, 2),
 c AS (SELECT day, count(*) AS n_tasks, count(*) FILTER (k > 0) AS n_archived, CAST(sum(b) AS BIGINT) AS bytes FROM t GROUP BY day), r AS (SELECT strftime(ts, '%Y-%m') AS day, count(*) AS n_requests FROM events GROUP BY 1)
