@@ -169,6 +169,12 @@ def batch_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.restore(m, u)
 
 
+def missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = view(spark, sf_dir, "f_uploads").select("task_id", F.concat(F.lit("s"), F.col("idx").cast("string")).alias("stored"))
+    wanted = u.select("task_id").distinct().select("task_id", F.explode(F.array(F.lit("s0"), F.lit("s1"))).alias("stored"))
+    return A.missing_files(wanted, u, ["task_id", "stored"])
+
+
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers = A.text_layers(view(spark, sf_dir, "f_doc_pages"))
     d = layers.select(
@@ -217,7 +223,7 @@ def first_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     order_reconcile, order_retention, order_retained, order_replay, orders_upsert, order_lookup, bill_sign, proof_decode, code_messages, survey_valid, survey_unique, log_rollup, log_asof, archive_quota, archive_summary, archive_prune,
-    upload_complete, zip_audit, batch_quota, ticket_quota, artifact_pick, batch_restore, admission, op_extensions, value_hygiene, size_change, skipped_names, latest_pick, first_messages,
+    upload_complete, zip_audit, batch_quota, ticket_quota, artifact_pick, batch_restore, missing_files, admission, op_extensions, value_hygiene, size_change, skipped_names, latest_pick, first_messages,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -320,6 +326,7 @@ WITH u AS (SELECT DISTINCT task_id % 2000 AS b, idx FROM f_uploads), m AS (SELEC
 SELECT *, n_found = 2 AS restorable FROM (SELECT b AS batch_id, CAST(2 AS BIGINT) AS n_files, CAST(EXISTS (SELECT 1 FROM u WHERE u.b = m.b AND idx = 0) AS BIGINT) + CAST(EXISTS (SELECT 1 FROM u WHERE u.b = m.b AND idx = m.b % 7) AS BIGINT) AS n_found, b % 2 = 0 AS include_seller FROM m)""",
         "f_uploads",
     ),
+    "missing_files": duck("SELECT task_id, s AS stored FROM (SELECT DISTINCT task_id, unnest(['s0', 's1']) AS s FROM f_uploads) w WHERE NOT EXISTS (SELECT 1 FROM f_uploads u WHERE u.task_id = w.task_id AND 's' || idx = w.s)", "f_uploads"),
     "admission": duck(
         """
 WITH p AS (SELECT doc_id, length(trim(coalesce(text, ''))) AS n FROM f_doc_pages), g AS (SELECT doc_id, count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_chars, count(*) FILTER (n < 5) AS image_pages, bool_or(n > 50) AS has_text FROM p GROUP BY doc_id),

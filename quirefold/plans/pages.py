@@ -34,6 +34,13 @@ def page_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.reorder(_pages(spark, sf_dir), docs)
 
 
+def order_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n"))
+    d = F.col("doc_id")
+    specs = n.select("doc_id", F.sequence(F.lit(1), "n").alias("available"), F.when(d % 3 == 0, F.array(F.lit(2), F.lit(1))).when(d % 3 == 1, F.array(F.lit(1), F.lit(1))).otherwise(F.array().cast("array<int>")).alias("order"))
+    return P.order_rules(specs, "available", "order").select("doc_id", "allowed")
+
+
 def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = P.split_every(_pages(spark, sf_dir), 4).withColumn("how", F.lit("every"))
     ranges = P.split_ranges(_pages(spark, sf_dir), F.lit("1-2,5,2-3")).withColumn("how", F.lit("ranges"))
@@ -144,7 +151,7 @@ def leaf_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.leaf_diff(before, after)
 
 
-QUERIES = {f.__name__: f for f in (page_select, page_remove, page_reorder, page_split, page_number, merge_order, imposition, page_totals, page_labels, text_stats, image_objects, page_budget, zone_fields, ref_resolve, single_page_rule, sibling_index, suffixes, suffix_resolve, change_audit, leaf_diff)}
+QUERIES = {f.__name__: f for f in (page_select, page_remove, page_reorder, order_subset, page_split, page_number, merge_order, imposition, page_totals, page_labels, text_stats, image_objects, page_budget, zone_fields, ref_resolve, single_page_rule, sibling_index, suffixes, suffix_resolve, change_audit, leaf_diff)}
 
 _P = "p AS (SELECT doc_id, page_no, length(text) AS n, max(page_no) OVER (PARTITION BY doc_id) AS n_pages FROM f_doc_pages)"
 _IN = "(page_no = 1 OR (page_no >= greatest(1, doc_id % 5) AND page_no <= doc_id % 5 + 3))"
@@ -158,6 +165,7 @@ t AS (SELECT doc_id, path, 'new' AS v FROM li WHERE k % 4 = 0 AND k % 41 <> 0)""
 _AMOUNT = r"^[¥￥]?\s*([0-9][0-9,]*(\.[0-9]{1,2})?)$"
 
 ORACLES = {
+    "order_subset": "SELECT doc_id, doc_id % 3 = 0 AND len(string_split(text, chr(10))) >= 2 AS allowed FROM documents",
     "page_select": duck(f"WITH {_P} SELECT doc_id, page_no, n FROM p WHERE {_IN}", "f_doc_pages"),
     "page_remove": duck(f"WITH {_P}, q AS (SELECT *, count(*) FILTER (NOT {_IN}) OVER (PARTITION BY doc_id) = 0 AS rejected FROM p) SELECT doc_id, page_no, n, rejected FROM q WHERE NOT {_IN} OR rejected", "f_doc_pages"),
     "page_reorder": duck(f"WITH {_P}, s AS (SELECT * FROM (VALUES (1, 2, 90), (2, 1, 0), (3, 2, 270), (4, 3, 90)) v(pos, page_no, angle)) SELECT doc_id, pos, page_no, angle, n FROM p JOIN s USING (page_no)", "f_doc_pages"),
