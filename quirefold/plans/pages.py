@@ -197,18 +197,19 @@ SELECT *, printf('p%03d_img%02d.%s', page_no, seq, ext) AS name FROM q WHERE seq
 WITH s AS (SELECT * REPLACE (CASE WHEN y0 BETWEEN 80 AND 107 THEN '名称：公司' || text WHEN y0 BETWEEN 150 AND 200 THEN '*' || text WHEN y0 > 320 THEN '备注 ' || text ELSE text END AS text) FROM f_spans),
 z AS (SELECT *, (y0 + y1) / 2 AS m, CASE WHEN (x0 + x1) / 2 < 298 THEN 'buyer' ELSE 'seller' END AS side, regexp_replace(text, '^名称：', '') AS c, regexp_matches(text, '{_AMOUNT}') AS amt, regexp_extract(text, '[0-9]{{20}}') AS d FROM s),
 i AS (SELECT *, starts_with(c, '公司') AS nm, regexp_matches(c, '^[0-9A-HJ-NP-RT-UW-Y]{{15,20}}$') AS tx FROM z)
+SELECT * REPLACE (CASE WHEN length(split_part(amount_without_tax, '.', 1)) <= 12 THEN amount_without_tax END AS amount_without_tax, CASE WHEN length(split_part(tax_amount, '.', 1)) <= 12 THEN tax_amount END AS tax_amount, CASE WHEN length(split_part(total_with_tax, '.', 1)) <= 12 THEN total_with_tax END AS total_with_tax) FROM (
 SELECT doc_id, page_no,
   arg_min(d, struct_pack(a := y0, b := x0, c := text)) FILTER (m >= 24 AND m < 64 AND x0 >= 400 AND d <> '') AS invoice_number,
   arg_max(c, struct_pack(w := x1 - x0, a := -y0, b := -x0, t := text)) FILTER (m >= 86 AND m < 114 AND nm AND side = 'buyer') AS buyer_name,
   arg_max(c, struct_pack(w := x1 - x0, a := -y0, b := -x0, t := text)) FILTER (m >= 86 AND m < 114 AND nm AND side = 'seller') AS seller_name,
   arg_min(c, struct_pack(a := y0, b := x0, c := text)) FILTER (m >= 114 AND m < 150 AND tx AND side = 'buyer') AS buyer_tax_id,
   arg_min(c, struct_pack(a := y0, b := x0, c := text)) FILTER (m >= 114 AND m < 150 AND tx AND side = 'seller') AS seller_tax_id,
-  CASE WHEN count(*) FILTER (m >= 248 AND m < 272 AND amt) >= 2 THEN arg_min(text, struct_pack(b := x0, a := y0, t := text)) FILTER (m >= 248 AND m < 272 AND amt AND length(split_part(text, '.', 1)) <= 12) END AS amount_without_tax,
-  CASE WHEN count(*) FILTER (m >= 248 AND m < 272 AND amt) >= 2 THEN arg_max(text, struct_pack(b := x0, a := y0, t := text)) FILTER (m >= 248 AND m < 272 AND amt AND length(split_part(text, '.', 1)) <= 12) END AS tax_amount,
-  arg_max(text, struct_pack(b := x0, a := y0, t := text)) FILTER (m >= 272 AND m < 296 AND amt AND length(split_part(text, '.', 1)) <= 12) AS total_with_tax,
+  CASE WHEN count(*) FILTER (m >= 248 AND m < 272 AND amt) >= 2 THEN arg_min(text, struct_pack(b := x0, a := y0, t := text)) FILTER (m >= 248 AND m < 272 AND amt) END AS amount_without_tax,
+  CASE WHEN count(*) FILTER (m >= 248 AND m < 272 AND amt) >= 2 THEN arg_max(text, struct_pack(b := x0, a := y0, t := text)) FILTER (m >= 248 AND m < 272 AND amt) END AS tax_amount,
+  arg_max(text, struct_pack(b := x0, a := y0, t := text)) FILTER (m >= 272 AND m < 296 AND amt) AS total_with_tax,
   nullif(count(*) FILTER (m >= 150 AND m < 254 AND starts_with(text, '*')), 0) AS item_count,
   nullif(trim(string_agg(text, ' ' ORDER BY y0, x0, text) FILTER (m >= 296 AND m < 354 AND NOT amt)), '') AS remark
-FROM i WHERE (m >= 24 AND m < 64 AND x0 >= 400) OR (m >= 86 AND m < 354) GROUP BY doc_id, page_no""",
+FROM i WHERE (m >= 24 AND m < 64 AND x0 >= 400) OR (m >= 86 AND m < 354) GROUP BY doc_id, page_no)""",
         "f_spans",
     ),
     "ref_resolve": f"""
