@@ -13,9 +13,12 @@ sampling, BANDS x ROWS samples; documents that agree on a band meet.
 
 Verification. In a band's group all are compared with a leader of each class of weights, by exact weighted Jaccard
 similarity; the leader is the one with the largest share of repeated weight (an original, among its edited copies). Those it does not resemble are
-led again, LEADERS times, each new leader compared with all the group; after that each that is left is compared with
-all. Pairs that cannot reach SIMILARITY are not made: they share at most the smaller of their repeated weights. So a
-group is expanded only as far as its members could resemble each other and do not.
+led again, LEADERS times, each new leader compared with all the group. Then components of the links found are taken, a
+leader of each component is compared with the group's members of other components, and at last every pair of a group's
+members, led ones included, whose components still differ. Pairs that cannot reach SIMILARITY are not made: they share at
+most the smaller of their repeated weights, and the distance 1 - similarity is a metric, so that two members whose
+distances from one leader differ by more than 1 - SIMILARITY are further apart than that. So a group is expanded only as
+far as its members could resemble each other and are not yet known to be of one class.
 
 Defined results: null, empty and blank texts link with nothing; equal texts are one class; a null id is a row of its own
 and never names a class of others; repeated rows give a row each; other columns are not read.
@@ -241,31 +244,54 @@ def links(weighed: DataFrame, n_docs: int) -> DataFrame:
     members = sets.select("node", "total", "share", F.posexplode("bands").alias("band", "key"))
     groups = members.groupBy("band", "key").count().where("count > 1").drop("count")
     members = C.written(members.join(groups, ["band", "key"]).select("band", "key", "node", "total", "share", F.lit(False).alias("led")), "members")
-    compared = None
-    for round_ in range(LEADERS + 1):
-        if round_ < LEADERS:
-            lead = _leaders(members.where(~F.col("led")))
-        else:  # each that is left, with all of its groups
-            lead = members.where(~F.col("led")).select("band", "key", F.col("node").alias("leader"), F.col("total").alias("l_total"), F.col("share").alias("l_share"))
+    compared, measured = None, None
+    for _ in range(LEADERS):
+        lead = _leaders(members.where(~F.col("led")))
         m, g = members.alias("m"), lead.alias("g")
         near = (F.col("m.band") == F.col("g.band")) & (F.col("m.key") == F.col("g.key")) & (F.col("node") != F.col("leader")) & _could(*map(F.col, ("total", "share", "l_total", "l_share")))
         met = m.join(g, near).select("m.band", "m.key", "node", "leader")
-        pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = _verify(pairs, sets, n_docs)
-        compared = fresh if compared is None else compared.unionByName(fresh)
-        if round_ == LEADERS:
-            break
-        alike = compared.where(F.col("similarity") >= SIMILARITY)
-        linked = alike.select(F.col("a").alias("leader"), F.col("b").alias("node")).unionByName(alike.select(F.col("b").alias("leader"), F.col("a").alias("node")))
-        found = met.join(linked, ["leader", "node"]).select("band", "key", "node").unionByName(lead.select("band", "key", F.col("leader").alias("node"))).distinct()
+        compared = _also(compared, met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")), sets, n_docs)
+        ways = compared.select(F.col("a").alias("leader"), F.col("b").alias("node"), "similarity").unionByName(compared.select(F.col("b").alias("leader"), F.col("a").alias("node"), "similarity"))
+        own = lead.select("band", "key", F.col("leader").alias("node"), "leader", F.lit(1.0).alias("similarity"))
+        fresh = C.written(met.join(ways, ["leader", "node"]).select("band", "key", "node", "leader", "similarity").unionByName(own), "measured")
+        measured = fresh if measured is None else measured.unionByName(fresh)
+        found = fresh.where(F.col("similarity") >= SIMILARITY).select("band", "key", "node").distinct()
         members = C.written(members.join(found.withColumn("now", F.lit(True)), ["band", "key", "node"], "left").select("band", "key", "node", "total", "share", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led")), "members")
         if not members.where(~F.col("led")).limit(1).count():
             break
+    far = measured.groupBy("band", "key", "node").agg(F.map_from_entries(F.collect_set(F.struct("leader", "similarity"))).alias("far"))
+    members = C.written(members.drop("led").join(far, ["band", "key", "node"], "left"), "members")
+    compared = _across(members, compared, sets, n_docs, leaders=True)
+    compared = _across(members, compared, sets, n_docs, leaders=False)
     return compared.where(F.col("similarity") >= SIMILARITY).select("a", "b")
 
 
+def _also(compared: DataFrame | None, pairs: DataFrame, sets: DataFrame, n_docs: int) -> DataFrame:
+    """compared, and those of pairs (a, b) that it lacks."""
+    pairs = pairs.distinct()
+    if compared is None:
+        return _verify(pairs, sets, n_docs)
+    return compared.unionByName(_verify(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), sets, n_docs))
+
+
+def _across(members: DataFrame, compared: DataFrame, sets: DataFrame, n_docs: int, leaders: bool) -> DataFrame:
+    """compared, and the pairs of a band's group whose components differ: all, or those with a leader of a component of two or more."""
+    labels = C.components(compared.where(F.col("similarity") >= SIMILARITY).select("a", "b")).select(F.col("id").alias("node"), "component")
+    m = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = m.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
+    m = C.written(m.join(apart, ["band", "key"]), "apart")
+    other = m
+    if leaders:
+        first = F.min_by(F.struct("node", "total", "share", "far"), F.struct(-F.col("share"), F.col("node")))
+        other = m.groupBy("band", "key", "component").agg(first.alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", "component", "l.*")
+    x, y = m.alias("x"), other.alias("y")
+    near = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component") if leaders else F.col("x.component") < F.col("y.component"))
+    beyond = lambda leader, s: F.coalesce(F.abs(s - F.try_element_at(F.col("y.far"), leader)) > 1 - SIMILARITY + 1e-9, F.lit(False))
+    near = near & _could(*map(F.col, ("x.total", "x.share", "y.total", "y.share")))
+    near = near & ~F.coalesce(F.exists(F.map_entries("x.far"), lambda e: beyond(e["key"], e["value"])), F.lit(False))
+    return _also(compared, x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), sets, n_docs)
+
+
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, class_id, kept): class_id is the smallest id of the documents that links and equal texts connect."""
     weighed = weigh(docs, text, doc_id)

@@ -92,3 +92,24 @@ def test_shingles_of_an_array_slice():
     t = pa.array(["drop me", "A b c d e f", "", "x y"]).slice(1)
     h, doc = N.shingle_hashes(t)
     assert doc.tolist() == [0, 0, 2] and h[0] == N.shingle_hashes(pa.array(["a B c d e"]))[0][0]
+
+
+def test_a_bridge_between_two_led_families(spark):
+    rnd = random.Random(7)
+    between = " - - - - - "
+    passage = lambda name, k: " ".join(f"{name}{k}.{i}" for i in range(10))
+    core, own = [passage("core", k) for k in range(100)], {f: [passage(f, k) for k in range(22)] for f in "pq"}
+    text = lambda some, end="": between.join(core + some) + between + end
+    rows = []
+    for f in "pq":
+        for _ in range(60):
+            out = rnd.sample(range(22), 4)
+            rows.append((len(rows), text([x for k, x in enumerate(own[f]) if k not in out])))
+    # of half the own passages each, and with a word of its own, so that it leads no group
+    rows += [(len(rows) + i, text(own[f][:11], f"only {f}")) for i, f in enumerate("pq")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute(rows)
+    apart = brute(rows[:-1])
+    assert set(want.values()) == {0} and set(apart.values()) == {0, 60}
+    assert {r.doc_id: r.class_id for r in N.classes(df).collect()} == want
+    assert [r.doc_id for r in N.distinct_documents(df).collect()] == [0]
