@@ -70,15 +70,22 @@ def same_number(records: DataFrame) -> DataFrame:
     return records.withColumn("n_same", n).withColumn("same_number", F.col("invoice_number").isNotNull() & (n > 1))
 
 
-def unique_names(df: DataFrame, group: str, name: str, order: str) -> DataFrame:
+def unique_names(df: DataFrame, group: str, name: str, order: str, reserved: DataFrame | None = None) -> DataFrame:
     """Adds unique_name: the first of equal names keeps its own; the n-th takes __k before the extension, with the
-    (n-1)-th k from 2 whose name nobody has. Serials are looked up only among names of one stem and extension."""
+    (n-1)-th k from 2 whose name nobody has. Serials are looked up only among names of one stem and extension.
+    reserved (columns group and name): names already placed, which nobody keeps or takes."""
     n, s, e = F.col(name), N.stem(F.col(name)), N.extension(F.col(name))
     rows = df.withColumn("__e", e).withColumn("__nth", F.row_number().over(Window.partitionBy(group, name).orderBy(order)))
     # a name of the form stem__k.ext takes serial k from stem.ext
     base, k = F.regexp_extract(s, r"^(.+)__([0-9]{1,9})$", 1), F.regexp_extract(s, r"^(.+)__([0-9]{1,9})$", 2)
     serial = k.try_cast("int")
-    names = df.select(F.col(group).alias("__g"), base.alias("__b"), e.alias("__e"), serial.alias("__k"), k.alias("__text")).where("__b <> '' AND __k >= 2 AND __text = CAST(__k AS STRING)")
+    known = df.select(group, name)
+    if reserved is not None:
+        placed = reserved.select(F.col(group).alias("__g"), F.col(name).alias("__name")).distinct().withColumn("__placed", F.lit(1))
+        rows = rows.join(placed, F.col(group).eqNullSafe(F.col("__g")) & (F.col(name) == F.col("__name")), "left")
+        rows = rows.withColumn("__nth", F.col("__nth") + F.coalesce("__placed", F.lit(0))).drop("__g", "__name", "__placed")
+        known = known.unionByName(reserved.select(group, name))
+    names = known.select(F.col(group).alias("__g"), base.alias("__b"), e.alias("__e"), serial.alias("__k"), k.alias("__text")).where("__b <> '' AND __k >= 2 AND __text = CAST(__k AS STRING)")
     taken = names.groupBy("__g", F.concat("__b", "__e").alias("__name")).agg(F.collect_set("__k").alias("__taken"))
     rows = rows.join(taken, F.col(group).eqNullSafe(F.col("__g")) & (F.col(name) == F.col("__name")), "left").drop("__g", "__name")
     # without taken serials the n-th takes n; each taken one at or below moves it on
@@ -88,6 +95,15 @@ def unique_names(df: DataFrame, group: str, name: str, order: str) -> DataFrame:
     return rows.withColumn("unique_name", new).drop("__e", "__nth", "__taken")
 
 
+def placed_names(df: DataFrame, group: str, name: str, order: str, rejected: str) -> DataFrame:
+    """Adds unique_name to all rows: first the accepted ones are named, then those that the boolean column rejected
+    marks, which keep their names unless a placed or another rejected file has them. A null counts as accepted."""
+    out = F.coalesce(F.col(rejected), F.lit(False))
+    accepted = unique_names(df.where(~out), group, name, order)
+    reserved = accepted.select(group, F.col("unique_name").alias(name))
+    return accepted.unionByName(unique_names(df.where(out), group, name, order, reserved))
+
+
 def extract_summary(good: DataFrame, bad: DataFrame, batch: str = "batch_id", reason: str = "reason") -> DataFrame:
     """Records and failures by batch, with the reasons and their counts in order."""
     g = good.groupBy(batch).agg(F.count(F.lit(1)).alias("n_good"))

@@ -77,6 +77,12 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.unique_names(_raw_names(spark, sf_dir), "batch_id", "name", "rec_id").select("rec_id", "batch_id", "unique_name")
 
 
+def placed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records; each third one is rejected, so that rejected and accepted ones share names."""
+    rows = _raw_names(spark, sf_dir).withColumn("rejected", F.col("rec_id") % 3 == 0)
+    return L.placed_names(rows, "batch_id", "name", "rec_id", "rejected").select("rec_id", "batch_id", "rejected", "unique_name")
+
+
 def cells_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = view(spark, sf_dir, "f_records")
     cell = F.when(F.col("rec_id") % 3 == 0, F.concat(F.lit("="), F.col("buyer_name"))).when(F.col("rec_id") % 3 == 1, F.concat(F.col("buyer_name"), F.lit('"x'))).otherwise(F.lit("  "))
@@ -109,7 +115,7 @@ def export_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.export_limits(view(spark, sf_dir, "f_records").select("invoice_number", "issue_date", "buyer_name", "total_with_tax"))
 
 
-QUERIES = {f.__name__: f for f in (dedup_status, dedup_summary, ledger_entries, amount_clean, amount_add, invoice_no_check, dates_from_text, record_warnings, same_number, target_names, unique_names, cells_export, text_fields, extract_summary, record_union, export_limits)}
+QUERIES = {f.__name__: f for f in (dedup_status, dedup_summary, ledger_entries, amount_clean, amount_add, invoice_no_check, dates_from_text, record_warnings, same_number, target_names, unique_names, placed_names, cells_export, text_fields, extract_summary, record_union, export_limits)}
 
 _KEYED = """
 CASE WHEN coalesce(number, '') = '' THEN '' WHEN regexp_matches(coalesce(code, ''), '^[0-9]{10,12}$') THEN code || '-' || number ELSE number END"""

@@ -74,6 +74,13 @@ def test_names_of_equal_tickets(spark):
     assert got == ["a.pdf", "a__3.pdf", "a__4.pdf", "a__2.pdf", "a.xml", "x", "x__2", "a__2__2.pdf"]
 
 
+def test_rejected_files_are_named_against_placed_ones(spark):
+    rows = [(1, 0, "a.pdf", True), (1, 1, "a.pdf", False), (1, 2, "a.pdf", False), (1, 3, "a.pdf", True), (1, 4, "b.pdf", True), (1, 5, "a__3.pdf", False), (1, 6, "a__3.pdf", True), (2, 7, "a.pdf", True), (None, 8, "x", True), (None, 9, "x", None)]
+    df = spark.createDataFrame(rows, "g int, i int, n string, out boolean")
+    got = [r.unique_name for r in ledger.placed_names(df, "g", "n", "i", "out").orderBy("i").collect()]
+    assert got == ["a__4.pdf", "a.pdf", "a__2.pdf", "a__5.pdf", "b.pdf", "a__3.pdf", "a__3__2.pdf", "a.pdf", "x__2", "x"]
+
+
 def test_variables_are_read_once(spark):
     v = {k: F.lit(x) for k, x in (("filename", "{page}"), ("date", "d"), ("year", "y"), ("page", "3"), ("pages", "9"))}
     r = spark.range(1).select(X.render_vars(F.lit("{filename} {page}/{pages} {nope} {date}"), v).alias("t"), X.format_page_number(F.lit("cn_total"), F.lit(1), F.lit(2)).alias("p"), X.format_page_number(F.lit("?"), F.lit(1), F.lit(2)).alias("q")).first()
