@@ -1,7 +1,8 @@
 import corpus_pipeline as P
-from quirefold.llm import common, language_id, mixing
+from quirefold.llm import common, mixing
 
 from .test_byte_bpe import expected
+from .test_language_id import words_of
 from .test_near_dup import brute as classes
 from .test_secrets import brute as secrets
 
@@ -27,7 +28,7 @@ def test_stages_against_brute_force(spark, sf):
         if name == "language_id":
             assert docs.columns == columns and set(rows) <= set(before)
             gone = set(before) - set(rows)
-            assert all(not language_id.words_of(r[1]) or len(language_id.words_of(r[1])) < 40 for r in gone) and len(gone) < 0.1 * len(before)
+            assert all(not words_of(r[1]) or len(words_of(r[1])) < 40 for r in gone) and len(gone) < 0.1 * len(before)
         elif name == "minhash":
             by = classes([(r[0], r[1]) for r in before])
             assert docs.columns == columns and sorted(rows) == sorted(r for r in before if by[r[0]] == r[0])
