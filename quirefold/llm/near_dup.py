@@ -9,19 +9,23 @@ sums back.
 
 Candidates. A pair of similarity 0.8 shares 0.8 of either document's weight, and all that is shared has df of 2 or more.
 Documents with less weight of that kind are out, without loss. The rest are sampled by improved consistent weighted
-sampling, BANDS x ROWS samples; documents that agree on a band meet.
+sampling, BANDS x ROWS samples; documents that agree on a band meet. A pair of similarity s agrees on one of the bands
+with probability 1 - (1 - s**ROWS)**BANDS, 0.9998 at 0.8.
 
 Verification. In a band's group all are compared with a leader of each class of weights, by exact weighted Jaccard
-similarity; the leader is the one with the largest share of repeated weight (an original, among its edited copies). Those it does not resemble are
-led again, LEADERS times, each new leader compared with all the group. Then components of the links found are taken, a
-leader of each component is compared with the group's members of other components, and at last every pair of a group's
-members, led ones included, whose components still differ. Pairs that cannot reach SIMILARITY are not made: they share at
-most the smaller of their repeated weights, and the distance 1 - similarity is a metric, so that two members whose
-distances from one leader differ by more than 1 - SIMILARITY are further apart than that. So a group is expanded only as
-far as its members could resemble each other and are not yet known to be of one class.
+similarity; the leader is the one with the largest share of repeated weight (an original, among its edited copies). Those
+it does not resemble are led again, LEADERS times, each new leader compared with all the group. Then components of the
+links found are taken, a leader of each component is compared with the group's members of other components, and at last
+every pair of a group's members, led ones included, whose components still differ. So classes are those of all pairs that
+meet. Of these pairs only those are made that could reach SIMILARITY: they share at most the smaller of their repeated
+weights, and in each of SLOTS classes of shingle hashes the smaller of their repeated weights there. Both are upper
+bounds, so that no link is lost. A pair that meets in several bands is made in the first. What is left to compare grows
+with the members of a group that no leader resembles times the group; rows are made for pairs near SIMILARITY only.
 
 Defined results: null, empty and blank texts link with nothing; equal texts are one class; a null id is a row of its own
-and never names a class of others; repeated rows give a row each; other columns are not read.
+and never names a class of others; repeated rows give a row each; other columns are not read. The input is read twice and
+must come in the same order both times, as a table does; a difference stops the job. A text is known by 64 bits of its
+hash: of 10**10 different texts about three pairs are expected to share one.
 """
 
 from __future__ import annotations
@@ -42,8 +46,8 @@ IDF_SHARE = 0.25
 BANDS, ROWS = 12, 3
 LEADERS = 3
 CHUNK_BYTES = 1 << 20
-#: Bits of a shingle's hash; 2**40 for up to 10**10 shingles keeps chance agreement below one in a hundred.
-BITS = 40
+#: Classes of shingle hashes for the upper bound of what a pair shares.
+SLOTS = 64
 
 _U64 = np.uint64
 
@@ -64,11 +68,21 @@ def shingle_hashes(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np
     return C.mix(out), owner
 
 
-def _counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bits_for(n_bytes: int) -> int:
+    """Bits of a shingle's hash: at most one shingle in a thousand shares its hash with another, whatever the corpus."""
+    return min(64, max(40, n_bytes.bit_length() + 9))
+
+
+def _counted(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, place, occurrences) of each text's distinct shingles, by hash."""
     h, doc = shingle_hashes(texts)
-    keys, tf = np.unique((h >> _U64(64 - BITS) << _U64(64 - BITS)) | doc.astype(np.uint64), return_counts=True)
-    return keys >> _U64(64 - BITS), (keys & _U64((1 << (64 - BITS)) - 1)).astype(np.int64), tf
+    h >>= _U64(64 - bits)
+    order = np.argsort(h, kind="stable")
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    return h[first], doc[first], np.diff(np.append(first, len(h)))
 
 
 def _strings(t: pa.Table, name: str) -> pa.Array:
@@ -76,11 +90,11 @@ def _strings(t: pa.Table, name: str) -> pa.Array:
     return col.chunk(0) if isinstance(col, pa.ChunkedArray) and col.num_chunks == 1 else pa.concat_arrays(col.chunks) if isinstance(col, pa.ChunkedArray) else col
 
 
-def _ask(n_buckets: int):
+def _ask(n_buckets: int, bits: int):
     def run(docs: pa.Table) -> pa.Table:
-        h, _, _ = _counted(_strings(docs, "text"))
+        h, _, _ = _counted(_strings(docs, "text"), bits)
         h, df = np.unique(h, return_counts=True)
-        bucket = (h * _U64(n_buckets)) >> _U64(BITS)
+        bucket = ((h >> _U64(bits - 32)) * _U64(n_buckets)) >> _U64(32)
         full, at = np.unique(bucket, return_index=True)
         ends = np.append(at, len(h))[1:]
         return pa.table({
@@ -128,13 +142,13 @@ def samples(h: np.ndarray, weight: np.ndarray, starts: np.ndarray, n: int) -> np
     return out
 
 
-_JUDGED = "doc_id {id}, node bigint, total double, share double, bands array<bigint>, shingles binary, tf binary, df binary"
+_JUDGED = "doc_id {id}, mark bigint, node bigint, total double, share double, bands array<bigint>, shingles binary, tf binary, df binary"
 
 
-def _judge(n_docs: int):
+def _judge(n_docs: int, bits: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts = _strings(docs, "text")
-        h, doc, tf = _counted(texts)
+        h, doc, tf = _counted(texts, bits)
         uniq, place = np.unique(h, return_inverse=True)
         df = np.concatenate([np.zeros(0, np.uint64), *(C.unpack(b) for _, b in sorted(zip(answers["bucket"].to_pylist(), answers["df"].to_pylist(), strict=True)))])
         if len(df) != len(uniq):
@@ -173,6 +187,7 @@ def _judge(n_docs: int):
                 bands[i], packed[i] = b, (C.pack(h[mine], True), C.pack(tf[mine]), C.pack(df[mine]))
         return pa.table({
             "doc_id": docs["doc_id"],
+            "mark": docs["mark"],
             "node": pa.array(node, pa.int64()),
             "total": pa.array(total, pa.float64()),
             "share": pa.array(np.where(total > 0, repeated / np.where(total > 0, total, 1), 0), pa.float64()),
@@ -184,15 +199,17 @@ def _judge(n_docs: int):
 
 
 def weigh(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """A row for each document; candidates have a node (the text's hash), and one of each chunk's copies has samples."""
+    """A row for each document, mark: a hash of its text; candidates have a node (another), and one of each chunk's
+    copies has samples."""
     r = docs.agg(F.sum(F.octet_length(text)).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     n_bytes, n_docs = r["bytes"] or 0, r["n"]
-    chunks = max(256, -(-n_bytes // CHUNK_BYTES))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    asked = base.groupBy("chunk").applyInArrow(_ask(C.buckets_for(n_bytes)), "bucket bigint, chunk bigint, shingles binary, df binary")
+    chunks, bits = max(256, -(-n_bytes // CHUNK_BYTES)), bits_for(n_bytes)
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "mark", F.monotonically_increasing_id()), F.lit(chunks)))  # rows that repeat are dealt, too
+    asked = base.groupBy("chunk").applyInArrow(_ask(C.buckets_for(n_bytes), bits), "bucket bigint, chunk bigint, shingles binary, df binary")
     answers = asked.groupBy("bucket").applyInArrow(_add_up, "chunk bigint, bucket bigint, df binary")
     schema = _JUDGED.format(id=base.schema["doc_id"].dataType.simpleString())
-    return C.written(base.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_judge(n_docs), schema), "weighed")
+    return C.written(base.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_judge(n_docs, bits), schema), "weighed")
 
 
 def _compare(n_docs: int):
@@ -236,6 +253,20 @@ def _could(total: Column, share: Column, other_total: Column, other_share: Colum
     return most >= SIMILARITY * (total + other_total - most) * (1 - 1e-9)
 
 
+def _slots(n_docs: int):
+    """Repeated weight of each set by class of hashes."""
+
+    def run(batches):
+        for batch in batches:
+            out = np.zeros((len(batch), SLOTS), np.float32)
+            for i, (h, tf, df) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                slot = (C.unpack(h, True) % _U64(SLOTS)).astype(np.int64)
+                out[i] = np.bincount(slot, C.unpack(tf) * idf(C.unpack(df).astype(np.float64), n_docs), minlength=SLOTS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1)), SLOTS).cast(pa.list_(pa.float32()))], ["node", "slots"])
+
+    return run
+
+
 def links(weighed: DataFrame, n_docs: int) -> DataFrame:
     """(a, b) of texts whose similarity is SIMILARITY or more: enough of them to hold each class together."""
     sampled = weighed.where("bands IS NOT NULL")
@@ -244,23 +275,21 @@ def links(weighed: DataFrame, n_docs: int) -> DataFrame:
     members = sets.select("node", "total", "share", F.posexplode("bands").alias("band", "key"))
     groups = members.groupBy("band", "key").count().where("count > 1").drop("count")
     members = C.written(members.join(groups, ["band", "key"]).select("band", "key", "node", "total", "share", F.lit(False).alias("led")), "members")
-    compared, measured = None, None
+    compared = None
     for _ in range(LEADERS):
         lead = _leaders(members.where(~F.col("led")))
         m, g = members.alias("m"), lead.alias("g")
         near = (F.col("m.band") == F.col("g.band")) & (F.col("m.key") == F.col("g.key")) & (F.col("node") != F.col("leader")) & _could(*map(F.col, ("total", "share", "l_total", "l_share")))
         met = m.join(g, near).select("m.band", "m.key", "node", "leader")
         compared = _also(compared, met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")), sets, n_docs)
-        ways = compared.select(F.col("a").alias("leader"), F.col("b").alias("node"), "similarity").unionByName(compared.select(F.col("b").alias("leader"), F.col("a").alias("node"), "similarity"))
-        own = lead.select("band", "key", F.col("leader").alias("node"), "leader", F.lit(1.0).alias("similarity"))
-        fresh = C.written(met.join(ways, ["leader", "node"]).select("band", "key", "node", "leader", "similarity").unionByName(own), "measured")
-        measured = fresh if measured is None else measured.unionByName(fresh)
-        found = fresh.where(F.col("similarity") >= SIMILARITY).select("band", "key", "node").distinct()
+        linked = compared.where(F.col("similarity") >= SIMILARITY)
+        ways = linked.select(F.col("a").alias("leader"), F.col("b").alias("node")).unionByName(linked.select(F.col("b").alias("leader"), F.col("a").alias("node")))
+        found = met.join(ways, ["leader", "node"]).select("band", "key", "node").unionByName(lead.select("band", "key", F.col("leader").alias("node"))).distinct()
         members = C.written(members.join(found.withColumn("now", F.lit(True)), ["band", "key", "node"], "left").select("band", "key", "node", "total", "share", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led")), "members")
         if not members.where(~F.col("led")).limit(1).count():
             break
-    far = measured.groupBy("band", "key", "node").agg(F.map_from_entries(F.collect_set(F.struct("leader", "similarity"))).alias("far"))
-    members = C.written(members.drop("led").join(far, ["band", "key", "node"], "left"), "members")
+    if compared is None:
+        return weighed.sparkSession.createDataFrame([], "a bigint, b bigint")
     compared = _across(members, compared, sets, n_docs, leaders=True)
     compared = _across(members, compared, sets, n_docs, leaders=False)
     return compared.where(F.col("similarity") >= SIMILARITY).select("a", "b")
@@ -277,37 +306,55 @@ def _also(compared: DataFrame | None, pairs: DataFrame, sets: DataFrame, n_docs:
 def _across(members: DataFrame, compared: DataFrame, sets: DataFrame, n_docs: int, leaders: bool) -> DataFrame:
     """compared, and the pairs of a band's group whose components differ: all, or those with a leader of a component of two or more."""
     labels = C.components(compared.where(F.col("similarity") >= SIMILARITY).select("a", "b")).select(F.col("id").alias("node"), "component")
-    m = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    m = members.join(labels, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("component"))
     apart = m.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
     m = C.written(m.join(apart, ["band", "key"]), "apart")
+    inside = sets.join(m.select("node").distinct(), "node", "left_semi")
+    slots = inside.select("node", "shingles", "tf", "df").mapInArrow(_slots(n_docs), "node bigint, slots array<float>")
+    m = C.written(m.join(inside.select("node", "total", "share", "bands").join(slots, "node"), "node"), "bounded")
     other = m
     if leaders:
-        first = F.min_by(F.struct("node", "total", "share", "far"), F.struct(-F.col("share"), F.col("node")))
+        first = F.min_by(F.struct("node", "total", "share", "bands", "slots"), F.struct(-F.col("share"), F.col("node")))
         other = m.groupBy("band", "key", "component").agg(first.alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", "component", "l.*")
     x, y = m.alias("x"), other.alias("y")
-    near = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component") if leaders else F.col("x.component") < F.col("y.component"))
-    beyond = lambda leader, s: F.coalesce(F.abs(s - F.try_element_at(F.col("y.far"), leader)) > 1 - SIMILARITY + 1e-9, F.lit(False))
-    near = near & _could(*map(F.col, ("x.total", "x.share", "y.total", "y.share")))
-    near = near & ~F.coalesce(F.exists(F.map_entries("x.far"), lambda e: beyond(e["key"], e["value"])), F.lit(False))
+    apart = F.col("x.component") != F.col("y.component") if leaders else F.col("x.component") < F.col("y.component")
+    first_met = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), F.lit(True)) == F.col("x.band") + 1
+    shared = F.aggregate(F.zip_with("x.slots", "y.slots", lambda a, b: F.least(a, b)), F.lit(0.0), lambda a, w: a + w)
+    could = shared >= SIMILARITY * (F.col("x.total") + F.col("y.total") - shared) * (1 - 1e-6)
+    near = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & apart & _could(*map(F.col, ("x.total", "x.share", "y.total", "y.share"))) & could
+    near = near if leaders else near & first_met  # a leader of one band's group may not lead in another
     return _also(compared, x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), sets, n_docs)
 
 
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, class_id, kept): class_id is the smallest id of the documents that links and equal texts connect."""
+def _classed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, mark, class) of each row; class is null for those that link with nothing."""
     weighed = weigh(docs, text, doc_id)
     n_docs = weighed.count()
     labels = C.components(links(weighed, n_docs)).select(F.col("id").alias("node"), "component")
-    nodes = weighed.where("node IS NOT NULL").select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("class"))
-    nodes = C.written(nodes, "nodes")
-    named = nodes.join(nodes.groupBy("class").agg(F.min("doc_id").alias("class_id")), "class").select("doc_id", "class_id")
-    alone = weighed.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
-    return named.unionByName(alone).select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    return C.written(weighed.select("doc_id", "mark", "node").join(labels, "node", "left").select("doc_id", "mark", F.coalesce("component", "node").alias("class")), "classed")
 
 
-def distinct_documents(docs: DataFrame) -> DataFrame:
-    """The documents that name their class, with their own columns; rows without an id stay."""
-    gone = classes(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, class_id, kept): class_id is the smallest id of the documents that links and equal texts connect."""
+    rows = _classed(docs, text, doc_id)
+    named = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    named = rows.join(named, "class").select("doc_id", "class_id").unionByName(rows.where("class IS NULL").select("doc_id", F.col("doc_id").alias("class_id")))
+    return named.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
+def distinct_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of each class, with its own columns: of the smallest id that is not null; of that id's texts the one with
+    the smallest hash; of rows that repeat both any one. Rows that link with nothing stay, however often they repeat."""
+    columns, rows = docs.columns, _classed(docs, text, doc_id).where("class IS NOT NULL")
+    chosen = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("c")).select("class", "c.doc_id", "c.mark")
+    state = rows.groupBy("doc_id", "mark", "class").agg(F.count(F.lit(1)).alias("n"))
+    same = F.col("s.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("s.mark") == F.col("c.mark")) & (F.col("s.class") == F.col("c.class"))
+    state = state.alias("s").join(chosen.alias("c"), same, "left").select(F.col("s.doc_id").alias("__id"), F.col("s.mark").alias("__mark"), F.col("c.class").isNotNull().alias("__kept"), F.col("n").alias("__n"))
+    state = C.written(state.where("NOT __kept OR __n > 1"), "state")
+    mine = F.col(f"d.{doc_id}").eqNullSafe(F.col("__id")) & (F.xxhash64(f"d.{text}") == F.col("__mark"))
+    alone = docs.alias("d").join(state, mine, "left_anti").select(*(F.col(f"d.`{c}`") for c in columns))
+    repeated = docs.alias("d").join(state.where("__kept"), mine).dropDuplicates(["__id", "__mark"]).select(*(F.col(f"d.`{c}`") for c in columns))
+    return alone.unionByName(repeated)
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

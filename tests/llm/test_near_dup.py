@@ -78,6 +78,31 @@ def test_nulls_repeats_and_empty(spark):
     assert N.classes(df.limit(0)).collect() == []
 
 
+def test_one_row_of_each_class_stays(spark):
+    t, u, v = (" ".join(f"{x}{i}" for i in range(60)) for x in "tuv")
+    rows = [(2, t), (2, u), (1, t), (4, u + " more"), (3, v), (None, v), (None, v), (5, None), (5, None), (7, ""), (8, "a b c d e f g"), (8, "a b c d e f g"), (None, "k l m n o p"), (None, "k l m n o p")]
+    df = spark.createDataFrame([(d, x, i) for i, (d, x) in enumerate(rows)], "doc_id bigint, text string, mark int")
+    kept = N.distinct_documents(df)
+    assert kept.columns == df.columns
+    want = [(1, t), (2, u), (3, v), (5, None), (5, None), (7, ""), (8, "a b c d e f g"), (None, "k l m n o p")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_bridged_classes_stay_whole(spark):
+    """A, A', m1, m2, B', B: only the edited members m1 and m2 connect the families of A and of B."""
+    rnd, rows = random.Random(5), []
+    for g in range(60):
+        a = [f"g{g}w{i}" for i in range(300)]
+        m1 = [f"{w}x" if i in (10, 200) else w for i, w in enumerate(a)]
+        m2 = [f"{w}y" if i in range(100, 126) else w for i, w in enumerate(m1)]
+        b = [f"{w}z" if i in (40, 260) else w for i, w in enumerate(m2)]
+        own = lambda ws: [*ws[:-1], f"o{rnd.random()}"]
+        rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate((a, own(a), own(m1), own(m2), own(b), b))]
+    got = {r.doc_id: r.class_id for r in N.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = brute(rows)
+    assert got == want and set(Counter(want.values()).values()) == {6}
+
+
 def test_samples_agree_as_often_as_sets_are_alike():
     rnd = np.random.default_rng(3)
     h = rnd.integers(0, 1 << 40, 400).astype(np.uint64)
