@@ -48,25 +48,41 @@ def _encoder(ranks: dict[bytes, int], pattern: str):
     return _encoders[key]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], n_buckets: int):
-    """(chunk, ids of rows, words of rows, distinct words by bucket, their numbers by bucket, place of each position's word)."""
-    k, part = 0, TaskContext.get().partitionId()
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, lists of words) of CHUNK_WORDS words at most, or of one longer document. Where a chunk ends depends on the
+    order of the rows alone, not on how they are cut into batches."""
+    ids, lists, held = [], [], 0
     for batch in batches:
-        ids, lists = batch.column(0), batch.column(1)
-        ends = np.cumsum(np.concatenate(([0], np.asarray(lists.value_lengths()))))
+        ends = np.cumsum(np.concatenate(([0], np.asarray(batch.column(1).value_lengths()))))
         at = 0
-        while at < len(ids):
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK_WORDS, side="right")) - 1)
-            coded = lists.slice(at, to - at).flatten().dictionary_encode()
-            words, place = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-            hashes = C.string_hashes(words)
-            bucket = (hashes % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            mark = hashlib.blake2b(hashes.tobytes() + place.tobytes(), digest_size=8).hexdigest()
-            yield f"{part}-{k}-{mark}", ids.slice(at, to - at), np.diff(ends[at : to + 1]), words.take(pa.array(order)), np.bincount(bucket, minlength=n_buckets), rank[place]
-            at, k = to, k + 1
+        while at < len(batch):
+            to = max(at, int(np.searchsorted(ends, ends[at] + CHUNK_WORDS - held, side="right")) - 1)
+            to = to if ids else max(to, at + 1)
+            if to > at:
+                ids.append(batch.column(0).slice(at, to - at))
+                lists.append(batch.column(1).slice(at, to - at))
+                held += ends[to] - ends[at]
+            if to < len(batch):
+                yield pa.concat_arrays(ids), pa.concat_arrays(lists)
+                ids, lists, held = [], [], 0
+            at = to
+    if ids:
+        yield pa.concat_arrays(ids), pa.concat_arrays(lists)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], n_buckets: int):
+    """(chunk, ids of rows, words of rows, distinct words by bucket, their numbers by bucket, place of each position's word)."""
+    part = TaskContext.get().partitionId()
+    for k, (ids, lists) in enumerate(_cut(batches)):
+        coded = lists.flatten().dictionary_encode()
+        words, place = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        hashes = C.string_hashes(words)
+        bucket = (hashes % np.uint64(n_buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        mark = hashlib.blake2b(hashes.tobytes() + place.tobytes(), digest_size=8).hexdigest()
+        yield f"{part}-{k}-{mark}", ids, np.asarray(lists.value_lengths()), words.take(pa.array(order)), np.bincount(bucket, minlength=n_buckets), rank[place]
 
 
 def _asked(n_buckets: int):
@@ -127,7 +143,8 @@ def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, ids binary): token ids of each whole text as little-endian unsigned 32-bit integers. The input is read
-    twice and must come in the same order both times, as a table does; a difference stops the job."""
+    twice and must come in the same order both times, as a table does, however its rows are cut into batches; a
+    difference stops the job."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     n = C.buckets_for(C.text_bytes(docs, text))

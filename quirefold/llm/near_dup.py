@@ -3,7 +3,9 @@
 Weights. A document is the weighted set of its five-word shingles (words as in common.WORD, A-Z as a-z; a text of fewer
 words is one shingle): occurrences times 1 + IDF_SHARE * log(N / df) / log(N), df documents of N with that shingle. This
 inverse document frequency lies between 1 and 1 + IDF_SHARE, so that a passage which a third of the corpus shares still
-counts and edits of a much-copied text do not outweigh it: 0.8 means about what it means without weights. Document
+counts and edits of a much-copied text do not outweigh it. Of the 1,966 pairs of the 10,000 documents of sf0.1 that are
+0.8 alike without weights, a share of 0.25 keeps 98.9 %, 0.5 keeps 96.5 %, 1 keeps 94.5 %, and log(N / df) alone 89.9 %
+(none of them links more than two others): the copies themselves raise the df of what they share. Document
 frequencies are exact: chunks of documents send their distinct shingles, sorted and packed, to hash buckets, and get the
 sums back.
 

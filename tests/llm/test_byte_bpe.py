@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 from quirefold.llm import byte_bpe as B
@@ -30,3 +31,14 @@ def test_edges(spark):
     want = sorted(((i is None, i or 0), expected(t)) for i, t, _ in rows)
     assert got == want
     assert B.digests(B.decode(B.encode(df.limit(0), RANKS), RANKS)).collect() == []
+
+
+def test_chunks_do_not_depend_on_batches(monkeypatch):
+    monkeypatch.setattr(B, "CHUNK_WORDS", 10)
+    lists = [["w"] * n for n in (3, 0, 4, 30, 0, 2, 8, 1, 0, 10, 11, 0, 0, 5)]
+    whole = pa.record_batch({"id": list(range(len(lists))), "words": pa.array(lists, pa.list_(pa.string()))})
+    cut = lambda parts: [ids.to_pylist() for ids, _ in B._cut(iter(parts))]
+    want = cut([whole])
+    assert sum(want, []) == list(range(len(lists))) and max(map(len, want)) > 1
+    for n in (1, 2, 3, 5):
+        assert cut([whole.slice(i, n) for i in range(0, len(lists), n)]) == want
