@@ -210,3 +210,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new.select("x", "l")
         if not changed:
             return labels.select(F.col("x").alias("id"), F.col("l").alias("component"))
+
+
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (id, component) after edges (a, b) between their ids, or new ones, are added: only components that edges
+    connect are worked through again."""
+    of = lambda end: labels.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    named = edges.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    named = written(named, "named")
+    met = components(named.select("ca", "cb").where("ca <> cb").distinct(), "ca", "cb").select(F.col("id").alias("component"), F.col("component").alias("lower"))
+    ends = named.select(F.col("a").alias("id"), F.col("ca").alias("component")).unionByName(named.select(F.col("b").alias("id"), F.col("cb").alias("component")))
+    ids = labels.unionByName(ends.where("id = component").distinct().join(labels.select("id"), "id", "left_anti"))
+    return written(ids.join(met, "component", "left").select("id", F.coalesce("lower", "component").alias("component")), "labels")

@@ -269,8 +269,8 @@ def _slots(n_docs: int):
     return run
 
 
-def links(weighed: DataFrame, n_docs: int) -> DataFrame:
-    """(a, b) of texts whose similarity is SIMILARITY or more: enough of them to hold each class together."""
+def components_of(weighed: DataFrame, n_docs: int) -> DataFrame:
+    """(id, component) of nodes that have a link: the smallest node that links connect each with."""
     sampled = weighed.where("bands IS NOT NULL")
     one = Window.partitionBy("node").orderBy("total")
     sets = C.written(sampled.select("node", "total", "share", "bands", "shingles", "tf", "df").withColumn("k", F.row_number().over(one)).where("k = 1").drop("k"), "sets")
@@ -283,32 +283,32 @@ def links(weighed: DataFrame, n_docs: int) -> DataFrame:
         m, g = members.alias("m"), lead.alias("g")
         near = (F.col("m.band") == F.col("g.band")) & (F.col("m.key") == F.col("g.key")) & (F.col("node") != F.col("leader")) & _could(*map(F.col, ("total", "share", "l_total", "l_share")))
         met = m.join(g, near).select("m.band", "m.key", "node", "leader")
-        compared = _also(compared, met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")), sets, n_docs)
+        more = _new(compared, met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")), sets, n_docs)
+        compared = more if compared is None else compared.unionByName(more)
         linked = compared.where(F.col("similarity") >= SIMILARITY)
         ways = linked.select(F.col("a").alias("leader"), F.col("b").alias("node")).unionByName(linked.select(F.col("b").alias("leader"), F.col("a").alias("node")))
         found = met.join(ways, ["leader", "node"]).select("band", "key", "node").unionByName(lead.select("band", "key", F.col("leader").alias("node"))).distinct()
         members = C.written(members.join(found.withColumn("now", F.lit(True)), ["band", "key", "node"], "left").select("band", "key", "node", "total", "share", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led")), "members")
         if not members.where(~F.col("led")).limit(1).count():
             break
-    if compared is None:
-        return weighed.sparkSession.createDataFrame([], "a bigint, b bigint")
-    compared = _across(members, compared, sets, n_docs, leaders=True)
-    compared = _across(members, compared, sets, n_docs, leaders=False)
-    return compared.where(F.col("similarity") >= SIMILARITY).select("a", "b")
+    labels = C.components(compared.where(F.col("similarity") >= SIMILARITY))
+    for leaders in (True, False):
+        more = _across(members, labels, compared, sets, n_docs, leaders)
+        labels = C.joined(labels, more.where(F.col("similarity") >= SIMILARITY))
+        compared = compared.unionByName(more)
+    return labels
 
 
-def _also(compared: DataFrame | None, pairs: DataFrame, sets: DataFrame, n_docs: int) -> DataFrame:
-    """compared, and those of pairs (a, b) that it lacks."""
+def _new(compared: DataFrame | None, pairs: DataFrame, sets: DataFrame, n_docs: int) -> DataFrame:
+    """Of pairs (a, b), those that compared lacks, with their similarity."""
     pairs = pairs.distinct()
-    if compared is None:
-        return _verify(pairs, sets, n_docs)
-    return compared.unionByName(_verify(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), sets, n_docs))
+    return _verify(pairs if compared is None else pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), sets, n_docs)
 
 
-def _across(members: DataFrame, compared: DataFrame, sets: DataFrame, n_docs: int, leaders: bool) -> DataFrame:
-    """compared, and the pairs of a band's group whose components differ: all, or those with a leader of a component of two or more."""
-    labels = C.components(compared.where(F.col("similarity") >= SIMILARITY).select("a", "b")).select(F.col("id").alias("node"), "component")
-    m = members.join(labels, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("component"))
+def _across(members: DataFrame, labels: DataFrame, compared: DataFrame, sets: DataFrame, n_docs: int, leaders: bool) -> DataFrame:
+    """The pairs of a band's group whose components differ, with their similarity, but for those compared: all, or those
+    with a leader of a component of two or more."""
+    m = members.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("component"))
     apart = m.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
     m = C.written(m.join(apart, ["band", "key"]), "apart")
     inside = sets.join(m.select("node").distinct(), "node", "left_semi")
@@ -325,14 +325,14 @@ def _across(members: DataFrame, compared: DataFrame, sets: DataFrame, n_docs: in
     could = shared >= SIMILARITY * (F.col("x.total") + F.col("y.total") - shared) * (1 - 1e-6)
     near = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & apart & _could(*map(F.col, ("x.total", "x.share", "y.total", "y.share"))) & could
     near = near if leaders else near & first_met  # a leader of one band's group may not lead in another
-    return _also(compared, x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), sets, n_docs)
+    return _new(compared, x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), sets, n_docs)
 
 
 def _classed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(doc_id, mark, class) of each row; class is null for those that link with nothing."""
     weighed = weigh(docs, text, doc_id)
     n_docs = weighed.count()
-    labels = C.components(links(weighed, n_docs)).select(F.col("id").alias("node"), "component")
+    labels = components_of(weighed, n_docs).select(F.col("id").alias("node"), "component")
     return C.written(weighed.select("doc_id", "mark", "node").join(labels, "node", "left").select("doc_id", "mark", F.coalesce("component", "node").alias("class")), "classed")
 
 
