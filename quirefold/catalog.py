@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import business, ledger, pages, redaction
+from .plans import business, intake, ledger, pages, redaction, rules
 
-FAMILIES = (ledger, redaction, pages, business)
+FAMILIES = (ledger, redaction, pages, business, rules, intake)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -14,6 +14,11 @@ ILLEGAL = '[<>:"/\\\\|?*\\x00-\\x1f]'
 INVISIBLE = "[\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u2064\\u2066-\\u2069\\ufeff]"
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _strip(s: Column) -> Column:
     return F.regexp_replace(s, "^[. ]+|[. ]+$", "")
 
@@ -25,9 +30,13 @@ def _safe(s: Column) -> Column:
 
 def sanitize_component(text: Column, most: int) -> Column:
     """A part of a file name that is safe everywhere; '' for null and ''."""
-    t = F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), ILLEGAL, "_")
-    t = _safe(_strip(F.replace(t, F.lit(".."), F.lit("_"))))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(_safe(_strip(F.substring(t, 1, most))))
+
+    def clean(x: Column) -> Column:
+        t = F.regexp_replace(F.regexp_replace(x, INVISIBLE, ""), ILLEGAL, "_")
+        whole = let(_strip(F.replace(t, F.lit(".."), F.lit("_"))), _safe)
+        return F.when(x == "", F.lit("")).otherwise(let(_strip(F.substring(whole, 1, most)), _safe))
+
+    return let(F.coalesce(text, F.lit("")), clean)
 
 
 def extension(name: Column) -> Column:
@@ -43,11 +52,12 @@ def stem(name: Column) -> Column:
 def target_name(number: Column, buyer: Column, date: Column, ext: Column, prefix: Column | None = None, seller: Column | None = None, kind: Column | None = None, total: Column | None = None) -> Column:
     """(name, truncated): prefix, then number, buyer, seller, date, type and amount that are there, then the extension.
     Of more than MAX_NAME characters the prefix is cut first, then the end of the stem; the extension stays."""
-    part = lambda c, n: F.when(sanitize_component(c, n) != "", sanitize_component(c, n))
+    there = lambda c: let(c, lambda x: F.when(x != "", x))
+    part = lambda c, n: there(sanitize_component(c, n))
     parts = [F.coalesce(part(number, 20), F.lit("unknown")), F.coalesce(part(buyer, 30), F.lit("unknown"))]
     parts += [part(seller, 30)] if seller is not None else []
     parts += [part(date, 10)]
-    parts += [F.when(type_short_label(kind) != "", type_short_label(kind))] if kind is not None else []
+    parts += [there(type_short_label(kind))] if kind is not None else []
     parts += [F.concat(part(total, 20), F.lit("元"))] if total is not None else []
     dot = F.when(F.startswith(ext, F.lit(".")), ext).otherwise(F.concat(F.lit("."), ext))
     first = F.struct((sanitize_component(prefix, 50) if prefix is not None else F.lit("")).alias("p"), F.concat_ws("_", *parts).alias("s"), dot.alias("e"))
@@ -60,7 +70,7 @@ def target_name(number: Column, buyer: Column, date: Column, ext: Column, prefix
         s = F.when(over & (F.length(x["s"]) > room), F.when(short == "", F.lit("_")).otherwise(short)).otherwise(x["s"])
         return F.struct(F.concat(p, s, x["e"]).alias("name"), over.alias("truncated"))
 
-    return F.get(F.transform(F.array(first), cut), F.lit(0))
+    return let(first, cut)
 
 
 def clean_upload_name(name: Column) -> Column:

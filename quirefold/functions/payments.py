@@ -37,6 +37,22 @@ def canonical_sign_string(fields: dict[str, Column]) -> Column:
     return F.concat(*(x for i, k in enumerate(sorted(SIGNED)) for x in (F.lit(("&" if i else "") + k + "="), fields[k].cast("string"))))
 
 
+# fixed values: what is said of a parameter that is not valid, by the kind of fault
+FAULTS = {
+    "missing": "缺少必填参数", "extra_forbidden": "包含不支持的参数", "string_type": "应为文本", "string_too_long": "内容过长",
+    "string_too_short": "内容过短", "bool_type": "应为布尔值（true/false）", "int_type": "应为整数", "int_parsing": "应为整数",
+    "float_type": "应为数字", "float_parsing": "应为数字", "number_type": "应为数字", "greater_than_equal": "数值低于下限",
+    "less_than_equal": "数值超过上限", "greater_than": "数值低于下限", "less_than": "数值超过上限",
+    "finite_number": "数值无效（不接受 NaN/Infinity）", "json_invalid": "请求体不是合法 JSON", "json_type": "请求体格式不正确",
+    "list_type": "应为列表", "dict_type": "应为对象", "value_error": "参数不合法",
+}
+
+
+def fault_message(kind: Column, message: Column) -> Column:
+    """What is said of a fault; its own message where the kind is not known."""
+    return F.coalesce(_lookup(FAULTS, F.coalesce(kind, F.lit(""))), message)
+
+
 def _lookup(values: dict[str, str], key: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), key)
 

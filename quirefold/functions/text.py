@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 
 def excel_text(s: Column) -> Column:
@@ -72,6 +73,20 @@ def finite_all(a: Column) -> Column:
     return F.transform(a, finite)
 
 
+def finite_deep(x: Column, kind: DataType) -> Column:
+    """NaN and infinity become null, at any depth of arrays, maps (values) and structs; kind: the column's type."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return finite(x)
+    if isinstance(kind, ArrayType):
+        return F.transform(x, lambda v: finite_deep(v, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(x, lambda _, v: finite_deep(v, kind.valueType))
+    if isinstance(kind, StructType):
+        inside = F.struct(*(finite_deep(x[f.name], f.dataType).alias(f.name) for f in kind.fields))
+        return F.when(x.isNotNull(), inside)
+    return x
+
+
 def preview(s: Column, n: int = 500) -> Column:
     return F.when(F.length(s) > n, F.concat(F.substring(s, 1, n), F.lit("..."))).otherwise(s)
 

@@ -29,10 +29,12 @@ def dedup_tickets(tickets: DataFrame, ledger: DataFrame, ledger_order: str = "or
     missing, make a duplicate; unequal ones are suspicious. Windows run by (batch, key), so one batch is not one task.
     """
     t = keyed(tickets, normalize_amounts)
-    by_key = Window.partitionBy("batch_id", "key").orderBy("row_no")
-    by_file = Window.partitionBy("batch_id", "key", "file_ref").orderBy("row_no")
+    # tickets without a number meet nobody: each is a key of its own, so that they do not share one task
+    t = t.withColumn("__key", F.when(F.col("key") == "", F.concat_ws("\0", F.lit(""), "batch_id", "row_no")).otherwise(F.col("key")))
+    by_key = Window.partitionBy("batch_id", "__key").orderBy("row_no")
+    by_file = Window.partitionBy("batch_id", "__key", "file_ref").orderBy("row_no")
     t = t.withColumn("in_file", F.row_number().over(by_file) > 1).withColumn("first_row", F.first("row_no").over(by_key)).withColumn("first_amount", F.first("amount").over(by_key))
-    t = t.join(ledger_by_key(ledger, ledger_order, normalize_amounts), "key", "left")
+    t = t.join(ledger_by_key(ledger, ledger_order, normalize_amounts).withColumnRenamed("key", "__key"), "__key", "left")
     differ = lambda other: F.when((F.col("amount") != "") & (other != "") & (F.col("amount") != other), F.lit("suspicious")).otherwise(F.lit("duplicate"))
     status = (
         F.when(F.col("key") == "", F.lit("unrecognized"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .passes import ordered_pass
+
 MESSAGES, MESSAGE_CHARS = 10, 2_000
 MOST_TASK_BYTES, MOST_DAY_BYTES = 64 << 20, 512 << 20
 
@@ -45,21 +47,31 @@ def is_original(name: Column) -> Column:
 
 def quota_copy(files: DataFrame, day: str = "day", task: str = "task_id", name: str = "name", size: str = "size", per_task: int = MOST_TASK_BYTES, per_day: int = MOST_DAY_BYTES) -> DataFrame:
     """Adds reason: null if a file is archived. Files are taken in order of task and name; one that would exceed a quota is
-    skipped and smaller ones go on, so this is a fold over a day's files and no running sum. A day is one array of
-    (task, name, size); the quotas are what the operation is asked for."""
-    item = F.struct(F.col(task).alias("t"), F.col(name).alias("n"), F.col(size).cast("bigint").alias("s"))
-    g = files.groupBy(day).agg(F.array_sort(F.collect_list(item)).alias("f"))
-    kind = g.schema["f"].dataType.elementType["t"].dataType.simpleString()
-    start = F.struct(F.lit(None).cast(kind).alias("t"), F.lit(0).cast("bigint").alias("task"), F.lit(0).cast("bigint").alias("day"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, f: Column) -> Column:
-        used = F.when(f["t"].eqNullSafe(acc["t"]), acc["task"]).otherwise(F.lit(0).cast("bigint"))
-        reason = F.when((f["s"] > per_task) | (used + f["s"] > per_task), F.lit("task_quota")).when(acc["day"] + f["s"] > per_day, F.lit("day_quota")).otherwise(F.lit(""))
-        add = F.when(reason == "", f["s"]).otherwise(F.lit(0).cast("bigint"))
-        return F.struct(f["t"].alias("t"), (used + add).alias("task"), (acc["day"] + add).alias("day"), F.concat(acc["out"], F.array(reason)).alias("out"))
-
-    out = g.select(day, F.explode(F.arrays_zip(F.col("f"), F.aggregate("f", start, step, lambda a: a["out"]).alias("reason"))).alias("x"))
-    return out.select(day, F.col("x.f.t").alias(task), F.col("x.f.n").alias(name), F.col("x.f.s").alias(size), F.when(F.col("x.reason") != "", F.col("x.reason")).alias("reason"))
+    skipped and smaller ones go on, so this is a pass over a day's files with two counters and no running sum. The quotas
+    are what the operation is asked for."""
+
+    def start() -> dict:
+        return {"task": None, "in_task": 0, "in_day": 0}
+
+    def step(used: dict, row: dict) -> tuple:
+        if row["t"] != used["task"]:
+            used["task"], used["in_task"] = row["t"], 0
+        s = row["s"] or 0
+        if used["in_task"] + s > per_task:
+            return ("task_quota",)
+        if used["in_day"] + s > per_day:
+            return ("day_quota",)
+        used["in_task"] += s
+        used["in_day"] += s
+        return (None,)
+
+    rows = files.select(F.col(day).alias("d"), F.col(task).alias("t"), F.col(name).alias("n"), F.col(size).cast("bigint").alias("s"))
+    return ordered_pass(rows, ["d"], ["t", "n", "s"], start, step, "reason string").toDF(day, task, name, size, "reason")
+
+
+def original_files(files: DataFrame, name: str = "name") -> DataFrame:
+    """The files that are somebody's upload and not a result."""
+    return files.where(is_original(F.col(name)))
 
 
 def archive_summary(copied: DataFrame, requests: DataFrame, day: str = "day") -> DataFrame:

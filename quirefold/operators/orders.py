@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .passes import ordered_pass
+
 FILE_OPS = ("merge", "extract", "rename")
 
 
@@ -37,6 +39,13 @@ def retention_stats(marked: DataFrame) -> DataFrame:
     return marked.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"))
 
 
+def retention_list(marked: DataFrame) -> DataFrame:
+    """The orders that a retention run would change, (action, out_trade_no, at): what is deleted by creation, what is
+    cleared by fulfilment, each in order of time. Sorted by ranges, so no list of them is held in one place."""
+    at = F.when(F.col("action") == "delete", F.col("created_at")).otherwise(F.col("fulfilled_at"))
+    return marked.where("action <> 'keep'").select("action", "out_trade_no", at.alias("at")).orderBy("action", "at", "out_trade_no")
+
+
 def retain(marked: DataFrame) -> DataFrame:
     """The table after the run."""
     return marked.where("action <> 'delete'").withColumn("result_cache", F.when(F.col("action") != "clear", F.col("result_cache"))).drop("action")
@@ -59,18 +68,19 @@ def lookup(orders: DataFrame, keys: DataFrame, key: str = "out_trade_no") -> Dat
     return orders.join(keys.select(key).distinct(), key, "left_semi")
 
 
+#: What an action does to an order: the status it must have, and the one it gets.
+STEPS = {("created", "claim"): "verified", ("verified", "fulfil"): "fulfilled", ("verified", "release"): "created"}
+
+
 def transitions(events: DataFrame) -> DataFrame:
     """events (out_trade_no, seq, action) in order: adds status and outcome after each. claim: created -> verified;
     fulfil: verified -> fulfilled; release: verified -> created; what comes after fulfilment is a replay; all else a
-    conflict. An order's events are one array; they are few."""
-    g = events.groupBy("out_trade_no").agg(F.array_sort(F.collect_list(F.struct("seq", "action"))).alias("e"))
-    start = F.struct(F.lit("created").alias("s"), F.array().cast("array<struct<seq:bigint,action:string,status:string,outcome:string>>").alias("out"))
-
-    def step(acc: Column, e: Column) -> Column:
-        s, a = acc["s"], e["action"]
-        new = F.when((s == "created") & (a == "claim"), "verified").when((s == "verified") & (a == "fulfil"), "fulfilled").when((s == "verified") & (a == "release"), "created").otherwise(s)
-        outcome = F.when(new != s, "accepted").when(s == "fulfilled", "replay").otherwise("conflict")
-        row = F.struct(e["seq"].cast("bigint").alias("seq"), a.alias("action"), new.alias("status"), outcome.alias("outcome"))
-        return F.struct(new.alias("s"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return g.select("out_trade_no", F.explode(F.aggregate("e", start, step, lambda a: a["out"])).alias("r")).select("out_trade_no", "r.*")
+    conflict."""
+
+    def step(order: dict, row: dict) -> tuple:
+        now = order.get("status", "created")
+        order["status"] = new = STEPS.get((now, row["action"]), now)
+        return new, "accepted" if new != now else "replay" if now == "fulfilled" else "conflict"
+
+    rows = events.select("out_trade_no", F.col("seq").cast("bigint").alias("seq"), "action")
+    return ordered_pass(rows, ["out_trade_no"], ["seq", "action"], dict, step, "status string, outcome string")

@@ -47,6 +47,85 @@ def reorder(pages: DataFrame, specs: DataFrame) -> DataFrame:
     return items.join(pages, (F.col("doc_id") == F.col("__d")) & (F.col("page_no") == F.col("__p"))).select("doc_id", "pos", "page_no", normalize_rotation(F.col("turn")).alias("angle"), *rest)
 
 
+ANGLES = (90, 180, 270)
+MOST_OUTPUT_PAGES, MOST_RANGES, MOST_RANGE_CHARS = 1_000, 200, 4_096
+_INT = r"^\s*[+-]?[0-9]{1,18}\s*$"
+
+
+def _int(s: Column) -> Column:
+    return F.when(s.rlike(_INT), F.trim(s).try_cast("bigint"))
+
+
+def _items(spec: Column) -> Column:
+    """The items of a comma list, trimmed; blank ones are left out."""
+    return F.filter(F.transform(F.split(F.coalesce(spec, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def _first_reason(items: Column, reason) -> Column:
+    return F.get(F.filter(F.transform(items, reason), lambda x: x.isNotNull()), F.lit(0))
+
+
+def order_reasons(specs: DataFrame, most: int = MOST_OUTPUT_PAGES) -> DataFrame:
+    """specs (doc_id, spec, n_pages), spec: '3,1,2:90'. Adds reason, null if the order is accepted: of the first item that
+    is wrong (format, range, angle), else empty or too_many."""
+
+    def reason(item: Column) -> Column:
+        seg = F.split(item, ":")
+        page, angle = _int(F.get(seg, 0)), _int(F.get(seg, 1))
+        return (
+            F.when((F.size(seg) > 2) | page.isNull(), F.lit("format"))
+            .when(~page.between(1, F.col("n_pages")), F.lit("range"))
+            .when((F.size(seg) == 2) & ~F.coalesce(angle.isin(*ANGLES), F.lit(False)), F.lit("angle"))
+        )
+
+    rows = specs.withColumn("__items", _items(F.col("spec")))
+    wrong = F.when(F.size("__items") == 0, F.lit("empty")).otherwise(_first_reason(F.col("__items"), reason))
+    return rows.withColumn("reason", F.coalesce(wrong, F.when(F.size("__items") > most, F.lit("too_many")))).drop("__items")
+
+
+def accepted_order(pages: DataFrame, specs: DataFrame, most: int = MOST_OUTPUT_PAGES) -> DataFrame:
+    """(doc_id, pos, page_no, angle): the pages in the orders that order_reasons accepts; other documents have none."""
+    good = order_reasons(specs, most).where("reason IS NULL")
+    items = good.select("doc_id", F.posexplode(_items(F.col("spec"))).alias("pos", "item"))
+    seg = F.split("item", ":")
+    rows = items.select("doc_id", (F.col("pos") + 1).alias("pos"), _int(F.get(seg, 0)).alias("page_no"), F.coalesce(_int(F.get(seg, 1)), F.lit(0)).cast("int").alias("angle"))
+    return rows.join(pages.select("doc_id", "page_no"), ["doc_id", "page_no"]).select("doc_id", "pos", "page_no", "angle")
+
+
+def split_reasons(specs: DataFrame) -> DataFrame:
+    """specs (doc_id, mode, value, n_pages), mode: all, ranges or fixed. Adds reason, null if the split is accepted: empty,
+    mode, fixed, too_long, too_many, or of the first range that is wrong: format, backwards or range."""
+
+    def reason(item: Column) -> Column:
+        ends = F.split(item, "-")
+        single = ~F.contains(item, F.lit("-"))
+        a, b = _int(F.get(ends, 0)), F.when(single, _int(F.get(ends, 0))).otherwise(_int(F.get(ends, 1)))
+        inside = (F.greatest(a, F.lit(1)) <= F.least(b, F.col("n_pages"))) & (~single | (a >= 1))
+        return F.when((F.size(ends) > 2) | a.isNull() | b.isNull(), F.lit("format")).when(a > b, F.lit("backwards")).when(~inside, F.lit("range"))
+
+    value = F.coalesce("value", F.lit(""))
+    rows = specs.withColumn("__items", _items(F.col("value")))
+    ranges = F.when(F.length(value) > MOST_RANGE_CHARS, F.lit("too_long")).when(F.size("__items") > MOST_RANGES, F.lit("too_many")).otherwise(_first_reason(F.col("__items"), reason))
+    fixed = F.when((value != "") & ~F.coalesce(_int(value) >= 1, F.lit(False)), F.lit("fixed"))
+    out = F.when(F.col("n_pages") < 1, F.lit("empty")).when(F.col("mode") == "ranges", ranges).when(F.col("mode") == "fixed", fixed).when(F.coalesce(F.col("mode") != "all", F.lit(True)), F.lit("mode"))
+    return rows.withColumn("reason", out).drop("__items")
+
+
+def accepted_split(pages: DataFrame, specs: DataFrame) -> DataFrame:
+    """(doc_id, part_no, page_no) of the splits that split_reasons accepts: each page a part, or parts of `value` pages
+    (one if it is blank), or a part for each range, clamped to the document."""
+    good = split_reasons(specs).where("reason IS NULL")
+    p = pages.select(F.col("doc_id").alias("__d"), "page_no")
+    whole = good.where("mode <> 'ranges'").join(p, F.col("doc_id") == F.col("__d"))
+    size = F.when(F.col("mode") == "all", F.lit(1)).otherwise(F.coalesce(_int(F.coalesce("value", F.lit(""))), F.lit(1)))
+    by_size = whole.select("doc_id", F.ceil(F.col("page_no") / size).cast("bigint").alias("part_no"), "page_no")
+    ranges = good.where("mode = 'ranges'").select("doc_id", F.posexplode(_items(F.col("value"))).alias("i", "item"))
+    ends = F.split("item", "-")
+    ranges = ranges.select("doc_id", (F.col("i") + 1).cast("bigint").alias("part_no"), _int(F.get(ends, 0)).alias("a"), F.coalesce(_int(F.get(ends, 1)), _int(F.get(ends, 0))).alias("b"))
+    by_range = ranges.join(p, (F.col("doc_id") == F.col("__d")) & F.col("page_no").between(F.col("a"), F.col("b"))).select("doc_id", "part_no", "page_no")
+    return by_size.unionByName(by_range)
+
+
 def order_rules(specs: DataFrame, available: str, order: str) -> DataFrame:
     """Adds allowed: the order is a subset of what is available, nothing twice."""
     o = F.col(order)

@@ -7,15 +7,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .passes import ordered_pass
+
 # fixed values: patterns of identity numbers, mobile telephones and addresses
 PRESETS = {
     "id": r"(?<!\d)[1-9]\d{5}(?:18|19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx](?!\d)",
     "phone": r"(?<!\d)1[3-9]\d{9}(?!\d)",
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
 }
+#: The same addresses, for tests of whether there is one: it starts where a local part starts and never goes back, so a
+#: text without white space costs one reading. Not for taking them out: after a match the next may start within a run.
+FOUND = PRESETS | {"email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"}
 GROW = 1.0
 
 
+def _found(text: Column, preset: str) -> Column:
+    """Whether the text holds one."""
+    hit = text.rlike(FOUND[preset])
+    return F.contains(text, F.lit("@")) & hit if preset == "email" else hit
+
+
 def squeezed(s: Column) -> Column:
     """Without white space, lower case: how residues are compared."""
     return F.lower(F.regexp_replace(F.coalesce(s, F.lit("")), r"(?U)\s+", ""))
@@ -24,7 +35,7 @@ def squeezed(s: Column) -> Column:
 def preset_hits(pages: DataFrame, presets: tuple[str, ...] = tuple(PRESETS), text: str = "text") -> DataFrame:
     """(columns of the page, source, preset, literal): a row for each occurrence. Pages without a hit cost one test."""
     keys = [c for c in pages.columns if c != text]
-    found = F.array(*(F.struct(F.lit(p).alias("preset"), F.when(F.col(text).rlike(PRESETS[p]), F.regexp_extract_all(text, F.lit(PRESETS[p]), F.lit(0))).alias("all")) for p in presets))
+    found = F.array(*(F.struct(F.lit(p).alias("preset"), F.when(_found(F.col(text), p), F.regexp_extract_all(text, F.lit(PRESETS[p]), F.lit(0))).alias("all")) for p in presets))
     rows = pages.select(*keys, F.explode(found).alias("f")).select(*keys, F.lit("preset").alias("source"), "f.preset", F.explode("f.all").alias("literal"))
     return rows
 
@@ -43,8 +54,9 @@ def locate_report(hits: DataFrame, doc: str = "doc_id", page: str = "page_no") -
     return hits.rollup(doc, page).agg(F.count(F.lit(1)).alias("hits")).where(F.col(doc).isNotNull())
 
 
-def redaction_report(hits: DataFrame, pages: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts by preset and source, pages hit, and pages that hold next to no text, of each document."""
+def redaction_report(hits: DataFrame, pages: DataFrame, doc: str = "doc_id", text: str = "text", attachments: DataFrame | None = None) -> DataFrame:
+    """Counts by preset and source, pages hit, and pages that hold next to no text, of each document; attachments (a row
+    each): how many went."""
     h = hits.groupBy(doc).agg(
         *(F.count_if(F.col("preset") == p).alias(f"n_{p}") for p in PRESETS),
         F.count_if(F.col("source") == "keyword").alias("n_keyword"),
@@ -52,7 +64,18 @@ def redaction_report(hits: DataFrame, pages: DataFrame, doc: str = "doc_id", tex
     )
     p = pages.groupBy(doc).agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(F.length(F.trim(F.coalesce(text, F.lit("")))) < 5).alias("image_pages"))
     counts = [c for c in h.columns if c != doc]
-    return p.join(h, doc, "left").select(doc, "n_pages", "image_pages", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
+    out = p.join(h, doc, "left")
+    if attachments is not None:
+        out = out.join(attachments.groupBy(doc).agg(F.count(F.lit(1)).alias("n_attachments")), doc, "left")
+        counts.append("n_attachments")
+    return out.select(doc, "n_pages", "image_pages", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
+
+
+def outcome(pages: DataFrame, hits: DataFrame, mode: str = "keywords", doc: str = "doc_id") -> DataFrame:
+    """(doc, n_hits, reason): a document in which nothing was found is an error, so that nobody takes it for redacted."""
+    n = hits.groupBy(doc).agg(F.count(F.lit(1)).alias("n_hits"))
+    all_ = pages.select(doc).distinct().join(n, doc, "left").select(doc, F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
+    return all_.withColumn("reason", F.when(F.col("n_hits") == 0, F.lit(f"no_hit_{mode}")))
 
 
 def mask(text: Column, presets: tuple[str, ...] = tuple(PRESETS), keywords: tuple[str, ...] = (), by: str = "") -> Column:
@@ -68,7 +91,7 @@ def verify(masked: DataFrame, hits: DataFrame, presets: tuple[str, ...] = tuple(
     targets = hits.select(doc, F.expr("lower(regexp_replace(literal, '(?U)\\\\s+', ''))").alias("target")).where("target <> ''").distinct()
     wanted = targets.groupBy(doc).agg(F.collect_list("target").alias("targets"))
     whole = masked.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, text))), lambda p: squeezed(p[text])), "").alias("all"))
-    any_preset = lambda t: reduce(lambda a, b: a | b, [t.rlike(PRESETS[p]) for p in presets], F.lit(False))
+    any_preset = lambda t: reduce(lambda a, b: a | b, [_found(t, p) for p in presets], F.lit(False))
     joined = whole.join(wanted, doc, "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<string>")))
     flagged = joined.withColumn("residue", F.exists("targets", lambda t: F.contains(F.col("all"), t)) | any_preset(F.col("all"))).select(doc, "residue", "targets")
     bad = flagged.where("residue").select(F.col(doc).alias("__d"), "targets")
@@ -85,38 +108,42 @@ def scrub(values: DataFrame, targets: DataFrame, key: str, value: str, least: in
     near = (F.col(key) == F.col("__k")) & (F.length("__v") >= (least if least > 2 else 1)) & (F.contains(F.col("__v"), F.col("__t")) | F.contains(F.col("__t"), F.col("__v")))
     kept = v.join(t, near, "left_anti").drop("__v")
     for p in presets:
-        kept = kept.where(~F.coalesce(F.col(value), F.lit("")).rlike(PRESETS[p]))
+        kept = kept.where(~F.coalesce(F.col(value), F.lit("")).rlike(FOUND[p]))
     return kept
 
 
 def relevel(outline: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Levels of an outline from which entries are gone: kept ancestors + 1. One document's outline is one array; the
-    fold keeps a stack of open levels, which is at most as deep as the outline."""
-    rows = outline.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("pos", "level", "title", "page_no"))).alias("o"))
-    start = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast("array<int>").alias("new"))
+    """Levels of an outline from which entries are gone: kept ancestors + 1. The pass keeps a stack of open levels, which
+    is at most as deep as the outline."""
+
+    def step(open_: list, row: dict) -> tuple:
+        while open_ and open_[-1] >= row["level"]:
+            open_.pop()
+        open_.append(row["level"])
+        return (len(open_),)
+
+    rows = ordered_pass(outline.select(doc, "pos", "level", "title", "page_no"), [doc], ["pos", "level", "title", "page_no"], list, step, "new int")
+    return rows.select(doc, "pos", F.col("new").alias("level"), "title", "page_no")
 
-    def step(acc: Column, e: Column) -> Column:
-        above = F.filter(acc["open"], lambda x: x < e["level"])
-        return F.struct(F.concat(above, F.array(e["level"].cast("int"))).alias("open"), F.concat(acc["new"], F.array(F.size(above) + 1)).alias("new"))
 
-    folded = rows.withColumn("new", F.aggregate("o", start, step, lambda a: a["new"]))
-    both = F.arrays_zip(F.col("o").alias("e"), F.col("new").alias("level"))
-    return folded.select(doc, F.explode(both).alias("x")).select(doc, F.col("x.e.pos").alias("pos"), F.col("x.level").alias("level"), F.col("x.e.title").alias("title"), F.col("x.e.page_no").alias("page_no"))
+def _overlaps(rects: DataFrame) -> tuple[DataFrame, Column]:
+    """The rectangles, grown by GROW on each side, and when a span of the same page overlaps one."""
+    low, high = (((F.col(c) - GROW).alias(f"__{c}") for c in ("x0", "y0")), ((F.col(c) + GROW).alias(f"__{c}") for c in ("x1", "y1")))
+    r = rects.select(F.col("doc_id").alias("__d"), F.col("page_no").alias("__p"), "rect_id", *low, *high)
+    page = (F.col("doc_id") == F.col("__d")) & (F.col("page_no") == F.col("__p"))
+    return r, page & (F.col("x0") < F.col("__x1")) & (F.col("x1") > F.col("__x0")) & (F.col("y0") < F.col("__y1")) & (F.col("y1") > F.col("__y0"))
 
 
 def rect_hits(spans: DataFrame, rects: DataFrame) -> DataFrame:
     """(columns of the span, rect_id): spans that a rectangle of the same page, grown by GROW on each side, overlaps."""
-    r = rects.select(F.col("doc_id").alias("__d"), F.col("page_no").alias("__p"), "rect_id", *((F.col(c) - GROW).alias(f"__{c}") for c in ("x0", "y0")), *((F.col(c) + GROW).alias(f"__{c}") for c in ("x1", "y1")))
-    meet = (F.col("doc_id") == F.col("__d")) & (F.col("page_no") == F.col("__p"))
-    over = (F.col("x0") < F.col("__x1")) & (F.col("x1") > F.col("__x0")) & (F.col("y0") < F.col("__y1")) & (F.col("y1") > F.col("__y0"))
-    return spans.join(r, meet & over).select(*spans.columns, "rect_id")
+    r, meet = _overlaps(rects)
+    return spans.join(r, meet).select(*spans.columns, "rect_id")
 
 
 def mask_by_rect(spans: DataFrame, rects: DataFrame) -> DataFrame:
     """The spans (or annotations, or fields) that no grown rectangle overlaps."""
-    hit = rect_hits(spans, rects).select(*spans.columns).distinct()
-    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__h_{c}")) for c in spans.columns])
-    return spans.join(hit.select(*(F.col(c).alias(f"__h_{c}") for c in hit.columns)), on, "left_anti")
+    r, meet = _overlaps(rects)
+    return spans.join(r, meet, "left_anti")
 
 
 def rect_rules(rects: DataFrame) -> DataFrame:

@@ -142,6 +142,18 @@ a AS (SELECT batch_id, list(DISTINCT name) AS names FROM n GROUP BY batch_id)
 SELECT rec_id, r.batch_id, CASE WHEN nth = 1 THEN name ELSE stem || '__' || CAST(list_filter(range(2, 2 + nth + len(names)), lambda k: NOT list_contains(names, stem || '__' || CAST(k AS STRING) || substr(name, length(stem) + 1)))[nth - 1] AS STRING) || substr(name, length(stem) + 1) END AS unique_name
 FROM r JOIN a USING (batch_id)"""
 
+_SERIAL = "list_filter(range(2, 2 + nth + len(names)), lambda k: NOT list_contains(names, stem || '__' || CAST(k AS STRING) || ext))[nth - 1]"
+_PLACED = f"""
+WITH n AS (SELECT rec_id, batch_id, rec_id % 3 = 0 AS rejected, CASE WHEN rec_id % 9 = 0 THEN 'n' || CAST(rec_id % 4 AS STRING) || '__2.pdf' WHEN rec_id % 10 = 0 THEN 'plain' ELSE 'n' || CAST(rec_id % 4 AS STRING) || '.pdf' END AS name FROM f_records),
+r AS (SELECT *, row_number() OVER (PARTITION BY batch_id, rejected, name ORDER BY rec_id) AS nth, regexp_replace(name, '\\.[^.]*$', '') AS stem, substr(name, length(stem) + 1) AS ext FROM n),
+a AS (SELECT batch_id, list(DISTINCT name) FILTER (NOT rejected) AS names FROM n GROUP BY batch_id),
+u AS (SELECT r.*, CASE WHEN nth = 1 THEN name ELSE stem || '__' || CAST({_SERIAL} AS STRING) || ext END AS unique_name FROM r JOIN a USING (batch_id) WHERE NOT rejected),
+p AS (SELECT batch_id, list(unique_name) AS placed FROM u GROUP BY batch_id),
+b AS (SELECT batch_id, list(DISTINCT name) AS own FROM n WHERE rejected GROUP BY batch_id),
+s AS (SELECT r.* EXCLUDE (nth), nth + CASE WHEN list_contains(coalesce(placed, []), name) THEN 1 ELSE 0 END AS nth, list_concat(coalesce(placed, []), own) AS names FROM r JOIN b USING (batch_id) LEFT JOIN p USING (batch_id) WHERE rejected)
+SELECT rec_id, batch_id, rejected, unique_name FROM u
+UNION ALL SELECT rec_id, batch_id, rejected, CASE WHEN nth = 1 THEN name ELSE stem || '__' || CAST({_SERIAL} AS STRING) || ext END FROM s"""
+
 _SAFE = lambda c, n: f"CASE WHEN {c} IS NULL THEN '' ELSE substr(CASE WHEN {c} = 'CON' THEN '_CON' ELSE replace(regexp_replace({c}, '[/:]', '_', 'g'), '..', '_') END, 1, {n}) END"
 
 ORACLES = {
@@ -194,6 +206,7 @@ SELECT rec_id, p2 || CASE WHEN truncated AND length(s) > 96 - length(p2) THEN re
         "f_records",
     ),
     "unique_names": duck(_UNIQUE, "f_records"),
+    "placed_names": duck(_PLACED, "f_records"),
     "cells_export": duck(
         """
 WITH c AS (SELECT *, CASE rec_id % 3 WHEN 0 THEN '=' || buyer_name WHEN 1 THEN buyer_name || '"x' ELSE '  ' END AS c FROM f_records)

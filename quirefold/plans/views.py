@@ -62,6 +62,19 @@ FROM {orders}""",
     "f_uploads": """
 SELECT l_orderkey AS task_id, l_linenumber - 1 AS idx, 4 AS total, CAST(l_quantity AS BIGINT) * 1048576 AS size, l_shipdate AS ts
 FROM {lineitem}""",
+    "f_invoice_xml": """
+SELECT 'x' || CAST(rec_id AS STRING) || '.xml' AS path, CASE rec_id % 10
+  WHEN 7 THEN '<!DOCTYPE a [<!ENTITY b "c">]>' || x WHEN 8 THEN replace(x, '</Header>', '') WHEN 9 THEN replace(x, 'EInvoice>', 'Other>') ELSE x END AS x
+FROM (SELECT o_orderkey AS rec_id, '<?xml version="1.0"?><EInvoice><Header><EIid>9' || CAST(o_orderkey AS STRING) || '</EIid></Header><Data><InvoiceNumber>'
+  || CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE lpad(CAST(o_orderkey AS STRING), 20, '2') END || '</InvoiceNumber><IssueTime>' || substr(CAST(o_orderdate AS STRING), 1, 10)
+  || '</IssueTime><BuyerName> Customer ' || CAST(o_custkey AS STRING) || ' </BuyerName><TotalTaxAm>¥' || CAST(o_orderkey % 100 AS STRING) || '.5</TotalTaxAm>'
+  || repeat('<IssuItemInformation/>', CAST(o_orderkey % 4 AS INT)) || '</Data></EInvoice>' AS x FROM {orders})""",
+    "f_log_lines": """
+SELECT substr(CAST(ts AS STRING), 1, 19) || ',' || lpad(CAST(event_id % 1000 AS STRING), 3, '0') || ' - app - ERROR - ' || CASE event_id % 3
+  WHEN 0 THEN 'task 0a1b2c3d-0000-4000-8000-' || lpad(CAST(event_id AS STRING), 12, '0') || CASE WHEN event_id % 2 = 0 THEN ' rejected/failed: ' ELSE ' failed: ' END || event_type
+  WHEN 1 THEN 'Request failed request_id=ab' || CAST(event_id AS STRING) || ' method=POST path=/x/' || CAST(user_id % 7 AS STRING) || ' status=' || CAST(500 + user_id % 3 AS STRING)
+  ELSE 'all is well' END AS value
+FROM {events}""",
     "f_zip_entries": """
 SELECT l_orderkey AS archive_id,
   CASE WHEN l_linenumber = 7 AND l_suppkey % 9 = 0 THEN '../evil.xml' ELSE 'Doc_0/Pages/Page_' || CAST(l_linenumber AS STRING) || '/Content.xml' END AS entry,

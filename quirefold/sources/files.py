@@ -5,38 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# fixed values: first bytes by extension, as hexadecimal digits
-MAGIC = {".pdf": "25504446", ".ofd": "504B0304", ".zip": "504B0304", ".png": "89504E47", ".jpg": "FFD8FF", ".jpeg": "FFD8FF", ".xml": "3C"}
+# fixed values: first bytes by extension
+_ZIP = (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08")
+_OLE = (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1",)
+MAGIC = {
+    ".pdf": (b"%PDF-",), ".ofd": _ZIP, ".zip": _ZIP, ".docx": _ZIP, ".pptx": _ZIP, ".xlsx": _ZIP, ".doc": _OLE, ".ppt": _OLE,
+    ".xls": _OLE, ".png": (b"\x89PNG\r\n\x1a\n",), ".jpg": (b"\xff\xd8\xff",), ".jpeg": (b"\xff\xd8\xff",), ".webp": (b"RIFF",), ".xml": (b"<",),
+}
 # fixed values: kinds by first bytes, in order of test
-KINDS = (("pdf", "25504446"), ("c8", "C8"), ("c8", "4338"), ("kdh", "4B4448"), ("hn", "484E"), ("caj", "43414A"), ("zip", "504B0304"), ("png", "89504E47"), ("jpeg", "FFD8FF"))
+KINDS = (
+    ("pdf", b"%PDF"), ("c8", b"\xc8"), ("c8", b"C8"), ("kdh", b"KDH"), ("hn", b"HN"), ("caj", b"CAJ"), ("zip", b"PK\x03\x04"),
+    ("png", b"\x89PNG"), ("jpeg", b"\xff\xd8\xff"),
+)
 
 
-def _starts(content: Column, digits: str) -> Column:
-    return F.hex(F.substring(content, 1, len(digits) // 2)) == digits
+def _starts(content: Column, head: bytes, at: int = 1) -> Column:
+    return F.substring(content, at, len(head)) == F.lit(head)
 
 
 def sniff(content: Column) -> Column:
     """The kind that the first bytes tell; `unknown` if none."""
     out = None
-    for kind, digits in KINDS:
-        out = F.when(_starts(content, digits), kind) if out is None else out.when(_starts(content, digits), kind)
+    for kind, head in KINDS:
+        out = F.when(_starts(content, head), kind) if out is None else out.when(_starts(content, head), kind)
     return out.otherwise("unknown")
 
 
-def scan_files(spark: SparkSession, path: str, extensions: tuple[str, ...], max_size: int) -> DataFrame:
-    """(path, length, ext, kind, reason, content): files with the reason why one isn't admitted, null if it is. The size is
-    tested on the listing; content is read for its first bytes, and given on for admitted files only. Spark lists no empty files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+def head_agrees(ext: Column, content: Column) -> Column:
+    """Whether the first bytes are those of the extension. An XML text may begin with a byte order mark and white space;
+    a WEBP has its name at byte 9."""
     agrees = F.lit(False)
-    for e, digits in MAGIC.items():
-        agrees = agrees | ((ext == e) & _starts(F.col("content"), digits))
-    known = ext.isin(*MAGIC)
-    reason = F.when(~ext.isin(*extensions), "extension").when(F.col("length") > max_size, "size").when(known & ~agrees, "content")
+    for e, heads in MAGIC.items():
+        body = F.encode(F.regexp_replace(F.decode(F.substring(content, 1, 64), "iso-8859-1"), "^[\\u00ef\\u00bb\\u00bf \\t\\r\\n]+", ""), "iso-8859-1") if e == ".xml" else content
+        one = F.lit(False)
+        for head in heads:
+            one = one | _starts(body, head)
+        agrees = agrees | ((ext == e) & (one & _starts(content, b"WEBP", 9) if e == ".webp" else one))
+    return agrees
+
+
+def admitted(files: DataFrame, extensions: tuple[str, ...], max_size: int) -> DataFrame:
+    """files (path, length, content): (path, length, ext, kind, reason, content) with the reason why one isn't admitted,
+    null if it is; content is given on for admitted files only."""
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+    reason = F.when(~ext.isin(*extensions), "extension").when(F.col("length") > max_size, "size").when(ext.isin(*MAGIC) & ~head_agrees(ext, F.col("content")), "content")
     rows = files.select("path", "length", ext.alias("ext"), sniff(F.col("content")).alias("kind"), reason.alias("reason"), "content")
     return rows.withColumn("content", F.when(F.col("reason").isNull(), F.col("content")))
 
 
+def scan_files(spark: SparkSession, path: str, extensions: tuple[str, ...], max_size: int) -> DataFrame:
+    """As admitted, of the files below a folder. The size is tested on the listing. Spark lists no empty files."""
+    return admitted(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), extensions, max_size)
+
+
 def has_dtd(content: Column) -> Column:
     """A document type or entity near the start, or an entity near the end: tested before any parser sees the text."""
     head = F.substring(content, 1, 4096).cast("string")
@@ -90,16 +111,27 @@ TASK_LINE = r"\btask\s+([0-9a-f]{8}-[0-9a-f-]{27})\s+(?:rejected/)?failed:\s*(.*
 REQUEST_LINE = r"Request failed request_id=([0-9a-f]+) method=(\S+) path=(\S+) status=([0-9]+)"
 
 
-def scan_logs(spark: SparkSession, paths: list[str], day: str) -> DataFrame:
-    """(time, task_id, message, request_id, method, path, status) of the lines of a day that tell of a failure; the time is
-    null where it cannot be read."""
-    lines = spark.read.text(paths).where(F.startswith("value", F.lit(day)))
+def failures(lines: DataFrame, day: str | None = None) -> DataFrame:
+    """lines (value): (time, task_id, message, request_id, method, path, status) of the lines of a day, or of all days, that
+    tell of a failure; the time is null where it cannot be read."""
+    lines = lines.where(F.startswith("value", F.lit(day))) if day else lines
     part = lambda p, k: F.nullif(F.regexp_extract("value", p, k), F.lit(""))
     time = F.call_function("try_to_timestamp", F.replace(F.substring("value", 1, 23), F.lit(","), F.lit(".")), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))
-    rows = lines.select(time.alias("time"), part(TASK_LINE, 1).alias("task_id"), part(TASK_LINE, 2).alias("message"), *(part(REQUEST_LINE, k + 1).alias(c) for k, c in enumerate(("request_id", "method", "path", "status"))))
+    requests = (part(REQUEST_LINE, k + 1).alias(c) for k, c in enumerate(("request_id", "method", "path", "status")))
+    rows = lines.select(time.alias("time"), part(TASK_LINE, 1).alias("task_id"), part(TASK_LINE, 2).alias("message"), *requests)
     return rows.withColumn("status", F.col("status").cast("int")).where("task_id IS NOT NULL OR request_id IS NOT NULL")
 
 
+def scan_logs(spark: SparkSession, paths: list[str], day: str | None = None) -> DataFrame:
+    """The failures that text files tell of."""
+    return failures(spark.read.text(paths), day)
+
+
+def in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """How listings are given out: requests by time, tasks by id. Sorted by ranges."""
+    return rows.orderBy(*order)
+
+
 # fixed values: columns of the exported ledger
 HEADERS = {
     "source_file": "来源文件", "invoice_type": "票种", "invoice_number": "发票号码", "issue_date": "开票日期", "buyer_name": "购买方名称", "buyer_tax_id": "购买方税号", "seller_name": "销售方名称",

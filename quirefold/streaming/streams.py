@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger as L
 from ..operators import redact as R
+from ..operators.orders import STEPS
 from ..operators.survey import is_bot
 
 
@@ -44,25 +45,60 @@ def redacted(pages: DataFrame, presets: tuple[str, ...] = tuple(R.PRESETS), text
     return pages.withColumn(text, R.mask(F.col(text), presets))
 
 
-def ledger_batches(ledger_path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: appends what each micro-batch adds to the ledger, the first ticket of a key that it doesn't have.
-    Each batch writes its own folder, so one that is run again replaces what it wrote."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def first_batches(path: str, rows_of: Callable[[DataFrame], DataFrame], key: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: appends those of rows_of(batch), one a key, whose key the table at `path` doesn't have; exact
+    whatever comes late. The table is partitioned by batch and by a hash of the key, and a batch reads only the buckets of
+    its own keys. Each batch replaces what it wrote if it is run again."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = L.keyed(batch).where("key <> ''")
-        first = rows.groupBy("key").agg(F.min_by(F.struct("file_ref", "amount", "row_no"), F.col("row_no")).alias("e")).select("key", "e.*")
-        try:
-            known = spark.read.option("recursiveFileLookup", "true").parquet(ledger_path).where(F.col("batch") != batch_id).select("key")
-            first = first.join(known, "key", "left_anti")
-        except Exception as e:  # the ledger has no file yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        first.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(os.path.join(ledger_path, f"part={batch_id}"))
+        first = rows_of(batch).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        if _exists(spark, path):
+            mine = [r["bucket"] for r in first.select("bucket").distinct().collect()]  # `buckets` numbers at most
+            known = spark.read.parquet(path).where(F.col("bucket").isin(mine) & (F.col("batch") != batch_id)).select(key)
+            first = first.join(known, key, "left_anti")
+        place = os.path.join(path, f"batch={batch_id}")
+        first.write.mode("overwrite").partitionBy("bucket").parquet(place)
 
     return run
 
 
+def ledger_batches(ledger_path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: appends what each micro-batch adds to the ledger, the first ticket of a key that it doesn't have."""
+
+    def first(batch: DataFrame) -> DataFrame:
+        rows = L.keyed(batch).where("key <> ''")
+        return rows.groupBy("key").agg(F.min_by(F.struct("file_ref", "amount", "row_no"), F.col("row_no")).alias("e")).select("key", "e.*")
+
+    return first_batches(ledger_path, first, "key")
+
+
+def survey_batches(path: str, order: str = "ts") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the first response of each client for ever, not only within a watermark."""
+
+    def first(batch: DataFrame) -> DataFrame:
+        people = batch.where(~is_bot())
+        return people.groupBy("client_id").agg(F.min_by(F.struct(*people.columns), F.col(order)).alias("r")).select("r.*")
+
+    return first_batches(path, first, "client_id")
+
+
+def to_table(df: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream over what there is into Parquet below a folder that executors share, and reads it."""
+    q = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
+
+
+def run_batches(df: DataFrame, each: Callable[[DataFrame, int], None], folder: str) -> None:
+    df.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+
 def to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what there is, and gives what came out: for tests and bounded replays."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
@@ -77,8 +113,6 @@ def order_lifecycle(events: DataFrame) -> DataFrame:
     from pyspark.sql.streaming import StatefulProcessor
 
     class Order(StatefulProcessor):
-        STEPS = {("created", "claim"): "verified", ("verified", "fulfil"): "fulfilled", ("verified", "release"): "created"}
-
         def init(self, handle) -> None:
             self.status = handle.getValueState("status", "status string")
 
@@ -87,7 +121,7 @@ def order_lifecycle(events: DataFrame) -> DataFrame:
             out = []
             for pdf in rows:
                 for seq, action in pdf.sort_values("seq")[["seq", "action"]].itertuples(index=False):
-                    new = self.STEPS.get((now, action), now)
+                    new = STEPS.get((now, action), now)
                     out.append((key[0], seq, action, new, "accepted" if new != now else "replay" if now == "fulfilled" else "conflict"))
                     now = new
             self.status.update((now,))
