@@ -6,6 +6,10 @@ random until one is integral, the other goes on. Blocks of about BLOCK documents
 task, from the largest document to the smallest, so that documents of like size exchange mass; the one fraction that a
 block has left goes to the next level of the tree, where blocks of blocks meet, up to one block a source.
 
+Rows that repeat id, source and text are one unit of m rows: of m equal fractions p, m * p are taken, the whole part of
+that at once and the rest as one fraction. So a row that holds a third of all is one row here, and neither its block nor
+any array grows with it.
+
 Defined results: null text has size 0, a null source is a source of its own and sorts last; documents of size 0 take 0
 words; an empty table gives no rows; repeated rows are documents of their own; other columns are not read. Random
 numbers are hashes of the row and a seed, so reruns agree.
@@ -23,6 +27,8 @@ CEILING = 3
 BLOCK = 256
 SEED = 20_25
 _NEAR = 1e-9
+#: Rows that one array stands for where a unit's rows are given out again.
+_ROWS = 1 << 16
 
 
 def sizes(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
@@ -32,10 +38,12 @@ def sizes(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, ceiling: float = CEILING) -> DataFrame:
-    """(source, source_size, n_docs, target): one row a source. The water level is found by aggregates over the sources:
-    a source whose share is above its ceiling leaves, and the rest share what it could not take."""
+    """(source, source_size, n_docs, target): one row a source, from rows of sizes() or from units with a column n_rows. The
+    water level is found by aggregates over the sources: a source whose share is above its ceiling leaves, and the rest
+    share what it could not take. The sources are ranked in one task, a row each."""
+    times = F.col("n_rows") if "n_rows" in sized.columns else F.lit(1)
     order = Window.orderBy(F.col("source").asc_nulls_last())
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    by_source = sized.groupBy("source").agg(F.sum(F.col("size") * times).alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.row_number().over(order) - 1) % len(weights) + 1))
     weighed = C.written(by_source.select("*", weight.alias("weight"), (F.col("source_size") * float(ceiling)).alias("most")), "sources")
     level, full = 0.0, -1
@@ -108,16 +116,22 @@ def round_copies(units: DataFrame, seed: int = SEED) -> DataFrame:
 
 def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, ceiling: float = CEILING, seed: int = SEED) -> DataFrame:
     """(doc_id, source, mark, size, source_size, target, copies) for each row of sizes()."""
-    sized = C.written(sized, "sizes")
-    goal = C.written(targets(sized, weights, ceiling), "targets")
+    units = C.written(sized.groupBy("doc_id", "source", "mark", "size").agg(F.count(F.lit(1)).alias("n_rows")), "sizes")
+    goal = C.written(targets(units, weights, ceiling), "targets")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(ceiling)))).otherwise(F.lit(0.0))
-    g = goal.select(F.col("source").alias("g"), "n_docs", F.floor(rate + _NEAR).cast("int").alias("whole"), F.greatest(rate - F.floor(rate + _NEAR), F.lit(0.0)).alias("p"))
-    joined = sized.join(g, F.col("source").eqNullSafe(F.col("g"))).drop("g")
-    open_ = (F.col("p") > _NEAR) & (F.col("size") > 0)
-    rounded = round_copies(joined.where(open_).withColumnRenamed("n_docs", "n").drop("whole"), seed)
-    taken = rounded.drop("n").unionByName(joined.where(~open_).select("doc_id", "source", "mark", "size", F.lit(0).alias("take")))
-    back = goal.select(F.col("source").alias("g"), "source_size", "target", F.floor(rate + _NEAR).cast("int").alias("whole"))
-    return taken.join(back, F.col("source").eqNullSafe(F.col("g"))).select("doc_id", "source", "mark", "size", "source_size", "target", (F.col("whole") + F.col("take")).alias("copies"))
+    whole = F.floor(rate + _NEAR).cast("int")
+    g = goal.select(F.col("source").alias("g"), "n_docs", "source_size", "target", whole.alias("whole"), F.greatest(rate - whole, F.lit(0.0)).alias("share"))
+    mass = F.when(F.col("size") > 0, F.col("n_rows") * F.col("share")).otherwise(F.lit(0.0))
+    joined = units.join(g, F.col("source").eqNullSafe(F.col("g"))).withColumn("sure", F.floor(mass + _NEAR)).withColumn("p", F.greatest(mass - F.col("sure"), F.lit(0.0))).drop("g")
+    rounded = round_copies(joined.where(F.col("p") > _NEAR).select("doc_id", "source", "mark", "size", F.col("n_docs").alias("n"), "p"), seed)
+    taken = rounded.select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("mark").alias("m"), "take")
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & F.col("mark").eqNullSafe(F.col("m"))
+    more = F.col("sure") + F.coalesce("take", F.lit(0))  # rows of the unit that are taken once more
+    kinds = F.array(F.struct((F.col("whole") + 1).alias("copies"), more.alias("k")), F.struct(F.col("whole").alias("copies"), (F.col("n_rows") - more).alias("k")))
+    out = joined.join(taken, same, "left").select("doc_id", "source", "mark", "size", "source_size", "target", F.explode(F.filter(kinds, lambda x: x["k"] > 0)).alias("x"))
+    many = F.sequence(F.lit(0), F.floor((F.col("x.k") - 1) / _ROWS))
+    out = out.withColumn("part", F.explode(many)).withColumn("one", F.explode(F.sequence(F.lit(1), F.least(F.lit(_ROWS), F.col("x.k") - F.col("part") * _ROWS))))
+    return out.select("doc_id", "source", "mark", "size", "source_size", "target", "x.copies")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:

@@ -54,6 +54,15 @@ def _starts(lengths: Column) -> Column:
     return _let(blocks, lambda sums: F.transform(lengths, lambda _, i: _sum(F.slice(sums, F.lit(1), block(i))) + _sum(F.slice(lengths, block(i) * BLOCK + 1, i % BLOCK))))
 
 
+def _most_before(values: Column) -> Column:
+    """Largest of the values before each, and of all: one more than there are values, 0 where there is none; by blocks."""
+    most = lambda a: F.coalesce(F.array_max(a), F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / BLOCK).cast("int")), lambda b: most(F.slice(values, b * BLOCK + 1, BLOCK)))
+    block = lambda i: F.floor(i / BLOCK).cast("int")
+    before = lambda found, i: F.greatest(most(F.slice(found, F.lit(1), block(i))), most(F.slice(values, block(i) * BLOCK + 1, i % BLOCK)))
+    return _let(blocks, lambda found: F.transform(F.sequence(F.lit(0), F.size(values)), lambda i: before(found, i)))
+
+
 _EMPTY = "array<struct<start:int,end:int,hit:string,value:string>>"
 
 
@@ -154,7 +163,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         kept = F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(ends, i), F.concat(piece(F.get(ends, i), s["start"]), F.lit(mask))).otherwise(F.lit("")))
         return F.concat(F.array_join(kept, ""), piece(F.get(ends, F.size(spans)), F.size(chars)))
 
-    ends = F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: F.coalesce(F.array_max(F.transform(F.slice(spans, F.lit(1), i), lambda p: p["end"])), F.lit(0)))
+    ends = _let(F.transform(spans, lambda s: s["end"]), _most_before)
     clean = F.when(F.size(spans) > 0, _let(F.struct(F.split(F.col("__row.text"), "").alias("chars"), ends.alias("ends")), cut)).otherwise(F.col("__row.text"))
     out = scanned.withColumn("__clean", clean)
     new = {"text": F.col("__clean"), "n_chars": F.when(F.size(spans) > 0, F.length("__clean").cast("bigint")).otherwise(F.col("__row.n_chars")) if "n_chars" in columns else None}

@@ -52,6 +52,18 @@ def test_edges_and_tree(spark):
     assert M.mix(M.sizes(df.limit(0))).collect() == []
 
 
+def test_rows_that_repeat_a_hundred_thousand_times(spark):
+    n = 100_000
+    hot = spark.range(n).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'one two three' AS text", "'a' AS source")
+    rest = spark.range(300).selectExpr("id AS doc_id", "repeat('w ', CAST(id % 7 AS INT)) AS text", "IF(id % 2 = 0, 'b', 'a') AS source")
+    got = M.mix(M.sizes(hot.unionByName(rest))).groupBy("source", "doc_id", "size", "target", "source_size").agg({"copies": "sum", "*": "count"}).collect()
+    assert sum(r["count(1)"] for r in got) == n + 300
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        assert sum(r["count(1)"] * r["size"] for r in mine) == mine[0].source_size
+        assert abs(sum(r["sum(copies)"] * r["size"] for r in mine) - mine[0].target) <= 20
+
+
 def test_documents_repeat(spark):
     df = spark.createDataFrame([(1, "a b c", "x", 1), (2, "a", "y", 1), (3, "b", "y", 1), (3, "b", "y", 1), (None, None, None, None)], "doc_id bigint, text string, source string, copies int")
     out = M.mixed_documents(df)
