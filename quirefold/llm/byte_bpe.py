@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Words of a chunk at most, unless one document has more.
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 500_000
 
 _encoders: dict = {}
 

@@ -30,6 +30,8 @@ SAMPLE_DOCS = 20_000
 LONGEST_GRAM = 4
 #: Words of evidence that a document's score counts at most, so that a long text is not always certain.
 EVIDENCE = 20
+#: Bytes of the table of languages up to which it is broadcast: about 80,000 languages.
+MOST_BROADCAST = 8 << 20
 #: Rows of blobs in which the model's counts reach the driver.
 PARTS = 16
 
@@ -156,6 +158,8 @@ def _sample(labelled: DataFrame, sample_docs: int) -> tuple[list[str], DataFrame
     each = sample_docs / max(len(found), 1)
     shares = [(x, i, int(min(1.0, each / found[x]) * _SCALE)) for i, x in enumerate(sorted(found))]
     table = spark.createDataFrame(shares, "lang string, place int, share bigint")
+    # a join by language would send all texts of a language to one task
+    table = F.broadcast(table) if sum(len(x.encode()) + 100 for x in found) < MOST_BROADCAST else table
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(_SCALE)) < F.col("share")
     return sorted(found), labelled.join(table, "lang").where(drawn).select(F.col("place").alias("lang"), "text")
 
