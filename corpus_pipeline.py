@@ -37,8 +37,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of the ids and of what they decode to."""
     common.prepare(spark)
-    coded = byte_bpe.decode(byte_bpe.encode(docs, RANKS), RANKS)
-    return byte_bpe.digests(coded, "ids")
+    coded = common.written(byte_bpe.encode(docs, RANKS), "ids")  # else each task runs two Python workers, one for either way
+    return byte_bpe.digests(byte_bpe.decode(coded, RANKS), "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
