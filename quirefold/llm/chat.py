@@ -19,12 +19,23 @@ from . import common as C
 TEMPLATE = ("<|", "|>\n", "\n<|end|>\n")
 #: Sums of 2**22 turns stay below 2**63.
 _BITS = 41
+BLOCK = 256
 
 
 def _rolled(turns: Column, seed: int) -> Column:
-    """Of each prefix, the sum of the hashes of its turns."""
-    hashes = F.transform(turns, lambda t, i: F.shiftrightunsigned(F.xxhash64(F.lit(seed), i, F.coalesce(t["role"], F.lit("\0")), F.coalesce(t["text"], F.lit("\0"))), 64 - _BITS))
-    return F.aggregate(hashes, F.array().cast("array<bigint>"), lambda acc, h: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + h)))
+    """Of each prefix, the sum of the hashes of its turns; by blocks, so that no prefix is added up anew."""
+    given = lambda x: F.coalesce(F.concat(F.lit("+"), x), F.lit("-"))
+    hashes = F.transform(turns, lambda t, i: F.shiftrightunsigned(F.xxhash64(F.lit(seed), i, given(t["role"]), given(t["text"])), 64 - _BITS))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    block = lambda i: F.floor(i / BLOCK).cast("int")
+
+    def sums(h: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), block(F.size(h) - 1)), lambda b: total(F.slice(h, b * BLOCK + 1, BLOCK)))
+        upto = lambda before, i: total(F.slice(before, F.lit(1), block(i))) + total(F.slice(h, block(i) * BLOCK + 1, i % BLOCK + 1))
+        return let(blocks, lambda before: F.transform(h, lambda _, i: upto(before, i)))
+
+    return let(hashes, sums)
 
 
 def conversations_of(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -133,6 +133,11 @@ def _store(path: str, **arrays: np.ndarray) -> None:
         os.replace(part, f"{path}/{name}.npy")
 
 
+def _smallest(n: np.ndarray) -> np.ndarray:
+    """Counts in the narrowest type that holds them all, 64 bits if need be."""
+    return n.astype(np.min_scalar_type(int(n.max()) if len(n) else 0))
+
+
 def _often(n: np.ndarray) -> np.ndarray:
     """How many are 1, 2, 3, 4."""
     return np.bincount(np.minimum(n, 5).astype(np.int64), minlength=6)[1:5].astype(np.uint64)
@@ -145,7 +150,7 @@ def _add_pairs(folder: str, n_buckets: int):
         key = _pair_key(before, now)
         uniq, at, place = np.unique(key, return_index=True, return_inverse=True)
         count = np.bincount(place, n.astype(np.float64)).astype(np.uint64)
-        _store(f"{folder}/pair-{bucket}", key=uniq, n=count.astype(np.uint32))
+        _store(f"{folder}/pair-{bucket}", key=uniq, n=_smallest(count))
         v, total, n1, n2, n3 = _sum_by(before[at], count, count == 1, count == 2, count >= 3)
         w, kinds = _sum_by(now[at], np.ones(len(at)))
         rows = _rows("context", _word_bucket(v, n_buckets), (v, True), (total, False), (n1, False), (n2, False), (n3, False)) + _rows("follows", _word_bucket(w, n_buckets), (w, True), (kinds, False))
@@ -171,8 +176,8 @@ def _add_words(folder: str):
         bucket = (words if words.num_rows else follows)["bucket"][0].as_py()
         h, n = _sum_by(_joined(words, 0, True), _joined(words, 1, False))
         w, kinds = _sum_by(_joined(follows, 0, True), _joined(follows, 1, False))
-        _store(f"{folder}/word-{bucket}", key=h, n=n.astype(np.uint32))
-        _store(f"{folder}/follows-{bucket}", key=w, n=kinds.astype(np.uint32))
+        _store(f"{folder}/word-{bucket}", key=h, n=_smallest(n))
+        _store(f"{folder}/follows-{bucket}", key=w, n=_smallest(kinds))
         often = _often(kinds).tolist()
         return pa.table({k: pa.array([v], pa.int64()) for k, v in {"tokens": int(n.sum()), "distinct": len(h), "n1": often[0], "n2": often[1], "n3": often[2], "n4": often[3], "more": int((kinds >= 3).sum()), "kinds": int(kinds.sum())}.items()})
 

@@ -1,15 +1,15 @@
 """Toxic spans and document scores by a linear-chain conditional random field (operator 8).
 
 Tokens are runs of ASCII letters and digits (A-Z as a-z) and of all bytes beyond ASCII. Features are hashes: the word,
-and its first four, five and six bytes. Chains are sentences; one of more than CHAIN tokens is cut into several.
+its first four, five and six bytes, and the words before and after it in the sentence. Chains are whole sentences.
 
 Learning uses SAMPLE labelled documents of either class at most, chosen by hash (the bound is this parameter). Labels
 belong to documents, so tokens are labelled first: among features that hardly occur in clean documents, the one that
 explains most of the toxic documents not yet explained is taken, until none explains SUPPORT of them; tokens with such a
 feature in toxic documents are toxic. The field is then fitted to these tokens and their surroundings.
 
-Scoring runs forward-backward over every sentence of every whole text. A document's score is the probability that one of
-its tokens is toxic, from the marginals of FLOOR and more; spans are tokens of a marginal of one half and more.
+Scoring runs forward-backward over every sentence of every whole text. A document's score is the largest marginal of its
+tokens, so that a long text is not suspect for its length; spans are tokens of a marginal of one half and more.
 
 Defined results: null and empty texts score 0; so do all if nothing was learned; a null id is never held out; rows repeat
 as in the input; a document with several labels counts as toxic if one says so; other columns are not read.
@@ -28,10 +28,10 @@ from . import common as C
 SAMPLE = 2_000
 SUPPORT = 3
 PRECISION = 0.99
-CHAIN = 64
 TABLE_BITS = 20
 PREFIXES = (4, 5, 6)
-FLOOR = 0.2
+#: Columns of a token's own features; two of its neighbours follow.
+OWN = 1 + len(PREFIXES)
 EPOCHS = 12
 _SCALE = 1 << 20
 
@@ -58,7 +58,7 @@ class Tokens:
         self.doc = np.searchsorted(offsets, self.start, side="right") - 1
         n = len(self.start)
         if not n:
-            self.features, self.chain, self.stop = np.zeros((0, 1 + len(PREFIXES)), np.int64), np.zeros(0, np.int64), self.start
+            self.features, self.chain, self.stop = np.zeros((0, OWN + 2), np.int64), np.zeros(0, np.int64), self.start
             return
         stops = np.append(self.start, len(data))[1:]
         length = np.diff(np.concatenate(([0], np.cumsum(inside))) [np.append(self.start, len(data))])
@@ -68,14 +68,15 @@ class Tokens:
         value = np.where(_SEP[part], np.uint64(0), C._LOWER[part] * C._powers(int(place.max()) + 1)[place])
         at = self.start - self.start[0]
         columns = [np.add.reduceat(value, at)] + [np.add.reduceat(np.where(place < k, value, np.uint64(0)), at) + np.uint64(k) for k in PREFIXES]
-        self.features = np.stack([(C.mix(c) >> np.uint64(64 - TABLE_BITS)).astype(np.int64) for c in columns], axis=1)
         enders = np.concatenate(([0], np.cumsum(_ENDS[data])))[self.start]
         new = np.ones(n, bool)
         new[1:] = (np.diff(enders) > 0) | (np.diff(self.doc) > 0)
-        sentence = np.cumsum(new) - 1
-        within = np.arange(n) - np.flatnonzero(new)[sentence]
-        new |= within % CHAIN == 0
         self.chain = np.cumsum(new) - 1
+        word, last = C.mix(columns[0]), np.append(new[1:], True)
+        before, after = np.append(np.uint64(0), word[:-1]), np.append(word[1:], np.uint64(0))
+        before[new], after[last] = 0, 0
+        columns += [before + np.uint64(101), after + np.uint64(202)]
+        self.features = np.stack([(C.mix(c) >> np.uint64(64 - TABLE_BITS)).astype(np.int64) for c in columns], axis=1)
 
 
 def _grid(chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,9 +87,19 @@ def _grid(chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def marginals(unary: np.ndarray, chain: np.ndarray, jump: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probability of label 1 for each token, and of each pair of labels (from, to) summed over all steps.
-    unary: score of label 1 (label 0 scores 0); jump: scores of the four label pairs."""
-    if not len(unary):
-        return np.zeros(0), np.zeros((2, 2))
+    unary: score of label 1 (label 0 scores 0); jump: scores of the four label pairs. Chains of like length are worked
+    through together, so that a long one takes no room for the others."""
+    p, pairs = np.zeros(len(unary)), np.zeros((2, 2))
+    size = np.bincount(chain)[chain] if len(chain) else np.zeros(0, np.int64)
+    kind = np.frexp(np.maximum(size - 1, 0).astype(np.float64))[1]
+    for k in np.unique(kind):
+        mine = np.flatnonzero(kind == k)
+        p[mine], more = _marginals(unary[mine], np.unique(chain[mine], return_inverse=True)[1], jump)
+        pairs += more
+    return p, pairs
+
+
+def _marginals(unary: np.ndarray, chain: np.ndarray, jump: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     step, n = _grid(chain)
     order = np.argsort(-n, kind="stable")  # longest chains first, so that those still running are a prefix
     row = np.empty_like(order)
@@ -149,24 +160,24 @@ def explain(features: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return np.array(chosen, np.int64)
 
 
-def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, text, chain) of all tokens, made by smaller parts: hashing takes room of many times the bytes."""
-    parts, chains = [(np.zeros((0, 1 + len(PREFIXES)), np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32))], 0
-    for at in range(0, len(texts), 200):
-        t = Tokens(pa.array(texts[at : at + 200], pa.large_string()))
-        parts.append((t.features.astype(np.int32), (t.doc + at).astype(np.int32), (t.chain + chains).astype(np.int32)))
-        chains += int(t.chain[-1]) + 1 if len(t.chain) else 0
-    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+def _packed(batches):
+    """(toxic, features, chains) of each text of (text, toxic): the driver gets hashes and no text."""
+    for batch in C.slices(batches, "text"):
+        t = Tokens(batch.column(0))
+        ends = np.searchsorted(t.doc, np.arange(len(batch) + 1))
+        cut = [(t.features[a:b], t.chain[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        features = [C.pack(f.reshape(-1).astype(np.uint64)) for f, _ in cut]
+        chains = [C.pack((c - c[:1].sum()).astype(np.uint64), True) for _, c in cut]
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(features, pa.binary()), pa.array(chains, pa.binary())], ["toxic", "features", "chains"])
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> dict:
-    """Weights by hashed feature, and the scores of label pairs."""
-    features, owner, chain = _tokens(texts)
-    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    marks = explain([np.unique(features[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], toxic)
+def fit(features: np.ndarray, owner: np.ndarray, chain: np.ndarray, toxic: np.ndarray) -> dict:
+    """Weights by hashed feature, and the scores of label pairs. owner: the text of each token; toxic: of each text."""
+    bounds = np.searchsorted(owner, np.arange(len(toxic) + 1))
+    marks = explain([np.unique(features[a:b, :OWN]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], toxic)
     is_mark = np.zeros(1 << TABLE_BITS, bool)
     is_mark[marks] = True
-    label = is_mark[features].any(axis=1) & toxic[owner]
+    label = is_mark[features[:, :OWN]].any(axis=1) & toxic[owner]
     # chains with a toxic token whole; of the others each tenth
     hot = np.zeros(int(chain.max()) + 1 if len(chain) else 0, bool)
     hot[chain[label]] = True
@@ -176,7 +187,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> dict:
     chain = np.unique(chain[use], return_inverse=True)[1]
     w, jump = np.zeros(1 << TABLE_BITS), np.zeros((2, 2))
     if not len(y):
-        return {"weights": w, "jump": jump, "bias": -60.0}
+        return {"weights": w, "jump": jump, "bias": -np.inf}  # no token is toxic
     same = chain[1:] == chain[:-1]
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[:-1][same].astype(int), y[1:][same].astype(int)), 1)
@@ -201,9 +212,17 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     draw = F.pmod(F.xxhash64("__id", F.lit(8)), F.lit(_SCALE))
     share = F.when(F.col("__toxic") == 1, F.lit(min(1.0, sample / max(size.get(1, 0), 1)))).otherwise(F.lit(min(1.0, sample / max(size.get(0, 0), 1))))
     chosen = known.where(draw < share * _SCALE)  # as many rows as the sample, whatever the corpus: small enough to broadcast
-    rows = docs.where(F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).select(F.col(text).alias("text"), "__toxic").toPandas()
-    rows = rows.groupby("text", as_index=False)["__toxic"].max().sort_values("text")
-    return fit(rows["text"].tolist(), rows["__toxic"].to_numpy() == 1)
+    drawn = docs.where(F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).select(F.col(text).alias("text"), "__toxic")
+    once = drawn.groupBy(F.xxhash64("text").alias("mark")).agg(F.max(F.struct("__toxic", "text")).alias("r")).orderBy("mark").select("r.text", F.col("r.__toxic").cast("int").alias("toxic"))
+    rows = once.mapInArrow(_packed, "toxic int, features binary, chains binary").collect()
+    features, owner, chain, chains = [np.zeros((0, OWN + 2), np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
+    for i, r in enumerate(rows):
+        features.append(C.unpack(r["features"]).astype(np.int32).reshape(-1, OWN + 2))
+        own = C.unpack(r["chains"], True).astype(np.int32)
+        owner.append(np.full(len(own), i, np.int32))
+        chain.append(own + chains)
+        chains += int(own[-1]) + 1 if len(own) else 0
+    return fit(np.concatenate(features), np.concatenate(owner), np.concatenate(chain), np.array([r["toxic"] == 1 for r in rows], bool))
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -215,8 +234,8 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...
         for batch in C.slices(batches, "__text"):
             t = Tokens(batch.column(0))
             p, _ = marginals(m["weights"][t.features].sum(axis=1, dtype=np.float64) + m["bias"], t.chain, m["jump"])
-            likely = p >= FLOOR
-            none = np.bincount(t.doc[likely], np.log1p(-np.minimum(p[likely], 1 - 1e-9)), minlength=len(batch))
+            most = np.zeros(len(batch))
+            np.maximum.at(most, t.doc, p if np.isfinite(m["bias"]) else 0.0)
             spans: list[list] = [[] for _ in range(len(batch))]
             if (hits := np.flatnonzero(p >= 0.5)).size:
                 points = np.concatenate(([0], np.cumsum((t.data & 0xC0) != 0x80)))
@@ -225,7 +244,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...
                     d = t.doc[k]
                     spans[d].append({"start": int(points[t.start[k]] - begin[d]), "end": int(points[t.stop[k]] - begin[d])})
             span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(0.0 - np.expm1(none), pa.float64()), pa.array(spans, span_type)], [*batch.schema.names[1:], "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(most, pa.float64()), pa.array(spans, span_type)], [*batch.schema.names[1:], "score", "spans"])
 
     kept = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__text"), *keep)
     return kept.mapInArrow(run, kept.drop("__text").schema.add("score", "double").add("spans", ArrayType(StructType().add("start", "integer").add("end", "integer"))))

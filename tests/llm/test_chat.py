@@ -1,3 +1,5 @@
+import time
+
 import duckdb
 
 from quirefold.llm import chat
@@ -33,3 +35,16 @@ def test_edges(spark):
     got = {r.conv_id: (r.n_turns, r.n_copies, r.chat) for r in chat.maximal(df).select("conv_id", "n_turns", "n_copies", chat.rendered(chat.F.col("turns")).alias("chat")).collect()}
     assert got == brute(rows)
     assert chat.maximal(df.limit(0)).collect() == []
+
+
+def test_a_conversation_of_40000_turns(spark):
+    turns = spark.range(40_000).selectExpr("1L AS conv_id", "id AS turn", "'user' AS role", "'t' AS text")
+    began = time.time()
+    got = chat.maximal(turns.unionByName(turns.where("turn < 39000").selectExpr("2L AS conv_id", "turn", "role", "text"))).select("conv_id", "n_turns").collect()
+    assert [tuple(r) for r in got] == [(1, 40_000)] and time.time() - began < 40
+
+
+def test_null_is_not_a_text(spark):
+    rows = [(1, 0, None, "a"), (2, 0, "\0", "a"), (2, 1, "x", "b"), (3, 0, "+", None), (4, 0, "+", "-"), (4, 1, "x", "b")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    assert sorted(r.conv_id for r in chat.maximal(df).collect()) == [1, 2, 3, 4]

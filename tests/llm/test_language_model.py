@@ -1,4 +1,6 @@
 import math
+
+import numpy as np
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -61,3 +63,10 @@ def test_edges(spark):
     none = M.train(df.limit(0))
     assert [r.score for r in M.score(df.where("doc_id = 1"), none).collect()] == [0.0]
     assert M.score(df.limit(0), none).collect() == []
+
+
+def test_counts_beyond_32_bits_are_kept():
+    for most in (0, 255, 256, 1 << 32, (1 << 53) - 1):
+        n = M._smallest(np.array([1, most], np.uint64))
+        assert n.tolist() == [1, most]
+    assert M._smallest(np.zeros(0, np.uint64)).tolist() == []

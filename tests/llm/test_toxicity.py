@@ -58,3 +58,31 @@ def test_tokens_of_a_slice():
     t = T.Tokens(pa.array(["skip", "Ab c. dé!", "", "x"]).slice(1))
     assert t.doc.tolist() == [0, 0, 0, 2] and t.chain.tolist() == [0, 0, 1, 2]
     assert [bytes(t.data[a:b]).decode() for a, b in zip(t.start, t.stop)] == ["Ab", "c", "dé", "x"]
+
+
+def test_a_sentence_of_any_length_is_one_chain():
+    rnd = np.random.default_rng(2)
+    sizes = [1, 2, 3, 700, 64, 65, 5000]
+    chain = np.repeat(np.arange(len(sizes)), sizes)
+    unary, jump = rnd.normal(size=len(chain)), rnd.normal(size=(2, 2))
+    p, pairs = T.marginals(unary, chain, jump)
+    apart = [T._marginals(unary[chain == c], np.zeros(n, np.int64), jump) for c, n in enumerate(sizes)]
+    assert np.allclose(p, np.concatenate([x for x, _ in apart])) and np.allclose(pairs, sum(y for _, y in apart))
+    long = T.Tokens(pa.array(["word " * 300 + ". end"]))
+    assert long.chain.tolist() == [0] * 300 + [1]
+
+
+def test_scores_are_the_largest_marginals(spark):
+    """Brute force of the scores: the path sums of each sentence, token by token."""
+    rnd = np.random.default_rng(4)
+    model = {"weights": rnd.normal(size=1 << T.TABLE_BITS).astype(np.float32), "jump": rnd.normal(size=(2, 2)), "bias": -1.0}
+    texts = ["One two three. Four five", "a b c d e f", "", "é! x"]
+    got = [r.score for r in T.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).orderBy("doc_id").collect()]
+    for text, score in zip(texts, got, strict=True):
+        t, best = T.Tokens(pa.array([text])), 0.0
+        u = model["weights"][t.features].sum(axis=1, dtype=np.float64) + model["bias"]
+        for c in set(t.chain.tolist()):
+            at = np.flatnonzero(t.chain == c)
+            paths = [(y, math.exp(sum(u[k] for k, on in zip(at, y) if on) + sum(model["jump"][a, b] for a, b in zip(y, y[1:])))) for y in itertools.product((0, 1), repeat=len(at))]
+            best = max(best, *(sum(w for y, w in paths if y[i]) / sum(w for _, w in paths) for i in range(len(at))))
+        assert abs(score - best) < 1e-6
