@@ -1,15 +1,19 @@
-"""Language-model scores by an interpolated modified Kneser-Ney model of word pairs (operator 6).
+"""Language-model scores by an interpolated modified Kneser-Ney n-gram model (operator 6).
 
-Counting. Tasks count the words and word pairs of some millions of tokens at a time and send sorted, packed counts to
-hash buckets, which add them up. A bucket of pairs is written as sorted arrays of hashes and counts; what it knows of
-each context and of each word's number of different predecessors goes on to the buckets of contexts and words. Numbers of
-buckets follow the corpus.
+Words are counted first and numbered, in each hash bucket from its commonest word on, so that the numbers of common
+words are small and pack well. Then tasks count the sequences of `order` words of some millions of tokens at a time and
+send sorted, packed numbers and counts to hash buckets, which add them up. A bucket of k-word sequences is written as
+sorted arrays of hashes with what belongs to them; what it knows of each sequence's first k - 1 words (total and how many
+counts of 1, 2 and more follow) and of its last k - 1 words (one more different predecessor) goes on to the buckets one
+order lower, down to single words. Numbers of buckets follow the corpus.
 
-Scoring. Workers map the sorted arrays of the shared folder into memory and look up hashes by binary search. The folder
-of spark.checkpoint.dir has to be one that executors see as a path (file:/ or no scheme): only such files can be mapped.
+Scoring. Workers map the arrays of the shared folder into memory and look up hashes by binary search. The folder of
+spark.checkpoint.dir has to be one that executors see as a path (file:/ or no scheme): only such files can be mapped.
 
-Tokens of a text: its words (common.WORD, A-Z as a-z), then one end. The order is 2: a table of three-word sequences of
-this corpus is as large as the corpus. Hashes keep 40 bits of each word of a pair.
+Counts are those of the corpus in the highest order and numbers of different predecessors below it; each text begins with
+order - 1 start marks, which are no tokens, and below the words every token is equally likely. Tokens of a text: its
+words (common.WORD, A-Z as a-z), then one end. Nothing is pruned. An array keeps 32 bits of a hash besides its place
+among ranges of about 16 sequences, so that 4 of 10^9 unknown sequences are taken for known ones, at any size.
 
 Defined results: null text is empty and has one token, the end; with nothing to learn from, every probability is that of
 an unknown word; rows repeat as in the input; a null id is never held out; other columns are not read.
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -27,159 +32,237 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Tokens that a task counts, or looks up, at a time.
+ORDER = 3
+#: Tokens that a task counts at a time.
 BLOCK_TOKENS = 2_000_000
-BITS = 40
+#: Bytes of text for each bucket of sequences.
+BUCKET_BYTES = 16 << 20
+#: Mapped files that a worker holds open; more are opened again when needed.
+MOST_OPEN = 2_000
 _U = np.uint64
+_LOW = _U(0xFFFFFFFF)
 _START, _END = _U(0x5EED000000000001), _U(0x5EED000000000003)
+#: The number of the start mark, and of a word that was not learned.
+_START_ID, _UNKNOWN_ID = _U(0), _U(1 << 63)
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, hash of the token before, place of the text) of all tokens; before the first token stands a start mark."""
+def tokens(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place of the text) of order - 1 start marks, the words and the end of each text."""
     words, doc = C.word_hashes(texts)
     n = np.bincount(doc, minlength=len(texts)).astype(np.int64) if len(doc) else np.zeros(len(texts), np.int64)
-    ends = np.cumsum(n + 1) - 1
-    out = np.full(len(words) + len(texts), _END, np.uint64)
-    out[np.arange(len(words)) + doc] = words
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
-    before[ends - n] = _START
-    return out, before, np.repeat(np.arange(len(texts)), n + 1)
-
-
-def _narrow(h: np.ndarray) -> np.ndarray:
-    return h >> _U(64 - BITS)
-
-
-def _pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return C.mix(before * _U(0xA24BAED4963EE407) ^ C.mix(word))
-
-
-def _bucket_of(h: np.ndarray, n: int) -> np.ndarray:
-    """Buckets ascend with the hash."""
-    return ((h >> _U(32)) * _U(n)) >> _U(32)
-
-
-def _word_bucket(narrow: np.ndarray, n: int) -> np.ndarray:
-    return _bucket_of(narrow << _U(64 - BITS), n)
+    ends = np.cumsum(n + order) - 1
+    out = np.full(len(words) + order * len(texts), _START, np.uint64)
+    out[np.arange(len(words)) + doc * order + order - 1] = words
+    out[ends] = _END
+    return out, np.repeat(np.arange(len(texts)), n + order)
+
+
+def gram_keys(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hash of each sequence of word numbers, given by columns."""
+    key = np.full(len(columns[0]), len(columns), np.uint64)
+    for c in columns:
+        key = C.mix(key * _U(0xA24BAED4963EE407) + c)
+    return key
+
+
+def _place(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each hash, and where in the bucket's range it lies, in 2^-32."""
+    x = (keys >> _U(32)) * _U(n)
+    return x >> _U(32), x & _LOW
+
+
+# -- sorted arrays in files --------------------------------------------------------------------------------------------
+
+
+def store(path: str, keys: np.ndarray, values: list[np.ndarray], n_buckets: int) -> None:
+    """A file of one bucket: the different rows of values, where ranges of hashes start, 32 bits of each hash in order,
+    and the row of each. A repeated task writes the same again, and readers see whole files only."""
+    heads = max(1, len(keys) // 16)
+    head = (_place(keys, n_buckets)[1] * _U(heads)) >> _U(32)
+    o = np.argsort(head << _U(32) | keys & _LOW)
+    fold = np.zeros(len(keys), np.uint64)
+    for v in values:
+        fold = C.mix(fold * _U(0xA24BAED4963EE407) + v.astype(np.uint64))
+    _, first, row = np.unique(fold, return_index=True, return_inverse=True)
+    rows = np.stack([v.astype(np.uint64)[first] for v in values])
+    starts = np.concatenate(([0], np.cumsum(np.bincount(head.astype(np.int64), minlength=heads)))).astype(np.uint32)
+    row = row[o].astype(np.min_scalar_type(max(len(first) - 1, 0)))
+    sizes = np.array([len(keys), heads, *rows.shape, row.itemsize], np.uint64)
+    part = f"{path}.{uuid.uuid4().hex}"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(part, "wb") as f:
+        for a in (sizes, rows, starts, (keys[o] & _LOW).astype(np.uint32), row):
+            f.write(np.ascontiguousarray(a).tobytes())
+    os.replace(part, path)
+
+
+class Arrays:
+    """The files of a folder, mapped into memory."""
+
+    def __init__(self, folder: str, n_buckets: int):
+        self.folder, self.n, self.files = folder, n_buckets, OrderedDict()
+
+    def _open(self, path: str):
+        if path in self.files:
+            self.files.move_to_end(path)
+            return self.files[path]
+        parts = None
+        if os.path.exists(path):
+            raw = np.memmap(path, np.uint8, "r")
+            n, heads, width, rows, size = raw[:40].view(np.uint64).astype(np.int64).tolist()
+            cuts = np.cumsum([40, 8 * width * rows, 4 * (heads + 1), 4 * n, size * n])
+            table, starts, tails, row = (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+            parts = table.view(np.uint64).reshape(width, rows), starts.view(np.uint32), tails.view(np.uint32), row.view(f"u{size}")
+        self.files[path] = parts
+        if len(self.files) > MOST_OPEN:
+            self.files.popitem(last=False)
+        return parts
+
+    def find(self, level: str, keys: np.ndarray, width: int) -> np.ndarray:
+        """Values of ascending hashes, one column each; 0 where a hash is unknown."""
+        out = np.zeros((width, len(keys)), np.uint64)
+        bucket, part = _place(keys, self.n)
+        full, at = np.unique(bucket, return_index=True)
+        for b, i, j in zip(full.tolist(), at, np.append(at, len(keys))[1:], strict=True):
+            parts = self._open(f"{self.folder}/{level}/{b}")
+            if parts is None or not len(parts[2]):
+                continue
+            table, starts, tails, row = parts
+            head = ((part[i:j] * _U(len(starts) - 1)) >> _U(32)).astype(np.int64)
+            want = (keys[i:j] & _LOW).astype(np.uint32)
+            lo, end = starts[head].astype(np.int64), starts[head + 1].astype(np.int64)
+            hi = end
+            for _ in range(int((end - lo).max()).bit_length()):
+                mid = (lo + hi) >> 1
+                less = (lo < hi) & (tails[np.minimum(mid, len(tails) - 1)] < want)
+                lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            lo_in = np.minimum(lo, len(tails) - 1)
+            known = np.flatnonzero((lo < end) & (tails[lo_in] == want))
+            out[:, i + known] = table[:, row[lo_in[known]]]
+        return out
 
+    def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, training count) of words by hash."""
+        uniq, back = np.unique(hashes, return_inverse=True)
+        count, rank = self.find("word", uniq, 2)
+        ids = np.where(count > 0, _U(1) + rank * _U(self.n) + _place(uniq, self.n)[0], _UNKNOWN_ID)
+        ids[uniq == _START] = _START_ID
+        return ids[back], count[back]
 
-def _rows(kind: str, buckets: np.ndarray, *columns: tuple[np.ndarray, bool]) -> list[dict]:
-    """A row for each run of equal buckets."""
-    full, at = np.unique(buckets, return_index=True)
-    return [{"kind": kind, "bucket": int(k), "arrays": [C.pack(x[a:b], up) for x, up in columns]} for k, a, b in zip(full, at, np.append(at, len(buckets))[1:], strict=True)]
 
+# -- counting ----------------------------------------------------------------------------------------------------------
 
 _PACKED = "kind string, bucket bigint, arrays array<binary>"
 _ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("arrays", pa.list_(pa.binary()))])
+_STATS = ["level", "n1", "n2", "n3", "n4", "more", "total"]
 
 
-def _pair_rows(before: np.ndarray, now: np.ndarray, n_buckets: int) -> list[dict]:
-    key, at, n = np.unique(_pair_key(before, now), return_index=True, return_counts=True)
-    bucket, before, now = _bucket_of(key, n_buckets), before[at], now[at]
-    rows, cuts = [], np.flatnonzero(np.diff(bucket)) + 1
-    for b, v, w, c in zip(bucket[np.concatenate(([0], cuts))], np.split(before, cuts), np.split(now, cuts), np.split(n, cuts), strict=True):
-        o = np.argsort(v)
-        rows.append({"kind": "pair", "bucket": int(b), "arrays": [C.pack(v[o], True), C.pack(w[o]), C.pack(c[o])]})
-    return rows
+def _gram_rows(columns: list[np.ndarray], values: list[np.ndarray], bucket: np.ndarray) -> list[dict]:
+    """A row for each bucket: packed columns of word numbers, sorted, the first as differences; all values together."""
+    o = np.lexsort((*columns[::-1], bucket))
+    bucket, columns, values = bucket[o], [c[o] for c in columns], [v[o] for v in values]
+    full, at = np.unique(bucket, return_index=True)
+    return [
+        {"kind": "gram", "bucket": int(k), "arrays": [C.pack(c[a:b], i == 0) for i, c in enumerate(columns)] + [C.pack(np.concatenate([v[a:b] for v in values]))]}
+        for k, a, b in zip(full, at, np.append(at, len(bucket))[1:], strict=True)
+    ]
 
 
-def _word_rows(word: np.ndarray, n_buckets: int) -> list[dict]:
-    h, n = np.unique(word, return_counts=True)
-    return _rows("word", _bucket_of(h, n_buckets), (h, True), (n, False))
+def _grams(t: pa.Table, order: int, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The columns and values of all rows of a group."""
+    columns, values = [[np.zeros(0, np.uint64)] for _ in range(order)], [[np.zeros(0, np.uint64)] for _ in range(width)]
+    for kind, arrays in zip(t["kind"].to_pylist(), t["arrays"].to_pylist(), strict=True):
+        if kind == "gram":
+            for i in range(order):
+                columns[i].append(C.unpack(arrays[i], i == 0))
+            for v, a in zip(values, np.split(C.unpack(arrays[order]), width), strict=True):
+                v.append(a)
+    return [np.concatenate(c) for c in columns], [np.concatenate(v) for v in values]
 
 
-def _count(n_buckets: int, pairs: bool):
-    """Counts of pairs, or of words, of some millions of tokens at a time."""
+def _sum_by(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(different keys, first place of each, sums of values)."""
+    uniq, first, place = np.unique(key, return_index=True, return_inverse=True)
+    return uniq, first, [np.bincount(place, v.astype(np.float64), len(uniq)).astype(np.uint64) for v in values]
 
-    def counted(parts):
-        if pairs:
-            rows = _pair_rows(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), n_buckets)
-        else:
-            rows = _word_rows(np.concatenate([p[0] for p in parts]), n_buckets)
-        return pa.RecordBatch.from_pylist(rows, _ARROW)
+
+def _blocks(texts_of, counted):
+    """Some millions of tokens at a time."""
 
     def run(batches):
         parts, n = [], 0
         for batch in C.slices(batches, "text"):
-            word, before, _ = tokens(batch.column(0))
-            parts.append((_narrow(before), _narrow(word)) if pairs else (word,))
-            n += len(word)
+            parts.append(texts_of(batch.column(0)))
+            n += len(parts[-1])
             if n >= BLOCK_TOKENS:
-                yield counted(parts)
+                yield pa.RecordBatch.from_pylist(counted(np.concatenate(parts)), _ARROW)
                 parts, n = [], 0
         if parts:
-            yield counted(parts)
+            yield pa.RecordBatch.from_pylist(counted(np.concatenate(parts)), _ARROW)
 
     return run
 
 
-def _sum_by(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    uniq, place = np.unique(key, return_inverse=True)
-    return uniq, *(np.bincount(place, v.astype(np.float64), len(uniq)).astype(np.uint64) for v in values)
-
+def _count_words(n_buckets: int):
+    def counted(hashes):
+        h, n = np.unique(hashes, return_counts=True)
+        return _gram_rows([h], [n], _place(h, n_buckets)[0])
 
-def _joined(t: pa.Table, k: int, ascending: bool) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint64), *(C.unpack(a[k], ascending) for a in t["arrays"].to_pylist())])
+    return _blocks(lambda texts: tokens(texts, 1)[0], counted)
 
 
-def _store(path: str, **arrays: np.ndarray) -> None:
-    """Each array as a file; a repeated task writes the same again, and readers see whole files only."""
-    os.makedirs(path, exist_ok=True)
-    for name, a in arrays.items():
-        part = f"{path}/.{name}-{uuid.uuid4().hex}"
-        with open(part, "wb") as f:
-            np.save(f, a)
-        os.replace(part, f"{path}/{name}.npy")
-
+def _add_words(folder: str, n_buckets: int):
+    def run(t: pa.Table) -> pa.Table:
+        (h,), values = _grams(t, 1, 1)
+        h, _, (n,) = _sum_by(h, values)
+        rank = np.empty(len(h), np.uint64)
+        rank[np.argsort(-n.astype(np.int64), kind="stable")] = np.arange(len(h))
+        store(f"{folder}/word/{t['bucket'][0].as_py()}", h, [n, rank], n_buckets)
+        return pa.table({"tokens": pa.array([int(n.sum())], pa.int64()), "distinct": pa.array([len(h)], pa.int64())})
 
-def _smallest(n: np.ndarray) -> np.ndarray:
-    """Counts in the narrowest type that holds them all, 64 bits if need be."""
-    return n.astype(np.min_scalar_type(int(n.max()) if len(n) else 0))
+    return run
 
 
-def _often(n: np.ndarray) -> np.ndarray:
-    """How many are 1, 2, 3, 4."""
-    return np.bincount(np.minimum(n, 5).astype(np.int64), minlength=6)[1:5].astype(np.uint64)
+def _count_grams(folder: str, n_buckets: int, order: int):
+    def run(batches):
+        arrays = Arrays(folder, n_buckets)
 
+        def counted(ids):
+            ends = np.flatnonzero(ids != _START_ID)
+            columns = [ids[ends - k] for k in range(order - 1, -1, -1)]
+            key, first, n = np.unique(gram_keys(columns), return_index=True, return_counts=True)
+            return _gram_rows([c[first] for c in columns], [n], _place(key, n_buckets)[0])
 
-def _add_pairs(folder: str, n_buckets: int):
-    def run(t: pa.Table) -> pa.Table:
-        bucket = t["bucket"][0].as_py()
-        before, now, n = _joined(t, 0, True), _joined(t, 1, False), _joined(t, 2, False)
-        key = _pair_key(before, now)
-        uniq, at, place = np.unique(key, return_index=True, return_inverse=True)
-        count = np.bincount(place, n.astype(np.float64)).astype(np.uint64)
-        _store(f"{folder}/pair-{bucket}", key=uniq, n=_smallest(count))
-        v, total, n1, n2, n3 = _sum_by(before[at], count, count == 1, count == 2, count >= 3)
-        w, kinds = _sum_by(now[at], np.ones(len(at)))
-        rows = _rows("context", _word_bucket(v, n_buckets), (v, True), (total, False), (n1, False), (n2, False), (n3, False)) + _rows("follows", _word_bucket(w, n_buckets), (w, True), (kinds, False))
-        rows.append({"kind": "stats", "bucket": bucket, "arrays": [C.pack(np.append(_often(count), len(count)))]})
-        return pa.Table.from_pylist(rows, _ARROW)
+        yield from _blocks(lambda texts: arrays.numbers(tokens(texts, order)[0])[0], counted)(batches)
 
     return run
 
 
-def _add_contexts(folder: str, discounts: list[float]):
+def _add_grams(folder: str, n_buckets: int, level: int, order: int):
+    """Stores a bucket of `level` words: its count (predecessors below the order), and of the counts that follow it: their
+    total and how many are 1, 2 and more. Gives rows for the level below, and statistics."""
+    width = 1 if level == order else 5
+
     def run(t: pa.Table) -> pa.Table:
         bucket = t["bucket"][0].as_py()
-        v, total, n1, n2, n3 = _sum_by(_joined(t, 0, True), *(_joined(t, k, False) for k in range(1, 5)))
-        back_off = (discounts[0] * n1 + discounts[1] * n2 + discounts[2] * n3) / total
-        _store(f"{folder}/context-{bucket}", key=v, total=total.astype(np.float64), back_off=back_off)
-        return pa.table({"bucket": pa.array([bucket], pa.int64())})
-
-    return run
-
-
-def _add_words(folder: str):
-    def run(words: pa.Table, follows: pa.Table) -> pa.Table:
-        bucket = (words if words.num_rows else follows)["bucket"][0].as_py()
-        h, n = _sum_by(_joined(words, 0, True), _joined(words, 1, False))
-        w, kinds = _sum_by(_joined(follows, 0, True), _joined(follows, 1, False))
-        _store(f"{folder}/word-{bucket}", key=h, n=_smallest(n))
-        _store(f"{folder}/follows-{bucket}", key=w, n=_smallest(kinds))
-        often = _often(kinds).tolist()
-        return pa.table({k: pa.array([v], pa.int64()) for k, v in {"tokens": int(n.sum()), "distinct": len(h), "n1": often[0], "n2": often[1], "n3": often[2], "n4": often[3], "more": int((kinds >= 3).sum()), "kinds": int(kinds.sum())}.items()})
+        columns, values = _grams(t, level, width)
+        key, first, values = _sum_by(gram_keys(columns), values)
+        columns = [c[first] for c in columns]
+        store(f"{folder}/{level}/{bucket}", key, values, n_buckets)
+        n = values[0]
+        own = [level, *np.bincount(np.minimum(n, 5).astype(np.int64), minlength=6)[1:5].tolist(), int((n >= 3).sum()), int(n.sum())]
+        stats = [own] + [C.unpack(a[0]).tolist() for k, a in zip(t["kind"].to_pylist(), t["arrays"].to_pylist(), strict=True) if k == "stats"]
+        if level == 1:
+            return pa.table({name: pa.array([s[i] for s in stats], pa.int64()) for i, name in enumerate(_STATS)})
+        used = n > 0
+        n, columns = n[used], [c[used] for c in columns]
+        none, one = np.zeros(len(n), np.uint64), np.ones(len(n), np.uint64)
+        below = [np.concatenate(pair) for pair in zip(columns[1:], columns[:-1], strict=True)]
+        given = [np.concatenate(pair) for pair in ((one, none), (none, n), (none, n == 1), (none, n == 2), (none, n >= 3))]
+        key, first, given = _sum_by(gram_keys(below), given)
+        rows = _gram_rows([c[first] for c in below], given, _place(key, n_buckets)[0])
+        rows += [{"kind": "stats", "bucket": bucket, "arrays": [C.pack(np.array(s, np.uint64))]} for s in stats]
+        return pa.Table.from_pylist(rows, _ARROW)
 
     return run
 
@@ -200,73 +283,45 @@ def _path(folder: str) -> str:
     return folder
 
 
-def train(docs: DataFrame, text: str = "text") -> dict:
+def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> dict:
     """Where the arrays are, and the model's few numbers."""
     folder = _path(C.shared_folder(docs.sparkSession, "language-model"))
-    n = C.buckets_for(C.text_bytes(docs, text))
+    n = C.buckets_for(C.text_bytes(docs, text), BUCKET_BYTES)
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    added = C.written(texts.mapInArrow(_count(n, True), _PACKED).groupBy("bucket").applyInArrow(_add_pairs(folder, n), _PACKED), "added")
-    stats = np.zeros(5, np.uint64)
-    for r in added.where("kind = 'stats'").select("arrays").toLocalIterator():
-        stats += C.unpack(bytes(r["arrays"][0]))
-    discounts = discounts_of(*map(float, stats[:4]))
-    added.where("kind = 'context'").groupBy("bucket").applyInArrow(_add_contexts(folder, discounts), "bucket bigint").count()
-    words = texts.mapInArrow(_count(n, False), _PACKED).groupBy("bucket").cogroup(added.where("kind = 'follows'").groupBy("bucket"))
-    names = ["tokens", "distinct", "n1", "n2", "n3", "n4", "more", "kinds"]
-    r = words.applyInArrow(_add_words(folder), ", ".join(f"{x} bigint" for x in names)).agg(*(F.sum(x).alias(x) for x in names)).first()
-    total = {x: r[x] or 0 for x in names}
-    low = discounts_of(*(float(total[f"n{k}"]) for k in range(1, 5)))
-    back_off = (low[0] * total["n1"] + low[1] * total["n2"] + low[2] * total["more"]) / total["kinds"] if total["kinds"] else 1.0
-    return {"folder": folder, "buckets": n, "discounts": discounts, "low_discounts": low, "low_back_off": back_off, **total}
-
-
-class Mapped:
-    """The arrays in memory-mapped files; looked up by ascending hashes."""
-
-    def __init__(self, model: dict):
-        self.model, self.files = model, {}
-
-    def _open(self, kind: str, bucket: int, name: str):
-        key = f"{kind}-{bucket}/{name}.npy"
-        if key not in self.files:
-            path = f"{self.model['folder']}/{key}"
-            self.files[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
-        return self.files[key]
-
-    def find(self, kind: str, hashes: np.ndarray, buckets: np.ndarray, *names: str) -> list[np.ndarray]:
-        """hashes ascend, and so do their buckets; 0 where a hash is unknown."""
-        out = [np.zeros(len(hashes)) for _ in names]
-        full, at = np.unique(buckets, return_index=True)
-        for b, i, j in zip(full.tolist(), at, np.append(at, len(hashes))[1:], strict=True):
-            keys = self._open(kind, b, "key")
-            if keys is None or not len(keys):
-                continue
-            place = np.minimum(np.searchsorted(keys, hashes[i:j]), len(keys) - 1)
-            known = keys[place] == hashes[i:j]
-            for o, name in zip(out, names, strict=True):
-                o[i:j] = np.where(known, self._open(kind, b, name)[place], 0)
-        return out
-
-    def probabilities(self, word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(training count of each word, probability of each word after the one before)."""
-        m = self.model
-        n = m["buckets"]
-        uniq, back = np.unique(word, return_inverse=True)
-        count = self.find("word", uniq, _bucket_of(uniq, n), "n")[0]
-        narrow = _narrow(uniq)
-        kinds = self.find("follows", narrow, _word_bucket(narrow, n), "n")[0]
-        low = np.maximum(kinds - _discount(kinds, m["low_discounts"]), 0) / max(m["kinds"], 1) + m["low_back_off"] / (m["distinct"] + 1)
-        v, to_v = np.unique(_narrow(before), return_inverse=True)
-        total, back_off = self.find("context", v, _word_bucket(v, n), "total", "back_off")
-        key, to_key = np.unique(_pair_key(_narrow(before), _narrow(word)), return_inverse=True)
-        pair = self.find("pair", key, _bucket_of(key, n), "n")[0]
-        high = np.maximum(pair - _discount(pair, m["discounts"]), 0)[to_key]
-        total, back_off, low = total[to_v], back_off[to_v], low[back]
-        return count[back], np.where(total > 0, high / np.maximum(total, 1) + back_off * low, low)
-
-
-def _discount(n: np.ndarray, d: list[float]) -> np.ndarray:
-    return np.array([0.0, *d])[np.minimum(n, 3).astype(np.int64)]
+    words = texts.mapInArrow(_count_words(n), _PACKED).groupBy("bucket").applyInArrow(_add_words(folder, n), "tokens bigint, distinct bigint")
+    r = words.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
+    rows = texts.mapInArrow(_count_grams(folder, n, order), _PACKED)
+    for level in range(order, 0, -1):
+        schema = _PACKED if level > 1 else ", ".join(f"{x} bigint" for x in _STATS)
+        rows = rows.groupBy("bucket").applyInArrow(_add_grams(folder, n, level, order), schema)
+    stats = {s["level"]: s for s in rows.groupBy("level").agg(*(F.sum(x).alias(x) for x in _STATS[1:])).collect()}
+    often = [[float(stats[k][f"n{i}"]) for i in range(1, 5)] if k in stats else [0.0] * 4 for k in range(1, order + 1)]
+    first = [float(stats[1][x]) for x in ("total", "n1", "n2", "more")] if stats else [0.0] * 4
+    return {"folder": folder, "buckets": n, "order": order, "tokens": r["tokens"] or 0, "distinct": r["distinct"] or 0, "discounts": [discounts_of(*x) for x in often], "first": first}
+
+
+# -- scoring -----------------------------------------------------------------------------------------------------------
+
+
+def probabilities(arrays: Arrays, model: dict, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the tokens among marks and tokens, training count of each, probability of each after those before)."""
+    ids, count = arrays.numbers(hashes)
+    at = np.flatnonzero(hashes != _START)
+    p = np.full(len(at), 1 / (model["distinct"] + 1))
+    after = np.repeat(np.array(model["first"])[:, None], len(at), 1)
+    columns = []
+    for level in range(1, model["order"] + 1):
+        columns.insert(0, np.roll(ids, level - 1))
+        uniq, back = np.unique(gram_keys(columns), return_inverse=True)
+        values = arrays.find(str(level), uniq, 1 if level == model["order"] else 5)
+        n = values[0][back[at]].astype(np.float64)
+        d = model["discounts"][level - 1]
+        kept = np.maximum(n - np.array([0.0, *d])[np.minimum(n, 3).astype(np.int64)], 0)
+        total = np.maximum(after[0], 1)
+        p = np.where(after[0] > 0, kept / total + (d[0] * after[1] + d[1] * after[2] + d[2] * after[3]) / total * p, p)
+        if level < model["order"]:
+            after = values[1:][:, back[at - 1]].astype(np.float64)
+    return at, count[at], p
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -274,12 +329,12 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches):
-        mapped = Mapped(model)
+        arrays = Arrays(model["folder"], model["buckets"])
         for batch in C.slices(batches, "__text", 4 << 20):
-            word, before, doc = (np.concatenate(x) for x in zip(*_offset(batch), strict=True))
-            count, p = mapped.probabilities(word, before)
+            hashes, doc = _tokens_of(batch, model["order"])
+            at, count, p = probabilities(arrays, model, hashes)
             base = np.log10((count + 0.1) / (model["tokens"] + 0.1 * (model["distinct"] + 1)))
-            total = lambda w=None: np.bincount(doc, w, minlength=len(batch))  # noqa: B023, E731
+            total = lambda w=None: np.bincount(doc[at], w, minlength=len(batch))  # noqa: B023, E731
             values = [total().astype(np.int64), total(count > 0).astype(np.int64), np.full(len(batch), model["tokens"], np.int64), total(base), total(np.log10(p))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *map(pa.array, values)], [*batch.schema.names[1:], *names])
 
@@ -290,13 +345,14 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...
     return kept.mapInArrow(run, schema)
 
 
-def _offset(batch: pa.RecordBatch):
+def _tokens_of(batch: pa.RecordBatch, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of the texts by smaller slices: hashing takes room of many times the bytes."""
-    at = 0
+    parts, at = [], 0
     for part in C.slices(iter([batch]), "__text"):
-        word, before, doc = tokens(part.column(0))
-        yield word, before, doc + at
+        hashes, doc = tokens(part.column(0), order)
+        parts.append((hashes, doc + at))
         at += len(part)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
