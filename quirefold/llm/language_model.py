@@ -12,8 +12,9 @@ spark.checkpoint.dir has to be one that executors see as a path (file:/ or no sc
 
 Counts are those of the corpus in the highest order and numbers of different predecessors below it; each text begins with
 order - 1 start marks, which are no tokens, and below the words every token is equally likely. Tokens of a text: its
-words (common.WORD, A-Z as a-z), then one end. Nothing is pruned. An array keeps 32 bits of a hash besides its place
-among ranges of about 16 sequences, so that 4 of 10^9 unknown sequences are taken for known ones, at any size.
+words (common.WORD, A-Z as a-z), then one end. Nothing is pruned. Words are known by 64-bit hashes. Arrays of sequences
+keep 28 bits of a hash besides its place among ranges of about 16 sequences, so that 6 of 10^8 unknown sequences are
+taken for known ones, at any size; the commonest 15 values of a bucket stand in the 4 bits left.
 
 Defined results: null text is empty and has one token, the end; with nothing to learn from, every probability is that of
 an unknown word; rows repeat as in the input; a null id is never held out; other columns are not read.
@@ -41,6 +42,7 @@ BUCKET_BYTES = 16 << 20
 MOST_OPEN = 2_000
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
+FAR = 15
 _START, _END = _U(0x5EED000000000001), _U(0x5EED000000000003)
 #: The number of the start mark, and of a word that was not learned.
 _START_ID, _UNKNOWN_ID = _U(0), _U(1 << 63)
@@ -74,24 +76,35 @@ def _place(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 # -- sorted arrays in files --------------------------------------------------------------------------------------------
 
 
-def store(path: str, keys: np.ndarray, values: list[np.ndarray], n_buckets: int) -> None:
-    """A file of one bucket: the different rows of values, where ranges of hashes start, 32 bits of each hash in order,
-    and the row of each. A repeated task writes the same again, and readers see whole files only."""
+def store(path: str, keys: np.ndarray, values: list[np.ndarray], n_buckets: int, wide: bool = False) -> None:
+    """A file of one bucket: the different rows of values, commonest first; where ranges of hashes start; the hashes in
+    order; the row of each. wide: whole hashes, else 28 bits and the number of the row, or FAR if the row is listed with
+    its place. A repeated task writes the same again, and readers see whole files only."""
     heads = max(1, len(keys) // 16)
     head = (_place(keys, n_buckets)[1] * _U(heads)) >> _U(32)
-    o = np.argsort(head << _U(32) | keys & _LOW)
+    o = np.argsort(keys if wide else head << _U(32) | keys & _LOW)
     fold = np.zeros(len(keys), np.uint64)
     for v in values:
         fold = C.mix(fold * _U(0xA24BAED4963EE407) + v.astype(np.uint64))
-    _, first, row = np.unique(fold, return_index=True, return_inverse=True)
-    rows = np.stack([v.astype(np.uint64)[first] for v in values])
+    _, first, row, times = np.unique(fold, return_index=True, return_inverse=True, return_counts=True)
+    common = np.argsort(-times, kind="stable")
+    place = np.empty(len(first), np.int64)
+    place[common] = np.arange(len(first))
+    rows = np.stack([v.astype(np.uint64)[first[common]] for v in values])
     starts = np.concatenate(([0], np.cumsum(np.bincount(head.astype(np.int64), minlength=heads)))).astype(np.uint32)
-    row = row[o].astype(np.min_scalar_type(max(len(first) - 1, 0)))
-    sizes = np.array([len(keys), heads, *rows.shape, row.itemsize], np.uint64)
+    row = place[row[o]]
+    if wide:
+        tails, far = keys[o], np.zeros(0, np.uint32)
+    else:
+        tails = ((keys[o] & _LOW) >> _U(4) << _U(4) | np.minimum(row, FAR).astype(np.uint64)).astype(np.uint32)
+        far = np.flatnonzero(row >= FAR).astype(np.uint32)
+        row = row[far]
+    row = row.astype(np.min_scalar_type(max(len(first) - 1, 0)))
+    sizes = np.array([len(keys), heads, *rows.shape, tails.itemsize, len(far), len(row), row.itemsize], np.uint64)
     part = f"{path}.{uuid.uuid4().hex}"
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(part, "wb") as f:
-        for a in (sizes, rows, starts, (keys[o] & _LOW).astype(np.uint32), row):
+        for a in (sizes, rows, tails, starts, far, row):
             f.write(np.ascontiguousarray(a).tobytes())
     os.replace(part, path)
 
@@ -109,10 +122,11 @@ class Arrays:
         parts = None
         if os.path.exists(path):
             raw = np.memmap(path, np.uint8, "r")
-            n, heads, width, rows, size = raw[:40].view(np.uint64).astype(np.int64).tolist()
-            cuts = np.cumsum([40, 8 * width * rows, 4 * (heads + 1), 4 * n, size * n])
-            table, starts, tails, row = (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-            parts = table.view(np.uint64).reshape(width, rows), starts.view(np.uint32), tails.view(np.uint32), row.view(f"u{size}")
+            n, heads, width, rows, tail, n_far, n_row, size = raw[:64].view(np.uint64).astype(np.int64).tolist()
+            cuts = np.cumsum([64, 8 * width * rows, tail * n, 4 * (heads + 1), 4 * n_far, size * n_row])
+            table, tails, starts, far, row = (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+            table = table.view(np.uint64).reshape(width, rows)
+            parts = table, tails.view(f"u{tail}"), starts.view(np.uint32), far.view(np.uint32), row.view(f"u{size}")
         self.files[path] = parts
         if len(self.files) > MOST_OPEN:
             self.files.popitem(last=False)
@@ -125,20 +139,29 @@ class Arrays:
         full, at = np.unique(bucket, return_index=True)
         for b, i, j in zip(full.tolist(), at, np.append(at, len(keys))[1:], strict=True):
             parts = self._open(f"{self.folder}/{level}/{b}")
-            if parts is None or not len(parts[2]):
+            if parts is None or not len(parts[1]):
                 continue
-            table, starts, tails, row = parts
+            table, tails, starts, far, row = parts
+            wide = tails.itemsize == 8
             head = ((part[i:j] * _U(len(starts) - 1)) >> _U(32)).astype(np.int64)
-            want = (keys[i:j] & _LOW).astype(np.uint32)
+            want = keys[i:j] if wide else ((keys[i:j] & _LOW) >> _U(4)).astype(np.uint32)
+            hash_at = lambda x: tails[x] if wide else tails[x] >> np.uint32(4)  # noqa: B023, E731
             lo, end = starts[head].astype(np.int64), starts[head + 1].astype(np.int64)
             hi = end
             for _ in range(int((end - lo).max()).bit_length()):
                 mid = (lo + hi) >> 1
-                less = (lo < hi) & (tails[np.minimum(mid, len(tails) - 1)] < want)
+                less = (lo < hi) & (hash_at(np.minimum(mid, len(tails) - 1)) < want)
                 lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
-            lo_in = np.minimum(lo, len(tails) - 1)
-            known = np.flatnonzero((lo < end) & (tails[lo_in] == want))
-            out[:, i + known] = table[:, row[lo_in[known]]]
+            place = np.minimum(lo, len(tails) - 1)
+            known = np.flatnonzero((lo < end) & (hash_at(place) == want))
+            place = place[known]
+            if wide:
+                found = row[place]
+            else:
+                found = (tails[place] & np.uint32(FAR)).astype(np.int64)
+                listed = np.flatnonzero(found == FAR)
+                found[listed] = row[np.searchsorted(far, place[listed].astype(np.uint32))]
+            out[:, i + known] = table[:, found]
         return out
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,12 +181,12 @@ _STATS = ["level", "n1", "n2", "n3", "n4", "more", "total"]
 
 
 def _gram_rows(columns: list[np.ndarray], values: list[np.ndarray], bucket: np.ndarray) -> list[dict]:
-    """A row for each bucket: packed columns of word numbers, sorted, the first as differences; all values together."""
+    """A row for each bucket: packed columns of word numbers, sorted, the first as differences, then of values."""
     o = np.lexsort((*columns[::-1], bucket))
     bucket, columns, values = bucket[o], [c[o] for c in columns], [v[o] for v in values]
     full, at = np.unique(bucket, return_index=True)
     return [
-        {"kind": "gram", "bucket": int(k), "arrays": [C.pack(c[a:b], i == 0) for i, c in enumerate(columns)] + [C.pack(np.concatenate([v[a:b] for v in values]))]}
+        {"kind": "gram", "bucket": int(k), "arrays": [C.pack(c[a:b], i == 0) for i, c in enumerate([*columns, *values])]}
         for k, a, b in zip(full, at, np.append(at, len(bucket))[1:], strict=True)
     ]
 
@@ -173,10 +196,8 @@ def _grams(t: pa.Table, order: int, width: int) -> tuple[list[np.ndarray], list[
     columns, values = [[np.zeros(0, np.uint64)] for _ in range(order)], [[np.zeros(0, np.uint64)] for _ in range(width)]
     for kind, arrays in zip(t["kind"].to_pylist(), t["arrays"].to_pylist(), strict=True):
         if kind == "gram":
-            for i in range(order):
-                columns[i].append(C.unpack(arrays[i], i == 0))
-            for v, a in zip(values, np.split(C.unpack(arrays[order]), width), strict=True):
-                v.append(a)
+            for i, (c, a) in enumerate(zip([*columns, *values], arrays, strict=True)):
+                c.append(C.unpack(a, i == 0))
     return [np.concatenate(c) for c in columns], [np.concatenate(v) for v in values]
 
 
@@ -217,7 +238,7 @@ def _add_words(folder: str, n_buckets: int):
         h, _, (n,) = _sum_by(h, values)
         rank = np.empty(len(h), np.uint64)
         rank[np.argsort(-n.astype(np.int64), kind="stable")] = np.arange(len(h))
-        store(f"{folder}/word/{t['bucket'][0].as_py()}", h, [n, rank], n_buckets)
+        store(f"{folder}/word/{t['bucket'][0].as_py()}", h, [n, rank], n_buckets, wide=True)
         return pa.table({"tokens": pa.array([int(n.sum())], pa.int64()), "distinct": pa.array([len(h)], pa.int64())})
 
     return run
@@ -246,6 +267,9 @@ def _add_grams(folder: str, n_buckets: int, level: int, order: int):
     def run(t: pa.Table) -> pa.Table:
         bucket = t["bucket"][0].as_py()
         columns, values = _grams(t, level, width)
+        if level < order:
+            both, before, others, twos, more = values
+            values = [before, both - before, both - before - others, twos, more]
         key, first, values = _sum_by(gram_keys(columns), values)
         columns = [c[first] for c in columns]
         store(f"{folder}/{level}/{bucket}", key, values, n_buckets)
@@ -260,7 +284,10 @@ def _add_grams(folder: str, n_buckets: int, level: int, order: int):
         below = [np.concatenate(pair) for pair in zip(columns[1:], columns[:-1], strict=True)]
         given = [np.concatenate(pair) for pair in ((one, none), (none, n), (none, n == 1), (none, n == 2), (none, n >= 3))]
         key, first, given = _sum_by(gram_keys(below), given)
-        rows = _gram_rows([c[first] for c in below], given, _place(key, n_buckets)[0])
+        before, total, ones, twos, more = given
+        # most sequences are seen from one side and once: sums and differences that are mostly equal pack to nothing
+        sent = [before + total, before, total - ones, twos, more]
+        rows = _gram_rows([c[first] for c in below], sent, _place(key, n_buckets)[0])
         rows += [{"kind": "stats", "bucket": bucket, "arrays": [C.pack(np.array(s, np.uint64))]} for s in stats]
         return pa.Table.from_pylist(rows, _ARROW)
 

@@ -128,12 +128,15 @@ def test_edges(spark):
     assert M.score(df.limit(0), none).collect() == []
 
 
-def test_counts_beyond_32_bits_are_kept(tmp_path):
-    for most in (0, 255, 256, 1 << 32, (1 << 53) - 1):
-        n = np.array([1, most] * 500, np.uint64)
-        keys = np.unique(M.gram_keys([np.arange(1000, dtype=np.uint64)]))
-        for b in range(4):
-            M.store(f"{tmp_path}/x/{b}", keys[M._place(keys, 4)[0] == b], [n[M._place(keys, 4)[0] == b]], 4)
-        assert M.Arrays(str(tmp_path), 4).find("x", keys, 1)[0].tolist() == n.tolist()
+@pytest.mark.parametrize("wide", [False, True])
+def test_counts_beyond_32_bits_are_kept(tmp_path, wide):
+    keys = np.unique(M.gram_keys([np.arange(1000, dtype=np.uint64)]))
     other = np.unique(M.gram_keys([np.arange(1000, 3000, dtype=np.uint64)]))
-    assert not M.Arrays(str(tmp_path), 4).find("x", other, 1).any()
+    for most in (0, 255, 256, 1 << 32, (1 << 53) - 1):
+        for n in (np.array([1, most] * 500, np.uint64), np.arange(1000, dtype=np.uint64) % 300 + most):
+            for b in range(4):
+                of = M._place(keys, 4)[0] == b
+                M.store(f"{tmp_path}/{most}-{n[0]}/{b}", keys[of], [n[of], n[of] // 2], 4, wide)
+            got = M.Arrays(str(tmp_path), 4)
+            assert got.find(f"{most}-{n[0]}", keys, 2).tolist() == [n.tolist(), (n // 2).tolist()]
+            assert not got.find(f"{most}-{n[0]}", other, 2).any()
