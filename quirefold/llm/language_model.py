@@ -181,8 +181,8 @@ _STATS = ["level", "n1", "n2", "n3", "n4", "more", "total"]
 
 
 def _gram_rows(columns: list[np.ndarray], values: list[np.ndarray], bucket: np.ndarray) -> list[dict]:
-    """A row for each bucket: packed columns of word numbers, sorted, the first as differences, then of values."""
-    o = np.lexsort((*columns[::-1], bucket))
+    """A row for each bucket: packed columns of word numbers, by the first, which is sent as differences, then of values."""
+    o = np.lexsort((columns[0], bucket))
     bucket, columns, values = bucket[o], [c[o] for c in columns], [v[o] for v in values]
     full, at = np.unique(bucket, return_index=True)
     return [
