@@ -85,6 +85,52 @@ def unpack(b: bytes, ascending: bool = False) -> np.ndarray:
     return np.cumsum(a, dtype=np.uint64) if ascending else a
 
 
+def pack_columns(columns: list[np.ndarray]) -> bytes:
+    """Integers of several columns of one length in one piece, as byte planes without those that hold only zeros; of the
+    first column, which is best sorted, the differences."""
+    columns = [np.ascontiguousarray(c, dtype=np.uint64) for c in columns]
+    n = len(columns[0])
+    if n:
+        columns[0] = np.concatenate((columns[0][:1], np.diff(columns[0])))
+    used = [(int(c.max()).bit_length() + 7) // 8 if n else 0 for c in columns]
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes() for c, k in zip(columns, used, strict=True)]
+    return _ZIP.compress(b"".join([n.to_bytes(8, "little"), len(columns).to_bytes(2, "little"), bytes(used), *planes]))
+
+
+def unpack_columns(b: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(_UNZIP.decompress(b), np.uint8)
+    n, width = int.from_bytes(raw[:8].tobytes(), "little"), int.from_bytes(raw[8:10].tobytes(), "little")
+    out, at = [], 10 + width
+    for k in raw[10:at].tolist():
+        c = np.zeros((n, 8), np.uint8)
+        c[:, :k] = raw[at : at + n * k].reshape(k, n).T
+        out.append(c.view(np.uint64).reshape(-1))
+        at += n * k
+    out[0] = np.cumsum(out[0], dtype=np.uint64)
+    return out
+
+
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order of the keys, where in it each different one begins); equal keys stand in any order."""
+    o = np.argsort(keys)
+    s = keys[o]
+    new = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return o, np.flatnonzero(new)
+
+
+def sort_key(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit keys that sort by the first column, then the next ones, as far as the bits go."""
+    out, room = np.zeros(len(columns[0]), np.uint64), 64
+    for c in columns:
+        bits = int(c.max()).bit_length() if len(c) else 0
+        kept = min(bits, room)
+        if kept:
+            room -= kept
+            out |= c.astype(np.uint64) >> np.uint64(bits - kept) << np.uint64(room)
+    return out
+
+
 def pack_strings(words: pa.Array) -> bytes:
     offsets, data = string_buffers(words)
     return _ZIP.compress(len(words).to_bytes(8, "little") + np.diff(offsets).astype("<u4").tobytes() + data.tobytes())

@@ -86,7 +86,10 @@ def store(path: str, keys: np.ndarray, values: list[np.ndarray], n_buckets: int,
     fold = np.zeros(len(keys), np.uint64)
     for v in values:
         fold = C.mix(fold * _U(0xA24BAED4963EE407) + v.astype(np.uint64))
-    _, first, row, times = np.unique(fold, return_index=True, return_inverse=True, return_counts=True)
+    by, at = C.runs(fold)
+    first, times = by[at], np.diff(np.append(at, len(keys)))
+    row = np.empty(len(keys), np.int64)
+    row[by] = np.repeat(np.arange(len(at)), times)
     common = np.argsort(-times, kind="stable")
     place = np.empty(len(first), np.int64)
     place[common] = np.arange(len(first))
@@ -121,7 +124,7 @@ class Arrays:
             return self.files[path]
         parts = None
         if os.path.exists(path):
-            raw = np.memmap(path, np.uint8, "r")
+            raw = np.memmap(path, np.uint8, "r").view(np.ndarray)
             n, heads, width, rows, tail, n_far, n_row, size = raw[:64].view(np.uint64).astype(np.int64).tolist()
             cuts = np.cumsum([64, 8 * width * rows, tail * n, 4 * (heads + 1), 4 * n_far, size * n_row])
             table, tails, starts, far, row = (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
@@ -136,8 +139,8 @@ class Arrays:
         """Values of ascending hashes, one column each; 0 where a hash is unknown."""
         out = np.zeros((width, len(keys)), np.uint64)
         bucket, part = _place(keys, self.n)
-        full, at = np.unique(bucket, return_index=True)
-        for b, i, j in zip(full.tolist(), at, np.append(at, len(keys))[1:], strict=True):
+        firsts = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + _U(1)))
+        for b, i, j in zip(bucket[firsts].tolist(), firsts, np.append(firsts, len(keys))[1:], strict=True):
             parts = self._open(f"{self.folder}/{level}/{b}")
             if parts is None or not len(parts[1]):
                 continue
@@ -145,12 +148,13 @@ class Arrays:
             wide = tails.itemsize == 8
             head = ((part[i:j] * _U(len(starts) - 1)) >> _U(32)).astype(np.int64)
             want = keys[i:j] if wide else ((keys[i:j] & _LOW) >> _U(4)).astype(np.uint32)
-            hash_at = lambda x: tails[x] if wide else tails[x] >> np.uint32(4)  # noqa: B023, E731
+            at = lambda x: tails.take(x, mode="clip")  # noqa: B023, E731
+            hash_at = at if wide else lambda x: at(x) >> np.uint32(4)  # noqa: B023, E731
             lo, end = starts[head].astype(np.int64), starts[head + 1].astype(np.int64)
             hi = end
             for _ in range(int((end - lo).max()).bit_length()):
                 mid = (lo + hi) >> 1
-                less = (lo < hi) & (hash_at(np.minimum(mid, len(tails) - 1)) < want)
+                less = (lo < hi) & (hash_at(mid) < want)
                 lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
             place = np.minimum(lo, len(tails) - 1)
             known = np.flatnonzero((lo < end) & (hash_at(place) == want))
@@ -175,36 +179,33 @@ class Arrays:
 
 # -- counting ----------------------------------------------------------------------------------------------------------
 
-_PACKED = "kind string, bucket bigint, arrays array<binary>"
-_ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("arrays", pa.list_(pa.binary()))])
+_PACKED = "kind string, bucket bigint, columns binary"
+_ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("columns", pa.binary())])
 _STATS = ["level", "n1", "n2", "n3", "n4", "more", "total"]
 
 
 def _gram_rows(columns: list[np.ndarray], values: list[np.ndarray], bucket: np.ndarray) -> list[dict]:
-    """A row for each bucket: packed columns of word numbers, by the first, which is sent as differences, then of values."""
-    o = np.lexsort((columns[0], bucket))
-    bucket, columns, values = bucket[o], [c[o] for c in columns], [v[o] for v in values]
-    full, at = np.unique(bucket, return_index=True)
-    return [
-        {"kind": "gram", "bucket": int(k), "arrays": [C.pack(c[a:b], i == 0) for i, c in enumerate([*columns, *values])]}
-        for k, a, b in zip(full, at, np.append(at, len(bucket))[1:], strict=True)
-    ]
+    """A row for each bucket: columns of word numbers, sorted, and of values, in one packed piece."""
+    o, bucket = np.argsort(C.sort_key([bucket, *columns])), bucket.astype(np.int64)
+    bucket, sent = bucket[o], [c[o] for c in (*columns, *values)]
+    at = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(at, len(bucket))[1:]
+    return [{"kind": "gram", "bucket": k, "columns": C.pack_columns([c[a:b] for c in sent])} for k, a, b in zip(bucket[at].tolist(), at, ends, strict=True)]
 
 
 def _grams(t: pa.Table, order: int, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The columns and values of all rows of a group."""
-    columns, values = [[np.zeros(0, np.uint64)] for _ in range(order)], [[np.zeros(0, np.uint64)] for _ in range(width)]
-    for kind, arrays in zip(t["kind"].to_pylist(), t["arrays"].to_pylist(), strict=True):
-        if kind == "gram":
-            for i, (c, a) in enumerate(zip([*columns, *values], arrays, strict=True)):
-                c.append(C.unpack(a, i == 0))
-    return [np.concatenate(c) for c in columns], [np.concatenate(v) for v in values]
+    parts = [[np.zeros(0, np.uint64)] * (order + width)]
+    parts += [C.unpack_columns(c.as_py()) for kind, c in zip(t["kind"].to_pylist(), t["columns"], strict=True) if kind == "gram"]
+    both = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    return both[:order], both[order:]
 
 
 def _sum_by(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(different keys, first place of each, sums of values)."""
-    uniq, first, place = np.unique(key, return_index=True, return_inverse=True)
-    return uniq, first, [np.bincount(place, v.astype(np.float64), len(uniq)).astype(np.uint64) for v in values]
+    """(different keys, a place of each, sums of values)."""
+    o, at = C.runs(key)
+    first, last = o[at], np.append(at, len(o))[1:] - 1
+    return key[first], first, [np.diff(np.cumsum(v[o], dtype=np.uint64)[last], prepend=_U(0)) for v in values]
 
 
 def _blocks(texts_of, counted):
@@ -251,8 +252,10 @@ def _count_grams(folder: str, n_buckets: int, order: int):
         def counted(ids):
             ends = np.flatnonzero(ids != _START_ID)
             columns = [ids[ends - k] for k in range(order - 1, -1, -1)]
-            key, first, n = np.unique(gram_keys(columns), return_index=True, return_counts=True)
-            return _gram_rows([c[first] for c in columns], [n], _place(key, n_buckets)[0])
+            key = gram_keys(columns)
+            o, at = C.runs(key)
+            n, first = np.diff(np.append(at, len(o))), o[at]
+            return _gram_rows([c[first] for c in columns], [n], _place(key[first], n_buckets)[0])
 
         yield from _blocks(lambda texts: arrays.numbers(tokens(texts, order)[0])[0], counted)(batches)
 
@@ -275,7 +278,7 @@ def _add_grams(folder: str, n_buckets: int, level: int, order: int):
         store(f"{folder}/{level}/{bucket}", key, values, n_buckets)
         n = values[0]
         own = [level, *np.bincount(np.minimum(n, 5).astype(np.int64), minlength=6)[1:5].tolist(), int((n >= 3).sum()), int(n.sum())]
-        stats = [own] + [C.unpack(a[0]).tolist() for k, a in zip(t["kind"].to_pylist(), t["arrays"].to_pylist(), strict=True) if k == "stats"]
+        stats = [own] + [C.unpack(a.as_py()).tolist() for k, a in zip(t["kind"].to_pylist(), t["columns"], strict=True) if k == "stats"]
         if level == 1:
             return pa.table({name: pa.array([s[i] for s in stats], pa.int64()) for i, name in enumerate(_STATS)})
         used = n > 0
@@ -288,7 +291,7 @@ def _add_grams(folder: str, n_buckets: int, level: int, order: int):
         # most sequences are seen from one side and once: sums and differences that are mostly equal pack to nothing
         sent = [before + total, before, total - ones, twos, more]
         rows = _gram_rows([c[first] for c in below], sent, _place(key, n_buckets)[0])
-        rows += [{"kind": "stats", "bucket": bucket, "arrays": [C.pack(np.array(s, np.uint64))]} for s in stats]
+        rows += [{"kind": "stats", "bucket": bucket, "columns": C.pack(np.array(s, np.uint64))} for s in stats]
         return pa.Table.from_pylist(rows, _ARROW)
 
     return run
