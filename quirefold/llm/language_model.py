@@ -187,10 +187,10 @@ _STATS = ["level", "n1", "n2", "n3", "n4", "more", "total"]
 def _gram_rows(columns: list[np.ndarray], values: list[np.ndarray], bucket: np.ndarray) -> list[dict]:
     """A row for each bucket: columns of word numbers, sorted, and of values, in one packed piece."""
     o, bucket = np.argsort(C.sort_key([bucket, *columns])), bucket.astype(np.int64)
-    bucket, sent = bucket[o], [c[o] for c in (*columns, *values)]
+    bucket, columns, values = bucket[o], [c[o] for c in columns], [v[o] for v in values]
     at = np.flatnonzero(np.diff(bucket, prepend=-1))
     ends = np.append(at, len(bucket))[1:]
-    return [{"kind": "gram", "bucket": k, "columns": C.pack_columns([c[a:b] for c in sent])} for k, a, b in zip(bucket[at].tolist(), at, ends, strict=True)]
+    return [{"kind": "gram", "bucket": k, "columns": C.pack_columns([c[a:b] for c in (*columns, *values)])} for k, a, b in zip(bucket[at].tolist(), at, ends, strict=True)]
 
 
 def _grams(t: pa.Table, order: int, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -255,7 +255,9 @@ def _count_grams(folder: str, n_buckets: int, order: int):
             key = gram_keys(columns)
             o, at = C.runs(key)
             n, first = np.diff(np.append(at, len(o))), o[at]
-            return _gram_rows([c[first] for c in columns], [n], _place(key[first], n_buckets)[0])
+            bucket, columns = _place(key[first], n_buckets)[0], [c[first] for c in columns]
+            del ends, key, o, at, first
+            return _gram_rows(columns, [n], bucket)
 
         yield from _blocks(lambda texts: arrays.numbers(tokens(texts, order)[0])[0], counted)(batches)
 
