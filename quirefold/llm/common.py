@@ -238,6 +238,20 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) ->
             at = to
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with up to that many bytes of text, across batches; a longer text comes whole, with others or not."""
+    held, size = [], 0
+    for part in slices(batches, text, most):
+        offsets, _ = string_buffers(part.column(part.schema.get_field_index(text)))
+        if held and size + offsets[-1] > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(part)
+        size += offsets[-1]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 # -- connected components ----------------------------------------------------------------------------------------------
 
 
