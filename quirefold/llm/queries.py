@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, embeddings, secrets
+from .alignment import op11_alignment
 from .byte_bpe import op1_byte_bpe
 from .embeddings import op5_embeddings
 from .fingerprints import op7_fingerprints
@@ -15,7 +16,9 @@ from .language_model import op6_language_model
 from .mixing import op9_mixing
 from .near_dup import op4_minhash
 from .secrets import op2_secrets
+from .token_counts import op12_token_counts
 from .toxicity import op8_toxicity
+from .whitening import op13_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op11_alignment": op11_alignment,
+    "op12_token_counts": op12_token_counts,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
