@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import pieces as P
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
+#: Rows of (text, pair) that are sorted at a time to count the texts that hold a pair, unless one text has more.
+BLOCK_PAIRS = 1 << 20
 
 
 # -- what ids stand for ------------------------------------------------------------------------------------------------
@@ -197,39 +199,62 @@ class Pair:
 _CODED = "chunk string, ids array<{0}>, numbers binary, groups array<string>, bags binary, links binary, pairs binary"
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, once each, and how often each occurs."""
+    keys = np.sort(keys)
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[new], np.diff(np.append(new, len(keys)))
+
+
+def _texts_with(bag: np.ndarray, links: np.ndarray, link: np.ndarray, n_pairs: int) -> np.ndarray:
+    """Of each pair, how many texts hold it. bag: ascending text * number of pieces + piece; links: of each piece, how many
+    pairs; link: which. Texts are taken in blocks, as each counts once whatever the others hold."""
+    m = max(1, len(links))
+    own, _ = _distinct(np.repeat(np.arange(len(links)), links) * n_pairs + link)
+    n_own = np.bincount(own // n_pairs, minlength=m)
+    at_own, own = np.cumsum(n_own) - n_own, own % n_pairs
+    docs = np.zeros(n_pairs, np.int64)
+    size = np.cumsum(n_own[bag % m])
+    at = 0
+    while at < len(bag):
+        to = int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_PAIRS, side="right"))
+        text = bag[min(max(to, at), len(bag) - 1)] // m  # the text in which the block is full goes to the next one, unless it is alone
+        to = len(bag) if to >= len(bag) else max(int(np.searchsorted(bag, text * m)), int(np.searchsorted(bag, (bag[at] // m + 1) * m)))
+        piece = bag[at:to] % m
+        held = np.repeat(bag[at:to] // m, n_own[piece]) * n_pairs + own[C.ragged(at_own[piece], n_own[piece])]
+        docs += np.bincount(_distinct(held)[0] % n_pairs, minlength=n_pairs)
+        at = to
+    return docs
+
+
+def _coded(rows: pa.RecordBatch, pair: Pair, safe: bool, digest: bool) -> list:
+    """Of a chunk's texts: (ids, numbers, groups, bags, links, pairs)."""
+    offsets, data = C.string_buffers(rows.column(1))
+    words, first = P.cut(offsets, data, P.space_cuts(offsets, data) if safe else np.zeros(0, np.int64), drop=True)
+    coded = words.dictionary_encode()
+    place, n_pieces = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(first)
+    found = pair.align(coded.dictionary)
+    whole = (_sums(~found.sound[place], n_pieces) == 0) & (n_pieces > 0)  # texts with an unsound piece have no tokens
+    numbers = [np.where(whole, _sums(n[place], n_pieces), 0) for n in (found.n_a, found.n_b, found.n_groups, found.n_links)]
+    groups = []
+    for good, s, e in zip(whole.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+        text = b"".join(map(found.text.__getitem__, place[s:e].tolist()))[:-1] if good else b""
+        groups.append(hashlib.sha256(text).hexdigest() if digest and text else text.decode())
+    bag, times = _distinct((np.repeat(np.arange(len(rows)) * max(1, len(coded.dictionary)), n_pieces) + place)[np.repeat(whole, n_pieces)])
+    pairs, link = np.unique(found.links, return_inverse=True)
+    docs = _texts_with(bag, found.n_links, link, max(1, len(pairs)))[: len(pairs)]
+    per_piece = np.concatenate(([len(found.n_links)], found.n_links, link))
+    return [rows.column(0).to_pylist(), C.pack_columns(numbers), groups, C.pack_columns([bag, times]), C.pack(per_piece), C.pack_columns([pairs, docs])]
+
+
 def _chunks(a_blob, b_blob, safe: bool, chunk_bytes: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, part = Pair(a_blob.value, b_blob.value), TaskContext.get().partitionId()
+        names = ["chunk", "ids", "numbers", "groups", "bags", "links", "pairs"]
         for k, rows in enumerate(C.gathered(batches, "text", chunk_bytes)):
-            offsets, data = C.string_buffers(rows.column(1))
-            words, first = P.cut(offsets, data, P.space_cuts(offsets, data) if safe else np.zeros(0, np.int64), drop=True)
-            coded = words.dictionary_encode()
-            place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            found = pair.align(coded.dictionary)
-            # texts with an unsound piece have no tokens
-            whole = (_sums(~found.sound[place], np.diff(first)) == 0) & (np.diff(first) > 0)
-            numbers = [np.where(whole, _sums(n[place], np.diff(first)), 0) for n in (found.n_a, found.n_b, found.n_groups, found.n_links)]
-            groups = []
-            for good, s, e in zip(whole.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
-                text = b"".join(map(found.text.__getitem__, place[s:e].tolist()))[:-1] if good else b""
-                groups.append(text.decode() if not (digest and text) else hashlib.sha256(text).hexdigest())
-            # which pieces each text holds, and how often
-            m = max(1, len(coded.dictionary))
-            of_text = np.repeat(np.arange(len(rows)), np.diff(first))
-            bag, times = np.unique((of_text * m + place)[whole[of_text]], return_counts=True)
-            # the chunk's different pairs, and how many texts hold each
-            pairs, link = np.unique(found.links, return_inverse=True)
-            n = max(1, len(pairs))
-            of_piece = np.repeat(np.arange(len(coded.dictionary)), found.n_links)
-            own = np.unique(of_piece * n + link)
-            n_own = np.bincount(own // n, minlength=len(coded.dictionary))
-            held = np.repeat(bag // m, n_own[bag % m]) * n + (own % n)[C.ragged((np.cumsum(n_own) - n_own)[bag % m], n_own[bag % m])]
-            docs = np.bincount(np.unique(held) % n, minlength=len(pairs))[: len(pairs)]
-            row = [f"{part}-{k}"], [rows.column(0).to_pylist()], [C.pack_columns(numbers)], [groups], [C.pack_columns([bag, times])]
-            kinds = pa.string(), pa.list_(rows.column(0).type), pa.binary(), pa.list_(pa.string()), pa.binary()
-            more = [pa.array([C.pack(np.concatenate(([len(found.n_links)], found.n_links, link)))], pa.binary()), pa.array([C.pack_columns([pairs, docs])], pa.binary())]
-            names = ["chunk", "ids", "numbers", "groups", "bags", "links", "pairs"]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(row, kinds, strict=True)), *more], names)
+            kinds = pa.string(), pa.list_(rows.column(0).type), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary()
+            row = [f"{part}-{k}", *_coded(rows, pair, safe, digest)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names)
 
     return run
 

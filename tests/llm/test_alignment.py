@@ -81,3 +81,18 @@ def test_terminals(steps):
             i = successor[i]
         want.append(i)
     assert A.terminals(successor).tolist() == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 5), max_size=6), max_size=12), st.integers(1, 12), st.integers(0, 99))
+def test_texts_with_in_blocks(texts, block, seed):
+    rng = np.random.default_rng(seed)
+    pieces = [rng.integers(0, 7, rng.integers(1, 5)).tolist() for _ in range(6)]
+    bag = np.array(sorted({t * 6 + p for t, own in enumerate(texts) for p in own}), np.int64)
+    want = Counter(x for own in texts for x in {x for p in own for x in pieces[p]})
+    whole, A.BLOCK_PAIRS = A.BLOCK_PAIRS, block
+    try:
+        got = A._texts_with(bag, np.array([len(p) for p in pieces]), np.array([x for p in pieces for x in p]), 7)
+    finally:
+        A.BLOCK_PAIRS = whole
+    assert got.tolist() == [want[x] for x in range(7)]
