@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .passes import ordered_pass
+from . import scans
 
 MESSAGES, MESSAGE_CHARS = 10, 2_000
 MOST_TASK_BYTES, MOST_DAY_BYTES = 64 << 20, 512 << 20
@@ -47,26 +47,29 @@ def is_original(name: Column) -> Column:
 
 def quota_copy(files: DataFrame, day: str = "day", task: str = "task_id", name: str = "name", size: str = "size", per_task: int = MOST_TASK_BYTES, per_day: int = MOST_DAY_BYTES) -> DataFrame:
     """Adds reason: null if a file is archived. Files are taken in order of task and name; one that would exceed a quota is
-    skipped and smaller ones go on, so this is a pass over a day's files with two counters and no running sum. The quotas
-    are what the operation is asked for."""
-
-    def start() -> dict:
-        return {"task": None, "in_task": 0, "in_day": 0}
-
-    def step(used: dict, row: dict) -> tuple:
-        if row["t"] != used["task"]:
-            used["task"], used["in_task"] = row["t"], 0
-        s = row["s"] or 0
-        if used["in_task"] + s > per_task:
-            return ("task_quota",)
-        if used["in_day"] + s > per_day:
-            return ("day_quota",)
-        used["in_task"] += s
-        used["in_day"] += s
-        return (None,)
-
-    rows = files.select(F.col(day).alias("d"), F.col(task).alias("t"), F.col(name).alias("n"), F.col(size).cast("bigint").alias("s"))
-    return ordered_pass(rows, ["d"], ["t", "n", "s"], start, step, "reason string").toDF(day, task, name, size, "reason")
+    skipped and smaller ones go on. The quotas are what the operation is asked for; a size of null counts as 0.
+
+    While a day has room for a whole task's quota, the day's quota rejects nothing, so tasks are filled by themselves and
+    at once (scans.first_fit), and the day's use before each is a running sum over tasks. From the first task on for
+    which a full quota may not be left, what is left is below a task's quota: there a file is taken if the day has room
+    for it, whatever its task, and the rest of the day is filled as one. No day is read row by row in one task."""
+    rows = files.select(F.col(day).alias("d"), F.col(task).alias("t"), F.col(name).alias("n"), F.col(size).alias("s0"), F.coalesce(F.col(size).cast("bigint"), F.lit(0).cast("bigint")).alias("s"))
+    rows = scans.ordered(rows, ["d"], ["t", "n", "s0"])
+    taken = scans.written(scans.first_fit(rows.withColumn("capacity", F.lit(per_task).cast("bigint")), ["d", "t"], ("n", "s0")), "taken")
+    used = taken.groupBy("d", "t").agg(F.min("pos").alias("pos"), F.sum(F.when(F.col("taken"), F.col("s")).otherwise(0)).alias("used"))
+    tight = scans.running_sums(used, ["d"], "used").where(F.col("before") + per_task > per_day)
+    tight = tight.groupBy(F.col("d").alias("__d")).agg(F.min("pos").alias("since"), F.min_by(F.lit(per_day) - F.col("before"), "pos").alias("capacity"))
+    marked = taken.join(scans.written(tight, "tight"), F.col("d").eqNullSafe(F.col("__d")), "left").drop("__d")
+    free = marked.where("since IS NULL OR pos < since").select("d", "t", "n", "s0", F.when(~F.col("taken"), "task_quota").alias("reason"))
+    last = scans.written(scans.first_fit(marked.where("pos >= since").drop("taken"), ["d"], ("t", "n", "s0")), "last")
+    # what the task has used before a file tells the reasons apart; only tasks with a file taken here have used anything
+    here = last.where("taken").select(F.col("d").alias("__d"), F.col("t").alias("__t")).distinct()
+    same = F.col("d").eqNullSafe(F.col("__d")) & F.col("t").eqNullSafe(F.col("__t"))
+    own = F.when(F.col("taken"), F.col("s")).otherwise(F.lit(0).cast("bigint"))
+    some = scans.running_sums(last.join(here, same, "left_semi").withColumn("own", own), ["d", "t"], "own").drop("own")
+    last = last.join(here, same, "left_anti").withColumn("before", F.lit(0).cast("bigint")).unionByName(some)
+    reason = F.when(~F.col("taken"), F.when(F.col("before") + F.col("s") > per_task, "task_quota").otherwise("day_quota"))
+    return free.unionByName(last.select("d", "t", "n", "s0", reason.alias("reason"))).toDF(day, task, name, size, "reason")
 
 
 def original_files(files: DataFrame, name: str = "name") -> DataFrame:

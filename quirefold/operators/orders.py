@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .passes import ordered_pass
+from .scans import ordered, scan
 
 FILE_OPS = ("merge", "extract", "rename")
 
@@ -70,17 +70,36 @@ def lookup(orders: DataFrame, keys: DataFrame, key: str = "out_trade_no") -> Dat
 
 #: What an action does to an order: the status it must have, and the one it gets.
 STEPS = {("created", "claim"): "verified", ("verified", "fulfil"): "fulfilled", ("verified", "release"): "created"}
+STATUSES = ("created", "verified", "fulfilled")
+#: A map of the statuses is a text of digits: its k-th is the number of the status that the k-th becomes.
+_SAME = "".join(map(str, range(len(STATUSES))))
 
 
-def transitions(events: DataFrame) -> DataFrame:
-    """events (out_trade_no, seq, action) in order: adds status and outcome after each. claim: created -> verified;
-    fulfil: verified -> fulfilled; release: verified -> created; what comes after fulfilment is a replay; all else a
-    conflict."""
+def step_maps(action: Column) -> Column:
+    """The map that each action is; that of an unknown one leaves all as they are."""
+    out = F.lit(_SAME)
+    for name in sorted({a for _, a in STEPS}):
+        out = F.when(action == name, "".join(str(STATUSES.index(STEPS.get((s, name), s))) for s in STATUSES)).otherwise(out)
+    return out
+
 
-    def step(order: dict, row: dict) -> tuple:
-        now = order.get("status", "created")
-        order["status"] = new = STEPS.get((now, row["action"]), now)
-        return new, "accepted" if new != now else "replay" if now == "fulfilled" else "conflict"
+def after(first: Column, then: Column) -> Column:
+    """The map of `first`, followed by `then`: each digit is looked up."""
+    return F.call_function("translate", first, F.lit(_SAME), then)
 
-    rows = events.select("out_trade_no", F.col("seq").cast("bigint").alias("seq"), "action")
-    return ordered_pass(rows, ["out_trade_no"], ["seq", "action"], dict, step, "status string, outcome string")
+
+def transitions(events: DataFrame, status: str | None = None) -> DataFrame:
+    """events (out_trade_no, seq, action) in order: adds status and outcome after each. claim: created -> verified;
+    fulfil: verified -> fulfilled; release: verified -> created; what comes after fulfilment is a replay; all else a
+    conflict. status: a column with the status that an order has before all its events, else created.
+
+    Each action is a map of the statuses, and maps follow each other associatively (scans.scan), so an order of any
+    number of events is spread over tasks."""
+    start = [F.col(status).alias("start")] if status else [F.lit(STATUSES[0]).alias("start")]
+    rows = events.select("out_trade_no", F.col("seq").cast("bigint").alias("seq"), "action", step_maps(F.col("action")).alias("step"), *start)
+    found = scan(ordered(rows, ["out_trade_no"], ["seq", "action"]), ["out_trade_no"], "step", after, F.lit(_SAME))
+    names = F.array(*map(F.lit, STATUSES))
+    of = lambda m, s: F.element_at(names, F.substring(m, F.array_position(names, s).cast("int"), F.lit(1)).cast("int") + 1)
+    found = found.withColumn("was", of(F.col("before"), F.col("start"))).withColumn("status", of(F.col("step"), F.col("was")))
+    outcome = F.when(F.col("status") != F.col("was"), "accepted").when(F.col("was") == "fulfilled", "replay").otherwise("conflict")
+    return found.select("out_trade_no", "seq", "action", "status", outcome.alias("outcome"))

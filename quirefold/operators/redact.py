@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .passes import ordered_pass
+from .scans import ordered, scan
 
 # fixed values: patterns of identity numbers, mobile telephones and addresses
 PRESETS = {
@@ -113,17 +113,20 @@ def scrub(values: DataFrame, targets: DataFrame, key: str, value: str, least: in
 
 
 def relevel(outline: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Levels of an outline from which entries are gone: kept ancestors + 1. The pass keeps a stack of open levels, which
-    is at most as deep as the outline."""
+    """Levels of an outline from which entries are gone: kept ancestors + 1.
 
-    def step(open_: list, row: dict) -> tuple:
-        while open_ and open_[-1] >= row["level"]:
-            open_.pop()
-        open_.append(row["level"])
-        return (len(open_),)
+    The open levels after some entries are a strictly ascending stack; those after more entries are what the lowest of
+    these leaves of it, and their own. That joins associatively (scans.scan), so one huge outline is spread over tasks.
+    A stack is as deep as the outline."""
 
-    rows = ordered_pass(outline.select(doc, "pos", "level", "title", "page_no"), [doc], ["pos", "level", "title", "page_no"], list, step, "new int")
-    return rows.select(doc, "pos", F.col("new").alias("level"), "title", "page_no")
+    def join(open_: Column, more: Column) -> Column:
+        left = F.filter(open_, lambda level: level < F.get(more, F.lit(0)))
+        return F.when(F.size(more) == 0, open_).otherwise(F.concat(left, more))
+
+    rows = ordered(outline.select(doc, "level", F.col("pos").alias("place"), "title", "page_no"), [doc], ["place", "level", "title", "page_no"])
+    found = scan(rows.withColumn("own", F.array("level")), [doc], "own", join, F.array())
+    depth = F.size(F.filter("before", lambda level: level < F.col("level"))) + 1
+    return found.select(doc, F.col("place").alias("pos"), depth.alias("level"), "title", "page_no")
 
 
 def _overlaps(rects: DataFrame) -> tuple[DataFrame, Column]:
