@@ -47,13 +47,17 @@ def order_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.retain(_stale(spark, sf_dir)).select("out_trade_no", "status", "result_cache")
 
 
-def order_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     li = table(spark, sf_dir, "lineitem")
     seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("bigint")
     action = F.element_at(F.array(*map(F.lit, ("claim", "fulfil", "release", "claim"))), (F.col("l_partkey") % 4 + 1).cast("int"))
-    return O.transitions(li.select(F.col("l_orderkey").cast("string").alias("out_trade_no"), seq.alias("seq"), action.alias("action")))
+    return li.select(F.col("l_orderkey").cast("string").alias("out_trade_no"), seq.alias("seq"), action.alias("action"))
+
+
+def order_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.transitions(order_events(spark, sf_dir))
 
 
 def orders_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,10 @@ from ..operators import forms
 from ..operators import redact as R
 from ..sources import files as S
 from ..sources.shared import shared_folder
+from ..streaming import stateful as SF
 from ..streaming import streams as ST
+from .business import ORACLES as _BUSINESS
+from .business import order_events
 from .pages import _LEAVES, _leaves
 from .redaction import ORACLES as _REDACTION
 from .views import duck, table, view
@@ -123,6 +126,53 @@ def stream_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("task_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n_parts", "complete")
 
 
+def _replayed(spark: SparkSession, rows: DataFrame, time: str, run) -> DataFrame:
+    """run(stream) over rows that come in order of time, in several batches."""
+    folder = shared_folder(spark, "stream")
+    with SF.state_store(spark):
+        return ST.to_table(run(ST.arrivals(rows, time, f"{folder}/in")), folder)
+
+
+def stream_upload_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's outcome as it comes, and sessions given up by the last upload, less the delay."""
+    li = table(spark, sf_dir, "lineitem")
+    parts = li.select(F.col("l_orderkey").alias("task_id"), ((F.col("l_linenumber") - 1) % 5).cast("int").alias("idx"), (2 + F.col("l_orderkey") % 3).cast("int").alias("total"), F.col("l_shipdate").cast("timestamp").alias("ts"))
+    rows = _replayed(spark, parts, "ts", lambda s: SF.upload_sessions(s, "90 minutes", "20 days"))
+    return rows.select("task_id", F.col("idx").cast("bigint").alias("idx"), "at", "outcome", F.col("n_got").cast("bigint").alias("n_got"))
+
+
+def stream_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What falls due by the last event, less the delay."""
+    o = table(spark, sf_dir, "orders")
+    created, hours = F.col("o_orderdate").cast("timestamp"), (F.col("o_custkey") % 72).cast("int")
+    later = lambda n: created + F.make_dt_interval(hours=n)
+    base = o.select(F.concat(F.lit("SK"), F.lpad(F.col("o_orderkey").cast("string"), 30, "0")).alias("out_trade_no"), F.col("o_orderstatus").alias("s"), (F.col("o_orderkey") % 2 == 0).alias("b"), created.alias("t0"), later(hours).alias("t1"), later(hours + 1).alias("t2"))
+    pick = lambda kind, blob, time, only: base.where(F.col("s").isin(*only)).select("out_trade_no", F.lit(kind).alias("kind"), blob.alias("has_blob"), F.col(time).alias("ts"))
+    events = pick("created", F.lit(False), "t0", "OPF").unionByName(pick("claimed", F.lit(False), "t1", "PF")).unionByName(pick("fulfilled", F.col("b"), "t2", "F"))
+    return _replayed(spark, events, "ts", lambda s: SF.retention_timers(s, "90 minutes"))
+
+
+def stream_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks that can get no later request by the last event, less the delay."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).where("event_type IN ('error', 'purchase')")
+
+    def run(s: DataFrame) -> DataFrame:
+        tasks = s.where("event_type = 'error'").select("user_id", F.col("event_id").alias("task_id"), F.col("ts").alias("last_seen"))
+        requests = s.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("request_id"), F.col("ts").alias("time"))
+        return SF.as_of(tasks, requests, 12 * 3600, "1 hour")
+
+    rows = _replayed(spark, e, "ts", run)
+    return rows.select("user_id", F.col("task_id").cast("bigint").alias("task_id"), F.col("request_id").cast("bigint").alias("request_id"), "request_time")
+
+
+def stream_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of order_replay as they come."""
+    folder = shared_folder(spark, "stream")
+    order_events(spark, sf_dir).withColumn("at", F.timestamp_seconds("seq")).write.parquet(f"{folder}/all")
+    rows = spark.read.parquet(f"{folder}/all")
+    return _replayed(spark, rows, "at", lambda s: SF.order_lifecycle(s.drop("at")))
+
+
 def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "stream")
     t = _stream(spark, sf_dir, "lineitem").select(
@@ -142,7 +192,7 @@ def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     file_admission, invoice_xml, log_failures, ledger_csv, survey_csv, daily_json, on_values, stream_survey, stream_survey_exact, stream_corr,
-    stream_uploads, stream_ledger, stream_redact,
+    stream_uploads, stream_upload_parts, stream_retention, stream_asof, stream_orders, stream_ledger, stream_redact,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -198,6 +248,32 @@ WITH p AS (SELECT l_orderkey AS task_id, l_linenumber - 1 AS idx, l_shipdate AS
 n AS (SELECT *, sum(new) OVER (PARTITION BY task_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM p),
 g AS (SELECT task_id, k, min(ts) AS a, max(ts) + INTERVAL 30 DAYS AS b, count(*) AS n_parts, len(list_filter([0, 1, 2, 3], lambda x: NOT list_contains(list(idx), x))) = 0 AS complete FROM n GROUP BY 1, 2)
 SELECT task_id, epoch_us(a) AS start, epoch_us(b) AS "end", n_parts, complete FROM g WHERE b <= (SELECT max(l_shipdate) - INTERVAL 1 HOUR FROM lineitem)""",
+    "stream_upload_parts": """
+WITH RECURSIVE p AS (SELECT l_orderkey AS task_id, (l_linenumber - 1) % 5 AS idx, 2 + l_orderkey % 3 AS total, epoch_us(l_shipdate) AS "at", row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, (l_linenumber - 1) % 5) AS n FROM lineitem),
+w AS (SELECT epoch_us(max(l_shipdate)) - 5400000000 AS w FROM lineitem),
+r AS (SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS idx, CAST(NULL AS BIGINT) AS "at", 'start' AS outcome, CAST(NULL AS BIGINT) AS last, CAST([] AS BIGINT[]) AS got, false AS done, CAST(NULL AS BIGINT) AS gone, CAST(NULL AS BIGINT) AS gone_n FROM p
+  UNION ALL SELECT task_id, n, idx, "at", CASE WHEN idx >= total THEN 'invalid' WHEN list_contains(had, idx) THEN 'repeated' WHEN whole THEN 'complete' ELSE 'uploading' END,
+    CASE WHEN idx >= total THEN last0 WHEN list_contains(had, idx) THEN last ELSE "at" END, CASE WHEN idx >= total THEN had0 WHEN list_contains(had, idx) THEN had ELSE list_append(had, idx) END,
+    CASE WHEN idx >= total THEN done0 WHEN list_contains(had, idx) THEN was ELSE was OR whole END, CASE WHEN idx < total AND again AND NOT done0 THEN last0 + 1728000000000 END, len(had0) FROM (
+    SELECT *, len(list_filter(range(0, total), lambda x: x <> idx AND NOT list_contains(had, x))) = 0 AS whole FROM (
+      SELECT p.*, coalesce(p."at" - r.last > 1728000000000, false) AS again, r.last AS last0, r.got AS had0, r.done AS done0, CASE WHEN p."at" - r.last > 1728000000000 THEN NULL ELSE r.last END AS last,
+        CASE WHEN p."at" - r.last > 1728000000000 THEN CAST([] AS BIGINT[]) ELSE r.got END AS had, CASE WHEN p."at" - r.last > 1728000000000 THEN false ELSE r.done END AS was FROM r JOIN p ON p.task_id = r.task_id AND p.n = r.n + 1))),
+z AS (SELECT task_id, arg_max(last, n) AS last, arg_max(done, n) AS done, arg_max(len(got), n) AS k FROM r WHERE n > 0 GROUP BY task_id)
+SELECT task_id, idx, "at", outcome, CASE WHEN outcome <> 'invalid' THEN len(got) END AS n_got FROM r WHERE n > 0
+UNION ALL SELECT task_id, NULL, gone, 'abandoned', gone_n FROM r WHERE gone IS NOT NULL
+UNION ALL SELECT task_id, NULL, last + 1728000000000, 'abandoned', k FROM z, w WHERE NOT done AND last + 1728000000000 < w""",
+    "stream_retention": """
+WITH o AS (SELECT 'SK' || lpad(CAST(o_orderkey AS STRING), 30, '0') AS otn, o_orderstatus AS s, o_orderkey % 2 = 0 AS b, epoch_us(o_orderdate) AS t, CAST(o_custkey % 72 AS BIGINT) * 3600000000 AS h FROM orders),
+w AS (SELECT max(t + CASE WHEN s = 'O' THEN 0 WHEN s = 'P' THEN h ELSE h + 3600000000 END) - 5400000000 AS w FROM o),
+d AS (SELECT otn AS out_trade_no, CASE WHEN s = 'O' OR h > 172800000000 THEN 'delete' WHEN s = 'F' AND b THEN 'clear' END AS action, CASE WHEN s = 'O' OR h > 172800000000 THEN t + 172800000000 ELSE t + h + 3600000000 + 7776000000000 END AS "at" FROM o)
+SELECT out_trade_no, action, "at" FROM d, w WHERE action IS NOT NULL AND "at" < w""",
+    "stream_asof": """
+WITH t AS (SELECT * FROM events WHERE event_type = 'error'), r AS (SELECT * FROM events WHERE event_type = 'purchase'),
+m AS (SELECT r.event_id AS rid, r.ts AS rts, t.event_id AS tid FROM r ASOF JOIN t ON r.user_id = t.user_id AND r.ts >= t.ts WHERE r.ts - t.ts <= INTERVAL 12 HOURS),
+b AS (SELECT tid, arg_max(rid, rts) AS rid, max(rts) AS rts FROM m GROUP BY tid)
+SELECT t.user_id, t.event_id AS task_id, rid AS request_id, epoch_us(rts) AS request_time FROM t LEFT JOIN b ON t.event_id = tid
+WHERE t.ts + INTERVAL 12 HOURS < (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type IN ('error', 'purchase'))""",
+    "stream_orders": _BUSINESS["order_replay"],
     "stream_ledger": "SELECT lpad(CAST(l_orderkey % 3000 AS STRING), 8, '0') AS key, min(l_orderkey * 10 + l_linenumber) AS row_no FROM lineitem WHERE l_linenumber <> 7 GROUP BY 1",
     "stream_redact": _REDACTION["pii_mask"],
 }

@@ -28,6 +28,25 @@ def keyword_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("doc_id", "page_no", "literal").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords: each two adjacent words of every benchmark item, and six of its characters from the fourth on."""
+    b = table(spark, sf_dir, "benchmark").withColumn("w", F.split("text", " "))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
+    inner = F.array(F.substring("text", 4, 6))
+    return b.select(F.explode(F.when(F.size("w") > 1, F.concat(pairs, inner)).otherwise(inner)).alias("keyword"))
+
+
+def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = R.keyword_table_hits(_pages(spark, sf_dir), _phrases(spark, sf_dir))
+    return hits.groupBy("doc_id", "page_no", "literal").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def keyword_table_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    masked = R.mask_hits(pages, R.keyword_table_hits(pages, _phrases(spark, sf_dir)), ["doc_id", "page_no"])
+    return masked.select("doc_id", "page_no", F.md5(F.col("text").cast("binary")).alias("masked_md5"), F.length("text").cast("bigint").alias("n_chars"))
+
+
 def pii_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
     return R.redaction_report(R.preset_hits(pages), pages)
@@ -85,7 +104,7 @@ def spec_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.join(rect, F.col("o_orderkey") == F.col("r")).drop("r")
 
 
-QUERIES = {f.__name__: f for f in (pii_locate, keyword_locate, pii_report, pii_mask, pii_verify, side_channel_scrub, outline_relevel, rect_hits, rect_mask, spec_checks)}
+QUERIES = {f.__name__: f for f in (pii_locate, keyword_locate, keyword_table, keyword_table_mask, pii_report, pii_mask, pii_verify, side_channel_scrub, outline_relevel, rect_hits, rect_mask, spec_checks)}
 
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 _ID = r"^[1-9][0-9]{5}(18|19|20)[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx]$"
@@ -98,7 +117,22 @@ _RECTS = """
 r AS (SELECT o_orderkey AS doc_id, 1 + o_custkey % 3 AS page_no, o_orderkey AS rect_id, CAST((o_custkey * 7) % 500 AS DOUBLE) AS x, CAST((o_custkey * 3) % 300 AS DOUBLE) AS y FROM orders)"""
 _OVER = "s.doc_id = r.doc_id AND s.page_no = r.page_no AND s.x0 < r.x + 121 AND s.x1 > r.x - 1 AND s.y0 < r.y + 91 AND s.y1 > r.y - 1"
 
+_PHRASES = """
+b AS (SELECT text AS item, string_split(text, ' ') AS w FROM benchmark),
+k AS (SELECT DISTINCT k FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS k FROM b UNION ALL SELECT substr(item, 4, 6) FROM b) WHERE k <> '')"""
+
 ORACLES = {
+    "keyword_table": duck(
+        f"WITH {_PHRASES} SELECT doc_id, page_no, k AS literal, CAST((length(text) - length(replace(text, k, ''))) // length(k) AS BIGINT) AS hits FROM f_doc_pages, k WHERE contains(text, k)",
+        "f_doc_pages",
+    ),
+    "keyword_table_mask": duck(
+        f"""
+WITH {_PHRASES}, h AS (SELECT doc_id, page_no, list(k ORDER BY length(k) DESC, k) AS found FROM f_doc_pages, k WHERE contains(text, k) GROUP BY ALL),
+m AS (SELECT doc_id, page_no, CASE WHEN found IS NULL THEN text ELSE list_reduce(list_prepend(text, found), lambda t, x: replace(t, x, '')) END AS t FROM f_doc_pages LEFT JOIN h USING (doc_id, page_no))
+SELECT doc_id, page_no, md5(t) AS masked_md5, length(t) AS n_chars FROM m""",
+        "f_doc_pages",
+    ),
     "pii_locate": duck(f"WITH {_HITS} SELECT doc_id, page_no, CAST(sum(n_id + n_phone + n_email) AS BIGINT) AS hits FROM h WHERE n_id + n_phone + n_email > 0 GROUP BY ROLLUP (doc_id, page_no) HAVING doc_id IS NOT NULL", "f_doc_pages"),
     "keyword_locate": duck(
         """

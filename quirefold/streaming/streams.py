@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger as L
 from ..operators import redact as R
-from ..operators.orders import STEPS
 from ..operators.survey import is_bot
+from . import stateful
 
 
 def tail(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -61,9 +61,11 @@ def first_batches(path: str, rows_of: Callable[[DataFrame], DataFrame], key: str
         if _exists(spark, path):
             mine = [r["bucket"] for r in first.select("bucket").distinct().collect()]  # `buckets` numbers at most
             known = spark.read.parquet(path).where(F.col("bucket").isin(mine) & (F.col("batch") != batch_id)).select(key)
-            first = first.join(known, key, "left_anti")
-        place = os.path.join(path, f"batch={batch_id}")
-        first.write.mode("overwrite").partitionBy("bucket").parquet(place)
+            new = first.join(known, key, "left_anti")
+        else:
+            new = first
+        new.write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(path, f"batch={batch_id}"))
+        first.unpersist()
 
     return run
 
@@ -88,6 +90,16 @@ def survey_batches(path: str, order: str = "ts") -> Callable[[DataFrame, int], N
     return first_batches(path, first, "client_id")
 
 
+def arrivals(df: DataFrame, time: str, folder: str, parts: int = 3, files: int = 4) -> DataFrame:
+    """A stream over the rows of a table as if they came in order of time: they are written in `parts` steps of equal
+    time, of `files` files each, which are read as many at a time."""
+    span = df.agg(F.min(time).alias("low"), F.max(time).alias("high")).first()
+    dealt = df.withColumn("part", stateful.in_order(F.col(time), parts, span["low"], span["high"]))
+    for k in range(parts):
+        dealt.where(F.col("part") == k).drop("part").repartition(files).write.mode("append").parquet(folder)
+    return tail(df.sparkSession, folder, df.schema, files)
+
+
 def to_table(df: DataFrame, folder: str) -> DataFrame:
     """Runs a stream over what there is into Parquet below a folder that executors share, and reads it."""
     q = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
@@ -104,31 +116,3 @@ def to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
-
-
-def order_lifecycle(events: DataFrame) -> DataFrame:
-    """events (out_trade_no, seq, action) as they come: status and outcome after each, by the rules of orders.transitions.
-    One small state an order. Needs a state store that keeps several values (RocksDB)."""
-    import pandas as pd
-    from pyspark.sql.streaming import StatefulProcessor
-
-    class Order(StatefulProcessor):
-        def init(self, handle) -> None:
-            self.status = handle.getValueState("status", "status string")
-
-        def handleInputRows(self, key, rows, timerValues):
-            now = self.status.get()[0] if self.status.exists() else "created"
-            out = []
-            for pdf in rows:
-                for seq, action in pdf.sort_values("seq")[["seq", "action"]].itertuples(index=False):
-                    new = STEPS.get((now, action), now)
-                    out.append((key[0], seq, action, new, "accepted" if new != now else "replay" if now == "fulfilled" else "conflict"))
-                    now = new
-            self.status.update((now,))
-            yield pd.DataFrame(out, columns=["out_trade_no", "seq", "action", "status", "outcome"])
-
-        def close(self) -> None:
-            pass
-
-    schema = "out_trade_no string, seq bigint, action string, status string, outcome string"
-    return events.groupBy("out_trade_no").transformWithStateInPandas(Order(), outputStructType=schema, outputMode="Append", timeMode="None")

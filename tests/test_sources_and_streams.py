@@ -92,15 +92,3 @@ def test_ledger_stream(spark, tmp_path):
     q.awaitTermination()
     got = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "ledger")).select("key", "amount").collect()
     assert sorted(map(tuple, got)) == [("12345678", "1.00"), ("87654321", "2.00")]
-
-
-def test_order_stream_like_the_batch_form(spark, tmp_path):
-    events = [("a", k, x) for k, x in enumerate(("claim", "claim", "release", "claim", "fulfil", "claim"))] + [("b", 0, "fulfil")]
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        s = stream(spark, tmp_path / "in", events, "out_trade_no string, seq bigint, action string", 1)
-        got = sorted(map(tuple, X.to_memory(X.order_lifecycle(s), "life").collect()))
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    assert got == sorted(map(tuple, orders.transitions(spark.createDataFrame(events, "out_trade_no string, seq bigint, action string")).collect()))
