@@ -19,10 +19,11 @@ similarity; the leader is the one with the largest share of repeated weight (an
 it does not resemble are led again, LEADERS times, each new leader compared with all the group. Then components of the
 links found are taken, a leader of each component is compared with the group's members of other components, and at last
 every pair of a group's members, led ones included, whose components still differ. So classes are those of all pairs that
-meet. Of these pairs only those are made that could reach SIMILARITY: they share at most the smaller of their repeated
-weights, and in each of SLOTS classes of shingle hashes the smaller of their repeated weights there. Both are upper
-bounds, so that no link is lost. A pair that meets in several bands is made in the first. What is left to compare grows
-with the members of a group that no leader resembles times the group; rows are made for pairs near SIMILARITY only.
+meet; members of a group's largest component are not paired with each other. Of these pairs only those are made that could
+reach SIMILARITY: they share at most the smaller of their repeated weights, and in each of SLOTS classes of shingle hashes
+the smaller of their repeated weights there. Both are upper bounds, so that no link is lost. A pair that meets in several
+bands is made in the first. The tests of that last step are as many as the members outside of a group's largest component
+times the group, dealt in blocks of BLOCK; rows are made for pairs near SIMILARITY only.
 
 Defined results: null, empty and blank texts link with nothing; equal texts are one class; a null id is a row of its own
 and never names a class of others; repeated rows give a row each; other columns are not read. The input is read twice and
@@ -48,6 +49,8 @@ IDF_SHARE = 0.25
 BANDS, ROWS = 12, 3
 LEADERS = 3
 CHUNK_BYTES = 1 << 20
+#: Members of a band's group that are compared with its outsiders in one piece.
+BLOCK = 4096
 #: Classes of shingle hashes for the upper bound of what a pair shares.
 SLOTS = 64
 
@@ -314,18 +317,26 @@ def _across(members: DataFrame, labels: DataFrame, compared: DataFrame, sets: Da
     inside = sets.join(m.select("node").distinct(), "node", "left_semi")
     slots = inside.select("node", "shingles", "tf", "df").mapInArrow(_slots(n_docs), "node bigint, slots array<float>")
     m = C.written(m.join(inside.select("node", "total", "share", "bands").join(slots, "node"), "node"), "bounded")
-    other = m
+    could = _could(*map(F.col, ("x.total", "x.share", "y.total", "y.share")))
+    shared = F.aggregate(F.zip_with("x.slots", "y.slots", lambda a, b: F.least(a, b)), F.lit(0.0), lambda a, w: a + w)
+    could = could & (shared >= SIMILARITY * (F.col("x.total") + F.col("y.total") - shared) * (1 - 1e-6))
+    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
+    ends = F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
     if leaders:
         first = F.min_by(F.struct("node", "total", "share", "bands", "slots"), F.struct(-F.col("share"), F.col("node")))
-        other = m.groupBy("band", "key", "component").agg(first.alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", "component", "l.*")
-    x, y = m.alias("x"), other.alias("y")
-    apart = F.col("x.component") != F.col("y.component") if leaders else F.col("x.component") < F.col("y.component")
+        lead = m.groupBy("band", "key", "component").agg(first.alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", "component", "l.*")
+        met = m.alias("x").join(lead.alias("y"), same & (F.col("x.component") != F.col("y.component")) & could)
+        return _new(compared, met.select(*ends), sets, n_docs)
+    # a group's largest component needs no pair of its own: its other members meet all, the group being dealt in blocks
+    sizes = m.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("band", "key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = m.join(C.written(sizes, "sizes"), ["band", "key"])
+    rest = dealt.where("component <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    all_ = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.component") < F.col("y.component"))
     first_met = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), F.lit(True)) == F.col("x.band") + 1
-    shared = F.aggregate(F.zip_with("x.slots", "y.slots", lambda a, b: F.least(a, b)), F.lit(0.0), lambda a, w: a + w)
-    could = shared >= SIMILARITY * (F.col("x.total") + F.col("y.total") - shared) * (1 - 1e-6)
-    near = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & apart & _could(*map(F.col, ("x.total", "x.share", "y.total", "y.share"))) & could
-    near = near if leaders else near & first_met  # a leader of one band's group may not lead in another
-    return _new(compared, x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), sets, n_docs)
+    met = rest.alias("x").join(all_.alias("y"), same & (F.col("x.block") == F.col("y.block")) & (F.col("x.component") != F.col("y.component")) & once & first_met & could)
+    return _new(compared, met.select(*ends), sets, n_docs)
 
 
 def _classed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:

@@ -138,3 +138,36 @@ def test_a_bridge_between_two_led_families(spark):
     assert set(want.values()) == {0} and set(apart.values()) == {0, 60}
     assert {r.doc_id: r.class_id for r in N.classes(df).collect()} == want
     assert [r.doc_id for r in N.distinct_documents(df).collect()] == [0]
+
+
+def test_outsiders_of_a_large_group(spark, monkeypatch):
+    """One group of near copies that one family of two and single texts meet in all bands: found pairs are those of brute
+    force, and members of the largest component are not paired with each other."""
+    monkeypatch.setattr(N, "BLOCK", 7)
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:-1], f"o{i}"])) for i in range(40)]
+    edit = lambda k: " ".join(f"{w}{k}" if i % 40 < k else w for i, w in enumerate(base))
+    rows += [(100 + k, edit(k % 9)) for k in range(27)] + [(200, " ".join(rnd.sample(base, 200)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute(rows)
+    assert {r.doc_id: r.class_id for r in N.classes(df).collect()} == want and len(set(want.values())) > 2
+
+
+def test_across_is_linear_in_the_largest_component(spark):
+    """All members in one component but one that nothing could link: 8,000 tests a band group, not 32 million."""
+    n = 8000
+    from pyspark.sql import functions as F
+
+    sets = spark.range(n).select(
+        F.col("id").alias("node"), F.lit(100.0).alias("total"), F.when(F.col("id") < n - 1, 1.0).otherwise(0.81).alias("share"), F.array(F.lit(1).cast("bigint")).alias("bands"),
+        F.lit(bytes(N.C.pack(np.arange(5, dtype=np.uint64), True))).alias("shingles"), F.lit(bytes(N.C.pack(np.ones(5)))).alias("tf"), F.lit(bytes(N.C.pack(np.full(5, 2)))).alias("df"),
+    )
+    sets = N.C.written(sets, "sets")
+    members = sets.select(F.lit(0).alias("band"), F.lit(1).cast("bigint").alias("key"), "node", "total", "share")
+    labels = spark.range(n - 1).select("id", F.lit(0).cast("bigint").alias("component"))
+    compared = spark.createDataFrame([], "a bigint, b bigint, similarity double")
+    import time
+
+    began = time.time()
+    assert N._across(members, labels, compared, sets, n, False).count() == 0 and time.time() - began < 60
