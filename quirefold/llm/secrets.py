@@ -2,8 +2,9 @@
 
 Base kinds are regular expressions. The method adds the kind `entropy`: runs of a character class (hexadecimal, base-64)
 whose Shannon entropy, in the best window of WINDOW characters, reaches the class's threshold. The fold over a run keeps
-counts by character and the sum of c*log2(c), changed for the entering and the leaving character only. Runs that an
-allow-list explains (words, paths, numbers, UUIDs, placeholders) and runs that overlap a base span are suppressed.
+counts by character and the sum of c*log2(c), changed for the entering and the leaving character only. Base spans, words
+of placeholders and fillers are blanked before runs are sought, so that what stands beside them is judged by itself; a
+run that the allow-list explains as a whole (words, paths, numbers, UUIDs) is suppressed.
 
 Defined results: null text counts as empty and has no spans; copies, ties and repeated rows give a row each; other
 columns are not read. Offsets are code points, ends exclusive.
@@ -32,9 +33,10 @@ ALLOWED = (
     r"^[A-Za-z]+([-_/+=]+[A-Za-z]*)*$",  # words, paths and identifiers without a digit
     r"^[0-9]+([-_/+=]+[0-9]*)*$",  # numbers, dates, telephone numbers
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",  # UUIDs
-    r"(?i)example|placeholder|changeme|dummy|sample",
-    r"(.)\1{7,}",  # filler
 )
+#: Words of placeholders, and fillers: what is left of a run on either side of one is a run of its own.
+PLACEHOLDERS = "(?i:example|placeholder|changeme|dummy|sample)"
+CUT = PLACEHOLDERS + r"|([A-Za-z0-9+/_=-])\1{7,}"
 BLOCK = 256
 
 
@@ -120,20 +122,37 @@ def _spans(found: Column, kind: str) -> Column:
     return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
+def _replaced(text: Column, spans: Column, fill) -> Column:
+    """text with fill(first, length) for each span: whether it is the first of those that overlap, and the characters of
+    it that no span before covers. The spans are sorted."""
+
+    def cut(state: Column) -> Column:
+        chars, ends = state["chars"], state["ends"]
+        piece = lambda a, b: F.array_join(F.slice(chars, a + 1, F.greatest(b - a, F.lit(0))), "")
+        new = lambda s, i: F.greatest(s["end"] - F.greatest(F.get(ends, i), s["start"]), F.lit(0))
+        parts = F.transform(spans, lambda s, i: F.concat(piece(F.get(ends, i), s["start"]), fill(s["start"] >= F.get(ends, i), new(s, i))))
+        return F.concat(F.array_join(parts, ""), piece(F.get(ends, F.size(spans)), F.size(chars)))
+
+    ends = _let(F.transform(spans, lambda s: s["end"]), _most_before)
+    return F.when(F.size(spans) > 0, _let(F.struct(F.split(text, "").alias("chars"), ends.alias("ends")), cut)).otherwise(text)
+
+
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of `keep`, and base, spans: array<struct<start,rank,end,kind>> by start, then kind."""
     t = F.col("__text")
+    blank = lambda _, n: F.repeat(F.lit(" "), n)
     found = (
         docs.select(F.coalesce(F.col(text), F.lit("")).alias("__text"), *keep)
         .withColumn("__assign", F.filter(matches(t, ASSIGN, 1), lambda m: F.length(m["value"]) >= LEAST_VALUE))
         .withColumn("__access", matches(t, ACCESS))
         .withColumn("__hex", matches(t, HEX))
         .withColumn("base", F.array_sort(F.concat(*(_spans(F.col(f"__{k}"), k) for k in KINDS[:3]))))
-        .withColumn("__runs", matches(t, RUN))
+        .withColumn("__open", F.when(t.rlike(RUN), _replaced(t, F.col("base"), blank)).otherwise(""))
+        .withColumn("__cuts", F.when(F.col("__open").rlike(RUN), matches(F.col("__open"), CUT)).otherwise(F.array().cast(_EMPTY)))
+        .withColumn("__runs", matches(_replaced(F.col("__open"), F.col("__cuts"), blank), RUN))
     )
     allowed = lambda s: _any([s.rlike(p) for p in ALLOWED])
-    new = F.filter(F.col("__runs"), lambda m: ~allowed(m["hit"]) & ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
-    found = found.withColumn("__runs", F.when(F.size("__runs") > 0, new).otherwise(F.col("__runs")))
+    found = found.withColumn("__runs", F.when(F.size("__runs") > 0, F.filter(F.col("__runs"), lambda m: ~allowed(m["hit"]))).otherwise(F.col("__runs")))
     least = lambda s: F.when(s.rlike("^[0-9A-Fa-f]+$"), F.lit(BITS["hexadecimal"])).otherwise(F.lit(BITS["base64"]))
     high = F.when(F.size("__runs") > 0, F.filter(F.col("__runs"), lambda m: window_entropy(m["hit"]) >= least(m["hit"]) - 1e-9)).otherwise(F.col("__runs"))
     return found.withColumn("spans", F.array_sort(F.concat(F.col("base"), _spans(high, "entropy")))).select(*keep, "base", "spans")
@@ -155,16 +174,8 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     columns = docs.columns
     scanned = scan(docs.select("text", F.struct(*columns).alias("__row")), keep=("__row",))
     spans = F.col("spans")
-
-    def cut(state: Column) -> Column:
-        chars, ends = state["chars"], state["ends"]
-        piece = lambda a, b: F.array_join(F.slice(chars, a + 1, F.greatest(b - a, F.lit(0))), "")
-        # of spans that overlap, the first one's mask stands for all
-        kept = F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(ends, i), F.concat(piece(F.get(ends, i), s["start"]), F.lit(mask))).otherwise(F.lit("")))
-        return F.concat(F.array_join(kept, ""), piece(F.get(ends, F.size(spans)), F.size(chars)))
-
-    ends = _let(F.transform(spans, lambda s: s["end"]), _most_before)
-    clean = F.when(F.size(spans) > 0, _let(F.struct(F.split(F.col("__row.text"), "").alias("chars"), ends.alias("ends")), cut)).otherwise(F.col("__row.text"))
+    # of spans that overlap, the first one's mask stands for all
+    clean = _replaced(F.col("__row.text"), spans, lambda first, _: F.when(first, F.lit(mask)).otherwise(F.lit("")))
     out = scanned.withColumn("__clean", clean)
     new = {"text": F.col("__clean"), "n_chars": F.when(F.size(spans) > 0, F.length("__clean").cast("bigint")).otherwise(F.col("__row.n_chars")) if "n_chars" in columns else None}
     return out.select(*((new[c] if c in new else F.col(f"__row.{c}")).alias(c) for c in columns))
@@ -176,22 +187,40 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", *(count(k) for k in KINDS[:3]), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def _found(kind: str, pattern: str, group: int) -> str:
+def _found(kind: str, pattern: str, group: int, source: str) -> str:
     p = pattern.replace("'", "''")
     return f"""SELECT doc_id, '{kind}' AS kind, {KINDS.index(kind)} AS rank, regexp_extract_all(t, '{p}') AS h, regexp_extract_all(t, '{p}', {group}) AS v,
-  list_transform(string_split_regex(t, '{p}'), lambda x: length(x)) AS g FROM d WHERE regexp_matches(t, '{p}')"""
+  list_transform(string_split_regex(t, '{p}'), lambda x: length(x)) AS g FROM {source} WHERE regexp_matches(t, '{p}')"""
+
+
+_ALLOW = " OR ".join(f"regexp_matches(hit, '{p}')" for p in ALLOWED)
+_FILLERS = "|".join(("\\" if c in "+-" else "") + c + "{8,}" for c in ALPHABET)
+
+
+def _blanked(source: str, target: str, covers: str) -> str:
+    """`target` (doc_id, t): texts of `source` with spaces for the characters that the spans of `covers` hold."""
+    return f"""{target} AS (SELECT doc_id, CASE WHEN s IS NULL THEN t ELSE array_to_string(list_transform(range(1, length(t) + 1), lambda i: CASE WHEN len(list_filter(s, lambda x: x.a < i AND x.z >= i)) > 0 THEN ' ' ELSE t[i] END), '') END AS t
+  FROM {source} LEFT JOIN (SELECT doc_id, list({{'a': a, 'z': z}}) AS s FROM {covers} GROUP BY doc_id) AS c USING (doc_id))"""
+
+
+def _placed(source: str, matched: str, target: str) -> str:
+    """`target` (doc_id, kind, rank, hit, val, a, z): the rows of `matched` with their offsets."""
+    return f"""{matched} AS ({source}),
+{target} AS (SELECT *, a + length(hit) AS z FROM (SELECT doc_id, kind, rank, h[i] AS hit, v[i] AS val, CAST(coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) + list_sum(g[1:i]) AS BIGINT) AS a FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM {matched})))"""
 
 
-_ALLOW = " OR ".join([f"regexp_matches(hit, '{p}')" for p in ALLOWED[:-1]] + ["len(list_filter(range(1, length(hit)), lambda i: substr(hit, i, 8) = repeat(substr(hit, i, 1), 8))) > 0"])
+_BASE = ((k, p, g) for k, p, g in (("assign", ASSIGN, 1), ("access", ACCESS, 0), ("hex", HEX, 0)))
 ORACLE = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-m AS ({" UNION ALL ".join(_found(k, p, g) for k, p, g in (("assign", ASSIGN, 1), ("access", ACCESS, 0), ("hex", HEX, 0), ("entropy", RUN, 0)))}),
-s AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM m),
-p AS (SELECT doc_id, kind, rank, h[i] AS hit, v[i] AS val, CAST(coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) + list_sum(g[1:i]) AS BIGINT) AS a FROM s),
-b AS (SELECT *, a + length(hit) AS z FROM p WHERE kind <> 'entropy' AND (kind <> 'assign' OR length(val) >= {LEAST_VALUE})),
-r AS (SELECT *, a + length(hit) AS z, regexp_matches(hit, '^[0-9A-Fa-f]+$') AS hexed FROM p WHERE kind = 'entropy' AND NOT ({_ALLOW})),
-e AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = r.doc_id AND b.a < r.z AND b.z > r.a)
-  AND list_max(list_transform(range(1, length(hit) - {WINDOW - 2}), lambda i: list_aggregate(string_split(substr(hit, i, {WINDOW}), ''), 'entropy'))) >= CASE WHEN hexed THEN {BITS["hexadecimal"]} ELSE {BITS["base64"]} END - 1e-9),
+{_placed(" UNION ALL ".join(_found(*b, "d") for b in _BASE), "bm", "bp")},
+b AS (SELECT * FROM bp WHERE kind <> 'assign' OR length(val) >= {LEAST_VALUE}),
+d0 AS (SELECT * FROM d WHERE regexp_matches(t, '{RUN}')),
+{_blanked("d0", "d1", "b")},
+{_placed(_found("hex", PLACEHOLDERS + "|" + _FILLERS, 0, "d1"), "cm", "cp")},
+{_blanked("d1", "d2", "cp")},
+{_placed(_found("entropy", RUN, 0, "d2"), "rm", "rp")},
+r AS (SELECT *, regexp_matches(hit, '^[0-9A-Fa-f]+$') AS hexed FROM rp WHERE NOT ({_ALLOW})),
+e AS (SELECT * FROM r WHERE list_max(list_transform(range(1, length(hit) - {WINDOW - 2}), lambda i: list_aggregate(string_split(substr(hit, i, {WINDOW}), ''), 'entropy'))) >= CASE WHEN hexed THEN {BITS["hexadecimal"]} ELSE {BITS["base64"]} END - 1e-9),
 u AS (SELECT doc_id, kind, rank, a, z FROM b UNION ALL SELECT doc_id, kind, rank, a, z FROM e),
 j AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) AS spans FROM u GROUP BY doc_id)
