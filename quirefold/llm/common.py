@@ -7,9 +7,6 @@ and groups those rows.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder, written  # noqa: F401
+
 #: A word is a run of anything but these six ASCII separators.
 WORD = r"[^\x20\x09-\x0D]+"
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -35,25 +34,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir. Where that is unset: a local one, in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = os.path.join(tempfile.gettempdir(), "quirefold-shared")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and later reads prune its columns."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(df: DataFrame, text: str) -> int:
     """Bytes of all texts; numbers of buckets follow it, so that a bucket's size does not grow with the corpus."""
     return df.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0

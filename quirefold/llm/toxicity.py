@@ -6,7 +6,8 @@ its first four, five and six bytes, and the words before and after it in the sen
 Learning uses SAMPLE labelled documents of either class at most, chosen by hash (the bound is this parameter). Labels
 belong to documents, so tokens are labelled first: among features that hardly occur in clean documents, the one that
 explains most of the toxic documents not yet explained is taken, until none explains SUPPORT of them; tokens with such a
-feature in toxic documents are toxic. The field is then fitted to these tokens and their surroundings.
+feature in toxic documents are toxic. The field is then fitted to all sentences of the sample that hold such a token, and
+to one in PLAIN of its other sentences (a second bound on the labelled sample, a parameter of fit).
 
 Scoring runs forward-backward over every sentence of every whole text. A document's score is the largest marginal of its
 tokens, so that a long text is not suspect for its length; spans are tokens of a marginal of one half and more.
@@ -33,6 +34,8 @@ PREFIXES = (4, 5, 6)
 #: Columns of a token's own features; two of its neighbours follow.
 OWN = 1 + len(PREFIXES)
 EPOCHS = 12
+#: Of the sample's sentences without a toxic token, one in so many is fitted (1: all); the labelled sample is bounded by it.
+PLAIN = 10
 _SCALE = 1 << 20
 
 _SEP = np.ones(256, bool)
@@ -171,17 +174,17 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(features, pa.binary()), pa.array(chains, pa.binary())], ["toxic", "features", "chains"])
 
 
-def fit(features: np.ndarray, owner: np.ndarray, chain: np.ndarray, toxic: np.ndarray) -> dict:
+def fit(features: np.ndarray, owner: np.ndarray, chain: np.ndarray, toxic: np.ndarray, plain: int = PLAIN) -> dict:
     """Weights by hashed feature, and the scores of label pairs. owner: the text of each token; toxic: of each text."""
     bounds = np.searchsorted(owner, np.arange(len(toxic) + 1))
     marks = explain([np.unique(features[a:b, :OWN]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], toxic)
     is_mark = np.zeros(1 << TABLE_BITS, bool)
     is_mark[marks] = True
     label = is_mark[features[:, :OWN]].any(axis=1) & toxic[owner]
-    # chains with a toxic token whole; of the others each tenth
+    # all chains with a toxic token; of the others one in `plain`, by a hash of its number
     hot = np.zeros(int(chain.max()) + 1 if len(chain) else 0, bool)
     hot[chain[label]] = True
-    some = hot | (C.mix(np.arange(len(hot), dtype=np.uint64)) % np.uint64(10) == 0)
+    some = hot | (C.mix(np.arange(len(hot), dtype=np.uint64)) % np.uint64(plain) == 0)
     use = some[chain] if len(hot) else np.zeros(0, bool)
     f, y = features[use].astype(np.int64), label[use].astype(np.float64)
     chain = np.unique(chain[use], return_inverse=True)[1]
