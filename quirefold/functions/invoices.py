@@ -127,7 +127,14 @@ def strip_label(t: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), LABEL, ""))
 
 
-def looks_like_name(t: Column) -> Column:
-    """Two characters or more, one of them Chinese, and neither a tax id nor an amount."""
-    s = strip_label(t)
-    return (F.length(s) >= 2) & s.rlike("[\\u4e00-\\u9fff]") & ~tax_id_ok(s) & ~s.rlike(AMOUNT_SPAN)
+#: fixed values: the label of a name in the other layout, and what no name holds there
+NAME_LABEL = r"^名称[：:]\s*"
+NAME_EXCLUDE = ("名称", "代码", "识别号", "发票", "合计", "备注", "开票人", "价税")
+
+
+def looks_like_name(t: Column, label: str = LABEL, exclude: tuple[str, ...] = ()) -> Column:
+    """Two characters or more without the label, one of them Chinese, and neither a tax id nor an amount; nor with any of
+    the words of `exclude`."""
+    s = F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), label, ""))
+    good = (F.length(s) >= 2) & s.rlike("[\\u4e00-\\u9fff]") & ~tax_id_ok(s) & ~s.rlike(AMOUNT_SPAN)
+    return good & ~s.rlike("|".join(exclude)) if exclude else good

@@ -59,6 +59,53 @@ def zone_fields(spans: DataFrame) -> DataFrame:
     return agg.withColumn("remark", F.when(F.trim("remark") != "", F.trim("remark")))
 
 
+# fixed values: zones of the fixed-layout form in millimetres (name, y from, y below, x from as a share of the page's width)
+FIXED_ZONES = (
+    ("name", 26.0, 46.0, 0.0),
+    ("tax_id", 38.0, 60.0, 0.0),
+    ("items", 55.0, 92.0, 0.0),
+    ("totals", 88.0, 98.0, 0.0),
+    ("vat", 96.0, 113.0, 0.55),
+)
+
+
+def fixed_zone_fields(placed: DataFrame) -> DataFrame:
+    """placed (doc_id, pos, x, y, text, page_width), in millimetres, pos the order in the file: a record a document. The
+    first text of 20 digits is the number, the shortest text that is a date the date; the first tax id from the left of
+    either half of the page, but for the number; the longest name of either half; leftmost and rightmost of two totals or
+    more; the rightmost grand total of the right part; items counted; the kind from all texts. Ties go from left to
+    right, then by the order in the file. reason: unsupported, if neither a number nor a grand total was found."""
+    text, mid = F.col("text"), F.col("page_width") / 2
+    zones = F.array_compact(F.array(*(F.when((F.col("y") >= a) & (F.col("y") < b) & (F.col("x") >= F.col("page_width") * x), F.lit(z)) for z, a, b, x in FIXED_ZONES)))
+    label = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), I.NAME_LABEL, ""))
+    p = placed.select(
+        "doc_id", "pos", "x", text, zones.alias("zones"), label.alias("clean"), F.when(F.col("x") < mid, "buyer").otherwise("seller").alias("side"),
+        text.rlike("^[0-9]{20}$").alias("is_number"), text.rlike("^[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日$").alias("is_date"), I.tax_id_ok(text).alias("is_tax"),
+        I.looks_like_name(text, I.NAME_LABEL, I.NAME_EXCLUDE).alias("is_name"), I.clean_amount_keep(text).alias("amount"),
+    )
+    here = lambda zone: F.array_contains("zones", zone)
+    left = F.struct("x", "pos")
+    name = lambda side: F.max_by("clean", F.when(here("name") & F.col("is_name") & (F.col("side") == side), F.struct(F.length("text"), -F.col("x"), -F.col("pos"))))
+    taxes = lambda side: F.array_sort(F.collect_list(F.when(here("tax_id") & F.col("is_tax") & (F.col("side") == side), F.struct("x", "pos", "text"))))
+    total = here("totals") & F.col("amount").isNotNull()
+    agg = p.groupBy("doc_id").agg(
+        F.min_by("text", F.when(F.col("is_number"), F.col("pos"))).alias("invoice_number"),
+        I.normalize_date(F.min_by("text", F.when(F.col("is_date"), F.struct(F.length("text"), "pos")))).alias("issue_date"),
+        name("buyer").alias("buyer_name"),
+        name("seller").alias("seller_name"),
+        taxes("buyer").alias("buyer_taxes"),
+        taxes("seller").alias("seller_taxes"),
+        F.when(F.count_if(total) >= 2, F.min_by("amount", F.when(total, left))).alias("amount_without_tax"),
+        F.when(F.count_if(total) >= 2, F.max_by("amount", F.when(total, left))).alias("tax_amount"),
+        F.max_by("amount", F.when(here("vat") & F.col("amount").isNotNull(), F.struct(F.col("x"), -F.col("pos")))).alias("total_with_tax"),
+        F.nullif(F.count_if(here("items") & F.startswith("text", F.lit("*"))), F.lit(0)).alias("item_count"),
+        I.detect_invoice_type(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda t: t["text"]), "")).alias("invoice_type"),
+    )
+    first = lambda c: F.get(F.filter(c, lambda t: F.col("invoice_number").isNull() | (t["text"] != F.col("invoice_number"))), F.lit(0))["text"]
+    agg = agg.withColumn("buyer_tax_id", first("buyer_taxes")).withColumn("seller_tax_id", first("seller_taxes")).drop("buyer_taxes", "seller_taxes")
+    return agg.withColumn("reason", F.when(F.col("invoice_number").isNull() & F.col("total_with_tax").isNull(), "unsupported"))
+
+
 def resolve_references(tags: DataFrame, objects: DataFrame) -> DataFrame:
     """(doc_id, field, text, last_amount): the texts of the objects that a field's tags name, in order, and the last of
     them that looks like an amount."""

@@ -34,6 +34,23 @@ def file_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", "length", "ext", "kind", "reason", F.hex("content").alias("content"))
 
 
+#: The same for file_heads, kinds that only the first bytes tell among them.
+HEAD_EXTENSIONS = (*EXTENSIONS, ".caj")
+MORE_HEADS = (*HEADS, "C8616263", "4B444820", "484E2E2E", "43414A20")
+
+
+def file_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each supplier is written, some of them large, and the folder scanned by heads; contents by their length."""
+    k = F.col("s_suppkey")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
+    body = F.concat(F.unhex(pick(MORE_HEADS, k % 14)), F.encode(F.repeat(F.lit("x"), (k % 40 * 5000).cast("int")), "utf-8"))
+    files = table(spark, sf_dir, "supplier").select(F.concat((k % 7).cast("string"), F.lit("/f"), k.cast("string"), pick(HEAD_EXTENSIONS, F.floor(k / 3) % 10)).alias("path"), body.alias("content"))
+    folder = shared_folder(spark, "files")
+    S.write_files(files, folder)
+    rows = S.with_contents(S.scan_heads(spark, folder, tuple(e for e in HEAD_EXTENSIONS if e != ".exe"), 150_000), folder)
+    return rows.select(F.regexp_extract("path", "([^/]*/[^/]*)$", 1).alias("path"), "length", "ext", "kind", "reason", F.md5("content").alias("content_md5"))
+
+
 def invoice_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = view(spark, sf_dir, "f_invoice_xml").select("path", F.col("x").cast("binary").alias("content"))
     return S.scan_invoice_xml(files).select("source_file", "invoice_number", "issue_date", "buyer_name", "tax_amount", "item_count", "reason")
@@ -191,7 +208,7 @@ def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    file_admission, invoice_xml, log_failures, ledger_csv, survey_csv, daily_json, on_values, stream_survey, stream_survey_exact, stream_corr,
+    file_admission, file_heads, invoice_xml, log_failures, ledger_csv, survey_csv, daily_json, on_values, stream_survey, stream_survey_exact, stream_corr,
     stream_uploads, stream_upload_parts, stream_retention, stream_asof, stream_orders, stream_ledger, stream_redact,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -207,6 +224,12 @@ r AS (SELECT *, CASE WHEN ext = '.exe' THEN 'extension' WHEN length > 45000 THEN
   WHEN '.doc' THEN h LIKE 'D0CF11E0A1B11AE1%' WHEN '.png' THEN h LIKE '89504E470D0A1A0A%' WHEN '.jpg' THEN h LIKE 'FFD8FF%' WHEN '.webp' THEN h LIKE '52494646________57454250%' ELSE {_ZIP} END THEN 'content' END AS reason FROM f)
 SELECT 'd/f.x' || k || ext AS path, length, ext, CASE WHEN h LIKE '25504446%' THEN 'pdf' WHEN h LIKE '504B0304%' THEN 'zip' WHEN h LIKE '89504E47%' THEN 'png' WHEN h LIKE 'FFD8FF%' THEN 'jpeg' ELSE 'unknown' END AS kind, reason,
   CASE WHEN reason IS NULL THEN h END AS content FROM r""",
+    "file_heads": f"""
+WITH f AS (SELECT s_suppkey AS k, {list(HEAD_EXTENSIONS)}[(s_suppkey // 3) % 10 + 1] AS ext, {list(MORE_HEADS)}[s_suppkey % 14 + 1] AS h, repeat('x', CAST(s_suppkey % 40 * 5000 AS INT)) AS x FROM supplier),
+r AS (SELECT *, length(h) // 2 + length(x) AS length, CASE WHEN ext = '.exe' THEN 'extension' WHEN length(h) // 2 + length(x) > 150000 THEN 'size' WHEN NOT CASE ext WHEN '.pdf' THEN h LIKE '255044462D%' WHEN '.xml' THEN regexp_matches(h, '^(EFBBBF)?(20|09|0A|0D)*3C')
+  WHEN '.doc' THEN h LIKE 'D0CF11E0A1B11AE1%' WHEN '.png' THEN h LIKE '89504E470D0A1A0A%' WHEN '.jpg' THEN h LIKE 'FFD8FF%' WHEN '.webp' THEN h LIKE '52494646________57454250%' WHEN '.caj' THEN regexp_matches(h, '^(25504446|C8|43414A|484E|4B4448)') ELSE {_ZIP} END THEN 'content' END AS reason FROM f)
+SELECT k % 7 || '/f' || k || ext AS path, length, ext, CASE WHEN h LIKE '25504446%' THEN 'pdf' WHEN h LIKE 'C8%' THEN 'c8' WHEN h LIKE '4B4448%' THEN 'kdh' WHEN h LIKE '484E%' THEN 'hn' WHEN h LIKE '43414A%' THEN 'caj' WHEN h LIKE '504B0304%' THEN 'zip' WHEN h LIKE '89504E47%' THEN 'png' WHEN h LIKE 'FFD8FF%' THEN 'jpeg' ELSE 'unknown' END AS kind, reason,
+  CASE WHEN reason IS NULL THEN md5(unhex(h || hex(encode(x)))) END AS content_md5 FROM r""",
     "invoice_xml": duck(
         f"""
 WITH r AS (SELECT path, CASE WHEN contains(x, '<!DOCTYPE') THEN 'dtd' WHEN NOT contains(x, '</Header>') THEN 'malformed' WHEN NOT contains(x, '<EInvoice>') THEN 'root' END AS reason, x FROM f_invoice_xml)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import invoices as I
 from ..functions import pages as G
 from ..functions import text as X
 from ..operators import forms, layout
@@ -97,6 +98,22 @@ def zone_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.zone_fields(s)
 
 
+_FIXED = """
+SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos,
+  CAST((l_partkey * 37) % 210 AS DOUBLE) AS x, CAST((l_suppkey * 13 + l_partkey) % 116 AS DOUBLE) AS y, CAST(210 + 30 * (l_orderkey % 2) AS DOUBLE) AS page_width,
+  l_linenumber AS k, l_partkey AS p, l_suppkey AS s, CAST(CAST(l_extendedprice AS DECIMAL(14,2)) AS STRING) AS price, l_orderkey AS o FROM {lineitem}"""
+_FIXED_TEXT = """CASE WHEN k = 1 AND p % 4 <> 0 THEN lpad(CAST(o AS STRING), 20, '2')
+  WHEN k = 2 THEN '2026年' || CAST(1 + p % 14 AS STRING) || '月' || CAST(1 + s % 30 AS STRING) || '日'
+  WHEN y < 26 THEN CASE p % 3 WHEN 0 THEN '电子发票（普通发票）' WHEN 1 THEN '专用发票' ELSE 'x' END
+  WHEN y < 38 THEN CASE p % 3 WHEN 0 THEN '名称：公司' || CAST(p AS STRING) WHEN 1 THEN '发票公司' || CAST(s AS STRING) ELSE '张三' || CAST(s AS STRING) END
+  WHEN y < 60 THEN '91' || lpad(CAST(p AS STRING), 14, '0') WHEN y < 90 THEN '*' || CAST(p AS STRING) WHEN p % 5 = 0 THEN 'n/a' ELSE '¥ ' || price END"""
+
+
+def fixed_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = spark.sql(_FIXED, lineitem=table(spark, sf_dir, "lineitem")).withColumn("text", F.expr(_FIXED_TEXT))
+    return layout.fixed_zone_fields(placed)
+
+
 def ref_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -151,7 +168,7 @@ def leaf_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.leaf_diff(before, after)
 
 
-QUERIES = {f.__name__: f for f in (page_select, page_remove, page_reorder, order_subset, page_split, page_number, merge_order, imposition, page_totals, page_labels, text_stats, image_objects, page_budget, zone_fields, ref_resolve, single_page_rule, sibling_index, suffixes, suffix_resolve, change_audit, leaf_diff)}
+QUERIES = {f.__name__: f for f in (page_select, page_remove, page_reorder, order_subset, page_split, page_number, merge_order, imposition, page_totals, page_labels, text_stats, image_objects, page_budget, zone_fields, fixed_zones, ref_resolve, single_page_rule, sibling_index, suffixes, suffix_resolve, change_audit, leaf_diff)}
 
 _P = "p AS (SELECT doc_id, page_no, length(text) AS n, max(page_no) OVER (PARTITION BY doc_id) AS n_pages FROM f_doc_pages)"
 _IN = "(page_no = 1 OR (page_no >= greatest(1, doc_id % 5) AND page_no <= doc_id % 5 + 3))"
@@ -192,6 +209,22 @@ SELECT *, printf('p%03d_img%02d.%s', page_no, seq, ext) AS name FROM q WHERE seq
         "f_spans",
     ),
     "page_budget": "WITH s AS (SELECT o_orderkey, CAST(o_custkey * 3 % 6000 AS DOUBLE) AS w, CAST(o_orderkey % 6000 AS DOUBLE) AS h FROM orders) SELECT o_orderkey, o_orderkey % 9 <> 0 AND w > 0 AND h > 0 AND ceil(w * 150 / 72) <= 8192 AND ceil(h * 150 / 72) <= 8192 AND ceil(w * 150 / 72) * ceil(h * 150 / 72) <= 67108864 AS fits FROM s",
+    "fixed_zones": f"""
+WITH f AS ({_FIXED.format(lineitem="lineitem")}), t AS (SELECT *, {_FIXED_TEXT} AS text FROM f),
+c AS (SELECT *, trim(regexp_replace(text, '^名称[：:]\\s*', '')) AS c, x < page_width / 2 AS buyer, replace(replace(text, '¥', ''), ' ', '') AS a FROM t),
+m AS (SELECT *, CASE WHEN regexp_matches(a, '^-?[0-9]{{1,12}}([.][0-9]{{1,2}})?$') THEN a END AS amount, regexp_matches(text, '^[0-9A-HJ-NP-RT-UW-Y]{{15,20}}$') AS tax,
+  length(c) >= 2 AND regexp_matches(c, '[一-鿿]') AND NOT regexp_matches(c, '{"|".join(I.NAME_EXCLUDE)}') AND y >= 26 AND y < 46 AS name FROM c),
+n AS (SELECT doc_id, arg_min(text, pos) FILTER (regexp_matches(text, '^[0-9]{{20}}$')) AS invoice_number FROM m GROUP BY doc_id),
+g AS (SELECT doc_id, any_value(invoice_number) AS invoice_number,
+  try_cast(regexp_replace(arg_min(text, struct_pack(n := length(text), p := pos)) FILTER (k = 2), '^([0-9]+)年([0-9]+)月([0-9]+)日$', '\\1-\\2-\\3') AS DATE) AS issue_date,
+  arg_max(c, struct_pack(n := length(text), x := -x, p := -pos)) FILTER (name AND buyer) AS buyer_name, arg_max(c, struct_pack(n := length(text), x := -x, p := -pos)) FILTER (name AND NOT buyer) AS seller_name,
+  arg_min(text, struct_pack(x := x, p := pos)) FILTER (tax AND y >= 38 AND y < 60 AND buyer AND text IS DISTINCT FROM invoice_number) AS buyer_tax_id,
+  arg_min(text, struct_pack(x := x, p := pos)) FILTER (tax AND y >= 38 AND y < 60 AND NOT buyer AND text IS DISTINCT FROM invoice_number) AS seller_tax_id,
+  count(amount) FILTER (y >= 88 AND y < 98) AS k, arg_min(amount, struct_pack(x := x, p := pos)) FILTER (y >= 88 AND y < 98 AND amount IS NOT NULL) AS a1, arg_max(amount, struct_pack(x := x, p := pos)) FILTER (y >= 88 AND y < 98 AND amount IS NOT NULL) AS a2,
+  arg_max(amount, struct_pack(x := x, p := -pos)) FILTER (y >= 96 AND y < 113 AND x >= page_width * 0.55 AND amount IS NOT NULL) AS total_with_tax,
+  nullif(count(*) FILTER (y >= 55 AND y < 92 AND starts_with(text, '*')), 0) AS item_count, string_agg(text, '' ORDER BY pos) AS pool FROM m JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, invoice_number, CAST(issue_date AS STRING) AS issue_date, buyer_name, seller_name, buyer_tax_id, seller_tax_id, CASE WHEN k >= 2 THEN a1 END AS amount_without_tax, CASE WHEN k >= 2 THEN a2 END AS tax_amount, total_with_tax, item_count,
+  CASE WHEN contains(pool, '电子发票（普通发票）') THEN '电子发票（普通发票）' WHEN contains(pool, '专用发票') THEN '电子发票（增值税专用发票）' END AS invoice_type, CASE WHEN invoice_number IS NULL AND total_with_tax IS NULL THEN 'unsupported' END AS reason FROM g""",
     "zone_fields": duck(
         f"""
 WITH s AS (SELECT * REPLACE (CASE WHEN y0 BETWEEN 80 AND 107 THEN '名称：公司' || text WHEN y0 BETWEEN 150 AND 200 THEN '*' || text WHEN y0 > 320 THEN '备注 ' || text ELSE text END AS text) FROM f_spans),

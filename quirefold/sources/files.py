@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 # fixed values: first bytes by extension
 _ZIP = (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08")
@@ -12,6 +14,7 @@ MAGIC = {
     ".pdf": (b"%PDF-",), ".ofd": _ZIP, ".zip": _ZIP, ".docx": _ZIP, ".pptx": _ZIP, ".xlsx": _ZIP, ".doc": _OLE, ".ppt": _OLE,
     ".xls": _OLE, ".png": (b"\x89PNG\r\n\x1a\n",), ".jpg": (b"\xff\xd8\xff",), ".jpeg": (b"\xff\xd8\xff",), ".webp": (b"RIFF",), ".xml": (b"<",),
 }
+LOOSE = (".caj", ".kdh", ".hn")
 # fixed values: kinds by first bytes, in order of test
 KINDS = (
     ("pdf", b"%PDF"), ("c8", b"\xc8"), ("c8", b"C8"), ("kdh", b"KDH"), ("hn", b"HN"), ("caj", b"CAJ"), ("zip", b"PK\x03\x04"),
@@ -41,14 +44,17 @@ def head_agrees(ext: Column, content: Column) -> Column:
         for head in heads:
             one = one | _starts(body, head)
         agrees = agrees | ((ext == e) & (one & _starts(content, b"WEBP", 9) if e == ".webp" else one))
-    return agrees
+    # this family has several kinds, some of which tell themselves within the first 20 bytes
+    near = F.decode(F.substring(content, 1, 20), "iso-8859-1")
+    loose = _starts(content, b"%PDF") | _starts(content, b"\xc8") | _starts(content, b"KDH") | F.contains(near, F.lit("CAJ")) | F.contains(near, F.lit("HN"))
+    return agrees | (ext.isin(*LOOSE) & loose)
 
 
 def admitted(files: DataFrame, extensions: tuple[str, ...], max_size: int) -> DataFrame:
     """files (path, length, content): (path, length, ext, kind, reason, content) with the reason why one isn't admitted,
     null if it is; content is given on for admitted files only."""
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    reason = F.when(~ext.isin(*extensions), "extension").when(F.col("length") > max_size, "size").when(ext.isin(*MAGIC) & ~head_agrees(ext, F.col("content")), "content")
+    reason = F.when(~ext.isin(*extensions), "extension").when(F.col("length") > max_size, "size").when(ext.isin(*MAGIC, *LOOSE) & ~head_agrees(ext, F.col("content")), "content")
     rows = files.select("path", "length", ext.alias("ext"), sniff(F.col("content")).alias("kind"), reason.alias("reason"), "content")
     return rows.withColumn("content", F.when(F.col("reason").isNull(), F.col("content")))
 
@@ -58,6 +64,107 @@ def scan_files(spark: SparkSession, path: str, extensions: tuple[str, ...], max_
     return admitted(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), extensions, max_size)
 
 
+# -- heads of files, contents of admitted ones only --------------------------------------------------------------------
+
+#: Bytes that are read of a file before it is admitted, and files to a task.
+HEAD, TAIL, FILES = 64, 4096, 500
+
+
+def _file_system(path: str):
+    """The file system of a path and the path there: local files and the stores that Arrow can open."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+class _Heads(DataSource):
+    """Batch source of (path, length, head, tail), in parts of FILES files; a file's middle is not read."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "quirefold_heads"
+
+    def schema(self) -> str:
+        return "path string, length bigint, head binary, tail binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _HeadsReader(self.options["path"])
+
+
+class _HeadsReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow.fs import FileSelector, FileType
+
+        system, root = _file_system(self.path)
+        found = sorted((f.path, f.size) for f in system.get_file_info(FileSelector(root, recursive=True)) if f.type == FileType.File)
+        return [InputPartition(found[k : k + FILES]) for k in range(0, len(found), FILES)] or [InputPartition([])]
+
+    def read(self, partition: InputPartition):
+        import pyarrow as pa
+
+        system, _ = _file_system(self.path)
+        rows = []
+        for path, size in partition.value:
+            with system.open_input_file(path) as f:
+                head = f.read(HEAD)
+                f.seek(max(0, size - TAIL))
+                rows.append((path, size, head, f.read(TAIL)))
+        kinds = pa.string(), pa.int64(), pa.binary(), pa.binary()
+        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["path", "length", "head", "tail"])
+
+
+def scan_heads(spark: SparkSession, path: str, extensions: tuple[str, ...], max_size: int) -> DataFrame:
+    """As scan_files, empty files too, but for content: (path, length, ext, kind, reason), judged by listing and head. A file
+    of any size costs HEAD + TAIL bytes; an XML text with an entity in either is refused (dtd)."""
+    spark.dataSource.register(_Heads)
+    rows = spark.read.format("quirefold_heads").load(path)
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+    odd = F.coalesce((ext == ".xml") & (has_dtd(F.col("head")) | has_dtd(F.col("tail"))), F.lit(False))
+    reason = F.when(~ext.isin(*extensions), "extension").when(F.col("length") > max_size, "size").when(ext.isin(*MAGIC, *LOOSE) & ~head_agrees(ext, F.col("head")), "content").when(odd, "dtd")
+    return rows.select("path", "length", ext.alias("ext"), sniff(F.col("head")).alias("kind"), reason.alias("reason"))
+
+
+def with_contents(scanned: DataFrame, root: str) -> DataFrame:
+    """Adds content, which is read for admitted files only; those of a task are read one after another."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        system, _ = _file_system(root)
+        for batch in batches:
+            for row in batch.to_pylist():
+                content = None
+                if row["reason"] is None:
+                    with system.open_input_stream(row["path"]) as f:
+                        content = f.read()
+                columns = [pa.array([row[c]], t) for c, t in zip(batch.schema.names, batch.schema.types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([content], pa.binary())], [*batch.schema.names, "content"])
+
+    return scanned.mapInArrow(run, StructType([*scanned.schema.fields, StructField("content", BinaryType())]))
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """files (path, content) below a folder, each task its own."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        system, base = _file_system(root)
+        for batch in batches:
+            for row in batch.to_pylist():
+                place = f"{base}/{row['path']}"
+                system.create_dir(place.rsplit("/", 1)[0])
+                with system.open_output_stream(place) as f:
+                    f.write(row["content"] or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
+
+    files.select("path", "content").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
 def has_dtd(content: Column) -> Column:
     """A document type or entity near the start, or an entity near the end: tested before any parser sees the text."""
     head = F.substring(content, 1, 4096).cast("string")
