@@ -47,3 +47,22 @@ def test_stages_against_brute_force(spark, sf):
 def test_run(spark, sf):
     assert P.run(spark, sf).count() > 0
     assert len(P.STAGES) == 5
+
+
+def test_odd_documents(spark, sf):
+    """Null texts and ids, empty and repeated rows, and columns named like those the stages add."""
+    real = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    odd = [(9001, None, "en", "web", 0), (9002, "", "en", None, 0), (9003, "12 34", None, "web", 5), (None, real[3][1], "en", "web", real[3][4]), real[5], real[5]]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    for rows in (real + odd, []):
+        docs = spark.createDataFrame(rows, schema).selectExpr("*", "'clash' AS node", "1 AS mark", "2 AS size", "'x' AS spans")
+        columns = docs.columns
+        for k, (name, stage) in enumerate(P.STAGES):
+            docs = common.written(stage(spark, docs, sf), name)
+            assert k == len(P.STAGES) - 1 or docs.columns == columns
+            ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+            if name == "language_id":
+                assert not {9001, 9002, 9003} & set(ids) and ids.count(real[5][0]) in (0, 3)
+            elif name == "minhash":
+                assert ids.count(real[5][0]) <= 1 and ids.count(None) == 0
+        assert bool(ids) == bool(rows)
