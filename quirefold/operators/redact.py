@@ -195,24 +195,44 @@ def relevel(outline: DataFrame, doc: str = "doc_id") -> DataFrame:
     return found.select(doc, F.col("place").alias("pos"), depth.alias("level"), "title", "page_no")
 
 
-def _overlaps(rects: DataFrame) -> tuple[DataFrame, Column]:
-    """The rectangles, grown by GROW on each side, and when a span of the same page overlaps one."""
+#: Side of a cell of a page, and cells on either side of the first; what lies beyond counts to the outermost.
+CELL, CELLS = 64.0, 32
+
+
+def _cell(c: Column) -> Column:
+    return F.greatest(F.lit(-CELLS), F.least(F.lit(CELLS), F.floor(c / CELL))).cast("int")
+
+
+def _in_cells(boxes: DataFrame, x0: str, y0: str, x1: str, y1: str, cx: str, cy: str) -> DataFrame:
+    """A row for each cell that a box reaches into. One whose sides are out of order reaches into none."""
+    side = lambda a, b: F.when(F.col(a) <= F.col(b), F.sequence(_cell(F.col(a)), _cell(F.col(b))))
+    return boxes.withColumn(cx, F.explode(side(x0, x1))).withColumn(cy, F.explode(side(y0, y1)))
+
+
+def _overlaps(spans: DataFrame, rects: DataFrame) -> DataFrame:
+    """Spans beside the rectangles, grown by GROW on each side, that overlap them on the same page (__rect). Both are dealt
+    to cells of the page, which are keys of the join, so a page of many spans and rectangles is no product; a pair that
+    shares several cells is made in the one where its overlap begins."""
     low, high = (((F.col(c) - GROW).alias(f"__{c}") for c in ("x0", "y0")), ((F.col(c) + GROW).alias(f"__{c}") for c in ("x1", "y1")))
-    r = rects.select(F.col("doc_id").alias("__d"), F.col("page_no").alias("__p"), "rect_id", *low, *high)
-    page = (F.col("doc_id") == F.col("__d")) & (F.col("page_no") == F.col("__p"))
-    return r, page & (F.col("x0") < F.col("__x1")) & (F.col("x1") > F.col("__x0")) & (F.col("y0") < F.col("__y1")) & (F.col("y1") > F.col("__y0"))
+    r = rects.select(F.col("doc_id").alias("__d"), F.col("page_no").alias("__p"), F.col("rect_id").alias("__rect"), *low, *high)
+    r = _in_cells(r, "__x0", "__y0", "__x1", "__y1", "__rx", "__ry")
+    s = _in_cells(spans, "x0", "y0", "x1", "y1", "__cx", "__cy")
+    cell = (F.col("doc_id") == F.col("__d")) & (F.col("page_no") == F.col("__p")) & (F.col("__cx") == F.col("__rx")) & (F.col("__cy") == F.col("__ry"))
+    over = (F.col("x0") < F.col("__x1")) & (F.col("x1") > F.col("__x0")) & (F.col("y0") < F.col("__y1")) & (F.col("y1") > F.col("__y0"))
+    home = (F.col("__cx") == _cell(F.greatest("x0", "__x0"))) & (F.col("__cy") == _cell(F.greatest("y0", "__y0")))
+    return s.join(r, cell & over & home)
 
 
 def rect_hits(spans: DataFrame, rects: DataFrame) -> DataFrame:
     """(columns of the span, rect_id): spans that a rectangle of the same page, grown by GROW on each side, overlaps."""
-    r, meet = _overlaps(rects)
-    return spans.join(r, meet).select(*spans.columns, "rect_id")
+    return _overlaps(spans, rects).select(*spans.columns, F.col("__rect").alias("rect_id"))
 
 
 def mask_by_rect(spans: DataFrame, rects: DataFrame) -> DataFrame:
-    """The spans (or annotations, or fields) that no grown rectangle overlaps."""
-    r, meet = _overlaps(rects)
-    return spans.join(r, meet, "left_anti")
+    """The spans (or annotations, or fields) that no grown rectangle overlaps: spans of one place go or stay together."""
+    place = ["doc_id", "page_no", "x0", "y0", "x1", "y1"]
+    hit = _overlaps(spans.select(*place).distinct(), rects).select(*place).distinct()
+    return spans.join(hit, place, "left_anti").select(*spans.columns)
 
 
 def rect_rules(rects: DataFrame) -> DataFrame:

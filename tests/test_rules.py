@@ -1,5 +1,6 @@
 """Literals of what is accepted and rejected, and long groups in linear time."""
 
+import random
 import time
 
 import pytest
@@ -76,3 +77,15 @@ def test_long_groups_take_linear_time(spark):
     for df, want in ((orders.transitions(events).where("outcome = 'accepted'"), n), (redact.relevel(outline).where("level = 5"), n // 5), (logs.quota_copy(day).where("reason IS NULL"), (512 << 20) // 20_000)):
         began = time.time()
         assert df.count() == want and time.time() - began < 20
+
+
+def test_rectangles_by_cells(spark):
+    r = random.Random(2)
+    box = lambda: (x := r.uniform(-300, 4000), y := r.uniform(-300, 900), x + r.choice([0, 5, 70, 900]), y + r.choice([0, 12, 200]))
+    spans = [(1, r.choice([1, 1, 2]), *box(), f"t{k}") for k in range(150)] + [(1, 1, None, 0.0, 5.0, 5.0, "null"), (1, 1, 64.0, 64.0, 128.0, 128.0, "cell")]
+    rects = [(1, r.choice([1, 2]), k, *box()) for k in range(60)] + [(1, 1, 99, -1e9, -1e9, 1e9, 100.0), (1, 1, 98, 128.0, 128.0, 130.0, 130.0)]
+    s = spark.createDataFrame(spans, "doc_id int, page_no int, x0 double, y0 double, x1 double, y1 double, text string")
+    t = spark.createDataFrame(rects, "doc_id int, page_no int, rect_id int, x0 double, y0 double, x1 double, y1 double")
+    want = sorted((a[6], b[2]) for a in spans for b in rects if None not in a and a[1] == b[1] and a[2] < b[5] + 1 and a[4] > b[3] - 1 and a[3] < b[6] + 1 and a[5] > b[4] - 1)
+    assert sorted((x.text, x.rect_id) for x in redact.rect_hits(s, t).collect()) == want and len(want) > 50
+    assert sorted(x.text for x in redact.mask_by_rect(s, t).collect()) == sorted({a[6] for a in spans} - {x for x, _ in want})
