@@ -60,16 +60,27 @@ def _grams(text: Column, width: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)))
 
 
-def keyword_anchors(keywords: DataFrame) -> DataFrame:
-    """keywords (keyword, needle): adds width, the largest of GRAMS that the needle has room for, and anchor, that of its
-    grams which the fewest needles share."""
+def _width(needle: Column) -> Column:
+    """The largest of GRAMS that the needle has room for."""
     width = F.lit(GRAMS[0])
     for w in GRAMS[1:]:
-        width = F.when(F.length("needle") >= w, w).otherwise(width)
-    k = keywords.withColumn("width", width)
-    grams = F.when(F.col("width") == GRAMS[0], _grams(F.col("needle"), GRAMS[0]))
+        width = F.when(F.length(needle) >= w, w).otherwise(width)
+    return width
+
+
+def _grams_of(needle: Column, width: Column) -> Column:
+    """Its grams of that width."""
+    grams = F.when(width == GRAMS[0], _grams(needle, GRAMS[0]))
     for w in GRAMS[1:]:
-        grams = grams.when(F.col("width") == w, _grams(F.col("needle"), w))
+        grams = grams.when(width == w, _grams(needle, w))
+    return grams
+
+
+def keyword_anchors(keywords: DataFrame) -> DataFrame:
+    """keywords (keyword, needle): adds width, the largest of GRAMS that the needle has room for, and anchor, that of its
+    grams which the fewest needles share."""
+    k = keywords.withColumn("width", _width(F.col("needle")))
+    grams = _grams_of(F.col("needle"), F.col("width"))
     each = k.select("keyword", "needle", "width", F.explode(grams).alias("gram"))
     shared = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     least = F.min_by("gram", F.struct("n", F.xxhash64("gram"), "gram"))
@@ -166,13 +177,64 @@ def verify(masked: DataFrame, hits: DataFrame, presets: tuple[str, ...] = tuple(
     return flagged.join(pages, flagged[doc] == pages["__d"], "left").select(doc, F.when(F.col("residue"), F.lit("residue")).otherwise(F.lit("ok")).alias("verdict"), F.when(F.col("residue"), F.coalesce("pages", F.lit("all"))).alias("residue_pages"))
 
 
-def scrub(values: DataFrame, targets: DataFrame, key: str, value: str, least: int = 3, presets: tuple[str, ...] = ()) -> DataFrame:
+def _parts(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(keep, part): the text in segments that overlap by the longest gram."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(SEGMENT))
+    cut = F.substring(F.col(text), F.col("at"), F.lit(SEGMENT + GRAMS[-1]))
+    part = F.when(F.length(text) <= SEGMENT, F.col(text)).otherwise(cut)
+    return rows.select(*keep, text, F.explode(starts).alias("at")).select(*keep, part.alias("part"))
+
+
+def containments(hays: DataFrame, needles: DataFrame) -> DataFrame:
+    """(g, hay, needle) for each hay (g, hay) that contains a needle (g, needle) of the same group, each pair once.
+
+    What contains a needle contains its anchor, that of its grams which the fewest needles of the group share, so the grams
+    of the hays are joined with the anchors and what meets is verified. Until then both are known by digests: grams travel
+    without their texts. One large group spreads over its grams. Null or empty hays and needles meet nothing."""
+    n = needles.where(F.length("needle") > 0).distinct()
+    n = n.withColumn("id", F.sha2("needle", 256)).withColumn("width", _width(F.col("needle")))
+    own = _parts(n, "needle", "g", "id", "width")
+    own = own.select("g", "id", "width", F.explode(_grams_of(F.col("part"), F.col("width"))).alias("gram")).distinct()
+    shared = own.groupBy("g", "gram").agg(F.count(F.lit(1)).alias("n"))
+    least = F.min_by("gram", F.struct("n", F.xxhash64("gram"), "gram"))
+    anchors = own.join(shared, ["g", "gram"]).groupBy("g", "id", "width").agg(least.alias("gram"))
+    anchors = written(anchors, "anchors")
+    widths = sorted(r["width"] for r in anchors.select("width").distinct().collect())  # as many as GRAMS at most
+    h = hays.where(F.length("hay") > 0).distinct().withColumn("h", F.sha2("hay", 256))
+    cut = [_grams(F.col("part"), w) for w in widths or GRAMS[:1]]
+    looked = _parts(h, "hay", "g", "h").select("g", "h", F.explode(F.concat(*cut)).alias("gram"))
+    met = looked.join(anchors, ["g", "gram"]).select("g", "h", "id").distinct()
+    pairs = met.join(h, ["g", "h"]).join(n, ["g", "id"])
+    return pairs.where(F.contains("hay", "needle")).select("g", "hay", "needle")
+
+
+#: Where a document has more values than this, and more targets too, they meet by containments.
+FEW = 256
+
+
+def scrub(values: DataFrame, targets: DataFrame, key: str, value: str, least: int = 3, presets: tuple[str, ...] = (), few: int = FEW) -> DataFrame:
     """The values without those that contain, or are contained in, a target of the same document, both without white
-    space and of `least` characters or more; nor those in which a preset is found. Outlines take 3, metadata 2."""
+    space and of `least` characters or more; nor those in which a preset is found. Outlines take 3, metadata 2.
+
+    Values and targets of a document are compared directly where either are `few` at most, so the tests are at most so
+    many a row. Those of crowded documents meet by an index of grams, in both directions. Results are the same."""
     v = values.withColumn("__v", squeezed(F.col(value)))
     t = targets.select(F.col(key).alias("__k"), squeezed(F.col("target")).alias("__t")).where(F.length("__t") >= least).distinct()
-    near = (F.col(key) == F.col("__k")) & (F.length("__v") >= (least if least > 2 else 1)) & (F.contains(F.col("__v"), F.col("__t")) | F.contains(F.col("__t"), F.col("__v")))
-    kept = v.join(t, near, "left_anti").drop("__v")
+    enough = F.length("__v") >= (least if least > 2 else 1)
+    near = (F.col(key) == F.col("__k")) & enough & (F.contains(F.col("__v"), F.col("__t")) | F.contains(F.col("__t"), F.col("__v")))
+    many = lambda rows, k: rows.groupBy(F.col(k).alias("__c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few).select("__c")
+    crowded = written(many(t, "__k").join(many(v.where(enough), key), "__c"), "crowded")
+    if crowded.isEmpty():
+        kept = v.join(t, near, "left_anti")
+    else:
+        kept = v.join(t.join(crowded, F.col("__k") == F.col("__c"), "left_anti"), near, "left_anti")
+        mine = v.where(enough).join(crowded, F.col(key) == F.col("__c"), "left_semi").select(F.col(key).alias("g"), F.col("__v").alias("hay"))
+        theirs = t.join(crowded, F.col("__k") == F.col("__c"), "left_semi").select(F.col("__k").alias("g"), F.col("__t").alias("needle"))
+        holding = containments(mine, theirs).select("g", F.col("hay").alias("__r"))
+        held = containments(theirs.withColumnRenamed("needle", "hay"), mine.withColumnRenamed("hay", "needle")).select("g", F.col("needle").alias("__r"))
+        residue = holding.unionByName(held).distinct().withColumnRenamed("g", "__g")
+        kept = kept.join(residue, (F.col(key) == F.col("__g")) & (F.col("__v") == F.col("__r")), "left_anti")
+    kept = kept.drop("__v")
     for p in presets:
         kept = kept.where(~F.coalesce(F.col(value), F.lit("")).rlike(FOUND[p]))
     return kept

@@ -70,6 +70,15 @@ def side_channel_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.scrub(titles, targets, "doc_id", "title").select("doc_id", "pos", "title")
 
 
+def residue_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole turns as values, all sentences of first turns as targets, a role's as one document: crowded, and few."""
+    c = table(spark, sf_dir, "conversations")
+    values = c.select("role", "conv_id", "turn", F.col("text").alias("title"))
+    targets = c.where("turn = 0").select("role", F.explode(F.split("text", "[.]")).alias("target"))
+    kept = R.scrub(values, targets, "role", "title", presets=tuple(R.PRESETS))
+    return kept.select("role", "conv_id", "turn", F.md5(F.col("title").cast("binary")).alias("title_md5"))
+
+
 def _outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("k"), (1 + F.col("l_partkey") % 4).cast("int").alias("level"))
     from pyspark.sql import Window
@@ -104,7 +113,7 @@ def spec_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.join(rect, F.col("o_orderkey") == F.col("r")).drop("r")
 
 
-QUERIES = {f.__name__: f for f in (pii_locate, keyword_locate, keyword_table, keyword_table_mask, pii_report, pii_mask, pii_verify, side_channel_scrub, outline_relevel, rect_hits, rect_mask, spec_checks)}
+QUERIES = {f.__name__: f for f in (pii_locate, keyword_locate, keyword_table, keyword_table_mask, pii_report, pii_mask, pii_verify, side_channel_scrub, residue_scrub, outline_relevel, rect_hits, rect_mask, spec_checks)}
 
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 _ID = r"^[1-9][0-9]{5}(18|19|20)[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx]$"
@@ -163,6 +172,13 @@ SELECT f.doc_id, CASE WHEN bad THEN 'residue' ELSE 'ok' END AS verdict, CASE WHE
 WITH v AS (SELECT conv_id AS doc_id, turn AS pos, substr(text, 1, 12) AS title, lower(regexp_replace(substr(text, 1, 12), '{_WS}', '', 'g')) AS v FROM conversations),
 t AS (SELECT DISTINCT conv_id AS doc_id, lower(regexp_replace(substr(text, 3, 5), '{_WS}', '', 'g')) AS t FROM conversations WHERE turn = 0)
 SELECT doc_id, pos, title FROM v WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = v.doc_id AND length(t.t) >= 3 AND length(v.v) >= 3 AND (contains(v.v, t.t) OR contains(t.t, v.v)))""",
+    "residue_scrub": f"""
+WITH v AS (SELECT role, conv_id, turn, text, lower(regexp_replace(text, '{_WS}', '', 'g')) AS v FROM conversations),
+t AS (SELECT DISTINCT role, lower(regexp_replace(s, '{_WS}', '', 'g')) AS t FROM (SELECT role, unnest(string_split(text, '.')) AS s FROM conversations WHERE turn = 0)),
+p AS (SELECT *, {_RUNS} AS runs FROM v)
+SELECT role, conv_id, turn, md5(text) AS title_md5 FROM p
+WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.role = p.role AND length(t.t) >= 3 AND length(p.v) >= 3 AND (contains(p.v, t.t) OR contains(t.t, p.v)))
+  AND NOT coalesce(regexp_matches(text, '{_EMAIL}') OR len(list_filter(runs, lambda r: regexp_matches(r, '{_ID}') OR regexp_matches(r, '^1[3-9][0-9]{{9}}$'))) > 0, false)""",
     "outline_relevel": """
 WITH RECURSIVE o AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, CAST(1 + l_partkey % 4 AS INT) AS level FROM lineitem),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM o WHERE pos % 3 <> 2),
