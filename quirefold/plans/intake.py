@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import forms
@@ -11,6 +11,7 @@ from ..sources import files as S
 from ..sources.shared import shared_folder
 from ..streaming import stateful as SF
 from ..streaming import streams as ST
+from ..streaming.batches import batch_table
 from .business import ORACLES as _BUSINESS
 from .business import order_events
 from .pages import _LEAVES, _leaves
@@ -123,7 +124,7 @@ def stream_survey_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first response of each client for ever, by batches that look up what is there."""
     path = shared_folder(spark, "stream")
     ST.run_batches(_survey_stream(spark, sf_dir), ST.survey_batches(f"{path}/table"), path)
-    return spark.read.parquet(f"{path}/table").select("client_id", F.unix_seconds("ts").alias("arrival"))
+    return batch_table(spark, f"{path}/table").select("client_id", F.unix_seconds("ts").alias("arrival"))
 
 
 def stream_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,15 +191,28 @@ def stream_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replayed(spark, rows, "at", lambda s: SF.order_lifecycle(s.drop("at")))
 
 
-def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_folder(spark, "stream")
-    t = _stream(spark, sf_dir, "lineitem").select(
+def _tickets(lines: DataFrame, base: Column | int = 0) -> DataFrame:
+    return lines.select(
         F.concat(F.lit("inv_"), (F.col("l_partkey") % 97).cast("string")).alias("file_ref"), F.lit(None).cast("string").alias("code"),
         F.when(F.col("l_linenumber") != 7, F.lpad((F.col("l_orderkey") % 3000).cast("string"), 8, "0")).alias("number"),
-        F.lit("1.00").alias("amount"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"),
+        F.lit("1.00").alias("amount"), (F.col("l_orderkey") * 10 + F.col("l_linenumber") + base).alias("row_no"),
     )
-    ST.run_batches(t, ST.ledger_batches(f"{path}/table"), path)
-    return spark.read.parquet(f"{path}/table").select("key", "row_no")
+
+
+def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "stream")
+    ST.run_batches(_tickets(_stream(spark, sf_dir, "lineitem")), ST.ledger_batches(f"{path}/table"), path)
+    return batch_table(spark, f"{path}/table").select("key", "row_no")
+
+
+def stream_ledger_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger after seven batches of equal time, whose folders are merged by twos and fours on the way. Rows are
+    numbered by day, so the first of a key is the same however they are dealt to batches."""
+    path = shared_folder(spark, "stream")
+    lines = table(spark, sf_dir, "lineitem").withColumn("at", F.col("l_shipdate").cast("timestamp"))
+    tickets = _tickets(ST.arrivals(lines, "at", f"{path}/in", parts=7), F.expr("unix_seconds(at) div 86400 * 1000000000000"))
+    ST.run_batches(tickets, ST.ledger_batches(f"{path}/table", every=2), path)
+    return batch_table(spark, f"{path}/table").select("key", "row_no")
 
 
 def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +223,7 @@ def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     file_admission, file_heads, invoice_xml, log_failures, ledger_csv, survey_csv, daily_json, on_values, stream_survey, stream_survey_exact, stream_corr,
-    stream_uploads, stream_upload_parts, stream_retention, stream_asof, stream_orders, stream_ledger, stream_redact,
+    stream_uploads, stream_upload_parts, stream_retention, stream_asof, stream_orders, stream_ledger, stream_ledger_merged, stream_redact,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -298,5 +312,7 @@ SELECT t.user_id, t.event_id AS task_id, rid AS request_id, epoch_us(rts) AS req
 WHERE t.ts + INTERVAL 12 HOURS < (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type IN ('error', 'purchase'))""",
     "stream_orders": _BUSINESS["order_replay"],
     "stream_ledger": "SELECT lpad(CAST(l_orderkey % 3000 AS STRING), 8, '0') AS key, min(l_orderkey * 10 + l_linenumber) AS row_no FROM lineitem WHERE l_linenumber <> 7 GROUP BY 1",
+    "stream_ledger_merged": """
+SELECT lpad(CAST(l_orderkey % 3000 AS STRING), 8, '0') AS key, min(epoch_us(l_shipdate) // 86400000000 * 1000000000000 + l_orderkey * 10 + l_linenumber) AS row_no FROM lineitem WHERE l_linenumber <> 7 GROUP BY 1""",
     "stream_redact": _REDACTION["pii_mask"],
 }

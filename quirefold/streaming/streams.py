@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from ..operators import ledger as L
 from ..operators import redact as R
 from ..operators.survey import is_bot
 from . import stateful
+from .batches import EVERY, first_batches
 
 
 def tail(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -45,49 +45,24 @@ def redacted(pages: DataFrame, presets: tuple[str, ...] = tuple(R.PRESETS), text
     return pages.withColumn(text, R.mask(F.col(text), presets))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
-def first_batches(path: str, rows_of: Callable[[DataFrame], DataFrame], key: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: appends those of rows_of(batch), one a key, whose key the table at `path` doesn't have; exact
-    whatever comes late. The table is partitioned by batch and by a hash of the key, and a batch reads only the buckets of
-    its own keys. Each batch replaces what it wrote if it is run again."""
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        first = rows_of(batch).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
-        if _exists(spark, path):
-            mine = [r["bucket"] for r in first.select("bucket").distinct().collect()]  # `buckets` numbers at most
-            known = spark.read.parquet(path).where(F.col("bucket").isin(mine) & (F.col("batch") != batch_id)).select(key)
-            new = first.join(known, key, "left_anti")
-        else:
-            new = first
-        new.write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(path, f"batch={batch_id}"))
-        first.unpersist()
-
-    return run
-
-
-def ledger_batches(ledger_path: str) -> Callable[[DataFrame, int], None]:
+def ledger_batches(ledger_path: str, every: int = EVERY) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: appends what each micro-batch adds to the ledger, the first ticket of a key that it doesn't have."""
 
     def first(batch: DataFrame) -> DataFrame:
         rows = L.keyed(batch).where("key <> ''")
         return rows.groupBy("key").agg(F.min_by(F.struct("file_ref", "amount", "row_no"), F.col("row_no")).alias("e")).select("key", "e.*")
 
-    return first_batches(ledger_path, first, "key")
+    return first_batches(ledger_path, first, "key", every=every)
 
 
-def survey_batches(path: str, order: str = "ts") -> Callable[[DataFrame, int], None]:
+def survey_batches(path: str, order: str = "ts", every: int = EVERY) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: the first response of each client for ever, not only within a watermark."""
 
     def first(batch: DataFrame) -> DataFrame:
         people = batch.where(~is_bot())
         return people.groupBy("client_id").agg(F.min_by(F.struct(*people.columns), F.col(order)).alias("r")).select("r.*")
 
-    return first_batches(path, first, "client_id")
+    return first_batches(path, first, "client_id", every=every)
 
 
 def arrivals(df: DataFrame, time: str, folder: str, parts: int = 3, files: int = 4) -> DataFrame:
