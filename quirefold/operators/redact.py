@@ -190,9 +190,11 @@ def containments(hays: DataFrame, needles: DataFrame) -> DataFrame:
 
     What contains a needle contains its anchor, that of its grams which the fewest needles of the group share, so the grams
     of the hays are joined with the anchors and what meets is verified. Until then both are known by digests: grams travel
-    without their texts. One large group spreads over its grams. Null or empty hays and needles meet nothing."""
-    n = needles.where(F.length("needle") > 0).distinct()
-    n = n.withColumn("id", F.sha2("needle", 256)).withColumn("width", _width(F.col("needle")))
+    without their texts. Needles longer than any hay of the group have no grams made. One large group spreads over its
+    grams. Null or empty hays and needles meet nothing."""
+    longest = hays.groupBy("g").agg(F.max(F.length("hay")).alias("most"))
+    n = needles.where(F.length("needle") > 0).join(longest, "g").where(F.length("needle") <= F.col("most")).drop("most").distinct()
+    n = n.withColumn("id", F.unhex(F.sha2("needle", 256))).withColumn("width", _width(F.col("needle")))
     own = _parts(n, "needle", "g", "id", "width")
     own = own.select("g", "id", "width", F.explode(_grams_of(F.col("part"), F.col("width"))).alias("gram")).distinct()
     shared = own.groupBy("g", "gram").agg(F.count(F.lit(1)).alias("n"))
@@ -200,7 +202,7 @@ def containments(hays: DataFrame, needles: DataFrame) -> DataFrame:
     anchors = own.join(shared, ["g", "gram"]).groupBy("g", "id", "width").agg(least.alias("gram"))
     anchors = written(anchors, "anchors")
     widths = sorted(r["width"] for r in anchors.select("width").distinct().collect())  # as many as GRAMS at most
-    h = hays.where(F.length("hay") > 0).distinct().withColumn("h", F.sha2("hay", 256))
+    h = hays.where(F.length("hay") > 0).distinct().withColumn("h", F.unhex(F.sha2("hay", 256)))
     cut = [_grams(F.col("part"), w) for w in widths or GRAMS[:1]]
     looked = _parts(h, "hay", "g", "h").select("g", "h", F.explode(F.concat(*cut)).alias("gram"))
     met = looked.join(anchors, ["g", "gram"]).select("g", "h", "id").distinct()
