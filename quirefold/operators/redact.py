@@ -193,7 +193,8 @@ def containments(hays: DataFrame, needles: DataFrame) -> DataFrame:
     without their texts. Needles longer than any hay of the group have no grams made. One large group spreads over its
     grams. Null or empty hays and needles meet nothing."""
     longest = hays.groupBy("g").agg(F.max(F.length("hay")).alias("most"))
-    n = needles.where(F.length("needle") > 0).join(longest, "g").where(F.length("needle") <= F.col("most")).drop("most").distinct()
+    n = needles.where(F.length("needle") > 0).join(longest, "g").where(F.length("needle") <= F.col("most")).drop("most")
+    n = n.repartition("g", "needle").distinct()  # else a group's needles stay together, as they were joined
     n = n.withColumn("id", F.unhex(F.sha2("needle", 256))).withColumn("width", _width(F.col("needle")))
     own = _parts(n, "needle", "g", "id", "width")
     own = own.select("g", "id", "width", F.explode(_grams_of(F.col("part"), F.col("width"))).alias("gram")).distinct()
