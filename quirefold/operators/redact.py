@@ -177,38 +177,93 @@ def verify(masked: DataFrame, hits: DataFrame, presets: tuple[str, ...] = tuple(
     return flagged.join(pages, flagged[doc] == pages["__d"], "left").select(doc, F.when(F.col("residue"), F.lit("residue")).otherwise(F.lit("ok")).alias("verdict"), F.when(F.col("residue"), F.coalesce("pages", F.lit("all"))).alias("residue_pages"))
 
 
+#: Bits of the table of marks of anchors, and of the table of how many needles share a gram: what is broadcast holds at most
+#: 2^19 words of marks, or 2^20 counts, whatever the input.
+MARKS, COUNTS = 25, 20
+#: Grams of a hay begin at every so many characters, and so many anchors in a row stand for a needle.
+STEP = 4
+
+
+def _step(width: int) -> int:
+    return min(width, STEP)
+
+
+def _every(text: Column, width: int, step: int) -> Column:
+    """Stretches of `width` characters, one from each `step` characters on."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}})).{{{step}}}"), F.lit(1))
+
+
+def _by_width(width: Column, of) -> Column:
+    """of(w) where the width is w."""
+    out = F.when(width == GRAMS[0], of(GRAMS[0]))
+    for w in GRAMS[1:]:
+        out = out.when(width == w, of(w))
+    return out
+
+
 def _parts(rows: DataFrame, text: str, *keep: str) -> DataFrame:
-    """(keep, part): the text in segments that overlap by the longest gram."""
+    """(keep, at, part): the text in segments, each from character `at` on, that overlap by two of the longest grams."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(SEGMENT))
-    cut = F.substring(F.col(text), F.col("at"), F.lit(SEGMENT + GRAMS[-1]))
+    cut = F.substring(F.col(text), F.col("at"), F.lit(SEGMENT + 2 * GRAMS[-1]))
     part = F.when(F.length(text) <= SEGMENT, F.col(text)).otherwise(cut)
-    return rows.select(*keep, text, F.explode(starts).alias("at")).select(*keep, part.alias("part"))
+    return rows.select(*keep, text, F.explode(starts).alias("at")).select(*keep, "at", part.alias("part"))
+
+
+def _anchors(needles: DataFrame) -> DataFrame:
+    """(key, id) of needles (g, needle, digest, id, width): keys of as many grams in a row as the step of the width, there
+    where the fewest needles share them. How many share a gram is counted by slots of its hash; a slot of two grams only
+    makes another place look better."""
+    step = _by_width(F.col("width"), lambda w: F.lit(_step(w)))
+    parts = lambda rows: _parts(rows, "needle", "g", "digest", "width").withColumn("room", F.length("part"))
+    grams = lambda rows: parts(rows).select(
+        "g", "digest", "at", "room", "width", F.posexplode(_by_width(F.col("width"), lambda w: _every(F.col("part"), w, 1))).alias("pos", "gram")
+    ).withColumn("slot", F.xxhash64("g", "gram").bitwiseAND(F.lit((1 << COUNTS) - 1)))
+    counts = grams(needles).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    placed = grams(needles.repartition("g", "digest")).withColumn("from", F.col("pos") - F.col("pos") % step)
+    placed = placed.where(F.col("from") + step - 1 + F.col("width") <= F.col("room"))
+    shared = placed.join(F.broadcast(counts), "slot").groupBy("g", "digest", "at", "from").agg(F.sum("n").alias("n"))
+    best = shared.groupBy("g", "digest").agg(F.min(F.struct("n", "at", "from")).alias("best"))
+    stretch = F.substring(F.col("needle"), F.col("best.at") + F.col("best.from"), F.col("width") + step - 1)
+    chosen = needles.join(best, ["g", "digest"]).select("g", "id", "width", stretch.alias("stretch"))
+    own = _by_width(F.col("width"), lambda w: _grams(F.col("stretch"), w))
+    return chosen.select("g", "id", F.explode(own).alias("gram")).select(F.xxhash64("g", "gram").alias("key"), "id")
+
+
+def _marked(rows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The rows whose key may be an anchor's, by a table of bits; others have no partner, and need not travel."""
+    word = F.shiftrightunsigned(F.col("key").bitwiseAND(F.lit((1 << MARKS) - 1)), 6)
+    bit = F.col("key").bitwiseAND(F.lit(63)).cast("int")
+    marks = anchors.select(word.alias("__word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("one")).groupBy("__word").agg(F.bit_or("one").alias("__bits"))
+    met = rows.withColumn("__word", word).join(F.broadcast(marks), "__word")
+    return met.where(F.getbit("__bits", bit) == 1).select(*rows.columns)
 
 
 def containments(hays: DataFrame, needles: DataFrame) -> DataFrame:
     """(g, hay, needle) for each hay (g, hay) that contains a needle (g, needle) of the same group, each pair once.
 
-    What contains a needle contains its anchor, that of its grams which the fewest needles of the group share, so the grams
-    of the hays are joined with the anchors and what meets is verified. Until then both are known by digests: grams travel
-    without their texts. Needles longer than any hay of the group have no grams made. One large group spreads over its
-    grams. Null or empty hays and needles meet nothing."""
+    A hay is known by the grams that begin at each STEP-th of its characters, a needle by STEP grams in a row: wherever it
+    stands in a hay, one of these begins at such a character. What meets so is verified on the texts, so results are those
+    of comparing all with all; until then 64-bit hashes stand for grams and texts, and two of one hash only share
+    candidates. Grams of hays that no needle has marked are left out before any shuffle; with more than some 10^7 needles
+    most are marked, and travel as two numbers each. Needles longer than any hay of the group have no grams made. One large
+    group spreads over its grams. Null or empty hays and needles meet nothing."""
     longest = hays.groupBy("g").agg(F.max(F.length("hay")).alias("most"))
     n = needles.where(F.length("needle") > 0).join(longest, "g").where(F.length("needle") <= F.col("most")).drop("most")
     n = n.repartition("g", "needle").distinct()  # else a group's needles stay together, as they were joined
-    n = n.withColumn("id", F.unhex(F.sha2("needle", 256))).withColumn("width", _width(F.col("needle")))
-    own = _parts(n, "needle", "g", "id", "width")
-    own = own.select("g", "id", "width", F.explode(_grams_of(F.col("part"), F.col("width"))).alias("gram")).distinct()
-    shared = own.groupBy("g", "gram").agg(F.count(F.lit(1)).alias("n"))
-    least = F.min_by("gram", F.struct("n", F.xxhash64("gram"), "gram"))
-    anchors = own.join(shared, ["g", "gram"]).groupBy("g", "id", "width").agg(least.alias("gram"))
-    anchors = written(anchors, "anchors")
-    widths = sorted(r["width"] for r in anchors.select("width").distinct().collect())  # as many as GRAMS at most
-    h = hays.where(F.length("hay") > 0).distinct().withColumn("h", F.unhex(F.sha2("hay", 256)))
-    cut = [_grams(F.col("part"), w) for w in widths or GRAMS[:1]]
-    looked = _parts(h, "hay", "g", "h").select("g", "h", F.explode(F.concat(*cut)).alias("gram"))
-    met = looked.join(anchors, ["g", "gram"]).select("g", "h", "id").distinct()
-    pairs = met.join(h, ["g", "h"]).join(n, ["g", "id"])
-    return pairs.where(F.contains("hay", "needle")).select("g", "hay", "needle")
+    width = F.lit(GRAMS[0])
+    for w in GRAMS[1:]:
+        width = F.when(F.length("needle") >= w + _step(w) - 1, w).otherwise(width)
+    n = n.select("g", "needle", F.unhex(F.sha2("needle", 256)).alias("digest"), F.xxhash64("g", "needle").alias("id"), width.alias("width"))
+    n = written(n, "needles")
+    anchors = written(_anchors(n), "anchors")
+    widths = sorted(r["width"] for r in n.select("width").distinct().collect())  # as many as GRAMS at most
+    h = hays.where(F.length("hay") > 0).distinct().withColumn("h", F.xxhash64("g", "hay"))
+    cut = [F.array_distinct(_every(F.col("part"), w, _step(w))) for w in widths or GRAMS[:1]]
+    looked = _parts(h, "hay", "g", "h").select("g", "h", F.explode(F.concat(*cut)).alias("gram")).select("h", F.xxhash64("g", "gram").alias("key"))
+    met = _marked(looked, anchors).join(anchors, "key").select("h", "id").distinct()
+    texts = n.select(F.col("g").alias("__g"), "id", "needle")
+    pairs = met.join(texts, "id").join(h, "h")
+    return pairs.where((F.col("g") == F.col("__g")) & F.contains("hay", "needle")).select("g", "hay", "needle")
 
 
 #: Where a document has more values than this, and more targets too, they meet by containments.
@@ -228,18 +283,21 @@ def scrub(values: DataFrame, targets: DataFrame, key: str, value: str, least: in
     many = lambda rows, k: rows.groupBy(F.col(k).alias("__c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few).select("__c")
     crowded = written(many(t, "__k").join(many(v.where(enough), key), "__c"), "crowded")
     if crowded.isEmpty():
-        kept = v.join(t, near, "left_anti")
+        kept = v.join(t, near, "left_anti").drop("__v")
     else:
-        kept = v.join(t.join(crowded, F.col("__k") == F.col("__c"), "left_anti"), near, "left_anti")
-        mine = v.where(enough).join(crowded, F.col(key) == F.col("__c"), "left_semi").select(F.col(key).alias("g"), F.col("__v").alias("hay"))
-        theirs = t.join(crowded, F.col("__k") == F.col("__c"), "left_semi").select(F.col("__k").alias("g"), F.col("__t").alias("needle"))
+        in_crowd, meant = F.col(key) == F.col("__c"), F.col("__k") == F.col("__c")
+        kept = v.join(crowded, in_crowd, "left_anti").join(t.join(crowded, meant, "left_anti"), near, "left_anti").drop("__v")
+        rows = v.join(crowded, in_crowd, "left_semi")
+        mine = rows.where(enough).select(F.col(key).alias("g"), F.col("__v").alias("hay"))
+        theirs = t.join(crowded, meant, "left_semi").select(F.col("__k").alias("g"), F.col("__t").alias("needle"))
         holding = containments(mine, theirs).select("g", F.col("hay").alias("__r"))
         held = containments(theirs.withColumnRenamed("needle", "hay"), mine.withColumnRenamed("hay", "needle")).select("g", F.col("needle").alias("__r"))
-        residue = holding.unionByName(held).distinct().withColumnRenamed("g", "__g")
-        kept = kept.join(residue, (F.col(key) == F.col("__g")) & (F.col("__v") == F.col("__r")), "left_anti")
-    kept = kept.drop("__v")
+        digest = lambda c: F.unhex(F.sha2(c, 256))
+        residue = holding.unionByName(held).select(F.col("g").alias("__g"), digest("__r").alias("__r")).distinct()
+        rows = rows.withColumn("__v", digest("__v")).join(residue, (F.col(key) == F.col("__g")) & (F.col("__v") == F.col("__r")), "left_anti")
+        kept = kept.unionByName(rows.drop("__v"))
     for p in presets:
-        kept = kept.where(~F.coalesce(F.col(value), F.lit("")).rlike(FOUND[p]))
+        kept = kept.where(~_found(F.coalesce(F.col(value), F.lit("")), p))
     return kept
 
 
