@@ -180,12 +180,11 @@ def verify(masked: DataFrame, hits: DataFrame, presets: tuple[str, ...] = tuple(
 #: Bits of the table of marks of anchors, and of the table of how many needles share a gram: what is broadcast holds at most
 #: 2^19 words of marks, or 2^20 counts, whatever the input.
 MARKS, COUNTS = 25, 20
-#: Grams of a hay begin at every so many characters, and so many anchors in a row stand for a needle.
-STEP = 4
-
-
-def _step(width: int) -> int:
-    return min(width, STEP)
+#: Widths of grams, and the step of each: grams of a hay begin at every so many characters, and so many in a row stand for
+#: a needle, which takes the widest it has room for. Short ones are looked up whole, as parts of them are in most hays.
+STEPS = dict.fromkeys(range(1, 8), 1) | {8: 2, 12: 4, 16: 4}
+#: Needles by length, from which on: hays that hold a short one need not be searched for longer ones.
+LENGTHS = (1, 4, 6, 9)
 
 
 def _every(text: Column, width: int, step: int) -> Column:
@@ -195,8 +194,8 @@ def _every(text: Column, width: int, step: int) -> Column:
 
 def _by_width(width: Column, of) -> Column:
     """of(w) where the width is w."""
-    out = F.when(width == GRAMS[0], of(GRAMS[0]))
-    for w in GRAMS[1:]:
+    out = F.when(width == 1, of(1))
+    for w in list(STEPS)[1:]:
         out = out.when(width == w, of(w))
     return out
 
@@ -213,7 +212,7 @@ def _anchors(needles: DataFrame) -> DataFrame:
     """(key, id) of needles (g, needle, digest, id, width): keys of as many grams in a row as the step of the width, there
     where the fewest needles share them. How many share a gram is counted by slots of its hash; a slot of two grams only
     makes another place look better."""
-    step = _by_width(F.col("width"), lambda w: F.lit(_step(w)))
+    step = _by_width(F.col("width"), lambda w: F.lit(STEPS[w]))
     parts = lambda rows: _parts(rows, "needle", "g", "digest", "width").withColumn("room", F.length("part"))
     grams = lambda rows: parts(rows).select(
         "g", "digest", "at", "room", "width", F.posexplode(_by_width(F.col("width"), lambda w: _every(F.col("part"), w, 1))).alias("pos", "gram")
@@ -241,8 +240,8 @@ def _marked(rows: DataFrame, anchors: DataFrame) -> DataFrame:
 def containments(hays: DataFrame, needles: DataFrame) -> DataFrame:
     """(g, hay, needle) for each hay (g, hay) that contains a needle (g, needle) of the same group, each pair once.
 
-    A hay is known by the grams that begin at each STEP-th of its characters, a needle by STEP grams in a row: wherever it
-    stands in a hay, one of these begins at such a character. What meets so is verified on the texts, so results are those
+    A hay is known by the grams that begin at each STEPS-th of its characters, a needle by as many grams in a row: wherever
+    it stands in a hay, one of these begins at such a character. What meets so is verified on the texts, so results are those
     of comparing all with all; until then 64-bit hashes stand for grams and texts, and two of one hash only share
     candidates. Grams of hays that no needle has marked are left out before any shuffle; with more than some 10^7 needles
     most are marked, and travel as two numbers each. Needles longer than any hay of the group have no grams made. One large
@@ -250,15 +249,15 @@ def containments(hays: DataFrame, needles: DataFrame) -> DataFrame:
     longest = hays.groupBy("g").agg(F.max(F.length("hay")).alias("most"))
     n = needles.where(F.length("needle") > 0).join(longest, "g").where(F.length("needle") <= F.col("most")).drop("most")
     n = n.repartition("g", "needle").distinct()  # else a group's needles stay together, as they were joined
-    width = F.lit(GRAMS[0])
-    for w in GRAMS[1:]:
-        width = F.when(F.length("needle") >= w + _step(w) - 1, w).otherwise(width)
+    width = F.lit(1)
+    for w, step in STEPS.items():
+        width = F.when(F.length("needle") >= w + step - 1, w).otherwise(width)
     n = n.select("g", "needle", F.unhex(F.sha2("needle", 256)).alias("digest"), F.xxhash64("g", "needle").alias("id"), width.alias("width"))
     n = written(n, "needles")
     anchors = written(_anchors(n), "anchors")
-    widths = sorted(r["width"] for r in n.select("width").distinct().collect())  # as many as GRAMS at most
+    widths = sorted(r["width"] for r in n.select("width").distinct().collect())  # as many as STEPS at most
     h = hays.where(F.length("hay") > 0).distinct().withColumn("h", F.xxhash64("g", "hay"))
-    cut = [F.array_distinct(_every(F.col("part"), w, _step(w))) for w in widths or GRAMS[:1]]
+    cut = [F.array_distinct(_every(F.col("part"), w, STEPS[w])) for w in widths or [1]]
     looked = _parts(h, "hay", "g", "h").select("g", "h", F.explode(F.concat(*cut)).alias("gram")).select("h", F.xxhash64("g", "gram").alias("key"))
     met = _marked(looked, anchors).join(anchors, "key").select("h", "id").distinct()
     texts = n.select(F.col("g").alias("__g"), "id", "needle")
@@ -266,6 +265,22 @@ def containments(hays: DataFrame, needles: DataFrame) -> DataFrame:
     return pairs.where((F.col("g") == F.col("__g")) & F.contains("hay", "needle")).select("g", "hay", "needle")
 
 
+def _holding(texts: DataFrame, targets: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Of distinct texts (g, text): those that contain a target (g, text) of their group, in parts, and the others. Targets
+    come by length, and what holds one is not searched for the next."""
+    found, rest = [], texts
+    for low, beyond in zip(LENGTHS, (*LENGTHS[1:], None)):
+        length = F.length("text")
+        needles = targets.where((length >= low) & (length < beyond) if beyond else length >= low).withColumnRenamed("text", "needle")
+        hold = containments(rest.withColumnRenamed("text", "hay"), needles).select("g", F.col("hay").alias("text")).distinct()
+        found.append(written(hold, "holding"))
+        if not found[-1].isEmpty():
+            rest = written(rest.join(found[-1], ["g", "text"], "left_anti"), "rest")
+        if rest.isEmpty():
+            break
+    return found, rest
+
+
 #: Where a document has more values than this, and more targets too, they meet by containments.
 FEW = 256
 
@@ -275,7 +290,8 @@ def scrub(values: DataFrame, targets: DataFrame, key: str, value: str, least: in
     space and of `least` characters or more; nor those in which a preset is found. Outlines take 3, metadata 2.
 
     Values and targets of a document are compared directly where either are `few` at most, so the tests are at most so
-    many a row. Those of crowded documents meet by an index of grams, in both directions. Results are the same."""
+    many a row. Those of crowded documents meet by an index of grams, in both directions; a value that is known to go is not
+    looked up again. Results are the same."""
     v = values.withColumn("__v", squeezed(F.col(value)))
     t = targets.select(F.col(key).alias("__k"), squeezed(F.col("target")).alias("__t")).where(F.length("__t") >= least).distinct()
     enough = F.length("__v") >= (least if least > 2 else 1)
@@ -286,14 +302,16 @@ def scrub(values: DataFrame, targets: DataFrame, key: str, value: str, least: in
         kept = v.join(t, near, "left_anti").drop("__v")
     else:
         in_crowd, meant = F.col(key) == F.col("__c"), F.col("__k") == F.col("__c")
-        kept = v.join(crowded, in_crowd, "left_anti").join(t.join(crowded, meant, "left_anti"), near, "left_anti").drop("__v")
+        others = written(t.join(crowded, meant, "left_anti"), "others")  # its size is known then: few are broadcast
+        kept = v.join(crowded, in_crowd, "left_anti").join(others, near, "left_anti").drop("__v")
         rows = v.join(crowded, in_crowd, "left_semi")
-        mine = rows.where(enough).select(F.col(key).alias("g"), F.col("__v").alias("hay"))
-        theirs = t.join(crowded, meant, "left_semi").select(F.col("__k").alias("g"), F.col("__t").alias("needle"))
-        holding = containments(mine, theirs).select("g", F.col("hay").alias("__r"))
-        held = containments(theirs.withColumnRenamed("needle", "hay"), mine.withColumnRenamed("hay", "needle")).select("g", F.col("needle").alias("__r"))
+        mine = written(rows.where(enough).select(F.col(key).alias("g"), F.col("__v").alias("text")).distinct(), "mine")
+        theirs = written(t.join(crowded, meant, "left_semi").select(F.col("__k").alias("g"), F.col("__t").alias("text")), "theirs")
+        found, rest = _holding(mine, theirs)
+        hays, needles = theirs.withColumnRenamed("text", "hay"), rest.withColumnRenamed("text", "needle")
+        found.append(containments(hays, needles).select("g", F.col("needle").alias("text")))
         digest = lambda c: F.unhex(F.sha2(c, 256))
-        residue = holding.unionByName(held).select(F.col("g").alias("__g"), digest("__r").alias("__r")).distinct()
+        residue = reduce(DataFrame.unionByName, found).select(F.col("g").alias("__g"), digest("text").alias("__r")).distinct()
         rows = rows.withColumn("__v", digest("__v")).join(residue, (F.col(key) == F.col("__g")) & (F.col("__v") == F.col("__r")), "left_anti")
         kept = kept.unionByName(rows.drop("__v"))
     for p in presets:
