@@ -1,6 +1,8 @@
 import math
 import re
 
+from pyspark.sql import functions as F
+
 from quirefold.llm import mixing as M
 
 
@@ -69,3 +71,56 @@ def test_documents_repeat(spark):
     out = M.mixed_documents(df)
     assert out.columns == df.columns
     assert all(n <= 3 * (2 if i == 3 else 1) for i, n in out.groupBy("doc_id").count().collect())
+
+
+def rounded_by_hand(units, draw, block):
+    """take of each unit {(doc_id, mark): (source, size, n, p)}, one at a time; draw(unit, level): (hash of the block, r)."""
+    take, level, sources = {}, 0, {}
+    for u, (source, size, n, p) in units.items():
+        sources.setdefault(source, (n, {}))[1][u] = (size, p)
+    for n, open_ in sources.values():
+        level = 0
+        while open_:
+            blocks, met, left = -(-n // block), {}, {}
+            for u in sorted(open_, key=lambda u: (-open_[u][0], u)):
+                h, r = draw(u, level)
+                b = h % blocks
+                if b not in met:
+                    met[b] = (u, open_[u][1])
+                    continue
+                (first, p), q = met[b], open_[u][1]
+                low, s = p + q < 1, p + q
+                goes = r < (q / s if low else (1 - q) / (2 - s))
+                take[first if goes else u] = 0 if low else 1
+                met[b] = (u if goes else first, s if low else s - 1)
+            for u, p in met.values():
+                if p <= 1e-9 or p >= 1 - 1e-9:
+                    take[u] = round(p)
+                elif blocks == 1:
+                    take[u] = int(draw(u, level)[1] < p)
+                else:
+                    left[u] = (open_[u][0], p)
+            open_, n, level = left, blocks, level + 1
+    return take
+
+
+def test_taken_equals_rounding_by_hand(spark, sf, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 8)
+    sized = M.sizes(spark.read.parquet(f"{sf}/documents.parquet"))
+    got = M.mix(sized).collect()
+    levels = 5
+    columns = [c for k in range(levels) for c in (F.xxhash64("doc_id", "mark", F.lit(M.SEED + k)).alias(f"h{k}"), M._uniform(F.col("doc_id"), F.col("mark"), F.lit(M.SEED - 1 - k)).alias(f"r{k}"))]
+    drawn = {(r.doc_id, r.mark): r for r in sized.select("doc_id", "mark", *columns).collect()}
+    assert len(drawn) == len(got) > 8 * 8
+    n, whole, units = {}, {}, {}
+    for r in got:
+        n[r.source] = n.get(r.source, 0) + 1
+    for r in got:
+        rate = min(r.target / r.source_size, 3.0) if r.source_size else 0.0
+        whole[r.doc_id, r.mark] = math.floor(rate + 1e-9) if r.source_size else 0
+        p = rate - whole[r.doc_id, r.mark] if r["size"] else 0.0
+        if p > 1e-9:
+            units[r.doc_id, r.mark] = (r.source, r["size"], n[r.source], p)
+    take = rounded_by_hand(units, lambda u, k: (drawn[u][f"h{k}"], drawn[u][f"r{k}"]), 8)
+    assert 0 < sum(take.values()) < len(take) == len(units)
+    assert {(r.doc_id, r.mark): r.copies for r in got} == {u: whole[u] + take.get(u, 0) for u in whole}
