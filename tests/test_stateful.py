@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,41 @@ def test_keywords_from_a_table(spark, monkeypatch):
         for w in sorted({w for w in words if w and t and w in t}, key=lambda w: (-len(w), w)):
             t = t.replace(w, "")
         assert x.text == t
+
+
+class Store:
+    """A store of one bucket, which counts calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def registerTimer(self, at):
+        self.calls, self.timers = self.calls + 1, [*self.timers, at]
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+
+def test_calls_to_the_store_follow_buckets():
+    store, made = Store(), S._Retention(48 * HOUR, 90 * 24 * HOUR)
+    made.init(store)
+    rows = pd.DataFrame([(f"o{k}", k, 0, False) for k in range(1000)], columns=["key", "at", "rank", "has_blob"])
+    assert list(made.handleInputRows((0,), iter([rows]), None)) == []
+    assert store.calls == 3 and len(store.timers) == 1
+
+
+def test_keys_that_share_a_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "BUCKETS", 1)
+    batches = [[(1, "created", None, at(0)), (2, "created", None, at(1)), (None, "created", None, at(2))], [(1, "claimed", None, at(47)), (3, "created", None, at(60))], [(9, "other", None, at(75))], [(9, "other", None, at(200))]]
+    got = replay(spark, tmp_path, batches, "out_trade_no bigint, kind string, has_blob boolean, ts timestamp", lambda s: S.retention_timers(s, "1 hour"))
+    assert sorted(((r.out_trade_no, r.action, (r.at - START) / HOUR) for r in got), key=repr) == [(2, "delete", 49.0), (3, "delete", 108.0), (None, "delete", 50.0)]
