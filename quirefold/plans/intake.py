@@ -282,7 +282,7 @@ SELECT q.doc_id, q.key, CASE WHEN length(q.key) % 3 = 0 THEN '0' ELSE coalesce(t
     "stream_corr": "SELECT t.user_id, t.event_id AS task_id, r.event_id AS request_id FROM events t JOIN events r ON r.user_id = t.user_id AND r.ts >= t.ts AND r.ts <= t.ts + INTERVAL 12 HOURS WHERE t.event_type = 'error' AND r.event_type = 'purchase'",
     "stream_uploads": """
 WITH p AS (SELECT l_orderkey AS task_id, l_linenumber - 1 AS idx, l_shipdate AS ts, CASE WHEN l_shipdate <= lag(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate) + INTERVAL 30 DAYS THEN 0 ELSE 1 END AS new FROM lineitem),
-n AS (SELECT *, sum(new) OVER (PARTITION BY task_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM p),
+n AS (SELECT *, sum(new) OVER (PARTITION BY task_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM p),
 g AS (SELECT task_id, k, min(ts) AS a, max(ts) + INTERVAL 30 DAYS AS b, count(*) AS n_parts, len(list_filter([0, 1, 2, 3], lambda x: NOT list_contains(list(idx), x))) = 0 AS complete FROM n GROUP BY 1, 2)
 SELECT task_id, epoch_us(a) AS start, epoch_us(b) AS "end", n_parts, complete FROM g WHERE b <= (SELECT max(l_shipdate) - INTERVAL 1 HOUR FROM lineitem)""",
     "stream_upload_parts": """

@@ -2,9 +2,11 @@
 
 import json
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quirefold.operators import orders
+from quirefold.plans import intake
 from quirefold.sources import files as S
 from quirefold.streaming import streams as X
 
@@ -92,3 +94,13 @@ def test_ledger_stream(spark, tmp_path):
     q.awaitTermination()
     got = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "ledger")).select("key", "amount").collect()
     assert sorted(map(tuple, got)) == [("12345678", "1.00"), ("87654321", "2.00")]
+
+
+def test_sql_of_stream_uploads_leaves_no_ties_to_chance():
+    con = duckdb.connect()
+    con.execute("CREATE TABLE lineitem AS SELECT 1 + k // 4 AS l_orderkey, 1 + k % 2 AS l_linenumber, TIMESTAMP '2000-01-01' + CASE WHEN k % 4 > 1 THEN INTERVAL 90 DAYS ELSE INTERVAL 0 DAYS END AS l_shipdate FROM range(40) r(k) UNION ALL SELECT 99, 1, TIMESTAMP '2001-01-01'")
+    sql = intake.ORACLES["stream_uploads"]
+    assert "FROM lineitem),\nn AS" in sql
+    for order in ("new", "new DESC"):  # in which rows of one time come to the sum must make no difference
+        got = con.execute(sql.replace("FROM lineitem),\nn AS", f"FROM lineitem ORDER BY {order}),\nn AS")).fetchall()
+        assert sorted((task, n) for task, _, _, n, _ in got) == [(t, 2) for t in range(1, 11) for _ in range(2)]
