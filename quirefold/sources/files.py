@@ -201,15 +201,20 @@ def scan_invoice_xml(files: DataFrame, content: str = "content", name: str = "pa
     reason = F.when(F.col("x").isNull(), "dtd").when(~F.col("sound"), "malformed").when(~F.col("rooted"), "root")
     rows = rows.withColumn("reason", reason).withColumn("x", F.when(F.col("reason").isNull(), F.col("x")))
 
-    def first(tags: tuple[str, ...]) -> Column:
-        found = [F.trim(F.call_function("xpath_string", F.col("x"), F.lit(f"(//{t}[normalize-space()])[1]"))) for t in tags]
+    # one expression a file, as each call parses the text anew; no XML text can hold the separator
+    tags = sorted({t for group in TAGS.values() for t in group})
+    texts = ", '\x01', ".join([*(f"(//{t}[normalize-space()])[1]" for t in tags), "count(//IssuItemInformation)"])
+    rows = rows.withColumn("found", F.split(F.call_function("xpath_string", F.col("x"), F.lit(f"concat({texts})")), "\x01"))
+
+    def first(group: tuple[str, ...]) -> Column:
+        found = [F.trim(F.get("found", F.lit(tags.index(t)))) for t in group]
         return F.coalesce(*(F.when(v != "", v) for v in found))
 
     fields = {k: first(t) for k, t in TAGS.items()}
     fields["issue_date"] = normalize_date(fields["issue_date"])
     for k in ("amount_without_tax", "tax_amount", "total_with_tax"):
         fields[k] = clean_amount_keep(fields[k])
-    items = F.call_function("xpath_int", F.col("x"), F.lit("count(//IssuItemInformation)"))
+    items = F.get("found", F.lit(len(tags))).cast("int")
     return rows.select("source_file", *(v.alias(k) for k, v in fields.items()), F.when(items > 0, items).alias("item_count"), "reason")
 
 

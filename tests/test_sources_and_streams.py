@@ -104,3 +104,11 @@ def test_sql_of_stream_uploads_leaves_no_ties_to_chance():
     for order in ("new", "new DESC"):  # in which rows of one time come to the sum must make no difference
         got = con.execute(sql.replace("FROM lineitem),\nn AS", f"FROM lineitem ORDER BY {order}),\nn AS")).fetchall()
         assert sorted((task, n) for task, _, _, n, _ in got) == [(t, 2) for t in range(1, 11) for _ in range(2)]
+
+
+def test_invoice_xml_is_parsed_once(spark):
+    x = "<EInvoice><Data><InvoiceNumber> </InvoiceNumber><InvoiceNumber> a<b>1</b> </InvoiceNumber><BuyerName/><Drawer>\t</Drawer><Remark>&lt;,&amp;</Remark><EIid>9</EIid></Data></EInvoice>"
+    df = S.scan_invoice_xml(spark.createDataFrame([("f", x.encode())], "path string, content binary"))
+    r = df.first()
+    assert (r.invoice_number, r.buyer_name, r.drawer, r.remark, r.item_count, r.reason) == ("a1", None, None, "<,&", None, None)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("XPathStringEvaluator") == 1
