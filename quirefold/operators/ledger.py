@@ -88,13 +88,17 @@ def unique_names(df: DataFrame, group: str, name: str, order: str, reserved: Dat
         rows = rows.withColumn("__nth", F.col("__nth") + F.coalesce("__placed", F.lit(0))).drop("__g", "__name", "__placed")
         known = known.unionByName(reserved.select(group, name))
     names = known.select(F.col(group).alias("__g"), base.alias("__b"), e.alias("__e"), serial.alias("__k"), k.alias("__text")).where("__b <> '' AND __k >= 2 AND __text = CAST(__k AS STRING)")
-    taken = names.groupBy("__g", F.concat("__b", "__e").alias("__name")).agg(F.collect_set("__k").alias("__taken"))
-    rows = rows.join(taken, F.col(group).eqNullSafe(F.col("__g")) & (F.col(name) == F.col("__name")), "left").drop("__g", "__name")
-    # without taken serials the n-th takes n; each taken one at or below moves it on
-    taken_ = F.sort_array(F.coalesce("__taken", F.array().cast("array<int>")))
-    free = F.aggregate(taken_, F.col("__nth"), lambda k, t: F.when(t <= k, k + 1).otherwise(k))
+    # the j-th taken serial (from 0) has serial - 2 - j free ones from 2 below it; the n-th row takes the (n-2)-th (from 0),
+    # which all taken ones with as many free ones below or fewer move on by one. Serials and rows meet by this number.
+    taken = names.select("__g", F.concat("__b", "__e").alias("__name"), "__k").distinct()
+    taken = taken.select("__g", "__name", (F.col("__k") - 1 - F.row_number().over(Window.partitionBy("__g", "__name").orderBy("__k"))).alias("__at"), F.lit(1).alias("__one"))
+    columns = rows.columns
+    both = rows.withColumn("__g", F.col(group)).withColumn("__name", n).withColumn("__at", F.col("__nth") - 2).withColumn("__one", F.lit(0)).unionByName(taken, allowMissingColumns=True)
+    before = F.sum("__one").over(Window.partitionBy("__g", "__name").orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = both.withColumn("__before", before).where("__one = 0").select(*columns, "__before")
+    free = F.col("__nth") + F.col("__before")
     new = F.when(F.col("__nth") == 1, n).otherwise(F.concat(s, F.lit("__"), free.cast("string"), F.substring(n, F.length(s) + 1, F.length(n))))
-    return rows.withColumn("unique_name", new).drop("__e", "__nth", "__taken")
+    return rows.withColumn("unique_name", new).drop("__e", "__nth", "__before")
 
 
 def placed_names(df: DataFrame, group: str, name: str, order: str, rejected: str) -> DataFrame:

@@ -128,3 +128,13 @@ def test_archives_and_budgets(spark):
     assert {r.archive_id: r.reason for r in audits.zip_audit(z).collect()} == {"e": "empty", "l": "encrypted", "b": "ratio", "t": "traversal", "w": "absolute", "f": "forged", "ok": None}
     r = spark.range(1).select(G.pixel_budget_ok(F.lit(595.3), F.lit(842.0), 150).alias("a"), G.pixel_budget_ok(F.lit(20000.0), F.lit(20000.0), 150).alias("b"), G.normalize_rotation(F.lit(-90)).alias("c"), G.size_reduction_pct(F.lit(0), F.lit(5)).alias("d")).first()
     assert tuple(r) == (True, False, 270, 0.0)
+
+
+def test_taken_serials_are_not_copied_to_rows(spark):
+    """Taken serials meet rows by number, so no row carries a list of them."""
+    names = ["a.pdf"] * 40 + [f"a__{k}.pdf" for k in (2, 3, 5, 7, 8, 9, 30, 31, 1000)] + ["A.pdf", "a__03.pdf", None, None]
+    df = spark.createDataFrame([(1, i, n) for i, n in enumerate(names)], "g int, i int, n string")
+    found = ledger.unique_names(df, "g", "n", "i")
+    free = (k for k in range(2, 100) if f"a__{k}.pdf" not in names)
+    assert [r.unique_name for r in found.orderBy("i").collect()][:40] == ["a.pdf", *(f"a__{next(free)}.pdf" for _ in range(39))]
+    assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
