@@ -65,10 +65,15 @@ def survey_batches(path: str, order: str = "ts", every: int = EVERY) -> Callable
     return first_batches(path, first, "client_id", every=every)
 
 
+#: Rows of a file of arrivals, about: a step's files follow its rows, so that no task writes a fixed share of the table.
+FILE_ROWS = 1_000_000
+
+
 def arrivals(df: DataFrame, time: str, folder: str, parts: int = 3, files: int = 4) -> DataFrame:
     """A stream over the rows of a table as if they came in order of time: they are written in `parts` steps of equal
-    time, of `files` files each, which are read as many at a time."""
-    span = df.agg(F.min(time).alias("low"), F.max(time).alias("high")).first()
+    time, of `files` files each, more for many rows (FILE_ROWS), which are read as many at a time."""
+    span = df.agg(F.min(time).alias("low"), F.max(time).alias("high"), F.count(F.lit(1)).alias("n")).first()
+    files = max(files, -(-span["n"] // (parts * FILE_ROWS)))
     dealt = df.withColumn("part", stateful.in_order(F.col(time), parts, span["low"], span["high"]))
     for k in range(parts):
         dealt.where(F.col("part") == k).drop("part").repartition(files).write.mode("append").parquet(folder)

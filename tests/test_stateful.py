@@ -170,3 +170,48 @@ def test_keys_that_share_a_bucket(spark, tmp_path, monkeypatch):
     batches = [[(1, "created", None, at(0)), (2, "created", None, at(1)), (None, "created", None, at(2))], [(1, "claimed", None, at(47)), (3, "created", None, at(60))], [(9, "other", None, at(75))], [(9, "other", None, at(200))]]
     got = replay(spark, tmp_path, batches, "out_trade_no bigint, kind string, has_blob boolean, ts timestamp", lambda s: S.retention_timers(s, "1 hour"))
     assert sorted(((r.out_trade_no, r.action, (r.at - START) / HOUR) for r in got), key=repr) == [(2, "delete", 49.0), (3, "delete", 108.0), (None, "delete", 50.0)]
+
+
+class Group:
+    """What applyInPandasWithState hands in for a bucket."""
+
+    _timeout_conf, exists = "EventTimeTimeout", True
+
+    def __init__(self, value, watermark, timed_out=False):
+        self.getOption, self.watermark, self.hasTimedOut, self.timer = value, watermark, timed_out, None
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, value):
+        self.getOption = value
+
+    def remove(self):
+        self.getOption = None
+
+    def setTimeoutTimestamp(self, at):
+        assert at >= self.watermark  # Spark refuses earlier ones
+        self.timer = at
+
+
+def test_states_travel_with_the_rows():
+    """No call to a store: a bucket's value comes and goes with its rows, what is due goes in the same batch, and the timer
+    is set anew each time, as Spark forgets it."""
+    made, hours = S._Retention(48 * HOUR, 90 * 24 * HOUR), 3_600_000
+    rows = lambda *of: iter([pd.DataFrame(of, columns=["key", "at", "rank", "has_blob"])])
+    first = Group(None, 0)
+    assert list(made.bucket((0,), rows(("a", HOUR, 0, False), ("b", 30 * HOUR, 0, False)), first)) == [] and first.timer == 49 * hours
+    second = Group(first.getOption, 10 * hours)
+    assert list(made.bucket((0,), rows(("b", 31 * HOUR, 1, False)), second)) == [] and second.timer == 49 * hours
+    third = Group(second.getOption, 60 * hours)
+    (gone,) = made.bucket((0,), rows(("c", 1 * HOUR, 0, False), ("d", 60 * HOUR, 0, False)), third)
+    assert sorted(gone["key"].tolist()) == ["a", "c"] and third.timer == 108 * hours
+    last = Group(third.getOption, 200 * hours, timed_out=True)
+    (gone,) = made.bucket((0,), iter([]), last)
+    assert gone["key"].tolist() == ["d"] and last.timer is None and last.getOption is not None  # b is verified and stays
+
+
+def test_arrivals_follow_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "FILE_ROWS", 10)
+    X.arrivals(spark.range(300).withColumn("ts", F.timestamp_seconds("id")), "ts", str(tmp_path / "in"))
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == 30
