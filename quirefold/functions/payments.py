@@ -70,11 +70,19 @@ def base64url(s: Column) -> Column:
     return F.rtrim(F.translate(F.base64(F.encode(s, "utf-8")), "+/\r\n", "-_"), F.lit("="))
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), in which the value is worked out once, however often it stands there."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def from_base64url(s: Column) -> Column:
     """The text of base64url or base-64, padded or not; null if it is neither."""
-    t = F.rtrim(F.translate(F.regexp_replace(s, "\\s", ""), "-_", "+/"), F.lit("="))
-    padded = F.call_function("rpad", t, F.ceil(F.length(t) / 4).cast("int") * 4, F.lit("="))
-    return F.call_function("try_validate_utf8", F.call_function("try_to_binary", F.when(t.rlike("^[A-Za-z0-9+/]*$"), padded), F.lit("base64")).cast("string"))
+
+    def text(t: Column) -> Column:
+        padded = F.call_function("rpad", t, F.ceil(F.length(t) / 4).cast("int") * 4, F.lit("="))
+        return F.call_function("try_validate_utf8", F.call_function("try_to_binary", F.when(t.rlike("^[A-Za-z0-9+/]*$"), padded), F.lit("base64")).cast("string"))
+
+    return _let(F.rtrim(F.translate(F.regexp_replace(s, "\\s", ""), "-_", "+/"), F.lit("=")), text)
 
 
 _PROOF = "struct<protocol:struct<payment_proof:string,trade_no:string>,method:struct<client_session:string>>"
@@ -82,24 +90,26 @@ _PROOF = "struct<protocol:struct<payment_proof:string,trade_no:string>,method:st
 
 def decode_payment_proof(header: Column) -> Column:
     """(payment_proof, trade_no, client_session, reason): the reason is null for a good proof."""
-    h = F.trim(F.coalesce(header, F.lit("")))
-    text = from_base64url(h)
-    obj = F.from_json(text, _PROOF, {"mode": "PERMISSIVE"})
-    proof, trade = obj["protocol"]["payment_proof"], obj["protocol"]["trade_no"]
-    reason = (
-        F.when(h == "", F.lit("empty"))
-        .when(text.isNull(), F.lit("not_base64"))
-        .when(~F.trim(text).rlike(r"(?s)^[\[{].*[\]}]$"), F.lit("not_json"))
-        .when(F.startswith(F.trim(text), F.lit("[")), F.lit("not_an_object"))
-        .when((F.coalesce(proof, F.lit("")) == "") | (F.coalesce(trade, F.lit("")) == ""), F.lit("incomplete"))
-    )
-    good = reason.isNull()
-    return F.struct(
-        F.when(good, proof).alias("payment_proof"),
-        F.when(good, trade).alias("trade_no"),
-        F.when(good & (obj["method"]["client_session"] != ""), obj["method"]["client_session"]).alias("client_session"),
-        reason.alias("reason"),
-    )
+
+    def fields(h: Column, text: Column, obj: Column) -> Column:
+        proof, trade = obj["protocol"]["payment_proof"], obj["protocol"]["trade_no"]
+        reason = (
+            F.when(h == "", F.lit("empty"))
+            .when(text.isNull(), F.lit("not_base64"))
+            .when(~F.trim(text).rlike(r"(?s)^[\[{].*[\]}]$"), F.lit("not_json"))
+            .when(F.startswith(F.trim(text), F.lit("[")), F.lit("not_an_object"))
+            .when((F.coalesce(proof, F.lit("")) == "") | (F.coalesce(trade, F.lit("")) == ""), F.lit("incomplete"))
+        )
+        return _let(reason, lambda r: F.struct(
+            F.when(r.isNull(), proof).alias("payment_proof"),
+            F.when(r.isNull(), trade).alias("trade_no"),
+            F.when(r.isNull() & (obj["method"]["client_session"] != ""), obj["method"]["client_session"]).alias("client_session"),
+            r.alias("reason"),
+        ))
+
+    parsed = lambda text: F.from_json(text, _PROOF, {"mode": "PERMISSIVE"})
+    whole = lambda h: _let(from_base64url(h), lambda text: _let(parsed(text), lambda obj: fields(h, text, obj)))
+    return _let(F.trim(F.coalesce(header, F.lit(""))), whole)
 
 
 def either_style(obj: Column, snake: str, default: str | None = None) -> Column:

@@ -138,3 +138,12 @@ def test_taken_serials_are_not_copied_to_rows(spark):
     free = (k for k in range(2, 100) if f"a__{k}.pdf" not in names)
     assert [r.unique_name for r in found.orderBy("i").collect()][:40] == ["a.pdf", *(f"a__{next(free)}.pdf" for _ in range(39))]
     assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_proof_is_decoded_once(spark):
+    """Each step stood in the plan as often as later steps name it, in proof_decode many times over."""
+    from quirefold.functions import payments
+
+    rows = spark.createDataFrame([("a",)], "h string").select(payments.decode_payment_proof(F.concat("h", F.lit("x"))).alias("p")).select("p.*")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rpad(") == 1 and plan.count("from_json(") + plan.count("jsontostructs(") == 1
