@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 # fixed values: full-width forms and their ASCII counterparts
 FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 ASCII = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
@@ -14,14 +16,18 @@ MONEY = "decimal(14,2)"
 
 def normalize_text(s: Column) -> Column:
     """Full-width characters become ASCII, all white space goes; null becomes ''."""
-    return F.regexp_replace(F.translate(F.coalesce(s, F.lit("")), FULL_WIDTH, ASCII), r"(?U)\s+", "")
+    other = lambda t: F.regexp_replace(F.translate(t, FULL_WIDTH, ASCII), r"(?U)\s+", "")
+    return once(F.coalesce(s, F.lit("")), lambda t: F.when(t.rlike(r"[^\x21-\x7E]"), other(t)).otherwise(t))  # most are plain
 
 
 def clean_amount_fixed2(s: Column) -> Column:
     """'¥1,234.5' as '1234.50'; null if it isn't an amount of two decimals at most."""
-    t = F.regexp_replace(normalize_text(s), "[¥￥,，]", "")
-    whole, part = F.split_part(t, F.lit("."), F.lit(1)), F.split_part(t, F.lit("."), F.lit(2))
-    return F.when(t.rlike(r"^-?[0-9]+(\.[0-9]{1,2})?$"), F.concat(whole, F.lit("."), F.rpad(part, 2, "0")))
+
+    def amount(t: Column) -> Column:
+        whole, part = F.split_part(t, F.lit("."), F.lit(1)), F.split_part(t, F.lit("."), F.lit(2))
+        return F.when(t.rlike(r"^-?[0-9]+(\.[0-9]{1,2})?$"), F.concat(whole, F.lit("."), F.rpad(part, 2, "0")))
+
+    return once(F.regexp_replace(normalize_text(s), "[¥￥,，]", ""), amount)
 
 
 def clean_amount_keep(s: Column) -> Column:
@@ -62,9 +68,9 @@ def tax_id_ok(t: Column) -> Column:
 
 def make_key(number: Column, code: Column | None = None) -> Column:
     """The normalised number, after the code if that has 10 to 12 digits; '' without a number."""
-    n = normalize_text(number)
-    c = normalize_text(code if code is not None else F.lit(None).cast("string"))
-    return F.when(n == "", F.lit("")).when(is_classic_code(c), F.concat_ws("-", c, n)).otherwise(n)
+    code = normalize_text(code if code is not None else F.lit(None).cast("string"))
+    key = lambda n, c: F.when(n == "", F.lit("")).when(is_classic_code(c), F.concat_ws("-", c, n)).otherwise(n)
+    return once(normalize_text(number), lambda n: once(code, lambda c: key(n, c)))
 
 
 def _iso(y: Column, m: Column, d: Column) -> Column:

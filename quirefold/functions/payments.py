@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 #: fixed values: the fields that are signed, in order
 SIGNED = ("amount", "currency", "goods_name", "out_trade_no", "pay_before", "resource_id", "seller_id", "service_id")
 # fixed values: goods by operation
@@ -70,11 +72,6 @@ def base64url(s: Column) -> Column:
     return F.rtrim(F.translate(F.base64(F.encode(s, "utf-8")), "+/\r\n", "-_"), F.lit("="))
 
 
-def _let(value: Column, of) -> Column:
-    """of(value), in which the value is worked out once, however often it stands there."""
-    return F.get(F.transform(F.array(value), of), F.lit(0))
-
-
 def from_base64url(s: Column) -> Column:
     """The text of base64url or base-64, padded or not; null if it is neither."""
 
@@ -82,7 +79,7 @@ def from_base64url(s: Column) -> Column:
         padded = F.call_function("rpad", t, F.ceil(F.length(t) / 4).cast("int") * 4, F.lit("="))
         return F.call_function("try_validate_utf8", F.call_function("try_to_binary", F.when(t.rlike("^[A-Za-z0-9+/]*$"), padded), F.lit("base64")).cast("string"))
 
-    return _let(F.rtrim(F.translate(F.regexp_replace(s, "\\s", ""), "-_", "+/"), F.lit("=")), text)
+    return once(F.rtrim(F.translate(F.regexp_replace(s, "\\s", ""), "-_", "+/"), F.lit("=")), text)
 
 
 _PROOF = "struct<protocol:struct<payment_proof:string,trade_no:string>,method:struct<client_session:string>>"
@@ -100,7 +97,7 @@ def decode_payment_proof(header: Column) -> Column:
             .when(F.startswith(F.trim(text), F.lit("[")), F.lit("not_an_object"))
             .when((F.coalesce(proof, F.lit("")) == "") | (F.coalesce(trade, F.lit("")) == ""), F.lit("incomplete"))
         )
-        return _let(reason, lambda r: F.struct(
+        return once(reason, lambda r: F.struct(
             F.when(r.isNull(), proof).alias("payment_proof"),
             F.when(r.isNull(), trade).alias("trade_no"),
             F.when(r.isNull() & (obj["method"]["client_session"] != ""), obj["method"]["client_session"]).alias("client_session"),
@@ -108,8 +105,8 @@ def decode_payment_proof(header: Column) -> Column:
         ))
 
     parsed = lambda text: F.from_json(text, _PROOF, {"mode": "PERMISSIVE"})
-    whole = lambda h: _let(from_base64url(h), lambda text: _let(parsed(text), lambda obj: fields(h, text, obj)))
-    return _let(F.trim(F.coalesce(header, F.lit(""))), whole)
+    whole = lambda h: once(from_base64url(h), lambda text: once(parsed(text), lambda obj: fields(h, text, obj)))
+    return once(F.trim(F.coalesce(header, F.lit(""))), whole)
 
 
 def either_style(obj: Column, snake: str, default: str | None = None) -> Column:

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 
+def once(value: Column, of) -> Column:
+    """of(value), in which the value is worked out once, however often it stands there."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def excel_text(s: Column) -> Column:
     """A formula that a spreadsheet shows as this text; '' for null and ''."""
     return F.when(F.coalesce(s, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit('="'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"')))

@@ -147,3 +147,10 @@ def test_a_proof_is_decoded_once(spark):
     rows = spark.createDataFrame([("a",)], "h string").select(payments.decode_payment_proof(F.concat("h", F.lit("x"))).alias("p")).select("p.*")
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("rpad(") == 1 and plan.count("from_json(") + plan.count("jsontostructs(") == 1
+
+
+def test_a_key_is_normalised_once(spark):
+    """Number and code are each put into plain form in one place of the plan; plain texts are left as they are."""
+    rows = spark.createDataFrame([("１２ 3", "1234567890"), ("a\n", None), ("　", "x")], "n string, c string").select(I.make_key(F.concat("n", F.lit("")), F.concat("c", F.lit(""))).alias("k"))
+    assert [r.k for r in rows.collect()] == ["1234567890-123", "a", ""]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 2
