@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from . import search
 from .scans import ordered, scan
 
 # fixed values: patterns of identity numbers, mobile telephones and addresses
@@ -50,9 +51,10 @@ def keyword_hits(pages: DataFrame, keywords: list[str], text: str = "text", igno
     return rows.select(*keys, F.lit("keyword").alias("source"), F.lit(None).cast("string").alias("preset"), F.explode(F.array_repeat(F.col("f.literal"), F.col("f.n"))).alias("literal"))
 
 
-#: Lengths of the grams that keywords are looked up by, and characters of a text that are cut to grams at a time.
-GRAMS = (1, 2, 4, 8, 16)
+#: Characters of a text that are cut to grams at a time; bytes of texts that are searched for keywords at a time.
 SEGMENT = 1 << 16
+#: Characters by which segments overlap, at least.
+OVERLAP = 16
 
 
 def _grams(text: Column, width: int) -> Column:
@@ -60,70 +62,33 @@ def _grams(text: Column, width: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)))
 
 
-def _width(needle: Column) -> Column:
-    """The largest of GRAMS that the needle has room for."""
-    width = F.lit(GRAMS[0])
-    for w in GRAMS[1:]:
-        width = F.when(F.length(needle) >= w, w).otherwise(width)
-    return width
-
-
-def _grams_of(needle: Column, width: Column) -> Column:
-    """Its grams of that width."""
-    grams = F.when(width == GRAMS[0], _grams(needle, GRAMS[0]))
-    for w in GRAMS[1:]:
-        grams = grams.when(width == w, _grams(needle, w))
-    return grams
-
-
-def keyword_anchors(keywords: DataFrame) -> DataFrame:
-    """keywords (keyword, needle): adds width, the largest of GRAMS that the needle has room for, and anchor, that of its
-    grams which the fewest needles share."""
-    k = keywords.withColumn("width", _width(F.col("needle")))
-    grams = _grams_of(F.col("needle"), F.col("width"))
-    each = k.select("keyword", "needle", "width", F.explode(grams).alias("gram"))
-    shared = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    least = F.min_by("gram", F.struct("n", F.xxhash64("gram"), "gram"))
-    return each.join(shared, "gram").groupBy("keyword", "needle", "width").agg(least.alias("anchor"))
-
-
 def keyword_table_hits(pages: DataFrame, keywords: DataFrame, text: str = "text", ignore_case: bool = False) -> DataFrame:
     """As keyword_hits, for a table (keyword) of any size; a keyword that repeats counts once, an empty or null one not.
 
-    An inverted index of grams: a text that holds a keyword holds the keyword's anchor, at any place, within a word too.
-    The grams of all texts are joined with the anchors, and what meets is verified by searching the text, so results are
-    those of comparing all with all. Texts are known by their hash up to there: equal texts are looked up once, and two
-    texts of one hash only share candidates. Work is the texts' length, and a search for each candidate."""
+    Texts are searched where they lie (search.py): tasks test each place of a text against two tables of bits that the
+    keywords have marked, and give what passes, which is joined with the keywords as a whole. So results are those of comparing
+    all with all, no text is shuffled, and work is the texts' length and the keywords that stand in them."""
     keys = [c for c in pages.columns if c != text]
     plain = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
-    known = keywords.select("keyword").where(F.length("keyword") > 0).distinct().withColumn("needle", plain(F.col("keyword")))
-    anchors = written(keyword_anchors(known), "anchors")
-    widths = [r["width"] for r in anchors.select("width").distinct().collect()]  # as many as GRAMS at most
-    rows = pages.withColumn("__hay", plain(F.col(text))).withColumn("__h", F.xxhash64("__hay"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("__hay"), F.lit(1)), F.lit(SEGMENT))
-    cut = rows.where(F.col("__hay") != "").select("__h", "__hay", F.explode(starts).alias("at"))
-    cut = cut.select("__h", F.when(F.length("__hay") <= SEGMENT, F.col("__hay")).otherwise(F.substring("__hay", F.col("at"), F.lit(SEGMENT + GRAMS[-1]))).alias("part"))
-    met = None
-    for w in sorted(widths):
-        own = cut.select("__h", F.explode(_grams(F.col("part"), w)).alias("anchor"))
-        found = own.join(anchors.where(F.col("width") == w).select("anchor", "keyword", "needle"), "anchor").select("__h", "keyword", "needle")
-        met = found if met is None else met.unionByName(found)
-    empty = anchors.select(F.lit(0).cast("bigint").alias("__h"), "keyword", "needle").where("false")
-    candidates = (met if met is not None else empty).distinct().select(F.col("__h").alias("__k"), F.col("keyword").alias("__literal"), "needle")
-    n = ((F.length("__hay") - F.length(F.replace("__hay", "needle", F.lit("")))) / F.length("needle")).cast("int")
-    hits = rows.join(candidates, (F.col("__h") == F.col("__k")) & F.contains(F.col("__hay"), F.col("needle")))
-    return hits.select(*keys, F.lit("keyword").alias("source"), F.lit(None).cast("string").alias("preset"), F.explode(F.array_repeat("__literal", n)).alias("literal"))
+    known = keywords.select(F.col("keyword").alias("__literal"), F.encode(plain(F.col("keyword")), "utf-8").alias("__needle")).where(F.length("__needle") > 0).distinct()
+    known = written(known, "keywords")
+    marks = search.marks(known.select("__needle"))
+    hay = F.encode(F.coalesce(plain(F.col(text)), F.lit("")), "utf-8")
+    rows = search.found(pages.select(*keys, hay.alias("__hay")), "__hay", marks, SEGMENT)
+    hits = rows.join(known, "__needle")
+    return hits.select(*keys, F.lit("keyword").alias("source"), F.lit(None).cast("string").alias("preset"), F.explode(F.array_repeat("__literal", F.col("__n"))).alias("literal"))
 
 
 def mask_hits(pages: DataFrame, hits: DataFrame, keys: list[str], text: str = "text", by: str = "") -> DataFrame:
     """The pages without the literals that were found on them, the longest first, then in order of the text."""
     found = hits.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct((-F.length("literal")).alias("n"), "literal"))).alias("__found"))
-    found = found.select(*(F.col(k).alias(f"__{k}") for k in keys), "__found")
+    found = found.select(*(F.col(k).alias(f"__{k}") for k in keys), F.transform("__found", lambda x: F.encode(x["literal"], "utf-8")).alias("__found"))
     same = F.lit(True)
     for k in keys:
         same = same & (F.col(k) == F.col(f"__{k}"))
-    masked = F.aggregate("__found", F.col(text), lambda t, x: F.replace(t, x["literal"], F.lit(by)))
-    return pages.join(found, same, "left").withColumn(text, F.when(F.col("__found").isNull(), F.col(text)).otherwise(masked)).select(*pages.columns)
+    joined = pages.join(found, same, "left").select(*(F.encode(c, "utf-8").alias(c) if c == text else c for c in pages.columns), "__found")
+    masked = search.without(joined, text, "__found", by.encode())
+    return masked.select(*(F.decode(c, "utf-8").alias(c) if c == text else c for c in pages.columns))
 
 
 def locate_report(hits: DataFrame, doc: str = "doc_id", page: str = "page_no") -> DataFrame:
@@ -203,7 +168,7 @@ def _by_width(width: Column, of) -> Column:
 def _parts(rows: DataFrame, text: str, *keep: str) -> DataFrame:
     """(keep, at, part): the text in segments, each from character `at` on, that overlap by two of the longest grams."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(SEGMENT))
-    cut = F.substring(F.col(text), F.col("at"), F.lit(SEGMENT + 2 * GRAMS[-1]))
+    cut = F.substring(F.col(text), F.col("at"), F.lit(SEGMENT + 2 * OVERLAP))
     part = F.when(F.length(text) <= SEGMENT, F.col(text)).otherwise(cut)
     return rows.select(*keep, text, F.explode(starts).alias("at")).select(*keep, "at", part.alias("part"))
 

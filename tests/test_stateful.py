@@ -134,6 +134,21 @@ def test_keywords_from_a_table(spark, monkeypatch):
         assert x.text == t
 
 
+def test_keywords_are_searched_where_texts_lie(spark, monkeypatch):
+    r = random.Random(5)
+    texts = ["".join(r.choice("ab é") for _ in range(r.randrange(0, 400))) for _ in range(40)] + ["aaaaaaa", "", None]
+    words = sorted({t[i : i + n] for t in texts if t for i, n in ((0, 1), (3, 2), (5, 7), (9, 33), (20, 70), (1, 130))} - {""}) + ["aaa", "nowhere"]
+    pages, keywords = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), spark.createDataFrame([(w,) for w in words], "keyword string")
+    want = {(i, w, t.count(w)) for i, t in enumerate(texts) if t for w in words if w in t}
+    for segment in (1 << 16, 7):
+        monkeypatch.setattr(redact, "SEGMENT", segment)
+        hits = redact.keyword_table_hits(pages, keywords)
+        assert {tuple(x) for x in hits.groupBy("doc_id", "literal").count().collect()} == want
+    # texts stay where they are: what is dealt are stretches that may be keywords
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "MapInArrow" in plan
+
+
 class Store:
     """A store of one bucket, which counts calls."""
 
