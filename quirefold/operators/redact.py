@@ -315,30 +315,58 @@ def _in_cells(boxes: DataFrame, x0: str, y0: str, x1: str, y1: str, cx: str, cy:
     return boxes.withColumn(cx, F.explode(side(x0, x1))).withColumn(cy, F.explode(side(y0, y1)))
 
 
+#: A page of more rectangles goes by cells; with fewer, each of its spans is compared with them, and no row is made twice.
+FEW_RECTS = 64
+
+
+def _grown(rects: DataFrame) -> DataFrame:
+    low, high = (((F.col(c) - GROW).alias(f"__{c}") for c in ("x0", "y0")), ((F.col(c) + GROW).alias(f"__{c}") for c in ("x1", "y1")))
+    return rects.select(F.col("doc_id").alias("__d"), F.col("page_no").alias("__p"), F.col("rect_id").alias("__rect"), *low, *high)
+
+
+def _over() -> Column:
+    """A span and a grown rectangle of one page overlap, and neither has its sides out of order."""
+    page = (F.col("doc_id") == F.col("__d")) & (F.col("page_no") == F.col("__p"))
+    over = (F.col("x0") < F.col("__x1")) & (F.col("x1") > F.col("__x0")) & (F.col("y0") < F.col("__y1")) & (F.col("y1") > F.col("__y0"))
+    return page & over & (F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1")) & (F.col("__x0") <= F.col("__x1")) & (F.col("__y0") <= F.col("__y1"))
+
+
 def _overlaps(spans: DataFrame, rects: DataFrame) -> DataFrame:
     """Spans beside the rectangles, grown by GROW on each side, that overlap them on the same page (__rect). Both are dealt
     to cells of the page, which are keys of the join, so a page of many spans and rectangles is no product; a pair that
     shares several cells is made in the one where its overlap begins."""
-    low, high = (((F.col(c) - GROW).alias(f"__{c}") for c in ("x0", "y0")), ((F.col(c) + GROW).alias(f"__{c}") for c in ("x1", "y1")))
-    r = rects.select(F.col("doc_id").alias("__d"), F.col("page_no").alias("__p"), F.col("rect_id").alias("__rect"), *low, *high)
-    r = _in_cells(r, "__x0", "__y0", "__x1", "__y1", "__rx", "__ry")
+    r = _in_cells(_grown(rects), "__x0", "__y0", "__x1", "__y1", "__rx", "__ry")
     s = _in_cells(spans, "x0", "y0", "x1", "y1", "__cx", "__cy")
-    cell = (F.col("doc_id") == F.col("__d")) & (F.col("page_no") == F.col("__p")) & (F.col("__cx") == F.col("__rx")) & (F.col("__cy") == F.col("__ry"))
-    over = (F.col("x0") < F.col("__x1")) & (F.col("x1") > F.col("__x0")) & (F.col("y0") < F.col("__y1")) & (F.col("y1") > F.col("__y0"))
+    cell = (F.col("__cx") == F.col("__rx")) & (F.col("__cy") == F.col("__ry"))
     home = (F.col("__cx") == _cell(F.greatest("x0", "__x0"))) & (F.col("__cy") == _cell(F.greatest("y0", "__y0")))
-    return s.join(r, cell & over & home)
+    return s.join(r, _over() & cell & home)
+
+
+def _by_pages(spans: DataFrame, rects: DataFrame, few, many) -> DataFrame:
+    """few(spans, rects) of pages with FEW_RECTS rectangles at most, and many(spans, rects) of the others."""
+    page = ["doc_id", "page_no"]
+    crowded = written(rects.groupBy(*page).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW_RECTS).select(*page), "crowded")
+    if crowded.isEmpty():
+        return few(spans, rects)
+    of = lambda how: (spans.join(crowded, page, how).select(*spans.columns), rects.join(crowded, page, how))
+    return few(*of("left_anti")).unionByName(many(*of("left_semi")))
 
 
 def rect_hits(spans: DataFrame, rects: DataFrame) -> DataFrame:
     """(columns of the span, rect_id): spans that a rectangle of the same page, grown by GROW on each side, overlaps."""
-    return _overlaps(spans, rects).select(*spans.columns, F.col("__rect").alias("rect_id"))
+    hit = lambda met: met.select(*spans.columns, F.col("__rect").alias("rect_id"))
+    return _by_pages(spans, rects, lambda s, r: hit(s.join(_grown(r), _over())), lambda s, r: hit(_overlaps(s, r)))
 
 
 def mask_by_rect(spans: DataFrame, rects: DataFrame) -> DataFrame:
     """The spans (or annotations, or fields) that no grown rectangle overlaps: spans of one place go or stay together."""
     place = ["doc_id", "page_no", "x0", "y0", "x1", "y1"]
-    hit = _overlaps(spans.select(*place).distinct(), rects).select(*place).distinct()
-    return spans.join(hit, place, "left_anti").select(*spans.columns)
+
+    def many(s: DataFrame, r: DataFrame) -> DataFrame:
+        hit = _overlaps(s.select(*place).distinct(), r).select(*place).distinct()
+        return s.join(hit, place, "left_anti").select(*spans.columns)
+
+    return _by_pages(spans, rects, lambda s, r: s.join(_grown(r), _over(), "left_anti"), many)
 
 
 def rect_rules(rects: DataFrame) -> DataFrame:

@@ -89,3 +89,21 @@ def test_rectangles_by_cells(spark):
     want = sorted((a[6], b[2]) for a in spans for b in rects if None not in a and a[1] == b[1] and a[2] < b[5] + 1 and a[4] > b[3] - 1 and a[3] < b[6] + 1 and a[5] > b[4] - 1)
     assert sorted((x.text, x.rect_id) for x in redact.rect_hits(s, t).collect()) == want and len(want) > 50
     assert sorted(x.text for x in redact.mask_by_rect(s, t).collect()) == sorted({a[6] for a in spans} - {x for x, _ in want})
+
+
+def test_rectangles_of_crowded_and_other_pages(spark, monkeypatch):
+    r = random.Random(4)
+    box = lambda: (x := r.uniform(-300, 900), y := r.uniform(-300, 900), x + r.choice([-9, 0, 70, 900]), y + r.choice([0, 12, 200]))
+    spans = [(r.choice([1, 1, 2, None]), r.choice([1, 2, 3]), *box(), f"t{k}") for k in range(200)]
+    rects = [(1, r.choice([1, 1, 1, 2]), k, *box()) for k in range(30)] + [(2, 3, 99, *box())]
+    s = spark.createDataFrame(spans, "doc_id int, page_no int, x0 double, y0 double, x1 double, y1 double, text string")
+    t = spark.createDataFrame(rects, "doc_id int, page_no int, rect_id int, x0 double, y0 double, x1 double, y1 double")
+    fit = lambda a, b: a[2] <= a[4] and b[3] - 1 <= b[5] + 1 and a[2] < b[5] + 1 and a[4] > b[3] - 1 and a[3] < b[6] + 1 and a[5] > b[4] - 1
+    want = sorted((a[6], b[2]) for a in spans for b in rects if a[:2] == b[:2] and fit(a, b))
+    for few in (64, 12, 0):
+        monkeypatch.setattr(redact, "FEW_RECTS", few)
+        hits = redact.rect_hits(s, t)
+        assert sorted((x.text, x.rect_id) for x in hits.collect()) == want and len(want) > 20
+        assert sorted(x.text for x in redact.mask_by_rect(s, t).collect()) == sorted({a[6] for a in spans} - {x for x, _ in want})
+        # spans are dealt as they are where no page is crowded, not once for each cell
+        assert ("Generate" in hits._jdf.queryExecution().optimizedPlan().toString()) == (few < 64)
