@@ -44,9 +44,11 @@ def translate_on_values(values: DataFrame, on_values: DataFrame) -> DataFrame:
 
 
 def leaf_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Leaves that only one side has."""
-    b, a = before.select("doc_id", "path"), after.select("doc_id", "path")
-    return b.exceptAll(a).withColumn("side", F.lit("before")).unionByName(a.exceptAll(b).withColumn("side", F.lit("after")))
+    """Leaves that only one side has, as often as it has more of them: both sides are counted in one pass."""
+    one = lambda side, n: side.select("doc_id", "path", F.lit(n).cast("bigint").alias("n"))
+    more = one(before, 1).unionByName(one(after, -1)).groupBy("doc_id", "path").agg(F.sum("n").alias("n")).where("n <> 0")
+    side = F.when(F.col("n") > 0, F.lit("before")).otherwise(F.lit("after"))
+    return more.select("doc_id", "path", side.alias("side"), F.explode(F.array_repeat(F.lit(True), F.abs("n").cast("int"))).alias("__one")).drop("__one")
 
 
 def change_audit(before: DataFrame, after: DataFrame, targets: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.operators import logs, orders, pages, redact, survey
+from quirefold.operators import forms, logs, orders, pages, redact, survey
 from quirefold.sources import files
+from quirefold.streaming import streams
+from quirefold.streaming.batches import batch_table
 
 
 @pytest.mark.parametrize(
@@ -107,3 +109,23 @@ def test_rectangles_of_crowded_and_other_pages(spark, monkeypatch):
         assert sorted(x.text for x in redact.mask_by_rect(s, t).collect()) == sorted({a[6] for a in spans} - {x for x, _ in want})
         # spans are dealt as they are where no page is crowded, not once for each cell
         assert ("Generate" in hits._jdf.queryExecution().optimizedPlan().toString()) == (few < 64)
+
+
+def test_leaves_of_both_sides_are_counted_once(spark):
+    form = "doc_id int, path string"
+    before = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, None), (None, "c")], form)
+    after = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (1, "b"), (2, None), (3, "d")], form)
+    diff = forms.leaf_diff(before, after)
+    assert sorted(map(tuple, diff.collect()), key=repr) == sorted([(1, "a", "before"), (None, "c", "before"), (1, "b", "after"), (1, "b", "after"), (3, "d", "after")], key=repr)
+    assert diff._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_ledger_batches_normalise_each_written_number_once(spark, tmp_path, monkeypatch):
+    seen = []
+    keyed = streams.L.keyed
+    monkeypatch.setattr(streams.L, "keyed", lambda df, *a: seen.append(df.count()) or keyed(df, *a))
+    rows = [("12345678", None, f"f{k}", "1", k) for k in range(50, 0, -1)] + [(" 12345678 ", None, "g", "2", 0), (None, None, "h", "3", 99)]
+    batch = spark.createDataFrame(rows, "number string, code string, file_ref string, amount string, row_no int")
+    streams.ledger_batches(str(tmp_path / "t"))(batch, 0)
+    got = [(x.key, x.row_no, x.file_ref) for x in batch_table(spark, str(tmp_path / "t")).collect()]
+    assert got == [("12345678", 0, "g")] and seen == [3]
