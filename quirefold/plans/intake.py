@@ -209,7 +209,7 @@ def stream_ledger_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger after seven batches of equal time, whose folders are merged by twos and fours on the way. Rows are
     numbered by day, so the first of a key is the same however they are dealt to batches."""
     path = shared_folder(spark, "stream")
-    lines = table(spark, sf_dir, "lineitem").withColumn("at", F.col("l_shipdate").cast("timestamp"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").cast("timestamp").alias("at"))
     tickets = _tickets(ST.arrivals(lines, "at", f"{path}/in", parts=7), F.expr("unix_seconds(at) div 86400 * 1000000000000"))
     ST.run_batches(tickets, ST.ledger_batches(f"{path}/table", every=2), path)
     return batch_table(spark, f"{path}/table").select("key", "row_no")

@@ -49,7 +49,9 @@ def ledger_batches(ledger_path: str, every: int = EVERY) -> Callable[[DataFrame,
     """For foreachBatch: appends what each micro-batch adds to the ledger, the first ticket of a key that it doesn't have."""
 
     def first(batch: DataFrame) -> DataFrame:
-        rows = L.keyed(batch).where("key <> ''")
+        # tickets of one number as it is written are one key, so each such number is normalised once
+        own = batch.groupBy("number", "code").agg(F.min_by(F.struct("file_ref", "amount", "row_no"), F.col("row_no")).alias("e")).select("number", "code", "e.*")
+        rows = L.keyed(own).where("key <> ''")
         return rows.groupBy("key").agg(F.min_by(F.struct("file_ref", "amount", "row_no"), F.col("row_no")).alias("e")).select("key", "e.*")
 
     return first_batches(ledger_path, first, "key", every=every)
