@@ -84,25 +84,45 @@ def first_fit(rows: DataFrame, keys: list[str], more: tuple[str, ...] = (), size
     """(keys, pos, more columns, s, taken): rows are taken in order while they fit; one that is larger than what is left of the key's
     capacity is passed over, and smaller ones go on. Sizes are bigint, 0 or more.
 
-    Keys of FOLDED rows at most are folded as they are. Others go by phases: with r left, rows above r are out for good;
-    those above r / 2 are large, the others small. Small ones are all taken, and large ones passed over, up to the first
-    row with which what is left comes below r / 2: a large one that fits, or the small one that brings it there. So each
-    phase halves what is left, and there are as many as a capacity has binary digits."""
+    Keys of FOLDED rows at most are folded as they are, and so are the first rows of others; what no longer fits after these
+    is out for good, often all. The rest goes by phases: with r left, rows above r are out for good; those above r / 2 are
+    large, the others small. Small ones are all taken, and large ones passed over, up to the first row with which what is
+    left comes below r / 2: a large one that fits, or the small one that brings it there. So each phase halves what is left,
+    and there are as many as a capacity has binary digits."""
     own = ("pos", *more, "s")
     rows = rows.select(*keys, "pos", *more, F.col(size).alias("s"), F.col(capacity).alias("left"))
-    blocks = rows.groupBy(*keys, F.shiftright("pos", BITS).alias("block")).agg(F.max("left").alias("left"), F.array_sort(F.collect_list(F.struct(*own))).alias("items"))
-    blocks = written(blocks.withColumn("n", F.sum(F.size("items")).over(Window.partitionBy(*keys))), "groups")
-    whole = blocks.where(F.col("n") <= FOLDED).groupBy(*keys).agg(F.max("left").alias("left"), F.array_sort(F.collect_list(F.struct("block", "items"))).alias("blocks"))
-    whole = whole.select(*keys, "left", F.flatten(F.transform("blocks", lambda b: b["items"])).alias("items"))
+    blocks = rows.groupBy(*keys, F.shiftright("pos", BITS).alias("block")).agg(F.max("left").alias("left"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(*own))).alias("items"))
+    blocks = written(blocks, "groups")
+    named = [F.col(k).alias(f"__{k}") for k in keys]
+    large = written(blocks.groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") > FOLDED).select(*named), "large")
 
     def take(state: Column, x: Column) -> Column:
         fits = x["s"] <= state["left"]
         return F.struct(F.when(fits, state["left"] - x["s"]).otherwise(state["left"]).alias("left"), F.concat(state["taken"], F.when(fits, "1").otherwise("0")).alias("taken"))
 
-    start = F.struct(F.col("left").alias("left"), F.lit("").alias("taken"))
-    folded = whole.withColumn("taken", F.aggregate("items", start, take)["taken"]).select(*keys, "taken", F.posexplode("items").alias("i", "item"))
-    parts = [folded.select(*keys, *(f"item.{c}" for c in own), (F.substring("taken", F.col("i") + 1, F.lit(1)) == "1").alias("taken"))]
-    rest = written(blocks.where(F.col("n") > FOLDED).select(*keys, "left", F.explode("items").alias("x")).select(*keys, *(f"x.{c}" for c in own), "left"), "rest")
+    def folded(some: DataFrame) -> DataFrame:
+        whole = some.groupBy(*keys).agg(F.max("left").alias("left"), F.array_sort(F.collect_list(F.struct("block", "items"))).alias("blocks"))
+        whole = whole.select(*keys, "left", F.flatten(F.transform("blocks", lambda b: b["items"])).alias("items"))
+        return whole.withColumn("state", F.aggregate("items", F.struct(F.col("left").alias("left"), F.lit("").alias("taken")), take))
+
+    def each(state: DataFrame) -> DataFrame:
+        items = state.select(*keys, "state.taken", F.posexplode("items").alias("i", "item"))
+        return items.select(*keys, *(f"item.{c}" for c in own), (F.substring("taken", F.col("i") + 1, F.lit(1)) == "1").alias("taken"))
+
+    if large.isEmpty():
+        return each(folded(blocks))
+    parts = [each(folded(blocks.join(large, _equal(keys), "left_anti")))]
+    many = written(blocks.join(large, _equal(keys), "left_semi"), "many")
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("block"))
+    heads = many.select(*keys, "block", number.alias("i")).where(F.col("i") <= max(1, FOLDED >> BITS))
+    heads = written(heads.select(*named, F.col("block").alias("__block")), "heads")
+    in_head = _equal(keys) & (F.col("block") == F.col("__block"))
+    begun = written(folded(many.join(heads, in_head, "left_semi")), "begun")
+    parts.append(each(begun))
+    later = many.join(heads, in_head, "left_anti").select(*keys, F.explode("items").alias("x")).select(*keys, *(f"x.{c}" for c in own))
+    later = later.join(begun.select(*named, F.col("state.left").alias("left")), _equal(keys)).select(*keys, *own, "left")
+    parts.append(later.where("s > left").select(*keys, *own, F.lit(False).alias("taken")))
+    rest = written(later.where("s <= left"), "rest")
     while rest.limit(1).count():
         parts.append(rest.where("s > left").select(*keys, *own, F.lit(False).alias("taken")))
         fits = rest.where("s <= left").withColumn("small", F.when(F.col("s") * 2 <= F.col("left"), F.col("s")).otherwise(F.lit(0)))
