@@ -73,6 +73,23 @@ def make_key(number: Column, code: Column | None = None) -> Column:
     return once(normalize_text(number), lambda n: once(code, lambda c: key(n, c)))
 
 
+def _is_plain(s: Column) -> Column:
+    """normalize_text leaves it as it is."""
+    return ~F.coalesce(s, F.lit("")).rlike(r"[^\x21-\x7E]")
+
+
+def column_key(number: Column, code: Column) -> Column:
+    """make_key of two columns of a table (it names them several times): where both are plain, as most are, nothing is
+    normalised."""
+    key = F.when(F.coalesce(number, F.lit("")) == "", F.lit("")).when(is_classic_code(code), F.concat_ws("-", code, number)).otherwise(number)
+    return F.when(_is_plain(number) & _is_plain(code), key).otherwise(make_key(number, code))
+
+
+def column_fixed2(amount: Column) -> Column:
+    """clean_amount_fixed2 of a column of a table: one that is written so already stays."""
+    return F.when(amount.rlike(r"\A-?[0-9]+\.[0-9]{2}\z"), amount).otherwise(clean_amount_fixed2(amount))
+
+
 def _iso(y: Column, m: Column, d: Column) -> Column:
     """ISO text of a real date; null otherwise."""
     text = F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))

@@ -11,8 +11,8 @@ from ..functions import names as N
 
 def keyed(df: DataFrame, normalize_amounts: bool = True) -> DataFrame:
     """Adds key and amount: two decimals, or as written; '' where there is none."""
-    amount = I.clean_amount_fixed2(F.col("amount")) if normalize_amounts else F.col("amount")
-    return df.withColumn("key", I.make_key(F.col("number"), F.col("code"))).withColumn("amount", F.coalesce(amount, F.lit("")))
+    amount = I.column_fixed2(F.col("amount")) if normalize_amounts else F.col("amount")
+    return df.withColumn("key", I.column_key(F.col("number"), F.col("code"))).withColumn("amount", F.coalesce(amount, F.lit("")))
 
 
 def ledger_by_key(ledger: DataFrame, order: str, normalize_amounts: bool = True) -> DataFrame:

@@ -154,3 +154,17 @@ def test_a_key_is_normalised_once(spark):
     rows = spark.createDataFrame([("１２ 3", "1234567890"), ("a\n", None), ("　", "x")], "n string, c string").select(I.make_key(F.concat("n", F.lit("")), F.concat("c", F.lit(""))).alias("k"))
     assert [r.k for r in rows.collect()] == ["1234567890-123", "a", ""]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 2
+
+
+def test_columns_that_are_plain(spark):
+    """Keys and amounts of columns, most of which are as they should be, are those of the general forms."""
+    texts = ["", None, " ", "12", "１２", "1 2", "12\n", "1234567890", "1234567890\n", "１234567890", "123456789012", "1234567890123", "a-b", "\x7f", "é"]
+    rows = spark.createDataFrame([(n, c) for n in texts for c in texts], "number string, code string")
+    for r in rows.select(I.column_key(F.col("number"), F.col("code")).alias("got"), I.make_key(F.col("number"), F.col("code")).alias("want")).collect():
+        assert r.got == r.want
+    amounts = ["1.00", "1.00\n", "-0.10", "1.0", "1", "１.00", "¥1.00", "1,000.00", "1.000", ".00", "--1.00", "\n1.00", "1.00x", "٣.00", "", None]
+    rows = spark.createDataFrame([(a,) for a in amounts], "amount string")
+    found = rows.select(I.column_fixed2(F.col("amount")).alias("got"), I.clean_amount_fixed2(F.col("amount")).alias("want")).collect()
+    assert [r.got for r in found] == [r.want for r in found] and found[1].got == "1.00"
+    plan = ledger.keyed(rows.select(F.lit("1").alias("number"), F.col("amount").alias("code"), "amount"))._jdf.queryExecution().optimizedPlan().toString()
+    assert r"\A-?[0-9]+\.[0-9]{2}\z" in plan
